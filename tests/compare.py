@@ -40,7 +40,7 @@ def main(argv):
     sf_dir = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
     spark = session.build("local[8]", **{
         "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
-        "spark.driver.memory": "12g"})
+        "spark.driver.memory": "12g", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     queries, oracles = entry.queries(), entry.oracle_sql()

@@ -1,12 +1,16 @@
 """Lazy wiring of every layer from the given tables.
 
-Each name is a DataFrame built on first use. Nothing is cached except reference
-dimensions and the calendar, whose row count is checked before they are pinned.
+Each name is a DataFrame built on first use. Staging stays a view; history, facts and
+marts are written once as parquet tables under the shared checkpoint folder, so that later
+layers start from files (true sizes, short plans, nothing recomputed when an executor is
+lost). Reference dimensions and the calendar are pinned after a check of their row count.
 """
 
 from __future__ import annotations
 
-from functools import cached_property
+import uuid
+from collections.abc import Callable
+from functools import cached_property, wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +18,8 @@ from pyspark.sql import functions as F
 from tidemark import schemas
 from tidemark.functions.columns import pin_small
 from tidemark.functions.ordered import HOT_ROWS, lagged, position, running
-from tidemark.operators import dimensions, facts, history, marts, staging
+from tidemark.operators import dimensions, facts, history, marts, monitoring, staging
+from tidemark.session import checkpoint_dir
 from tidemark.sources.feed import CHANGES, FEEDS
 from tidemark.sources.tables import TABLE_DDL, read_table
 
@@ -26,6 +31,16 @@ def at(text: str) -> Column:
     return F.lit(text).cast("timestamp")
 
 
+def stored(build: Callable[[Lake], DataFrame]) -> cached_property:
+    """Property whose DataFrame is written as a table on first use and read back."""
+
+    @wraps(build)
+    def write(self: Lake) -> DataFrame:
+        return self.store(build.__name__, build(self))
+
+    return cached_property(write)
+
+
 class Lake:
     """Named tables of all layers over one directory of given tables."""
 
@@ -35,6 +50,16 @@ class Lake:
         self.hot_rows = hot_rows
         self._memo: dict[str, DataFrame] = {}
 
+    @cached_property
+    def root(self) -> str:
+        return f"{checkpoint_dir(self.spark)}/tidemark-{uuid.uuid4().hex}"
+
+    def store(self, name: str, df: DataFrame) -> DataFrame:
+        """Write a table into the shared folder and return it as a scan."""
+        path = f"{self.root}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def table(self, name: str) -> DataFrame:
         return self._once(f"table.{name}", lambda: read_table(self.spark, self.sf_dir, name))
 
@@ -84,7 +109,11 @@ class Lake:
                 rows = rows.withColumn("__delay", F.explode(delays)).withColumn(
                     "ingested_at", F.col("ingested_at") + F.col("__delay")
                 )
-            return self._physical(rows, entity)
+            physical = self._physical(rows, entity)
+            # Entities whose derivation needs an ordered scan land as tables.
+            if "{numbered}" in feed.sql or "{chained}" in feed.sql:
+                return self.store(f"bronze_{entity}", physical)
+            return physical
 
         return self._once(f"bronze.{entity}", build)
 
@@ -164,21 +193,21 @@ class Lake:
             self.stg_user_updates.filter(F.col("updated_at") < at(run_at)),
         )
 
-    @cached_property
+    @stored
     def current_user_state(self) -> DataFrame:
         return history.current_user_state(self.stg_users, self.stg_user_updates)
 
-    @cached_property
+    @stored
     def user_state_history(self) -> DataFrame:
         return history.user_state_history(self.stg_users, self.stg_user_updates, self.hot_rows)
 
-    @cached_property
+    @stored
     def user_snapshot(self) -> DataFrame:
         first, second = SNAPSHOT_RUNS
         earlier = history.scd2_snapshot(None, self.state_at(first), at(first))
         return history.scd2_snapshot(earlier, self.current_user_state, at(second))
 
-    @cached_property
+    @stored
     def dim_user(self) -> DataFrame:
         return history.dim_user(
             self.user_state_history, self.user_snapshot, self.current_user_state
@@ -213,78 +242,141 @@ class Lake:
 
     # facts ---------------------------------------------------------------------------
 
-    @cached_property
+    @stored
     def fact_conversation(self) -> DataFrame:
         return facts.fact_conversation(
             self.stg_conversations, self.dim_user, self.dim_date, self.hot_rows
         )
 
-    @cached_property
+    @stored
     def fact_message(self) -> DataFrame:
         return facts.fact_message(
             self.stg_messages, self.dim_user, self.dim_device, self.dim_date, self.hot_rows
         )
 
-    @cached_property
+    @stored
     def fact_completion(self) -> DataFrame:
         return facts.fact_completion(
             self.stg_completions, self.dim_user, self.dim_date, self.hot_rows
         )
 
-    @cached_property
+    @stored
     def fact_inference(self) -> DataFrame:
         return facts.fact_model_inference(
             self.stg_inferences, self.dim_user, self.dim_model, self.dim_date, self.hot_rows
         )
 
-    @cached_property
+    @stored
     def fact_feedback(self) -> DataFrame:
         return facts.fact_feedback(self.stg_feedback, self.dim_user, self.dim_date, self.hot_rows)
 
-    @cached_property
+    @stored
     def fact_error(self) -> DataFrame:
         return facts.fact_error(
             self.stg_errors, self.dim_user, self.dim_model, self.dim_date, self.hot_rows
         )
 
-    @cached_property
+    @stored
     def fact_subscription(self) -> DataFrame:
         return facts.fact_subscription(
             self.stg_subscriptions, self.dim_user, self.dim_plan, self.dim_date, self.hot_rows
         )
 
-    @cached_property
+    @stored
     def fact_purchase(self) -> DataFrame:
         return facts.fact_purchase(
             self.stg_purchases, self.dim_user, self.dim_plan, self.dim_date, self.hot_rows
         )
 
-    @cached_property
+    @stored
     def fact_payment(self) -> DataFrame:
         return facts.fact_payment(self.stg_payments, self.dim_user, self.dim_date, self.hot_rows)
 
     # marts ---------------------------------------------------------------------------
 
-    @cached_property
+    @stored
     def gold_product(self) -> DataFrame:
         return marts.product_daily(
             self.fact_message, self.fact_conversation, self.fact_completion, self.fact_feedback,
             self.dim_date,
         )
 
-    @cached_property
+    @stored
     def gold_user_activity(self) -> DataFrame:
         return marts.user_activity_daily(
             self.fact_message, self.fact_conversation, self.fact_completion, self.fact_feedback,
             self.fact_inference, self.dim_date,
         )
 
-    @cached_property
+    @stored
     def gold_ml(self) -> DataFrame:
         return marts.model_daily(self.fact_inference, self.dim_date, self.dim_model)
 
-    @cached_property
+    @stored
     def gold_finance(self) -> DataFrame:
         return marts.finance_daily(
             self.fact_subscription, self.fact_purchase, self.fact_payment, self.dim_date
         )
+
+    # monitoring ----------------------------------------------------------------------
+
+    @cached_property
+    def facts(self) -> dict[str, DataFrame]:
+        """The nine facts by entity name."""
+        return {
+            "messages": self.fact_message,
+            "conversations": self.fact_conversation,
+            "completions": self.fact_completion,
+            "model_inferences": self.fact_inference,
+            "feedback": self.fact_feedback,
+            "errors": self.fact_error,
+            "subscriptions": self.fact_subscription,
+            "purchases": self.fact_purchase,
+            "payments": self.fact_payment,
+        }
+
+    @cached_property
+    def stagings(self) -> dict[str, DataFrame]:
+        """The staging view behind each fact."""
+        return {
+            "messages": self.stg_messages,
+            "conversations": self.stg_conversations,
+            "completions": self.stg_completions,
+            "model_inferences": self.stg_inferences,
+            "feedback": self.stg_feedback,
+            "errors": self.stg_errors,
+            "subscriptions": self.stg_subscriptions,
+            "purchases": self.stg_purchases,
+            "payments": self.stg_payments,
+        }
+
+    @cached_property
+    def golds(self) -> dict[str, DataFrame]:
+        return {
+            "product": self.gold_product,
+            "user_activity": self.gold_user_activity,
+            "ml": self.gold_ml,
+            "finance": self.gold_finance,
+        }
+
+    @stored
+    def dq_freshness(self) -> DataFrame:
+        return monitoring.freshness(self.facts)
+
+    @stored
+    def dq_volume(self) -> DataFrame:
+        return monitoring.volume(self.facts, self.dim_date, 0.10)
+
+    @stored
+    def dq_quality(self) -> DataFrame:
+        return monitoring.quality(self.facts, self.dim_date)
+
+    @stored
+    def dq_reconciliation(self) -> DataFrame:
+        return monitoring.pipeline_reconciliation(self.stagings, self.facts, self.golds)
+
+    @cached_property
+    def checks(self) -> DataFrame:
+        return monitoring.check_rows(
+            self.dq_freshness, self.dq_volume, self.dq_quality, self.dq_reconciliation
+        )
