@@ -20,6 +20,7 @@ from tidemark.functions.columns import pin_small
 from tidemark.functions.ordered import HOT_ROWS, lagged, position, running
 from tidemark.operators import dimensions, facts, history, marts, monitoring, staging
 from tidemark.session import checkpoint_dir
+from tidemark.sources.damage import DAMAGED
 from tidemark.sources.feed import CHANGES, FEEDS
 from tidemark.sources.tables import TABLE_DDL, read_table
 
@@ -380,3 +381,9 @@ class Lake:
         return monitoring.check_rows(
             self.dq_freshness, self.dq_volume, self.dq_quality, self.dq_reconciliation
         )
+
+    def damaged(self, name: str) -> DataFrame:
+        """Copy of a derived table with planted faults, the input of the assertions."""
+        text = DAMAGED[name]
+        (source,) = {part.split("}")[0] for part in text.split("{")[1:]}
+        return self._once(name, lambda: self.spark.sql(text, **{source: getattr(self, source)}))
