@@ -70,11 +70,13 @@ def running(
     outputs: Sequence[Running],
     hot_rows: int = HOT_ROWS,
     segment: str = SEGMENT,
+    segment_of: Column | None = None,
 ) -> DataFrame:
-    """Add running outputs per key in ascending ``order`` (first column: a timestamp).
+    """Add running outputs per key in ascending ``order``.
 
     Order columns must not be null and must be total within a key. Null keys form a
-    key of their own.
+    key of their own. Segments are the first order column truncated to ``segment``, or
+    ``segment_of``, any expression that never decreases along the order.
     """
     # Plain equality on non-null text keys keeps one hash partitioning for the hot-key
     # lookup, the window and the carry join.
@@ -85,7 +87,11 @@ def running(
     ).withColumns({values[o.name]: _shape(o) for o in outputs})
     hot = hot_keys(keyed, texts, hot_rows).withColumn("__hot", F.lit(True))
     keyed = keyed.join(F.broadcast(hot), on=texts, how="left").withColumn(
-        _SEG, F.when(F.col("__hot"), F.date_trunc(segment, F.col(order[0])))
+        _SEG,
+        F.when(
+            F.col("__hot"),
+            F.date_trunc(segment, F.col(order[0])) if segment_of is None else segment_of,
+        ),
     )
 
     within = Window.partitionBy(*texts, _SEG).orderBy(*[F.col(c).asc() for c in order])

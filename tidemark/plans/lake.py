@@ -20,7 +20,7 @@ from tidemark.functions.columns import pin_small
 from tidemark.functions.ordered import HOT_ROWS, lagged, position, running
 from tidemark.operators import dimensions, facts, history, marts, monitoring, staging
 from tidemark.session import checkpoint_dir
-from tidemark.sources.damage import DAMAGED
+from tidemark.sources.damage import DAMAGED, MODEL_CATALOGUE, SHARED_EMAIL
 from tidemark.sources.feed import CHANGES, FEEDS
 from tidemark.sources.tables import TABLE_DDL, read_table
 
@@ -387,3 +387,17 @@ class Lake:
         text = DAMAGED[name]
         (source,) = {part.split("}")[0] for part in text.split("{")[1:]}
         return self._once(name, lambda: self.spark.sql(text, **{source: getattr(self, source)}))
+
+    # validator inputs ----------------------------------------------------------------
+
+    @cached_property
+    def closed(self) -> DataFrame:
+        return history.closed_times(self.stg_users, self.stg_user_updates)
+
+    @cached_property
+    def users_with_shared_email(self) -> DataFrame:
+        return self.spark.sql(SHARED_EMAIL, stg_users=self.stg_users)
+
+    @cached_property
+    def model_catalogue(self) -> DataFrame:
+        return self.spark.sql(MODEL_CATALOGUE, part=self.table("part"))

@@ -105,3 +105,28 @@ DAMAGED = {
                    as difference, status
         from {dq_reconciliation}""",
 }
+
+SHARED_EMAIL = f"""
+    select user_id, name, case when {_N} % 77 = 0 then 'shared@example.org'
+                               when {_N} % 91 = 0 then 'not an address' else email end as email,
+           case when {_N} % 83 = 0 then 'usa' else country_code end as country_code,
+           case when {_N} % 89 = 0 then 'GONE' else account_status end as account_status,
+           signup_source, signup_at
+    from {{stg_users}}"""
+
+#: One catalogue entry per part: families of four versions, some released out of order.
+MODEL_CATALOGUE = """
+    select concat('m', p_partkey) as model_id,
+           concat('Model ', case when p_partkey % 50 = 1 then p_partkey - 1 else p_partkey end)
+               as model_name,
+           concat(1 + p_partkey % 4, '.', case when p_partkey % 100 = 1 then 'x'
+                  when p_partkey % 50 = 1 then concat('', p_partkey % 4 - 1)
+                  else concat('', p_partkey % 3) end)
+               as model_version,
+           concat('Family ', floor(p_partkey / 4)) as provider,
+           case when p_partkey % 97 <> 0 then
+               cast(timestamp '2023-11-01 00:00:00'
+                    + (case when p_partkey % 13 = 0 then 9 else p_partkey % 4 end)
+                      * interval '1' day as date) end as release_date,
+           case when p_partkey % 101 <> 0 then p_partkey % 2 = 0 end as active_flag
+    from {part}"""
