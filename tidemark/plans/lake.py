@@ -18,12 +18,20 @@ from pyspark.sql import functions as F
 from tidemark import schemas
 from tidemark.functions.columns import pin_small
 from tidemark.functions.ordered import HOT_ROWS, lagged, position, running
-from tidemark.operators import dimensions, facts, history, marts, monitoring, staging
+from tidemark.operators import defects, dimensions, facts, history, marts, monitoring, staging
 from tidemark.session import checkpoint_dir
-from tidemark.sources.damage import DAMAGED, MODEL_CATALOGUE, SHARED_EMAIL
+from tidemark.sources.damage import (
+    DAMAGED,
+    DAMAGED_DIRTY,
+    JSON_LINES,
+    MODEL_CATALOGUE,
+    SHARED_EMAIL,
+)
 from tidemark.sources.feed import CHANGES, FEEDS
 from tidemark.sources.tables import TABLE_DDL, read_table
 
+#: Seed and horizon of the defect drill.
+SEED, DEFECT_HORIZON = 42, "2024-02-01 00:00:00"
 #: Times of the two snapshot runs.
 SNAPSHOT_RUNS = ("2024-01-10 00:00:00", "2024-01-31 00:00:00")
 
@@ -401,3 +409,38 @@ class Lake:
     @cached_property
     def model_catalogue(self) -> DataFrame:
         return self.spark.sql(MODEL_CATALOGUE, part=self.table("part"))
+
+    # defects -------------------------------------------------------------------------
+
+    def labelled(self, entity: str) -> DataFrame:
+        """Clean rows with the defect each one would receive."""
+
+        def build() -> DataFrame:
+            rows = self.clean(entity)
+            if entity == "messages":
+                rows = defects.with_parent_time(
+                    rows, self.clean("conversations"), "conversation_id", "created_at")
+            elif entity == "payments":
+                rows = defects.with_parent_time(
+                    rows, self.clean("purchases"), "purchase_id", "purchase_created_at")
+            return defects.label(rows, entity, SEED, DEFECT_HORIZON)
+
+        return self._once(f"labelled.{entity}", build)
+
+    def dirty(self, entity: str) -> DataFrame:
+        return defects.dirty_rows(self.labelled(entity), entity)
+
+    def log(self, entity: str) -> DataFrame:
+        return defects.manifest(self.labelled(entity), entity, SEED)
+
+    @stored
+    def defect_log(self) -> DataFrame:
+        return monitoring.union_all([self.log(e) for e in defects.PLANS])
+
+    @cached_property
+    def damaged_dirty(self) -> DataFrame:
+        return self.spark.sql(DAMAGED_DIRTY, dirty=self.dirty("payments"))
+
+    @cached_property
+    def json_lines(self) -> DataFrame:
+        return self.spark.sql(JSON_LINES, events=self.table("events"))

@@ -130,3 +130,30 @@ MODEL_CATALOGUE = """
                       * interval '1' day as date) end as release_date,
            case when p_partkey % 101 <> 0 then p_partkey % 2 = 0 end as active_flag
     from {part}"""
+
+#: Newline-delimited JSON as it might arrive: broken lines, non-objects, optional fields.
+JSON_LINES = """
+    select case when event_id % 331 = 0 then concat('{{"id": ', event_id)
+                when event_id % 337 = 0 then concat('[', event_id, ']')
+                else concat('{{"id": ', event_id, ', "kind": "', event_type, '"',
+                            case event_id % 5 when 0 then ', "score": null'
+                                 when 1 then concat(', "score": ', event_id % 7, '.5')
+                                 when 2 then concat(', "score": ', event_id % 7) else '' end,
+                            case when event_id % 3 = 0 then ', "flag": true, "tags": ["a"]'
+                                 else '' end,
+                            ', "props": ', props, '}}') end as line
+    from {events}"""
+
+#: Dirty payments with lost, changed and foreign rows, input of the manifest reconciliation.
+DAMAGED_DIRTY = """
+    select case when substring(payment_id, 1, 3) = '00a' then concat('lost-', payment_id)
+                else payment_id end as payment_id,
+           purchase_id, user_id, payment_status,
+           case when substring(payment_id, 1, 2) = '1f' and payment_method is null then 'CARD'
+                else payment_method end as payment_method,
+           case when substring(payment_id, 1, 3) = '77b' then payment_amount + 1
+                else payment_amount end as payment_amount,
+           refund_amount, processed_at, refunded_at, updated_at,
+           case when substring(payment_id, 1, 3) = 'c0c' then ingested_at + interval '1' hour
+                else ingested_at end as ingested_at
+    from {dirty} where substring(payment_id, 1, 3) <> 'abc'"""
