@@ -22,7 +22,7 @@ _SEG = "__segment"
 
 @dataclass(frozen=True)
 class Running:
-    """One running output: ``kind`` is sum, last, lag or lead of ``value``."""
+    """One running output: ``kind`` is sum, last, last_before, lag or lead of ``value``."""
 
     name: str
     kind: str
@@ -38,6 +38,11 @@ def running_last(name: str, value: Column) -> Running:
     return Running(name, "last", value)
 
 
+def running_last_before(name: str, value: Column) -> Running:
+    """Last non-null value strictly before the current row."""
+    return Running(name, "last_before", value)
+
+
 def lagged(name: str, value: Column) -> Running:
     """Value on the previous row, null on the first one."""
     return Running(name, "lag", value)
@@ -108,8 +113,9 @@ def running(
             local[o.name] = F.sum(v).over(upto)
             summary.append(F.sum(v).alias(whole))
             carry[o.name] = F.sum(whole).over(before)
-        elif o.kind == "last":
-            local[o.name] = F.last(v, ignorenulls=True).over(upto)
+        elif o.kind in ("last", "last_before"):
+            frame = upto if o.kind == "last" else within.rowsBetween(Window.unboundedPreceding, -1)
+            local[o.name] = F.last(v, ignorenulls=True).over(frame)
             summary.append(F.max_by(v, F.when(v.isNotNull(), rank)).alias(whole))
             carry[o.name] = F.last(whole, ignorenulls=True).over(before)
         elif o.kind == "lag":
@@ -140,7 +146,7 @@ def _shape(o: Running) -> Column:
         return F.coalesce(o.value, F.lit(0))
     if o.kind in ("lag", "lead"):
         return F.struct(o.value.alias("v"))
-    if o.kind == "last":
+    if o.kind in ("last", "last_before"):
         return o.value
     raise ValueError(f"unknown running kind {o.kind}")
 
@@ -149,6 +155,6 @@ def _combine(o: Running) -> Column:
     here, carried = F.col(f"__loc_{o.name}"), F.col(f"__car_{o.name}")
     if o.kind == "sum":
         return here + F.coalesce(carried, F.lit(0))
-    if o.kind == "last":
+    if o.kind in ("last", "last_before"):
         return F.coalesce(here, carried)
     return F.coalesce(here, carried).getField("v")

@@ -18,14 +18,18 @@ from pyspark.sql import functions as F
 from tidemark import schemas
 from tidemark.functions.columns import pin_small
 from tidemark.functions.ordered import HOT_ROWS, lagged, position, running
-from tidemark.operators import defects, dimensions, facts, history, marts, monitoring, staging
+from tidemark.operators import defects, dimensions, facts, history, incidents, marts, monitoring, staging
 from tidemark.session import checkpoint_dir
 from tidemark.sources.damage import (
+    CHECKPOINTS,
     DAMAGED,
     DAMAGED_DIRTY,
     JSON_LINES,
     MODEL_CATALOGUE,
+    OUTBOX,
+    REPEATED,
     SHARED_EMAIL,
+    SNAPSHOTS,
 )
 from tidemark.sources.feed import CHANGES, FEEDS
 from tidemark.sources.tables import TABLE_DDL, read_table
@@ -444,3 +448,45 @@ class Lake:
     @cached_property
     def json_lines(self) -> DataFrame:
         return self.spark.sql(JSON_LINES, events=self.table("events"))
+
+    # incidents -----------------------------------------------------------------------
+
+    @stored
+    def observations(self) -> DataFrame:
+        """Observation stream of the check events; ids are stable hashes."""
+        raw = self.raw("check_events")
+        status = monitoring.normalise_status(F.col("raw_status"))
+        digest = incidents.fingerprint(F.col("source"), F.col("category"), [F.col("check_name")])
+        return raw.select(
+            "source", "category", "check_name", digest.alias("fingerprint"),
+            status.alias("status"), "observed_at",
+            incidents.observation_id(digest, F.col("observation_id")).alias("observation_id"),
+            (status == "UNAVAILABLE").alias("reset"),
+        )
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        """Write an intermediate table and continue from its files."""
+        return self.store(f"cut_{uuid.uuid4().hex}", df)
+
+    @stored
+    def decisions(self) -> DataFrame:
+        return incidents.decide(self.observations, self.hot_rows, self.cut)
+
+    @cached_property
+    def repeated_observations(self) -> DataFrame:
+        """Observations with some delivered twice; ``arrival`` numbers the deliveries."""
+        return self.spark.sql(REPEATED, observations=self.observations)
+
+    @stored
+    def outbox(self) -> DataFrame:
+        return self.spark.sql(
+            OUTBOX, notifications=incidents.notifications(self.decisions, self.hot_rows)
+        )
+
+    @cached_property
+    def outbox_checkpoints(self) -> DataFrame:
+        return self.spark.sql(CHECKPOINTS, notifications=self.outbox)
+
+    @cached_property
+    def run_snapshots(self) -> DataFrame:
+        return self.spark.sql(SNAPSHOTS, job_runs=self.raw("job_runs"))

@@ -157,3 +157,37 @@ DAMAGED_DIRTY = """
            case when substring(payment_id, 1, 3) = 'c0c' then ingested_at + interval '1' hour
                 else ingested_at end as ingested_at
     from {dirty} where substring(payment_id, 1, 3) <> 'abc'"""
+
+#: Some observations delivered twice.
+REPEATED = """
+    select *, 0 as arrival from {observations}
+    union all
+    select *, 1 as arrival from {observations} where substring(observation_id, 1, 1) in ('0', '7')"""
+
+#: Outbox rows in every delivery state.
+OUTBOX = """
+    select *, available_at as created_at,
+           case substring(notification_id, 1, 1) when '0' then 'SENT' when '1' then 'RETRYABLE'
+                when '2' then 'CLAIMED' when '3' then 'CLAIMED' else 'PENDING' end as status,
+           case when substring(notification_id, 2, 1) = '0' then 3 else 1 end as attempt_count,
+           3 as max_attempts, substring(notification_id, 3, 1) <> '0' as committed,
+           case when substring(notification_id, 1, 1) = '2'
+                then available_at + interval '1' hour
+                else available_at + interval '60' day end as lease_expires_at,
+           case when substring(notification_id, 4, 1) in ('0', '1') then 'beta' else 'alpha' end
+               as checkpoint_name,
+           case when substring(notification_id, 5, 1) = '0' then 9 else 1 end as checkpoint_version
+    from {notifications}"""
+
+#: Committed versions per checkpoint.
+CHECKPOINTS = """
+    select checkpoint_name, max(case when checkpoint_name = 'alpha' then 5 else 0 end)
+               as snapshot_version
+    from {notifications} group by checkpoint_name"""
+
+#: Monitoring times tied to job runs, partly outside the run or missing.
+SNAPSHOTS = """
+    select run_id,
+           start_time + (run_id % 7 - 1) * interval '10' minute as first_at,
+           start_time + (run_id % 11) * interval '10' minute as last_at
+    from {job_runs} where run_id % 13 <> 0"""
