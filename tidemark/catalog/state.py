@@ -232,12 +232,13 @@ query("partition_mismatch", "message_id ingested_at:t dt:t",
 query("latest_partition", "model_id model_name model_version active_flag:b dt:t",
       lambda k: S.latest_partition(k.bronze("models")),
       "select * from b_models where dt = (select max(dt) from b_models)")
-query("id_collisions", "completion_id",
+query("id_collisions", "subscription_id",
       lambda k: S.id_collisions(
-          k.bronze("completions").filter(F.col("dt") > day(_LOADED)),
-          k.bronze("completions").filter(F.col("dt") <= day(_LOADED)), "completion_id"), f"""
-      select distinct completion_id from b_completions where dt > date '{_LOADED}'
-      and completion_id in (select completion_id from b_completions where dt <= date '{_LOADED}')""")
+          k.bronze("subscriptions").filter(F.col("dt") > day("2024-01-05")),
+          k.bronze("subscriptions").filter(F.col("dt") <= day("2024-01-05")), "subscription_id"), """
+      select distinct subscription_id from b_subscriptions where dt > date '2024-01-05'
+      and subscription_id in (select subscription_id from b_subscriptions
+                              where dt <= date '2024-01-05')""")
 query("table_digest", "rows:i digest",
       lambda k: S.table_digest(k.table("customer").select(
           "c_custkey", "c_name", "c_nationkey", "c_mktsegment")), """
