@@ -180,7 +180,8 @@ query("pit_join", "message_id user_id created_at:t user_key user_key_match_count
       lambda k: facts.pit_join(
           k.stg_messages.select("message_id", "user_id", "created_at"),
           k.dim_user.select("user_id", "user_key", "effective_start_at", "effective_end_at"),
-          "user_id", "created_at", "message_id", hot_rows=k.hot_rows),
+          "user_id", "created_at", "message_id", hot_rows=k.hot_rows,
+          disjoint_versions=k.disjoint_versions),
       "select message_id, user_id, created_at, user_key, user_key_match_count from fact_message")
 
 _USER = "user_key user_key_match_count:i date_key:i user_id ingested_at:t source_partition_date:t"

@@ -267,7 +267,8 @@ query("incremental_filter", "message_id created_at:t physical_partition_date:t",
 
 def _incremental_merge(k):
     target, rows = _incremental(k)
-    fresh = facts.fact_message(rows, k.dim_user, k.dim_device, k.dim_date, k.hot_rows)
+    fresh = facts.fact_message(rows, k.dim_user, k.dim_device, k.dim_date, k.hot_rows,
+                               k.disjoint_versions)
     return U.merge_upsert(target, fresh, ["message_id"])
 
 

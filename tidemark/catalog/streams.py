@@ -11,13 +11,14 @@ from tidemark.operators import staging
 from tidemark.streaming import twins
 from tidemark.streaming.tables import newest_per_key, read_files
 
-_MIDDLE = F.lit("2024-01-16 00:00:00").cast("timestamp")
+_MIDDLE = "2024-01-16 00:00:00"
 
 
 def _two_arrivals(k, rows, at: str, run) -> str:
     """Let the first half arrive, drain, let the second half arrive, drain from the checkpoint."""
     root = f"{k.root}/stream_{uuid.uuid4().hex}"
-    for half in (F.col(at) < _MIDDLE, F.col(at) >= _MIDDLE):
+    middle = F.lit(_MIDDLE).cast("timestamp")
+    for half in (F.col(at) < middle, F.col(at) >= middle):
         rows.filter(half).write.mode("append").parquet(f"{root}/in")
         run(read_files(k.spark, f"{root}/in", rows.schema), f"{root}/out", f"{root}/checkpoint")
     return f"{root}/out"

@@ -62,7 +62,7 @@ def pin_small(df: DataFrame, max_rows: int = 20_000) -> DataFrame:
     driver, and the planner then sees the true size and may broadcast it. A larger table
     stays distributed and is joined by shuffle.
     """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
+    rows = df.limit(max_rows + 1).toArrow()
+    if rows.num_rows > max_rows:
         return df
     return df.sparkSession.createDataFrame(rows, df.schema)

@@ -12,9 +12,6 @@ from tidemark.functions.ordered import HOT_ROWS, lagged, running
 from tidemark.operators.history import latest_updates
 from tidemark.operators.monitoring import union_all
 
-EPOCH = F.lit("0001-01-01 00:00:00").cast("timestamp")
-
-
 def any_of(*conditions: Column) -> Column:
     """True when at least one condition is true; null conditions do not count."""
     out = F.lit(False)
@@ -107,7 +104,7 @@ def bad_intervals(
 ) -> DataFrame:
     """Empty, inverted or overlapping intervals per key, and wrong current flags."""
     ordered = rows.withColumns({
-        "__start": F.coalesce(F.col(start), EPOCH),
+        "__start": F.coalesce(F.col(start), F.lit("0001-01-01 00:00:00").cast("timestamp")),
         "__tie": F.col(tie) if order is None else F.col(order),
     })
     lag = running(ordered, [key], ["__start", "__tie"], [lagged("__prev", F.col(end))],
@@ -212,16 +209,21 @@ def active_user_gaps(product: DataFrame, activity: DataFrame) -> DataFrame:
     )
 
 
-MODEL_GRAIN = F.concat_ws("|", F.col("date_key").cast("string"),
-                          F.coalesce("model_key", "model_id", F.lit("__UNRESOLVED__")))
-USER_GRAIN = F.concat_ws("|", F.col("date_key").cast("string"), F.col("user_id"))
+def model_grain() -> Column:
+    """Text key of a model-day; unresolved models share a sentinel."""
+    return F.concat_ws("|", F.col("date_key").cast("string"),
+                       F.coalesce("model_key", "model_id", F.lit("__UNRESOLVED__")))
+
+
+def user_grain() -> Column:
+    return F.concat_ws("|", F.col("date_key").cast("string"), F.col("user_id"))
 
 
 def repeated_grains(ml: DataFrame, activity: DataFrame) -> DataFrame:
     parts = [
         df.groupBy(grain.alias("grain_key")).agg(F.count(F.lit(1)).alias("n"))
         .filter(F.col("n") != 1).select(F.lit(name).alias("mart_name"), "grain_key")
-        for name, df, grain in (("ml", ml, MODEL_GRAIN), ("user_activity", activity, USER_GRAIN))
+        for name, df, grain in (("ml", ml, model_grain()), ("user_activity", activity, user_grain()))
     ]
     return union_all(parts)
 
@@ -270,7 +272,7 @@ def mart_range_violations(marts: Mapping[str, DataFrame]) -> DataFrame:
         "user_activity": [differs(F.col("active_flag"), F.col("message_count") > 0)],
     }
     grains = {"product": F.col("date_key").cast("string"), "finance": F.col("date_key").cast("string"),
-              "ml": MODEL_GRAIN, "user_activity": USER_GRAIN}
+              "ml": model_grain(), "user_activity": user_grain()}
     return union_all([
         marts[m].filter(any_of(*_negative(MART_COUNTS[m]), *_not_a_rate(MART_RATES[m]), *special[m]))
         .select(F.lit(m).alias("mart_name"), grains[m].alias("grain_key"))

@@ -11,6 +11,36 @@ from tidemark.functions.columns import whole_seconds
 from tidemark.functions.ordered import HOT_ROWS, running, running_last, running_sum
 
 
+def _bounds(versions: DataFrame, key: str, version_key: str, start: str, end: str) -> DataFrame:
+    """Start (+1) and end (-1) rows of every non-empty version, from one pass.
+
+    At equal times ends sort before starts, and both before facts, which makes the
+    intervals half-open.
+    """
+    s, e = F.col(start), F.col(end)
+    version = F.struct(e.alias("e"), F.col(version_key).alias("v"))
+    opening = F.struct(s.alias("t"), F.lit(1).alias("kind"), version.alias("opened"))
+    closing = F.struct(e.alias("t"), F.lit(0).alias("kind"), F.lit(None).alias("opened"))
+    return (
+        versions.filter(F.col(key).isNotNull() & s.isNotNull() & (e.isNull() | (e > s)))
+        .select(F.col(key).alias("k"), F.col(version_key).cast("string").alias("tie"),
+                F.explode(F.array(opening, closing)).alias("b"))
+        .filter(F.col("b.t").isNotNull())
+        .select("k", "b.t", "b.kind", "tie", "b.opened",
+                F.when(F.col("b.kind") == 1, 1).otherwise(-1).cast("bigint").alias("step"))
+    )
+
+
+def disjoint(
+    versions: DataFrame, key: str, start: str = "effective_start_at", end: str = "effective_end_at",
+    version_key: str = "user_key", hot_rows: int = HOT_ROWS,
+) -> bool:
+    """True when no two versions of a key are valid at the same time."""
+    swept = running(_bounds(versions, key, version_key, start, end), ["k"], ["t", "kind", "tie"],
+                    [running_sum("active", F.col("step"))], hot_rows=hot_rows)
+    return swept.filter(F.col("active") > 1).isEmpty()
+
+
 def pit_join(
     facts: DataFrame,
     versions: DataFrame,
@@ -21,70 +51,45 @@ def pit_join(
     start: str = "effective_start_at",
     end: str = "effective_end_at",
     hot_rows: int = HOT_ROWS,
+    disjoint_versions: bool = False,
 ) -> DataFrame:
     """Left join each fact to the versions valid at its time, ``start <= at < end``.
 
     Adds ``version_key`` and ``<version_key>_match_count``. Facts and version bounds are
     swept together in time order per key, so the cost is linear in both and never the
-    product of a key's facts and versions, and a hot key is cut into time segments.
-    Facts covered by overlapping versions (a data fault) leave the sweep and get every
-    matching version from a range join.
+    product of a key's facts and versions, and a hot key is cut into time segments. Facts
+    covered by overlapping versions (a data fault) get every matching version from a
+    range join, unless ``disjoint`` has shown that there are none.
     """
     count_name = f"{version_key}_match_count"
-    null_fact = F.lit(None).cast(facts.select(F.struct(*facts.columns).alias("f")).schema["f"].dataType)
-    version_type = versions.schema[version_key].dataType
-    valid = versions.filter(
-        F.col(key).isNotNull()
-        & F.col(start).isNotNull()
-        & (F.col(end).isNull() | (F.col(end) > F.col(start)))
-    ).select(F.col(key).alias("k"), F.col(start).alias("s"), F.col(end).alias("e"),
-             F.col(version_key).alias("v"))
-
-    swept_facts = facts.filter(F.col(key).isNotNull() & F.col(at).isNotNull())
-    lane = swept_facts.select(
-        F.col(key).alias("k"),
-        F.col(at).alias("t"),
-        F.lit(2).alias("kind"),
-        F.col(fact_id).cast("string").alias("tie"),
-        F.struct(*facts.columns).alias("f"),
-        F.lit(None).cast("timestamp").alias("e"),
-        F.lit(None).cast(version_type).alias("v"),
-    )
-    # Both bounds of a version come from one pass: end bounds sort before starts, and
-    # starts before facts, which gives the half-open interval.
-    bounds = valid.select(
-        "k", F.explode(F.array(F.struct(F.lit(1).alias("kind"), F.col("s").alias("t"), "e", "v"),
-                               F.struct(F.lit(0).alias("kind"), F.col("e").alias("t"), "e", "v"))).alias("b")
-    ).filter(F.col("b.t").isNotNull()).select(
-        "k",
-        F.col("b.t").alias("t"),
-        F.col("b.kind").alias("kind"),
-        F.col("b.v").cast("string").alias("tie"),
-        null_fact.alias("f"),
-        F.when(F.col("b.kind") == 1, F.col("b.e")).alias("e"),
-        F.when(F.col("b.kind") == 1, F.col("b.v")).alias("v"),
+    bounds = _bounds(versions, key, version_key, start, end)
+    # Facts without key or time match nothing; their own id spreads them over all tasks.
+    usable = F.col(key).isNotNull() & F.col(at).isNotNull()
+    lane = facts.select(
+        F.when(usable, F.col(key)).otherwise(F.concat(F.lit("\x01"), F.col(fact_id))).alias("k"),
+        F.coalesce(F.col(at), F.lit("0001-01-01").cast("timestamp")).alias("t"),
+        F.lit(2).alias("kind"), F.col(fact_id).cast("string").alias("tie"),
+        F.lit(0).cast("bigint").alias("step"), F.struct(*facts.columns).alias("f"),
     )
-    step = F.when(F.col("kind") == 1, 1).when(F.col("kind") == 0, -1).otherwise(0).cast("bigint")
-    opened = F.when(F.col("kind") == 1, F.struct("e", "v"))
-    # The fact id alone does not order replayed rows; any order among facts is right.
     swept = (
         running(
-            lane.unionByName(bounds),
-            ["k"],
-            ["t", "kind", "tie"],
-            [running_sum("active", step), running_last("newest", opened)],
-            hot_rows=hot_rows,
-        )
+            lane.unionByName(bounds, allowMissingColumns=True), ["k"], ["t", "kind", "tie"],
+            [running_sum("active", F.col("step")), running_last("newest", F.col("opened"))],
+            hot_rows=hot_rows)
         .filter(F.col("kind") == 2)
         .select("f", "k", "t", "active", "newest")
     )
     covered = F.col("newest.e").isNull() | (F.col("newest.e") > F.col("t"))
     single = (F.col("active") == 0) | ((F.col("active") == 1) & covered)
-    resolved = swept.filter(single).select(
+    resolved = (swept if disjoint_versions else swept.filter(single)).select(
         "f.*",
         F.when(F.col("active") == 1, F.col("newest.v")).alias(version_key),
         F.col("active").alias(count_name),
     )
+    if disjoint_versions:
+        return resolved
+    valid = versions.select(F.col(key).alias("k"), F.col(start).alias("s"), F.col(end).alias("e"),
+                            F.col(version_key).alias("v"))
     several = (
         swept.filter(~single)
         .alias("a")
@@ -96,19 +101,16 @@ def pit_join(
         )
         .select("a.f.*", F.col("b.v").alias(version_key), F.col("a.active").alias(count_name))
     )
-    unkeyed = facts.filter(F.col(key).isNull() | F.col(at).isNull()).select(
-        "*",
-        F.lit(None).cast(version_type).alias(version_key),
-        F.lit(0).cast("bigint").alias(count_name),
-    )
-    return resolved.unionByName(several).unionByName(unkeyed)
+    return resolved.unionByName(several)
 
 
-def _with_user(rows: DataFrame, users: DataFrame, fact_id: str, at: str, hot_rows: int) -> DataFrame:
+def _with_user(
+    rows: DataFrame, users: DataFrame, fact_id: str, at: str, hot_rows: int, disjoint_versions: bool
+) -> DataFrame:
     return pit_join(
         rows,
         users.select("user_id", "user_key", "effective_start_at", "effective_end_at"),
-        "user_id", at, fact_id, hot_rows=hot_rows,
+        "user_id", at, fact_id, hot_rows=hot_rows, disjoint_versions=disjoint_versions,
     )
 
 
@@ -126,9 +128,10 @@ def _finish(rows: DataFrame, columns: list[str | Column]) -> DataFrame:
 
 
 def fact_conversation(
-    conversations: DataFrame, users: DataFrame, dates: DataFrame, hot_rows: int = HOT_ROWS
+    conversations: DataFrame, users: DataFrame, dates: DataFrame, hot_rows: int = HOT_ROWS,
+    disjoint_versions: bool = False,
 ) -> DataFrame:
-    rows = _with_user(conversations, users, "conversation_id", "created_at", hot_rows)
+    rows = _with_user(conversations, users, "conversation_id", "created_at", hot_rows, disjoint_versions)
     return _finish(_with_date(rows, dates, "created_at"), [
         "conversation_id", "user_key", "user_key_match_count", "date_key", "user_id",
         "created_at", "ingested_at", "source_partition_date",
@@ -137,10 +140,10 @@ def fact_conversation(
 
 def fact_message(
     messages: DataFrame, users: DataFrame, devices: DataFrame, dates: DataFrame,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int = HOT_ROWS, disjoint_versions: bool = False,
 ) -> DataFrame:
     slim = messages.withColumn("message_length_chars", F.length("message_text")).drop("message_text")
-    rows = _with_user(slim, users, "message_id", "created_at", hot_rows)
+    rows = _with_user(slim, users, "message_id", "created_at", hot_rows, disjoint_versions)
     rows = _lookup(rows, devices, "device_id", "device_key")
     return _finish(_with_date(rows, dates, "created_at"), [
         "message_id", "conversation_id", "user_key", "user_key_match_count", "device_key",
@@ -151,10 +154,11 @@ def fact_message(
 
 
 def fact_completion(
-    completions: DataFrame, users: DataFrame, dates: DataFrame, hot_rows: int = HOT_ROWS
+    completions: DataFrame, users: DataFrame, dates: DataFrame, hot_rows: int = HOT_ROWS,
+    disjoint_versions: bool = False,
 ) -> DataFrame:
     slim = completions.drop("response_text")
-    rows = _with_user(slim, users, "completion_id", "requested_at", hot_rows)
+    rows = _with_user(slim, users, "completion_id", "requested_at", hot_rows, disjoint_versions)
     rows = rows.withColumn(
         "completion_duration_seconds",
         F.when(
@@ -172,9 +176,9 @@ def fact_completion(
 
 def fact_model_inference(
     inferences: DataFrame, users: DataFrame, models: DataFrame, dates: DataFrame,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int = HOT_ROWS, disjoint_versions: bool = False,
 ) -> DataFrame:
-    rows = _with_user(inferences, users, "inference_id", "request_at", hot_rows)
+    rows = _with_user(inferences, users, "inference_id", "request_at", hot_rows, disjoint_versions)
     rows = _lookup(rows, models, "model_id", "model_key").withColumn(
         "total_tokens", F.col("input_tokens") + F.col("output_tokens")
     )
@@ -187,9 +191,10 @@ def fact_model_inference(
 
 
 def fact_feedback(
-    feedback: DataFrame, users: DataFrame, dates: DataFrame, hot_rows: int = HOT_ROWS
+    feedback: DataFrame, users: DataFrame, dates: DataFrame, hot_rows: int = HOT_ROWS,
+    disjoint_versions: bool = False,
 ) -> DataFrame:
-    rows = _with_user(feedback, users, "feedback_id", "created_at", hot_rows)
+    rows = _with_user(feedback, users, "feedback_id", "created_at", hot_rows, disjoint_versions)
     return _finish(_with_date(rows, dates, "created_at"), [
         "feedback_id", "completion_id", "user_key", "user_key_match_count", "date_key",
         "user_id", "feedback_type", "feedback_score", "created_at", "ingested_at",
@@ -199,9 +204,9 @@ def fact_feedback(
 
 def fact_error(
     errors: DataFrame, users: DataFrame, models: DataFrame, dates: DataFrame,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int = HOT_ROWS, disjoint_versions: bool = False,
 ) -> DataFrame:
-    rows = _with_user(errors, users, "error_id", "occurred_at", hot_rows)
+    rows = _with_user(errors, users, "error_id", "occurred_at", hot_rows, disjoint_versions)
     rows = _lookup(rows, models, "model_id", "model_key")
     return _finish(_with_date(rows, dates, "occurred_at"), [
         "error_id", "conversation_id", "message_id", "completion_id", "inference_id",
@@ -213,9 +218,9 @@ def fact_error(
 
 def fact_subscription(
     subscriptions: DataFrame, users: DataFrame, plans: DataFrame, dates: DataFrame,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int = HOT_ROWS, disjoint_versions: bool = False,
 ) -> DataFrame:
-    rows = _with_user(subscriptions, users, "subscription_id", "started_at", hot_rows)
+    rows = _with_user(subscriptions, users, "subscription_id", "started_at", hot_rows, disjoint_versions)
     rows = _lookup(rows, plans, "plan_id", "subscription_plan_key")
     return _finish(_with_date(rows, dates, "started_at"), [
         "subscription_id", "user_key", "user_key_match_count", "subscription_plan_key",
@@ -226,9 +231,9 @@ def fact_subscription(
 
 def fact_purchase(
     purchases: DataFrame, users: DataFrame, plans: DataFrame, dates: DataFrame,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int = HOT_ROWS, disjoint_versions: bool = False,
 ) -> DataFrame:
-    rows = _with_user(purchases, users, "purchase_id", "purchase_created_at", hot_rows)
+    rows = _with_user(purchases, users, "purchase_id", "purchase_created_at", hot_rows, disjoint_versions)
     rows = _lookup(rows, plans, "plan_id", "subscription_plan_key")
     return _finish(_with_date(rows, dates, "purchase_created_at"), [
         "purchase_id", "subscription_id", "user_key", "user_key_match_count",
@@ -240,9 +245,10 @@ def fact_purchase(
 
 
 def fact_payment(
-    payments: DataFrame, users: DataFrame, dates: DataFrame, hot_rows: int = HOT_ROWS
+    payments: DataFrame, users: DataFrame, dates: DataFrame, hot_rows: int = HOT_ROWS,
+    disjoint_versions: bool = False,
 ) -> DataFrame:
-    rows = _with_user(payments, users, "payment_id", "processed_at", hot_rows)
+    rows = _with_user(payments, users, "payment_id", "processed_at", hot_rows, disjoint_versions)
     return _finish(_with_date(rows, dates, "processed_at"), [
         "payment_id", "purchase_id", "user_key", "user_key_match_count", "date_key", "user_id",
         "payment_status", "payment_method", "payment_amount", "refund_amount", "processed_at",

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import ratio
 
-POSITIVE_FEEDBACK = (F.col("feedback_type") == "THUMBS_UP") | (
-    (F.col("feedback_type") == "RATING") & (F.col("feedback_score") >= 4)
+# Which feedback is positive or negative; a rating of three is neither.
+POSITIVE_FEEDBACK = (
+    "feedback_type = 'THUMBS_UP' or (feedback_type = 'RATING' and feedback_score >= 4)"
 )
-NEGATIVE_FEEDBACK = (F.col("feedback_type") == "THUMBS_DOWN") | (
-    (F.col("feedback_type") == "RATING") & (F.col("feedback_score") <= 2)
+NEGATIVE_FEEDBACK = (
+    "feedback_type = 'THUMBS_DOWN' or (feedback_type = 'RATING' and feedback_score <= 2)"
 )
 
 
@@ -68,8 +69,8 @@ def product_daily(
         per_day(
             feedback,
             F.count(F.lit(1)).alias("feedback_count"),
-            F.count_if(POSITIVE_FEEDBACK).alias("positive_feedback_count"),
-            F.count_if(NEGATIVE_FEEDBACK).alias("negative_feedback_count"),
+            F.count_if(F.expr(POSITIVE_FEEDBACK)).alias("positive_feedback_count"),
+            F.count_if(F.expr(NEGATIVE_FEEDBACK)).alias("negative_feedback_count"),
         ),
     ]
 
@@ -107,7 +108,7 @@ def user_activity_daily(
         "completion_count": (completions, one),
         "successful_completion_count": (completions, flag(F.col("completion_status") == "SUCCESS")),
         "feedback_count": (feedback, one),
-        "positive_feedback_count": (feedback, flag(POSITIVE_FEEDBACK)),
+        "positive_feedback_count": (feedback, flag(F.expr(POSITIVE_FEEDBACK))),
         "inference_count": (inferences, one),
         "input_tokens": (inferences, F.col("input_tokens")),
         "output_tokens": (inferences, F.col("output_tokens")),

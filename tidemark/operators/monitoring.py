@@ -23,33 +23,33 @@ MONITORED = {
     "payments": "processed_at",
 }
 
-_LATE = F.col("is_timestamp_order_valid") == F.lit(False)
+_LATE = "is_timestamp_order_valid = false"
 
-# Rate metrics per entity.
-QUALITY_METRICS: dict[str, dict[str, Column]] = {
+# Rate metrics per entity, as SQL predicates.
+QUALITY_METRICS: dict[str, dict[str, str]] = {
     "messages": {
-        "missing_message_text_rate": F.col("is_message_text_missing"),
+        "missing_message_text_rate": "is_message_text_missing",
         "invalid_message_timestamp_rate": _LATE,
-        "unresolved_message_user_key_rate": F.col("user_id").isNotNull() & F.col("user_key").isNull(),
+        "unresolved_message_user_key_rate": "user_id is not null and user_key is null",
         "unresolved_message_device_key_rate":
-            F.col("device_id").isNotNull() & F.col("device_key").isNull(),
+            "device_id is not null and device_key is null",
     },
     "completions": {
         "invalid_completion_timestamp_rate": _LATE,
-        "recovered_completion_user_id_rate": F.col("is_user_id_recovered"),
-        "failed_completion_rate": F.col("completion_status") == "FAILED",
+        "recovered_completion_user_id_rate": "is_user_id_recovered",
+        "failed_completion_rate": "completion_status = 'FAILED'",
     },
     "model_inferences": {
-        "missing_inference_model_rate": F.col("is_model_id_missing"),
+        "missing_inference_model_rate": "is_model_id_missing",
         "invalid_inference_timestamp_rate": _LATE,
-        "failed_inference_rate": F.col("inference_status") == "FAILED",
+        "failed_inference_rate": "inference_status = 'FAILED'",
     },
-    "feedback": {"missing_feedback_type_rate": F.col("is_feedback_type_missing")},
-    "purchases": {"missing_purchase_type_rate": F.col("is_purchase_type_missing")},
+    "feedback": {"missing_feedback_type_rate": "is_feedback_type_missing"},
+    "purchases": {"missing_purchase_type_rate": "is_purchase_type_missing"},
     "payments": {
-        "missing_payment_method_rate": F.col("is_payment_method_missing"),
+        "missing_payment_method_rate": "is_payment_method_missing",
         "invalid_payment_timestamp_rate": _LATE,
-        "failed_payment_rate": F.col("payment_status") == "FAILED",
+        "failed_payment_rate": "payment_status = 'FAILED'",
     },
 }
 
@@ -140,7 +140,7 @@ def quality_counts(facts: Mapping[str, DataFrame]) -> DataFrame:
     for entity, metrics in QUALITY_METRICS.items():
         daily = facts[entity].groupBy("date_key").agg(
             F.count(F.lit(1)).alias("denominator"),
-            *[F.count_if(c).alias(n) for n, c in metrics.items()],
+            *[F.count_if(F.expr(c)).alias(n) for n, c in metrics.items()],
         )
         parts.append(
             daily.unpivot(["date_key", "denominator"], list(metrics), "metric_name", "numerator")

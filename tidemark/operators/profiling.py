@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark import schemas
 from tidemark.functions.columns import ratio
 from tidemark.functions.ordered import HOT_ROWS, lagged, position, running, running_sum
-from tidemark.operators.marts import NEGATIVE_FEEDBACK, POSITIVE_FEEDBACK  # noqa: F401
+from tidemark.operators.marts import POSITIVE_FEEDBACK
 from tidemark.operators.monitoring import union_all
 
 # Domains.
@@ -166,7 +166,7 @@ def feedback_by_model(
         .join(model, "completion_id").groupBy("model_id").agg(F.count(F.lit(1)).alias("successes")))
     given = feedback.join(model, "completion_id").groupBy("model_id").agg(
         F.count(F.lit(1)).alias("feedback_count"),
-        F.count_if(POSITIVE_FEEDBACK).alias("positive_count"))
+        F.count_if(F.expr(POSITIVE_FEEDBACK)).alias("positive_count"))
     return success.join(given, "model_id", "left").select(
         "model_id", "successes", F.coalesce("feedback_count", F.lit(0)).alias("feedback_count"),
         (F.coalesce(ratio(F.col("feedback_count"), F.col("successes")), F.lit(0.0)) * 100)

@@ -1,9 +1,9 @@
 """Lazy wiring of every layer from the given tables.
 
-Each name is a DataFrame built on first use. Staging stays a view; history, facts and
-marts are written once as parquet tables under the shared checkpoint folder, so that later
-layers start from files (true sizes, short plans, nothing recomputed when an executor is
-lost). Reference dimensions and the calendar are pinned after a check of their row count.
+Each name is a DataFrame built on first use. Staging, history, facts and marts are written
+once as parquet tables under the shared checkpoint folder, so that later layers start from
+files: true sizes, pruned columns, short plans, and nothing recomputed when an executor is
+lost. Reference dimensions and the calendar are pinned after a check of their row count.
 """
 
 from __future__ import annotations
@@ -153,47 +153,47 @@ class Lake:
     def stg_plans(self) -> DataFrame:
         return staging.stg_subscription_plans(self.bronze("subscription_plans"))
 
-    @cached_property
+    @stored
     def stg_users(self) -> DataFrame:
         return staging.stg_users(self.bronze("users"))
 
-    @cached_property
+    @stored
     def stg_user_updates(self) -> DataFrame:
         return staging.stg_user_updates(self.bronze("user_updates"))
 
-    @cached_property
+    @stored
     def stg_conversations(self) -> DataFrame:
         return staging.stg_conversations(self.bronze("conversations"))
 
-    @cached_property
+    @stored
     def stg_messages(self) -> DataFrame:
         return staging.stg_messages(self.bronze("messages"), self.stg_conversations)
 
-    @cached_property
+    @stored
     def stg_completions(self) -> DataFrame:
         return staging.stg_completions(self.bronze("completions"), self.stg_messages)
 
-    @cached_property
+    @stored
     def stg_inferences(self) -> DataFrame:
         return staging.stg_model_inferences(self.bronze("model_inferences"))
 
-    @cached_property
+    @stored
     def stg_feedback(self) -> DataFrame:
         return staging.stg_feedback(self.bronze("feedback"))
 
-    @cached_property
+    @stored
     def stg_errors(self) -> DataFrame:
         return staging.stg_errors(self.bronze("errors"))
 
-    @cached_property
+    @stored
     def stg_subscriptions(self) -> DataFrame:
         return staging.stg_subscriptions(self.bronze("subscriptions"))
 
-    @cached_property
+    @stored
     def stg_purchases(self) -> DataFrame:
         return staging.stg_purchases(self.bronze("purchases"))
 
-    @cached_property
+    @stored
     def stg_payments(self) -> DataFrame:
         return staging.stg_payments(self.bronze("payments"), self.stg_purchases)
 
@@ -255,55 +255,67 @@ class Lake:
 
     # facts ---------------------------------------------------------------------------
 
+    @cached_property
+    def disjoint_versions(self) -> bool:
+        """Whether no two versions of a user overlap; read once from the dimension."""
+        return facts.disjoint(self.dim_user, "user_id", hot_rows=self.hot_rows)
+
     @stored
     def fact_conversation(self) -> DataFrame:
         return facts.fact_conversation(
-            self.stg_conversations, self.dim_user, self.dim_date, self.hot_rows
+            self.stg_conversations, self.dim_user, self.dim_date, self.hot_rows,
+            self.disjoint_versions,
         )
 
     @stored
     def fact_message(self) -> DataFrame:
         return facts.fact_message(
-            self.stg_messages, self.dim_user, self.dim_device, self.dim_date, self.hot_rows
+            self.stg_messages, self.dim_user, self.dim_device, self.dim_date, self.hot_rows,
+            self.disjoint_versions,
         )
 
     @stored
     def fact_completion(self) -> DataFrame:
         return facts.fact_completion(
-            self.stg_completions, self.dim_user, self.dim_date, self.hot_rows
+            self.stg_completions, self.dim_user, self.dim_date, self.hot_rows,
+            self.disjoint_versions,
         )
 
     @stored
     def fact_inference(self) -> DataFrame:
         return facts.fact_model_inference(
-            self.stg_inferences, self.dim_user, self.dim_model, self.dim_date, self.hot_rows
+            self.stg_inferences, self.dim_user, self.dim_model, self.dim_date, self.hot_rows,
+            self.disjoint_versions,
         )
 
     @stored
     def fact_feedback(self) -> DataFrame:
-        return facts.fact_feedback(self.stg_feedback, self.dim_user, self.dim_date, self.hot_rows)
+        return facts.fact_feedback(self.stg_feedback, self.dim_user, self.dim_date, self.hot_rows, self.disjoint_versions)
 
     @stored
     def fact_error(self) -> DataFrame:
         return facts.fact_error(
-            self.stg_errors, self.dim_user, self.dim_model, self.dim_date, self.hot_rows
+            self.stg_errors, self.dim_user, self.dim_model, self.dim_date, self.hot_rows,
+            self.disjoint_versions,
         )
 
     @stored
     def fact_subscription(self) -> DataFrame:
         return facts.fact_subscription(
-            self.stg_subscriptions, self.dim_user, self.dim_plan, self.dim_date, self.hot_rows
+            self.stg_subscriptions, self.dim_user, self.dim_plan, self.dim_date, self.hot_rows,
+            self.disjoint_versions,
         )
 
     @stored
     def fact_purchase(self) -> DataFrame:
         return facts.fact_purchase(
-            self.stg_purchases, self.dim_user, self.dim_plan, self.dim_date, self.hot_rows
+            self.stg_purchases, self.dim_user, self.dim_plan, self.dim_date, self.hot_rows,
+            self.disjoint_versions,
         )
 
     @stored
     def fact_payment(self) -> DataFrame:
-        return facts.fact_payment(self.stg_payments, self.dim_user, self.dim_date, self.hot_rows)
+        return facts.fact_payment(self.stg_payments, self.dim_user, self.dim_date, self.hot_rows, self.disjoint_versions)
 
     # marts ---------------------------------------------------------------------------
 

@@ -119,6 +119,17 @@ ERROR_CODES = {
 }
 
 
+_TYPES = {
+    "string": T.StringType(),
+    "bigint": T.LongType(),
+    "int": T.IntegerType(),
+    "boolean": T.BooleanType(),
+    "date": T.DateType(),
+    "timestamp": T.TimestampType(),
+    MONEY: T.DecimalType(18, 2),
+}
+
+
 def entity_schema(entity: str, physical: bool = True) -> T.StructType:
     """Spark schema of an entity, with ``ingested_at`` and ``dt`` when physical."""
     ddl = ENTITY_DDL[entity]
@@ -126,7 +137,9 @@ def entity_schema(entity: str, physical: bool = True) -> T.StructType:
         if entity not in REFERENCE_ENTITIES:
             ddl += ", ingested_at timestamp"
         ddl += ", dt date"
-    return T.StructType.fromDDL(ddl)
+    return T.StructType([
+        T.StructField(name, _TYPES[kind]) for name, kind in (f.split() for f in ddl.split(", "))
+    ])
 
 
 def entity_columns(entity: str) -> list[str]:
