@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.catalog.registry import query
 from tidemark.operators import staging
 from tidemark.streaming import twins
-from tidemark.streaming.tables import newest_per_key, read_files
+from tidemark.streaming.tables import newest_per_key, read_batches, read_files
 
 _MIDDLE = "2024-01-16 00:00:00"
 
@@ -37,7 +37,7 @@ query("stream_dedup", "message_id conversation_id user_id device_id sequence_num
 def _daily(k):
     out = _two_arrivals(k, k.bronze("messages").select("message_id", "ingested_at"), "ingested_at",
                         lambda s, o, c: twins.daily_counts(s, o, c))
-    return newest_per_key(k.spark, out, ["activity_date"])
+    return newest_per_key(read_batches(k.spark, out), ["activity_date"])
 
 
 query("stream_daily_counts", "activity_date:t row_count:i", _daily,
@@ -47,7 +47,7 @@ query("stream_daily_counts", "activity_date:t row_count:i", _daily,
 def _late(k):
     out = _two_arrivals(k, k.bronze("messages").select("created_at", "ingested_at"), "ingested_at",
                         lambda s, o, c: twins.late_arrivals(s, "created_at", o, c))
-    return newest_per_key(k.spark, out, ["scope"])
+    return newest_per_key(read_batches(k.spark, out), ["scope"])
 
 
 query("stream_late_arrivals", "total:i same_minute:i same_day:i next_day:i over_one_day:i", _late, """
@@ -63,10 +63,9 @@ query("stream_late_arrivals", "total:i same_minute:i same_day:i next_day:i over_
 
 def _upsert(k):
     rows = k.bronze("subscriptions").drop("dt", "actual_monthly_price")
-    tables = []
-    _two_arrivals(k, rows, "ingested_at",
-                  lambda s, o, c: tables.append(twins.upsert(s, ["subscription_id"], o, c)))
-    return tables[-1].current()
+    out = _two_arrivals(k, rows, "ingested_at",
+                        lambda s, o, c: twins.upsert(s, "subscription_id", o, c))
+    return newest_per_key(read_batches(k.spark, out), ["subscription_id"], "updated_at")
 
 
 query("stream_upsert",

@@ -293,14 +293,13 @@ query("purchase_status_check", "purchase_id purchase_status implied_status unord
       from stg_purchases p full outer join a on a.purchase_id = p.purchase_id
       where p.purchase_status is distinct from coalesce(a.implied_status, 'NO_ATTEMPT')
          or coalesce(a.unordered, false)""")
-query("val_models", _VIOLATION, lambda k: V.catalogue_rules(k.model_catalogue),
-      labelled("""select *, max(release_date) over (partition by provider
-                      order by try_cast(split_part(model_version, '.', 1) as int) nulls first,
-                               try_cast(split_part(model_version, '.', 2) as int) nulls first,
-                               model_id
-                      rows between unbounded preceding and 1 preceding) as latest_before
+query("val_models", _VIOLATION, lambda k: V.catalogue_rules(k.model_catalogue, k.hot_rows),
+      labelled("""select *, lag(release_date) over (partition by provider
+                      order by coalesce(try_cast(split_part(model_version, '.', 1) as int), -1),
+                               coalesce(try_cast(split_part(model_version, '.', 2) as int), -1),
+                               model_id) as previous_release
                   from model_catalogue""", "model_id", {
-          "release_order": "release_date < latest_before",
+          "release_order": "release_date < previous_release",
           "version_not_numeric": "not regexp_matches(model_version, '^[0-9]+([.][0-9]+)*$')",
           "release_missing": "release_date is null", "flag_missing": "active_flag is null"},
           """select 'repeated_entry', model_id from model_catalogue

@@ -448,26 +448,23 @@ def purchase_status_gaps(
     )
 
 
-def catalogue_rules(models: DataFrame) -> DataFrame:
-    """Repeated catalogue entries and release dates that run against version order.
-
-    The window runs per catalogue name over the reference snapshot, one row per model.
-    """
-    version = F.transform(F.split("model_version", r"\."), lambda p: p.try_cast("int"))
-    ordered = models.withColumn("version", version).withColumn(
-        "latest_before",
-        F.max("release_date").over(
-            Window.partitionBy("provider").orderBy("version", "model_id")
-            .rowsBetween(Window.unboundedPreceding, -1)),
+def catalogue_rules(models: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Repeated catalogue entries and release dates that run against version order."""
+    parts = F.transform(F.split("model_version", r"\."), lambda p: p.try_cast("int"))
+    ordered = running(
+        models.withColumn("parts", parts).withColumn(
+            "version", F.transform("parts", lambda p: F.coalesce(p, F.lit(-1)))),
+        ["provider"], ["version", "model_id"], [lagged("previous_release", F.col("release_date"))],
+        hot_rows=hot_rows, segment_of=F.try_element_at("version", F.lit(1)),
     )
     rows = violations(ordered, "model_id", {
-        "release_order": "release_date < latest_before",
-        "version_not_numeric": F.exists("version", lambda v: v.isNull()),
+        "release_order": "release_date < previous_release",
+        "version_not_numeric": F.exists("parts", lambda v: v.isNull()),
         "release_missing": "release_date is null",
         "flag_missing": "active_flag is null",
     })
-    same = repeated(models, ["model_name", "model_version", "provider"]).drop("n_rows")
-    dup = models.join(same, ["model_name", "model_version", "provider"], "left_semi").select(
+    entry = ["model_name", "model_version", "provider"]
+    dup = models.join(repeated(models, entry).drop("n_rows"), entry, "left_semi").select(
         F.lit("repeated_entry").alias("violation"), F.col("model_id").alias("row_id"))
     return rows.unionByName(dup)
 

@@ -6,6 +6,7 @@ folder, so nothing is counted twice.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,37 +43,43 @@ def batch_writer(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def newest_per_key(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
-    """Current value of every key over the batch folders of an update-mode sink."""
-    return first_row(
-        spark.read.option("basePath", path).parquet(path), keys, [F.col("batch_id").desc()]
-    ).drop("batch_id")
+def cut_into(path: str, batch_id: int) -> Callable[[DataFrame], DataFrame]:
+    """Write intermediate tables of a batch and continue from their files."""
+    steps = itertools.count()
 
+    def cut(df: DataFrame) -> DataFrame:
+        folder = f"{path}/step{next(steps)}/batch_id={batch_id}"
+        df.write.mode("overwrite").parquet(folder)
+        return df.sparkSession.read.schema(df.schema).parquet(folder)
 
-class VersionedTable:
-    """Table kept as one folder per batch; the newest complete folder is the table."""
+    return cut
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
 
-    def _folder(self, batch_id: int) -> str:
-        return f"{self.path}/v{batch_id:012d}"
+def read_batches(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """Rows of the batch folders, of those before a batch if given, with ``batch_id``.
 
-    def _complete(self) -> list[int]:
-        """Batch ids with a success marker; one small file listing."""
-        jvm = self.spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{self.path}/v*/_SUCCESS"))
-        return sorted(int(s.getPath().getParent().getName()[1:]) for s in (found or []))
+    Batches run one after the other, so all folders below a running batch are complete,
+    and a repeated batch sees the same input again.
+    """
+    if before == 0:
+        return None
+    rows = spark.read.option("basePath", path).parquet(path)
+    return rows if before is None else rows.filter(F.col("batch_id") < before)
 
-    def before(self, batch_id: int) -> DataFrame | None:
-        """The table as it was before a batch; a repeated batch sees the same input."""
-        ids = [i for i in self._complete() if i < batch_id]
-        return self.spark.read.parquet(self._folder(ids[-1])) if ids else None
 
-    def write(self, df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(self._folder(batch_id))
+def newest_per_key(
+    rows: DataFrame, keys: Sequence[str], version: str | None = None
+) -> DataFrame:
+    """Current value per key over batch folders (merge on read).
 
-    def current(self) -> DataFrame:
-        return self.spark.read.parquet(self._folder(self._complete()[-1]))
+    Without ``version`` the newest batch wins; with it the highest version, and at equal
+    versions the earlier batch, as a merge that only accepts newer versions would keep.
+    """
+    order = [F.col("batch_id").desc()] if version is None else [
+        F.col(version).desc_nulls_last(), F.col("batch_id").asc()]
+    return first_row(rows, keys, order).drop("batch_id")
+
+
+def compact(rows: DataFrame, path: str) -> None:
+    """Write the current values as one folder, to be read in place of the batches so far."""
+    rows.write.mode("errorifexists").parquet(path)

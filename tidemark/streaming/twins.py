@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.ordered import HOT_ROWS
 from tidemark.operators import incidents, upserts
-from tidemark.streaming.tables import VersionedTable, batch_writer, drain
+from tidemark.streaming.tables import batch_writer, cut_into, drain, newest_per_key, read_batches
 
 
 def dedup(rows: DataFrame, key: str, path: str, checkpoint: str, delay: str = "14 days") -> None:
@@ -46,17 +44,17 @@ def late_arrivals(rows: DataFrame, event_at: str, path: str, checkpoint: str) ->
     drain(totals, checkpoint, "update", sink=batch_writer(path))
 
 
-def upsert(rows: DataFrame, keys: Sequence[str], path: str, checkpoint: str) -> VersionedTable:
-    """Keep the newest version per key of a change stream."""
-    table = VersionedTable(rows.sparkSession, path)
+def upsert(rows: DataFrame, key: str, path: str, checkpoint: str) -> None:
+    """Keep the newest version per key of a change stream.
+
+    Each batch writes its own newest rows only, so a batch costs what it brings and not
+    the size of the table; ``newest_per_key`` merges on read.
+    """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        newest = upserts.latest_per_key(batch, keys[0])
-        before = table.before(batch_id)
-        table.write(newest if before is None else upserts.merge_newer(before, newest, keys), batch_id)
+        batch_writer(path)(upserts.latest_per_key(batch, key), batch_id)
 
     drain(rows, checkpoint, "append", sink=apply)
-    return table
 
 
 # Shortest observation sequence that leads to each lifecycle state.
@@ -103,23 +101,21 @@ def incident_decisions(
     arrive in time order per fingerprint.
     """
     spark = observations.sparkSession
-    state = VersionedTable(spark, f"{path}/state")
-    done = VersionedTable(spark, f"{path}/work")
-    write = batch_writer(f"{path}/decisions")
+    work, states = f"{path}/work", f"{path}/state"
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         columns = ["fingerprint", "observed_at", "observation_id", "status", "reset"]
         rows = batch.select(*columns, F.lit(False).alias("from_state"))
-        before = state.before(batch_id)
-        if before is not None:
+        known = read_batches(spark, states, before=batch_id)
+        if known is not None:
             touched = rows.select("fingerprint").distinct()
-            rows = rows.unionByName(state_rows(before.join(touched, "fingerprint", "left_semi")))
-        done.write(incidents.decide(rows, hot_rows), batch_id)
-        decided = spark.read.parquet(done._folder(batch_id))
-        after = next_state(decided)
-        if before is not None:
-            after = upserts.merge_upsert(before, after, ["fingerprint"])
-        state.write(after, batch_id)
-        write(decided.filter(~F.col("from_state")).drop("from_state"), batch_id)
+            current = newest_per_key(known, ["fingerprint"])
+            rows = rows.unionByName(state_rows(current.join(touched, "fingerprint", "left_semi")))
+        cut = cut_into(work, batch_id)
+        decided = cut(incidents.decide(rows, hot_rows, cut))
+        # The state goes last: it marks the batch as done for the next one.
+        batch_writer(f"{path}/decisions")(
+            decided.filter(~F.col("from_state")).drop("from_state"), batch_id)
+        batch_writer(states)(next_state(decided), batch_id)
 
     drain(observations, checkpoint, "append", sink=apply)
