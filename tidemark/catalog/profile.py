@@ -267,7 +267,7 @@ def _same(*skip: str) -> str:
 
 
 query("manifest_reconcile", "record_id issue_type copies:i failure",
-      lambda k: D.reconcile(k.clean("payments"), k.damaged_dirty, k.log("payments"), "payments"), f"""
+      lambda k: D.reconcile(k.before_defects("payments"), k.damaged_dirty, k.log("payments"), "payments"), f"""
       with j as (
           select coalesce(c.payment_id, g.source_record_id, d.payment_id) as id, g.issue_type,
                  c.payment_id is not null as in_clean, g.source_record_id is not null as in_log,

@@ -55,6 +55,15 @@ def first_row(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Da
     return ranked.filter(F.col("__rank") == 1).drop("__rank")
 
 
+def spread(df: DataFrame, at_most: int = 32) -> DataFrame:
+    """Use the available cores on an input of only a few file splits.
+
+    Large inputs have more splits than cores and pass through without a shuffle.
+    """
+    wanted = min(at_most, df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+
+
 def pin_small(df: DataFrame, max_rows: int = 20_000) -> DataFrame:
     """Copy a table of at most ``max_rows`` rows into the plan, else return it unchanged.
 

@@ -4,7 +4,9 @@ A plain ``Window.partitionBy(key).orderBy(t)`` sorts the whole key in one task.
 Here keys above ``hot_rows`` rows are cut into time segments; each segment is
 scanned by its own task and receives a carry, the combined value of the segments
 before it. Other keys keep the ordinary single window. The list of hot keys has
-at most ``rows / hot_rows`` entries, which is the bound for broadcasting it.
+at most ``rows / hot_rows`` entries, which is the bound for broadcasting it. An input of
+at most ``hot_rows`` rows cannot hold a hot key, so after a row count (file footers, for
+a stored table) it takes the plain window.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 HOT_ROWS = 5_000_000
@@ -83,13 +85,21 @@ def running(
     key of their own. Segments are the first order column truncated to ``segment``, or
     ``segment_of``, any expression that never decreases along the order.
     """
+    values = {o.name: f"__in_{o.name}" for o in outputs}
+    shaped = df.withColumns({values[o.name]: _shape(o) for o in outputs})
+    if df.count() <= hot_rows:
+        w = Window.partitionBy(*keys).orderBy(*[F.col(c).asc() for c in order])
+        plain = {o.name: _local(o, F.col(values[o.name]), w) for o in outputs}
+        return shaped.withColumns(
+            {n: c.getField("v") if k in ("lag", "lead") else c
+             for (n, c), k in zip(plain.items(), [o.kind for o in outputs])}
+        ).select(*[c for c in df.columns if c not in plain], *plain)
+
     # Plain equality on non-null text keys keeps one hash partitioning for the hot-key
     # lookup, the window and the carry join.
     texts = [f"__key{i}" for i, _ in enumerate(keys)]
-    values = {o.name: f"__in_{o.name}" for o in outputs}
-    keyed = df.withColumns(
-        {t: F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for t, k in zip(texts, keys)}
-    ).withColumns({values[o.name]: _shape(o) for o in outputs})
+    keyed = shaped.withColumns(
+        {t: F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for t, k in zip(texts, keys)})
     hot = hot_keys(keyed, texts, hot_rows).withColumn("__hot", F.lit(True))
     keyed = keyed.join(F.broadcast(hot), on=texts, how="left").withColumn(
         _SEG,
@@ -100,7 +110,6 @@ def running(
     )
 
     within = Window.partitionBy(*texts, _SEG).orderBy(*[F.col(c).asc() for c in order])
-    upto = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     across = Window.partitionBy(*texts).orderBy(_SEG)
     before = across.rowsBetween(Window.unboundedPreceding, -1)
     after = across.rowsBetween(1, Window.unboundedFollowing)
@@ -109,21 +118,17 @@ def running(
     local, summary, carry = {}, [], {}
     for o in outputs:
         v, whole = F.col(values[o.name]), f"__sum_{o.name}"
+        local[o.name] = _local(o, v, within)
         if o.kind == "sum":
-            local[o.name] = F.sum(v).over(upto)
             summary.append(F.sum(v).alias(whole))
             carry[o.name] = F.sum(whole).over(before)
         elif o.kind in ("last", "last_before"):
-            frame = upto if o.kind == "last" else within.rowsBetween(Window.unboundedPreceding, -1)
-            local[o.name] = F.last(v, ignorenulls=True).over(frame)
             summary.append(F.max_by(v, F.when(v.isNotNull(), rank)).alias(whole))
             carry[o.name] = F.last(whole, ignorenulls=True).over(before)
         elif o.kind == "lag":
-            local[o.name] = F.lag(v).over(within)
             summary.append(F.max_by(v, rank).alias(whole))
             carry[o.name] = F.last(whole).over(before)
         else:
-            local[o.name] = F.lead(v).over(within)
             summary.append(F.min_by(v, rank).alias(whole))
             carry[o.name] = F.first(whole).over(after)
 
@@ -151,6 +156,17 @@ def _shape(o: Running) -> Column:
     raise ValueError(f"unknown running kind {o.kind}")
 
 
+def _local(o: Running, value: Column, window: WindowSpec) -> Column:
+    """Value inside one window partition."""
+    if o.kind == "lag":
+        return F.lag(value).over(window)
+    if o.kind == "lead":
+        return F.lead(value).over(window)
+    last = -1 if o.kind == "last_before" else Window.currentRow
+    frame = window.rowsBetween(Window.unboundedPreceding, last)
+    return F.sum(value).over(frame) if o.kind == "sum" else F.last(value, ignorenulls=True).over(frame)
+
+
 def _combine(o: Running) -> Column:
     here, carried = F.col(f"__loc_{o.name}"), F.col(f"__car_{o.name}")
     if o.kind == "sum":

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import schemas
-from tidemark.functions.columns import pin_small
+from tidemark.functions.columns import pin_small, spread
 from tidemark.functions.ordered import HOT_ROWS, lagged, position, running
 from tidemark.operators import defects, dimensions, facts, history, incidents, marts, monitoring, staging
 from tidemark.session import checkpoint_dir
@@ -94,6 +94,8 @@ class Lake:
                 changes, ["user_id", "field_name"], ["ts", "event_id"],
                 [lagged("prior_value", F.col("new_value"))], self.hot_rows,
             )
+        if name in ("lineitem", "orders"):
+            return self._once(f"spread.{name}", lambda: spread(self.table(name)))
         return self.table(name)
 
     def _feed(self, entity: str) -> DataFrame:
@@ -439,10 +441,15 @@ class Lake:
             elif entity == "payments":
                 rows = defects.with_parent_time(
                     rows, self.clean("purchases"), "purchase_id", "purchase_created_at")
-            return defects.label(rows, entity, SEED, DEFECT_HORIZON)
+            return self.store(
+                f"labelled_{entity}", defects.label(rows, entity, SEED, DEFECT_HORIZON))
 
         return self._once(f"labelled.{entity}", build)
 
+    def before_defects(self, entity: str) -> DataFrame:
+        """Clean rows as they stand in the labelled table."""
+        return self.labelled(entity).select(*schemas.entity_columns(entity), "ingested_at")
+
     def dirty(self, entity: str) -> DataFrame:
         return defects.dirty_rows(self.labelled(entity), entity)
 
