@@ -89,8 +89,8 @@ def evidence_association(runs: DataFrame, snapshots: DataFrame) -> DataFrame:
 def mark_duplicates(observations: DataFrame) -> DataFrame:
     """First sighting of each observation id against its repeats.
 
-    Only ids seen more than once are ranked, and the first sighting is found by an
-    aggregate, so a heavily repeated id is never sorted in one task.
+    The first sighting is found by an aggregate with map-side combine, so a heavily
+    repeated id is never sorted in one task.
     """
     first = observations.groupBy("observation_id").agg(
         F.min(F.struct("observed_at", "arrival")).alias("first"))

@@ -14,6 +14,9 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Streaming state lives on disk, so it may outgrow executor memory.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
@@ -37,7 +40,8 @@ def build(master: str | None = None, app_name: str = "tidemark", **conf: str) ->
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for cut lineage: the cluster's own setting, else a local fallback."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
+        "spark.checkpoint.dir")
     if configured:
         return configured
     if not spark.sparkContext.master.startswith("local"):
