@@ -9,8 +9,10 @@ lost. Reference dimensions and the calendar are pinned after a check of their ro
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
-from functools import cached_property, wraps
+from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
+from functools import cached_property
+from threading import RLock
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +36,8 @@ from tidemark.sources.damage import (
 from tidemark.sources.feed import CHANGES, FEEDS
 from tidemark.sources.tables import TABLE_DDL, read_table
 
+#: Tables built at the same time where they do not depend on each other.
+PARALLEL_TABLES = 4
 #: Seed and horizon of the defect drill.
 SEED, DEFECT_HORIZON = 42, "2024-02-01 00:00:00"
 #: Times of the two snapshot runs.
@@ -44,14 +48,26 @@ def at(text: str) -> Column:
     return F.lit(text).cast("timestamp")
 
 
-def stored(build: Callable[[Lake], DataFrame]) -> cached_property:
-    """Property whose DataFrame is written as a table on first use and read back."""
+class once:
+    """Property computed on first use, also when several threads ask for it."""
+
+    def __init__(self, build: Callable[[Lake], object]):
+        self.build, self.name = build, build.__name__
 
-    @wraps(build)
-    def write(self: Lake) -> DataFrame:
-        return self.store(build.__name__, build(self))
+    def __get__(self, lake: Lake | None, owner: type):
+        if lake is None:
+            return self
+        return lake._once(f"once.{self.name}", lambda: self.make(lake))
 
-    return cached_property(write)
+    def make(self, lake: Lake) -> object:
+        return self.build(lake)
+
+
+class stored(once):
+    """Property whose DataFrame is written as a table on first use and read back."""
+
+    def make(self, lake: Lake) -> DataFrame:
+        return lake.store(self.name, self.build(lake))
 
 
 class Lake:
@@ -62,8 +78,9 @@ class Lake:
         self.sf_dir = sf_dir
         self.hot_rows = hot_rows
         self._memo: dict[str, DataFrame] = {}
+        self._locks: dict[str, RLock] = {}
 
-    @cached_property
+    @once
     def root(self) -> str:
         return f"{checkpoint_dir(self.spark)}/tidemark-{uuid.uuid4().hex}"
 
@@ -76,10 +93,18 @@ class Lake:
     def table(self, name: str) -> DataFrame:
         return self._once(f"table.{name}", lambda: read_table(self.spark, self.sf_dir, name))
 
-    def _once(self, name: str, build) -> DataFrame:
-        if name not in self._memo:
-            self._memo[name] = build()
-        return self._memo[name]
+    def _once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        # Tables form a tree of dependencies, so waiting for one another cannot deadlock.
+        with self._locks.setdefault(name, RLock()):
+            if name not in self._memo:
+                self._memo[name] = build()
+            return self._memo[name]
+
+    def together(self, names: Mapping[str, str]) -> dict[str, DataFrame]:
+        """Several independent tables, their jobs submitted at the same time."""
+        with ThreadPoolExecutor(PARALLEL_TABLES) as pool:
+            built = pool.map(lambda attribute: getattr(self, attribute), names.values())
+            return dict(zip(names, built))
 
     def _source(self, name: str) -> DataFrame:
         if name == "numbered":
@@ -234,7 +259,7 @@ class Lake:
 
     # dimensions ----------------------------------------------------------------------
 
-    @cached_property
+    @once
     def dim_date(self) -> DataFrame:
         return pin_small(
             dimensions.dim_date(
@@ -243,25 +268,33 @@ class Lake:
             max_rows=40_000,
         )
 
-    @cached_property
+    @once
     def dim_device(self) -> DataFrame:
         return pin_small(dimensions.dim_device(self.stg_devices))
 
-    @cached_property
+    @once
     def dim_model(self) -> DataFrame:
         return pin_small(dimensions.dim_model(self.stg_models))
 
-    @cached_property
+    @once
     def dim_plan(self) -> DataFrame:
         return pin_small(dimensions.dim_subscription_plan(self.stg_plans))
 
     # facts ---------------------------------------------------------------------------
 
-    @cached_property
+    @once
     def disjoint_versions(self) -> bool:
         """Whether no two versions of a user overlap; read once from the dimension."""
         return facts.disjoint(self.dim_user, "user_id", hot_rows=self.hot_rows)
 
+    def lookups(self) -> None:
+        """Build what every fact looks up, before facts are built together."""
+        self.together({n: n for n in ("stg_users", "stg_user_updates", "stg_subscriptions")})
+        self.together({n: n for n in ("current_user_state", "user_state_history", "user_snapshot")})
+        self.dim_user
+        self.together({n: n for n in ("dim_date", "disjoint_versions", "dim_device", "dim_model",
+                                      "dim_plan")})
+
     @stored
     def fact_conversation(self) -> DataFrame:
         return facts.fact_conversation(
@@ -323,6 +356,9 @@ class Lake:
 
     @stored
     def gold_product(self) -> DataFrame:
+        self.lookups()
+        self.together({n: n for n in (
+            "fact_message", "fact_conversation", "fact_completion", "fact_feedback")})
         return marts.product_daily(
             self.fact_message, self.fact_conversation, self.fact_completion, self.fact_feedback,
             self.dim_date,
@@ -330,6 +366,10 @@ class Lake:
 
     @stored
     def gold_user_activity(self) -> DataFrame:
+        self.lookups()
+        self.together({n: n for n in (
+            "fact_message", "fact_conversation", "fact_completion", "fact_feedback",
+            "fact_inference")})
         return marts.user_activity_daily(
             self.fact_message, self.fact_conversation, self.fact_completion, self.fact_feedback,
             self.fact_inference, self.dim_date,
@@ -341,6 +381,8 @@ class Lake:
 
     @stored
     def gold_finance(self) -> DataFrame:
+        self.lookups()
+        self.together({n: n for n in ("fact_payment", "fact_purchase", "fact_subscription")})
         return marts.finance_daily(
             self.fact_subscription, self.fact_purchase, self.fact_payment, self.dim_date
         )
@@ -350,41 +392,43 @@ class Lake:
     @cached_property
     def facts(self) -> dict[str, DataFrame]:
         """The nine facts by entity name."""
-        return {
-            "messages": self.fact_message,
-            "conversations": self.fact_conversation,
-            "completions": self.fact_completion,
-            "model_inferences": self.fact_inference,
-            "feedback": self.fact_feedback,
-            "errors": self.fact_error,
-            "subscriptions": self.fact_subscription,
-            "purchases": self.fact_purchase,
-            "payments": self.fact_payment,
-        }
+        self.lookups()
+        return self.together({
+            "payments": "fact_payment",
+            "purchases": "fact_purchase",
+            "messages": "fact_message",
+            "completions": "fact_completion",
+            "model_inferences": "fact_inference",
+            "conversations": "fact_conversation",
+            "feedback": "fact_feedback",
+            "errors": "fact_error",
+            "subscriptions": "fact_subscription",
+        })
 
     @cached_property
     def stagings(self) -> dict[str, DataFrame]:
-        """The staging view behind each fact."""
-        return {
-            "messages": self.stg_messages,
-            "conversations": self.stg_conversations,
-            "completions": self.stg_completions,
-            "model_inferences": self.stg_inferences,
-            "feedback": self.stg_feedback,
-            "errors": self.stg_errors,
-            "subscriptions": self.stg_subscriptions,
-            "purchases": self.stg_purchases,
-            "payments": self.stg_payments,
-        }
+        """The staging table behind each fact."""
+        return self.together({
+            "payments": "stg_payments",
+            "purchases": "stg_purchases",
+            "messages": "stg_messages",
+            "completions": "stg_completions",
+            "model_inferences": "stg_inferences",
+            "conversations": "stg_conversations",
+            "feedback": "stg_feedback",
+            "errors": "stg_errors",
+            "subscriptions": "stg_subscriptions",
+        })
 
     @cached_property
     def golds(self) -> dict[str, DataFrame]:
-        return {
-            "product": self.gold_product,
-            "user_activity": self.gold_user_activity,
-            "ml": self.gold_ml,
-            "finance": self.gold_finance,
-        }
+        self.facts
+        return self.together({
+            "product": "gold_product",
+            "user_activity": "gold_user_activity",
+            "ml": "gold_ml",
+            "finance": "gold_finance",
+        })
 
     @stored
     def dq_freshness(self) -> DataFrame:
@@ -404,8 +448,10 @@ class Lake:
 
     @cached_property
     def checks(self) -> DataFrame:
+        self.golds
+        t = self.together({n: n for n in ("dq_freshness", "dq_volume", "dq_quality", "dq_reconciliation")})
         return monitoring.check_rows(
-            self.dq_freshness, self.dq_volume, self.dq_quality, self.dq_reconciliation
+            t["dq_freshness"], t["dq_volume"], t["dq_quality"], t["dq_reconciliation"]
         )
 
     def damaged(self, name: str) -> DataFrame:
