@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm.common import ship
 from tidemark.llm.token_counts import op5_token_counts
 from tidemark.llm.token_output import op10_token_output
+from tidemark.llm.url_filter import ORACLE as URL_FILTER_SQL
+from tidemark.llm.url_filter import op3_url_reputation
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -23,8 +25,10 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: _shipped(q) for q in (
-        op5_token_counts, op10_token_output,
+        op3_url_reputation, op5_token_counts, op10_token_output,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_url_reputation": URL_FILTER_SQL,
+}
