@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.common import ship
+from tidemark.llm.mixing import ORACLE as MIXING_SQL
+from tidemark.llm.mixing import op4_mix_schedule
 from tidemark.llm.token_counts import op5_token_counts
 from tidemark.llm.token_output import op10_token_output
 from tidemark.llm.url_filter import ORACLE as URL_FILTER_SQL
@@ -25,10 +27,11 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: _shipped(q) for q in (
-        op3_url_reputation, op5_token_counts, op10_token_output,
+        op3_url_reputation, op4_mix_schedule, op5_token_counts, op10_token_output,
     )
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_mix_schedule": MIXING_SQL,
     "op3_url_reputation": URL_FILTER_SQL,
 }
