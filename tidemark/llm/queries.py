@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.class_lm import op1_class_lm
 from tidemark.llm.common import ship
 from tidemark.llm.mixing import ORACLE as MIXING_SQL
 from tidemark.llm.mixing import op4_mix_schedule
@@ -27,7 +28,7 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: _shipped(q) for q in (
-        op3_url_reputation, op4_mix_schedule, op5_token_counts, op10_token_output,
+        op1_class_lm, op3_url_reputation, op4_mix_schedule, op5_token_counts, op10_token_output,
     )
 }
 
