@@ -27,7 +27,7 @@ RUN = 4_000
 class PieceEncoder:
     """Encodes texts; ``memo`` bounds the number of pieces kept."""
 
-    def __init__(self, path: str, memo: int = 500_000):
+    def __init__(self, path: str, memo: int = 1_200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 

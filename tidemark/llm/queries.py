@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm.class_lm import op1_class_lm
 from tidemark.llm.common import ship
 from tidemark.llm.decontamination import op2_decontamination
+from tidemark.llm.embedding_join import op9_embedding_pigeonhole
 from tidemark.llm.language_id import op7_language_id
 from tidemark.llm.mixing import ORACLE as MIXING_SQL
 from tidemark.llm.mixing import op4_mix_schedule
@@ -31,7 +32,8 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: _shipped(q) for q in (
-        op1_class_lm, op2_decontamination, op3_url_reputation, op4_mix_schedule, op5_token_counts, op7_language_id, op8_ngram_jaccard, op10_token_output,
+        op1_class_lm, op2_decontamination, op3_url_reputation, op4_mix_schedule, op5_token_counts, op7_language_id, op8_ngram_jaccard, op9_embedding_pigeonhole,
+        op10_token_output,
     )
 }
 

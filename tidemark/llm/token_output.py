@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from tidemark.llm import rangecoder
-from tidemark.llm.common import by_bytes, scratch, table, texts_of
+from tidemark.llm.common import by_bytes, scratch, stored, table, texts_of
 from tidemark.llm.pieces import encoder
 
 BLOCK_SCHEMA = (
@@ -153,7 +153,8 @@ def token_digest(blocks: DataFrame) -> DataFrame:
     starts = blocks.select(
         "file_no", "block_no", F.coalesce(F.sum("n_ids").over(in_file), F.lit(0)).alias("block_start"),
     ).join(files, "file_no").selectExpr("file_no", "block_no", "file_start + block_start as base")
-    parts = blocks.mapInArrow(digest, PART_SCHEMA).join(starts, ["file_no", "block_no"]).withColumn(
+    # Stored, as it is read twice and decoding is the dear part.
+    parts = stored(blocks.mapInArrow(digest, PART_SCHEMA), "parts").join(starts, ["file_no", "block_no"]).withColumn(
         "start", F.expr("base + in_block - offset"))
     whole = parts.filter("size = total").select("doc_id", "start", F.col("total").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
     # Parts of one document: as many as its ids fill blocks.
