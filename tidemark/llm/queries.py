@@ -17,6 +17,7 @@ from tidemark.llm.mixing import op4_mix_schedule
 from tidemark.llm.ngram_join import op8_ngram_jaccard
 from tidemark.llm.token_counts import op5_token_counts
 from tidemark.llm.token_output import op10_token_output
+from tidemark.llm.toxicity import op6_toxicity_chain
 from tidemark.llm.url_filter import ORACLE as URL_FILTER_SQL
 from tidemark.llm.url_filter import op3_url_reputation
 
@@ -32,7 +33,7 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: _shipped(q) for q in (
-        op1_class_lm, op2_decontamination, op3_url_reputation, op4_mix_schedule, op5_token_counts, op7_language_id, op8_ngram_jaccard, op9_embedding_pigeonhole,
+        op1_class_lm, op2_decontamination, op3_url_reputation, op4_mix_schedule, op5_token_counts, op6_toxicity_chain, op7_language_id, op8_ngram_jaccard, op9_embedding_pigeonhole,
         op10_token_output,
     )
 }
