@@ -107,13 +107,14 @@ def train(
     lanes, by AdaGrad on the log-likelihood with forward-backward expectations."""
     weights, moves = np.zeros((1 << BITS, n_labels)), np.zeros((n_labels, n_labels))
     sum_w, sum_m = np.full_like(weights, 1e-2), np.full_like(moves, 1e-2)
+    lane = max(1, min(lane, len(words)))
     vocabulary = {w: i for i, w in enumerate(dict.fromkeys(words))}
     lists = [np.array(features(w), np.int64) for w in vocabulary]
     index = np.array([vocabulary[w] for w in words], np.int64)
     n = len(words) // lane * lane
     rows = np.arange(n).reshape(-1, lane)
     rng = np.random.default_rng(seed)
-    for _ in range(epochs):
+    for _ in range(epochs if n else 0):
         for batch in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // lanes)):
             at = rows[batch].ravel()
             found = [lists[i] for i in index[at].tolist()]
