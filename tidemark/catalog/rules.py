@@ -256,7 +256,7 @@ query("chk_hist_intervals",
       lambda k: _history_intervals(k), """
       select user_id, version_sequence, effective_start_at, effective_end_at, is_current from (
           select *, lag(effective_end_at) over (partition by user_id
-                        order by effective_start_at, version_sequence) as prev,
+                        order by version_sequence, effective_start_at nulls first) as prev,
                  count(*) over (partition by user_id, version_sequence) as n
           from damaged_history) h
       where n <> 1 or effective_start_at is null or (is_current and effective_end_at is not null)
@@ -268,7 +268,8 @@ def _history_intervals(k):
     out = ["user_id", "version_sequence", "effective_start_at", "effective_end_at", "is_current"]
     rows = k.damaged("damaged_history")
     bad = A.bad_intervals(rows, "user_id", "effective_start_at", "effective_end_at",
-                          "version_sequence", out, current="is_current", hot_rows=k.hot_rows)
+                          "version_sequence", out, current="is_current", order="version_sequence",
+                          hot_rows=k.hot_rows)
     repeated = A.not_unique(rows, ["user_id", "version_sequence"]).drop("n_rows")
     copies = rows.join(repeated, ["user_id", "version_sequence"]).select(*out)
     return bad.unionByName(copies).distinct()

@@ -63,6 +63,14 @@ query("merge_newer", _SUB, lambda k: U.merge_newer(*_subs(k), ["subscription_id"
       where s.subscription_id is null or not coalesce(s.updated_at > t.updated_at, false)
       union all select s.* from subs_source s left join subs_target t using (subscription_id)
       where t.subscription_id is null or s.updated_at > t.updated_at""")
+query("registry_upsert", _SUB,
+      lambda k: U.merge_newer(*_subs(k), ["subscription_id"], or_equal=True), """
+      select s.* from subs_source s
+      where not exists (select 1 from subs_target t where t.subscription_id = s.subscription_id
+                        and (t.updated_at > s.updated_at or t.updated_at is null or s.updated_at is null))
+      union all select t.* from subs_target t
+      where not exists (select 1 from subs_source s where t.subscription_id = s.subscription_id
+                        and s.updated_at >= t.updated_at)""")
 query("retention_trim", "message_id ingested_at:t dt:t",
       lambda k: U.retention_trim(k.bronze("messages"), F.col("dt"), day("2024-02-10")),
       "select message_id, ingested_at, dt from b_messages where dt >= date '2024-02-10' - 29")
@@ -70,7 +78,8 @@ query("latest_per_key", _SUB,
       lambda k: U.latest_per_key(k.bronze("subscriptions"), "subscription_id"),
       f"select * from {_one('true')} z")
 
-_COUNTED = ("conversations", "messages", "completions", "model_inferences", "feedback", "errors")
+# The entities whose daily counts are kept as state.
+_COUNTED = ("user_updates", "conversations", "messages", "errors")
 _STREAMS = {"landed": "select '{e}' as entity, max(dt) as latest from b_{e}",
             "aligned": "select '{e}' as entity, max(dt) as latest from b_{e} where dt <= date '" + RUN + "'"}
 

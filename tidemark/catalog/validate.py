@@ -294,7 +294,7 @@ query("purchase_status_check", "purchase_id purchase_status implied_status unord
       where p.purchase_status is distinct from coalesce(a.implied_status, 'NO_ATTEMPT')
          or coalesce(a.unordered, false)""")
 query("val_models", _VIOLATION, lambda k: V.catalogue_rules(k.model_catalogue, k.hot_rows),
-      labelled("""select *, lag(release_date) over (partition by provider
+      labelled("""select *, lag(release_date) over (partition by model_name, provider
                       order by coalesce(try_cast(split_part(model_version, '.', 1) as int), -1),
                                coalesce(try_cast(split_part(model_version, '.', 2) as int), -1),
                                model_id) as previous_release
@@ -305,7 +305,9 @@ query("val_models", _VIOLATION, lambda k: V.catalogue_rules(k.model_catalogue, k
           """select 'repeated_entry', model_id from model_catalogue
              where (model_name, model_version, provider) in
                    (select (model_name, model_version, provider) from model_catalogue
-                    group by model_name, model_version, provider having count(*) > 1)"""))
+                    group by model_name, model_version, provider having count(*) > 1)
+             union all select 'repeated_id', model_id from model_catalogue
+             group by model_id having count(*) > 1"""))
 query("model_adoption",
       "newest_model recent_total:i recent_active:i early_total:i early_newest:i latest_total:i"
       " latest_newest:i active_dominate:b adoption_grows:b",

@@ -1,12 +1,12 @@
 """Running values per key that survive a key holding a large share of all rows.
 
-A plain ``Window.partitionBy(key).orderBy(t)`` sorts the whole key in one task.
-Here keys above ``hot_rows`` rows are cut into time segments; each segment is
-scanned by its own task and receives a carry, the combined value of the segments
-before it. Other keys keep the ordinary single window. The list of hot keys has
-at most ``rows / hot_rows`` entries, which is the bound for broadcasting it. An input of
-at most ``hot_rows`` rows cannot hold a hot key, so after a row count (file footers, for
-a stored table) it takes the plain window.
+A plain ``Window.partitionBy(key).orderBy(t)`` sorts the whole key in one task. Here keys with
+more than ``hot_rows`` rows are cut into segments of about equal shares of their rows, by
+quantiles of the first order column; each segment is scanned by its own task and receives a
+carry, the combined value of the segments before it. There is one plan for inputs of every
+size: without hot keys the parts that serve them are empty, and adaptive execution drops them.
+A key also counts as hot only if it has more than one in ``MOST_HOT`` of all rows, so there
+are at most that many hot keys, which is the bound for broadcasting them and their quantiles.
 """
 
 from __future__ import annotations
@@ -16,9 +16,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 HOT_ROWS = 5_000_000
-SEGMENT = "hour"
+MOST_HOT = 20_000
+#: Segments of a hot key.
+SEGMENTS = 200
 _SEG = "__segment"
 
 
@@ -62,52 +65,62 @@ def position(name: str = "position") -> Running:
 
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame:
     """Keys with more than ``hot_rows`` rows; counts are combined map-side."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    total = counts.agg(F.sum("__n").alias("__all"))
     return (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .filter(F.col("__n") > hot_rows)
-        .drop("__n")
+        counts.filter(F.col("__n") > hot_rows)
+        .crossJoin(F.broadcast(total))
+        .filter(F.col("__n") > F.col("__all") / MOST_HOT)
+        .drop("__n", "__all")
     )
 
 
+def _number(df: DataFrame, c: Column) -> Column:
+    """A column as a double that never decreases along its ascending order."""
+    kind = df.select(c).schema[0].dataType
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(c.cast("timestamp")).cast("double")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(c).cast("double")
+    if isinstance(kind, T.NumericType):
+        return c.cast("double")
+    raise ValueError(f"segment_of is needed to cut keys ordered by {kind.simpleString()}")
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
     outputs: Sequence[Running],
     hot_rows: int = HOT_ROWS,
-    segment: str = SEGMENT,
     segment_of: Column | None = None,
 ) -> DataFrame:
-    """Add running outputs per key in ascending ``order``.
+    """Add running outputs per key in ascending ``order``, nulls first.
 
-    Order columns must not be null and must be total within a key. Null keys form a
-    key of their own. Segments are the first order column truncated to ``segment``, or
-    ``segment_of``, any expression that never decreases along the order.
+    The order must be total within a key. Null keys form a key of their own. Segments follow
+    the first order column, a number, date or time, or ``segment_of``, any numeric expression
+    that never decreases along the order; rows that are equal or null there stay together.
     """
     values = {o.name: f"__in_{o.name}" for o in outputs}
-    shaped = df.withColumns({values[o.name]: _shape(o) for o in outputs})
-    if df.count() <= hot_rows:
-        w = Window.partitionBy(*keys).orderBy(*[F.col(c).asc() for c in order])
-        plain = {o.name: _local(o, F.col(values[o.name]), w) for o in outputs}
-        return shaped.withColumns(
-            {n: c.getField("v") if k in ("lag", "lead") else c
-             for (n, c), k in zip(plain.items(), [o.kind for o in outputs])}
-        ).select(*[c for c in df.columns if c not in plain], *plain)
-
+    along = _number(df, F.col(order[0]) if segment_of is None else segment_of)
     # Plain equality on non-null text keys keeps one hash partitioning for the hot-key
     # lookup, the window and the carry join.
     texts = [f"__key{i}" for i, _ in enumerate(keys)]
-    keyed = shaped.withColumns(
-        {t: F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for t, k in zip(texts, keys)})
-    hot = hot_keys(keyed, texts, hot_rows).withColumn("__hot", F.lit(True))
-    keyed = keyed.join(F.broadcast(hot), on=texts, how="left").withColumn(
-        _SEG,
-        F.when(
-            F.col("__hot"),
-            F.date_trunc(segment, F.col(order[0])) if segment_of is None else segment_of,
-        ),
+    keyed = df.withColumns({
+        **{values[o.name]: _shape(o) for o in outputs}, "__along": along,
+        **{t: F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for t, k in zip(texts, keys)},
+    })
+    shares = F.array(*[F.lit(i / SEGMENTS) for i in range(1, SEGMENTS)])
+    hot = (
+        keyed.select(*texts, "__along")
+        .join(F.broadcast(hot_keys(keyed, texts, hot_rows)), on=texts)
+        .groupBy(*texts)
+        .agg(F.percentile_approx("__along", shares, F.lit(2_000)).alias("__bounds"))
+        .withColumn("__bounds", F.coalesce("__bounds", F.array().cast("array<double>")))
     )
+    before_it = F.size(F.filter("__bounds", lambda b: b < F.col("__along")))
+    keyed = keyed.join(F.broadcast(hot), on=texts, how="left").withColumn(
+        _SEG, F.when(F.col("__bounds").isNotNull(), F.when(F.col("__along").isNull(), 0).otherwise(before_it)))
 
     within = Window.partitionBy(*texts, _SEG).orderBy(*[F.col(c).asc() for c in order])
     across = Window.partitionBy(*texts).orderBy(_SEG)

@@ -102,13 +102,17 @@ def bad_intervals(
     rows: DataFrame, key: str, start: str, end: str, tie: str, out: Sequence[str],
     current: str | None = None, order: str | None = None, hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Empty, inverted or overlapping intervals per key, and wrong current flags."""
+    """Empty, inverted or overlapping intervals per key, and wrong current flags.
+
+    Intervals follow each other by start, or by the column ``order``, such as a sequence number,
+    which also shows sequences that run against time.
+    """
     ordered = rows.withColumns({
         "__start": F.coalesce(F.col(start), F.lit("0001-01-01 00:00:00").cast("timestamp")),
         "__tie": F.col(tie) if order is None else F.col(order),
     })
-    lag = running(ordered, [key], ["__start", "__tie"], [lagged("__prev", F.col(end))],
-                  hot_rows=hot_rows)
+    by = ["__start", "__tie"] if order is None else ["__tie", "__start"]
+    lag = running(ordered, [key], by, [lagged("__prev", F.col(end))], hot_rows=hot_rows)
     conditions = [
         F.col(start).isNull(), F.col(end) <= F.col(start), F.col(start) < F.col("__prev"),
     ]

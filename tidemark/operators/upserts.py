@@ -32,13 +32,19 @@ def merge_update_only(target: DataFrame, source: DataFrame, keys: Sequence[str])
 
 
 def merge_newer(
-    target: DataFrame, source: DataFrame, keys: Sequence[str], version: str = "updated_at"
+    target: DataFrame, source: DataFrame, keys: Sequence[str], version: str = "updated_at",
+    or_equal: bool = False,
 ) -> DataFrame:
-    """Insert unseen keys; update a matched row only by a strictly newer version."""
+    """Insert unseen keys; update a matched row only by a strictly newer version.
+
+    With ``or_equal`` an equal version updates too, so a registry takes a repeated write.
+    """
     columns = target.columns
     old = target.select(*keys, F.struct(*columns).alias("__old"))
     new = source.select(*keys, F.struct(*columns).alias("__new"))
-    newer = F.col("__old").isNull() | (F.col(f"__new.{version}") > F.col(f"__old.{version}"))
+    new_version, old_version = F.col(f"__new.{version}"), F.col(f"__old.{version}")
+    newer = F.col("__old").isNull() | (
+        new_version >= old_version if or_equal else new_version > old_version)
     take = F.when(F.coalesce(newer, F.lit(False)) & F.col("__new").isNotNull(), F.col("__new")
                   ).otherwise(F.col("__old"))
     return old.join(new, list(keys), "full").select(take.alias("r")).select("r.*")

@@ -454,7 +454,7 @@ def catalogue_rules(models: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     ordered = running(
         models.withColumn("parts", parts).withColumn(
             "version", F.transform("parts", lambda p: F.coalesce(p, F.lit(-1)))),
-        ["provider"], ["version", "model_id"], [lagged("previous_release", F.col("release_date"))],
+        ["model_name", "provider"], ["version", "model_id"], [lagged("previous_release", F.col("release_date"))],
         hot_rows=hot_rows, segment_of=F.try_element_at("version", F.lit(1)),
     )
     rows = violations(ordered, "model_id", {
@@ -466,7 +466,9 @@ def catalogue_rules(models: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     entry = ["model_name", "model_version", "provider"]
     dup = models.join(repeated(models, entry).drop("n_rows"), entry, "left_semi").select(
         F.lit("repeated_entry").alias("violation"), F.col("model_id").alias("row_id"))
-    return rows.unionByName(dup)
+    same_id = repeated(models, ["model_id"]).select(
+        F.lit("repeated_id").alias("violation"), F.col("model_id").alias("row_id"))
+    return rows.unionByName(dup).unionByName(same_id)
 
 
 def model_adoption(
