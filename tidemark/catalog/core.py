@@ -223,29 +223,29 @@ def _spine(name: str, dailies: list[str]) -> None:
 _spine("product_spine", ["fact_message", "fact_conversation", "fact_completion", "fact_feedback"])
 _POS = "(feedback_type = 'THUMBS_UP' or (feedback_type = 'RATING' and feedback_score >= 4))"
 _NEG = "(feedback_type = 'THUMBS_DOWN' or (feedback_type = 'RATING' and feedback_score <= 2))"
+# One lane of events for all facts; each measure counts its own rows of the lane.
 view("gold_product", f"""
-    with m as (select date_key, count(*) as n, count(distinct user_id) as users
-               from fact_message group by 1),
-         c as (select date_key, count(*) as n from fact_conversation group by 1),
-         k as (select date_key, count(*) as n,
-                      count(*) filter (where completion_status = 'SUCCESS') as ok,
-                      count(*) filter (where completion_status = 'FAILED') as bad,
-                      count(*) filter (where completion_status = 'CANCELLED') as gone
-               from fact_completion group by 1),
-         f as (select date_key, count(*) as n, count(*) filter (where {_POS}) as pos,
-                      count(*) filter (where {_NEG}) as neg from fact_feedback group by 1)
-    select s.date_key, s.full_date, coalesce(m.users, 0) as active_users,
-           coalesce(c.n, 0) as conversation_count, coalesce(m.n, 0) as message_count,
-           coalesce(k.n, 0) as completion_count, coalesce(k.ok, 0) as successful_completion_count,
-           coalesce(k.bad, 0) as failed_completion_count,
-           coalesce(k.gone, 0) as cancelled_completion_count,
-           coalesce(k.ok, 0)::double / nullif(k.n, 0) as completion_success_rate,
-           coalesce(f.n, 0) as feedback_count, coalesce(f.pos, 0) as positive_feedback_count,
-           coalesce(f.neg, 0) as negative_feedback_count,
-           coalesce(f.n, 0)::double / nullif(k.n, 0) as feedback_rate,
-           coalesce(f.pos, 0)::double / nullif(f.n, 0) as positive_feedback_rate
-    from product_spine s left join m using (date_key) left join c using (date_key)
-         left join k using (date_key) left join f using (date_key)""")
+    select s.date_key, s.full_date,
+           count(distinct e.who) filter (e.fact = 'm') as active_users,
+           count_if(e.fact = 'c') as conversation_count, count_if(e.fact = 'm') as message_count,
+           count_if(e.fact = 'k') as completion_count,
+           count_if(e.what = 'SUCCESS') as successful_completion_count,
+           count_if(e.what = 'FAILED') as failed_completion_count,
+           count_if(e.what = 'CANCELLED') as cancelled_completion_count,
+           avg(case e.fact when 'k' then (coalesce(e.what, '') = 'SUCCESS')::int end)
+               as completion_success_rate,
+           count_if(e.fact = 'f') as feedback_count, count_if(e.what = '+') as positive_feedback_count,
+           count_if(e.what = '-') as negative_feedback_count,
+           count_if(e.fact = 'f') / nullif(count_if(e.fact = 'k'), 0)::double as feedback_rate,
+           avg(case e.fact when 'f' then (coalesce(e.what, '') = '+')::int end) as positive_feedback_rate
+    from product_spine s left join (
+        select 'm' as fact, date_key, user_id as who, null as what from fact_message
+        union all select 'k', date_key, null, completion_status from fact_completion
+        union all select 'f', date_key, null, case when {_POS} then '+' when {_NEG} then '-' end
+        from fact_feedback
+        union all select 'c', date_key, null, null from fact_conversation) e
+      on e.date_key = s.date_key
+    group by s.date_key, s.full_date""")
 query("gold_product",
       "date_key:i full_date:t active_users:i conversation_count:i message_count:i"
       " completion_count:i successful_completion_count:i failed_completion_count:i"
@@ -290,23 +290,25 @@ query("gold_user_activity",
       " positive_feedback_count:i inference_count:i input_tokens:i output_tokens:i total_tokens:i",
       lambda k: k.gold_user_activity, "select * from gold_user_activity")
 
-_VALID = "filter (where is_timestamp_order_valid and latency_ms >= 0)"
-view("gold_ml", f"""
-    select a.*, d.full_date, m.model_name, m.model_version, m.provider,
-           a.successful_inference_count::double / nullif(a.inference_count, 0)
-               as inference_success_rate
-    from (select date_key, model_key, model_id, count(*) as inference_count,
-                 count(*) filter (where inference_status = 'SUCCESS') as successful_inference_count,
-                 count(*) filter (where inference_status = 'FAILED') as failed_inference_count,
-                 avg(latency_ms) {_VALID} as average_latency_ms,
-                 quantile_cont(latency_ms, 0.5) {_VALID} as p50_latency_ms,
-                 quantile_cont(latency_ms, 0.95) {_VALID} as p95_latency_ms,
-                 quantile_cont(latency_ms, 0.99) {_VALID} as p99_latency_ms,
-                 sum(input_tokens) as total_input_tokens, sum(output_tokens) as total_output_tokens,
-                 sum(total_tokens) as total_tokens, avg(input_tokens) as average_input_tokens,
-                 avg(output_tokens) as average_output_tokens
-          from fact_inference group by 1, 2, 3) a
-    left join dim_date d using (date_key) left join dim_model m using (model_key)""")
+view("gold_ml", """
+    with usable as (
+        select *, case when is_timestamp_order_valid and latency_ms >= 0 then latency_ms end as took
+        from fact_inference),
+    per_group as (
+        select date_key, model_key, model_id, quantile_cont(took, [0.5, 0.95, 0.99]) as q,
+               sum(took)::double / nullif(count(took), 0) as average_latency_ms,
+               sum((inference_status = 'FAILED')::int) as failed_inference_count,
+               sum((inference_status = 'SUCCESS')::int) as successful_inference_count,
+               count(*) as inference_count, sum(total_tokens) as total_tokens,
+               sum(output_tokens) as total_output_tokens, sum(input_tokens) as total_input_tokens,
+               sum(output_tokens)::double / nullif(count(output_tokens), 0) as average_output_tokens,
+               sum(input_tokens)::double / nullif(count(input_tokens), 0) as average_input_tokens
+        from usable group by all)
+    select g.* exclude (q), q[1] as p50_latency_ms, q[2] as p95_latency_ms, q[3] as p99_latency_ms,
+           coalesce(successful_inference_count, 0) / inference_count::double as inference_success_rate,
+           (select full_date from dim_date d where d.date_key = g.date_key) as full_date,
+           m.model_name, m.model_version, m.provider
+    from per_group g left join dim_model m on m.model_key = g.model_key""")
 query("gold_ml",
       "date_key:i full_date:t model_key model_id model_name model_version provider"
       " inference_count:i successful_inference_count:i failed_inference_count:i"
@@ -333,57 +335,55 @@ view("subscription_end_daily", """
     group by d.date_key""")
 _spine("finance_spine", ["fact_subscription", "subscription_end_daily", "fact_purchase",
                          "fact_payment"])
-_PAID = "filter (where purchase_status = 'COMPLETED')"
-view("gold_finance", f"""
-    with st as (select date_key, count(*) as n from fact_subscription group by 1),
-         pu as (select date_key, count(*) as n,
-                       count(*) filter (where purchase_status = 'COMPLETED') as done,
-                       count(*) filter (where purchase_status = 'FAILED') as bad,
-                       count(*) filter (where purchase_status = 'REFUNDED') as back,
-                       count(*) filter (where purchase_type = 'NEW_SUBSCRIPTION') as t_new,
-                       count(*) filter (where purchase_type = 'RENEWAL') as t_renew,
-                       count(*) filter (where purchase_type = 'UPGRADE') as t_up,
-                       sum(subtotal_amount) {_PAID} as sub, sum(discount_amount) {_PAID} as disc,
-                       sum(tax_amount) {_PAID} as tax, sum(total_amount) {_PAID} as total
-                from fact_purchase group by 1),
-         pa as (select date_key, count(*) as n,
-                       count(*) filter (where payment_status = 'SUCCESS') as ok,
-                       count(*) filter (where payment_status = 'FAILED') as bad,
-                       count(*) filter (where payment_status = 'REFUNDED') as back,
-                       sum(case when payment_status in ('SUCCESS', 'REFUNDED')
-                                then payment_amount else 0 end) as gross,
-                       sum(refund_amount) as refund
-                from fact_payment group by 1)
-    select s.date_key, s.full_date, coalesce(st.n, 0) as subscription_start_count,
-           coalesce(e.n, 0) as subscription_end_count,
-           coalesce(e.cancelled, 0) as cancelled_subscription_count,
-           coalesce(e.expired, 0) as expired_subscription_count,
-           coalesce(pu.n, 0) as purchase_count, coalesce(pu.done, 0) as completed_purchase_count,
-           coalesce(pu.bad, 0) as failed_purchase_count,
-           coalesce(pu.back, 0) as refunded_purchase_count,
-           coalesce(t_new, 0) as new_subscription_purchase_count,
-           coalesce(t_renew, 0) as renewal_purchase_count,
-           coalesce(t_up, 0) as upgrade_purchase_count,
-           coalesce(sub, 0) as completed_subtotal_amount,
-           coalesce(disc, 0) as completed_discount_amount,
-           coalesce(tax, 0) as completed_tax_amount,
-           coalesce(total, 0) as completed_purchase_amount,
-           coalesce(pa.n, 0) as payment_attempt_count,
-           coalesce(pa.ok, 0) as successful_payment_count,
-           coalesce(pa.bad, 0) as failed_payment_count,
-           coalesce(pa.back, 0) as refunded_payment_count,
-           coalesce(pa.ok, 0)::double / nullif(pa.n, 0) as payment_success_rate,
-           coalesce(gross, 0) as gross_collected_amount, coalesce(refund, 0) as refund_amount,
-           coalesce(gross, 0) - coalesce(refund, 0) as net_revenue,
-           coalesce(r.purchases_with_payment_attempts, 0) as purchases_with_payment_attempts,
-           coalesce(r.purchases_with_multiple_payment_attempts, 0)
-               as purchases_with_multiple_payment_attempts,
-           coalesce(r.retry_attempt_count, 0) as retry_attempt_count,
-           coalesce(r.purchases_with_multiple_payment_attempts, 0)::double
-               / nullif(r.purchases_with_payment_attempts, 0) as retry_purchase_rate
-    from finance_spine s left join st using (date_key)
-         left join subscription_end_daily e using (date_key) left join pu using (date_key)
-         left join pa using (date_key) left join retry_daily r using (date_key)""")
+# Facts become one lane of (day, fact, state, kind, amounts); every measure is a sum over it.
+view("gold_finance", """
+    with lane as (
+        select date_key, 'start' as fact, null as state, null as kind,
+               0 as a, 0 as b, 0 as c, 0 as d from fact_subscription
+        union all select date_key, 'buy', purchase_status, purchase_type, subtotal_amount,
+               discount_amount, tax_amount, total_amount from fact_purchase
+        union all select date_key, 'pay', payment_status, null, payment_amount, refund_amount, 0, 0
+        from fact_payment),
+    sums as (
+        select date_key, count_if(fact = 'start') as subscription_start_count,
+               count_if(fact = 'buy') as purchase_count,
+               count_if(fact = 'buy' and state = 'COMPLETED') as completed_purchase_count,
+               count_if(fact = 'buy' and state = 'FAILED') as failed_purchase_count,
+               count_if(fact = 'buy' and state = 'REFUNDED') as refunded_purchase_count,
+               count_if(kind = 'NEW_SUBSCRIPTION') as new_subscription_purchase_count,
+               count_if(kind = 'RENEWAL') as renewal_purchase_count,
+               count_if(kind = 'UPGRADE') as upgrade_purchase_count,
+               sum(a) filter (fact = 'buy' and state = 'COMPLETED') as done_a,
+               sum(b) filter (fact = 'buy' and state = 'COMPLETED') as done_b,
+               sum(c) filter (fact = 'buy' and state = 'COMPLETED') as done_c,
+               sum(d) filter (fact = 'buy' and state = 'COMPLETED') as done_d,
+               count_if(fact = 'pay') as payment_attempt_count,
+               count_if(fact = 'pay' and state = 'SUCCESS') as successful_payment_count,
+               count_if(fact = 'pay' and state = 'FAILED') as failed_payment_count,
+               count_if(fact = 'pay' and state = 'REFUNDED') as refunded_payment_count,
+               coalesce(sum(a) filter (fact = 'pay' and state in ('SUCCESS', 'REFUNDED')), 0) as collected,
+               coalesce(sum(b) filter (fact = 'pay'), 0) as returned
+        from lane group by date_key),
+    days as (
+        select s.date_key, s.full_date, coalesce(columns(x.* exclude (date_key)), 0),
+               coalesce(e.n, 0) as subscription_end_count,
+               coalesce(e.cancelled, 0) as cancelled_subscription_count,
+               coalesce(e.expired, 0) as expired_subscription_count,
+               coalesce(r.purchases_with_payment_attempts, 0) as purchases_with_payment_attempts,
+               coalesce(r.purchases_with_multiple_payment_attempts, 0)
+                   as purchases_with_multiple_payment_attempts,
+               coalesce(r.retry_attempt_count, 0) as retry_attempt_count
+        from finance_spine s left join sums x on x.date_key = s.date_key
+        left join retry_daily r on r.date_key = s.date_key
+        left join subscription_end_daily e on e.date_key = s.date_key)
+    select *, done_a as completed_subtotal_amount, done_b as completed_discount_amount,
+           done_c as completed_tax_amount, done_d as completed_purchase_amount,
+           collected as gross_collected_amount, returned as refund_amount,
+           collected - returned as net_revenue,
+           successful_payment_count / nullif(payment_attempt_count, 0)::double as payment_success_rate,
+           purchases_with_multiple_payment_attempts
+               / nullif(purchases_with_payment_attempts, 0)::double as retry_purchase_rate
+    from days""")
 query("gold_finance",
       "date_key:i full_date:t subscription_start_count:i subscription_end_count:i"
       " cancelled_subscription_count:i expired_subscription_count:i purchase_count:i"

@@ -55,7 +55,14 @@ query("val_messages", _VIOLATION,
             using (conversation_id)
           left join {found('stg_devices', 'device_id', 'd')} d using (device_id)
           left join {found('closed_users', 'user_id', 'u', 'closed_at')} u
-            on u.user_id = m.user_id""", "message_id", V.MESSAGE_RULES))
+            on u.user_id = m.user_id""", "message_id", {
+          "unknown_conversation": "conversation_id not in (select conversation_id from stg_conversations)"
+                                  " or conversation_id is null",
+          "user_mismatch": "not coalesce(user_id = c_user_id, true)",
+          "unknown_device": "device_id not in (select device_id from stg_devices where device_id is not null)",
+          "blank_text": "coalesce(length(trim(message_text)), 0) = 0",
+          "before_conversation": "c_created_at > created_at",
+          "after_close": "not coalesce(created_at < u_closed_at, true)"}))
 query("val_sequence", _VIOLATION,
       lambda k: V.message_sequence(k.stg_messages, k.hot_rows),
       labelled("""select *, row_number() over w as expected, lag(created_at) over w as previous_at
@@ -179,20 +186,32 @@ query("val_error_fk", _VIOLATION,
           for n, t in _PARENTS.items()))
 query("val_error_lineage", _VIOLATION,
       lambda k: V.error_lineage(k.stg_errors, k.stg_messages, k.stg_completions, k.stg_inferences),
-      labelled("""select e.*, m.user_id as m_user_id, m.conversation_id as m_conversation_id,
-              c.user_id as c_user_id, c.message_id as c_message_id,
-              c.conversation_id as c_conversation_id, i.completion_id as i_completion_id,
-              i.user_id as i_user_id, i.model_id as i_model_id
-          from stg_errors e left join stg_messages m on m.message_id = e.message_id
-          left join stg_completions c on c.completion_id = e.completion_id
-          left join stg_inferences i on i.inference_id = e.inference_id""",
-               "error_id", V.ERROR_LINEAGE_RULES))
+      """select 'message_lineage' as violation, e.error_id as row_id
+         from stg_errors e join stg_messages m on m.message_id = e.message_id
+         where not (coalesce(e.user_id = m.user_id, true) and coalesce(e.conversation_id = m.conversation_id, true))
+         union all select 'completion_lineage', e.error_id
+         from stg_errors e join stg_completions c on c.completion_id = e.completion_id
+         where e.user_id <> c.user_id or e.message_id <> c.message_id
+            or e.conversation_id <> c.conversation_id
+         union all select 'inference_lineage', e.error_id
+         from stg_errors e left join stg_inferences i on i.inference_id = e.inference_id
+         where e.inference_id is not null and not (
+             e.completion_id is not null and e.user_id is not null and e.model_id is not null
+             and coalesce(e.completion_id = i.completion_id, true)
+             and coalesce(e.user_id = i.user_id, true) and coalesce(e.model_id = i.model_id, true))""")
 _CODES = ", ".join(f"('{s}', '{t}', '{c}')" for (s, t), c in schemas.ERROR_CODES.items())
 query("val_error_context", _VIOLATION, lambda k: V.error_context(k.stg_errors),
       labelled(f"""select e.*, c.expected_code from stg_errors e left join
           (values {_CODES}) c(error_source, error_type, expected_code)
           on c.error_source = e.error_source and c.error_type = e.error_type""", "error_id", {
-          **V.ERROR_CONTEXT_RULES, "unknown_type": "expected_code is null",
+          "application_context": "error_source[1:1] in ('A', 'D')"
+                                 " and coalesce(completion_id, inference_id, model_id) <> ''",
+          "billing_context": "error_source = 'BILLING' and length(concat(conversation_id, message_id,"
+                             " completion_id, inference_id, model_id)) > 0",
+          "model_context": "error_source = 'MODEL' and case when model_id is null then true"
+                           " when inference_id is not null then false"
+                           " else length(concat(user_id, conversation_id, message_id, completion_id)) > 0 end",
+          "unknown_type": "expected_code is null",
           "wrong_code": "error_code <> expected_code"}))
 _BASE = "case x.field_name " + " ".join(
     f"when '{f}' then u.{f}" for f in schemas.UPDATE_FIELDS) + " end"

@@ -169,18 +169,23 @@ def labelled(rows: DataFrame, label: str, row_id: str, condition: Column,
     )
 
 
+# Name of the check, flag of the defect, and the columns that must stay empty.
+KEPT_DEFECTS = (
+    ("inference_missing_model", "inference_id", "is_model_id_missing", ("model_id", "model_key")),
+    ("completion_invalid_duration", "completion_id", "is_timestamp_order_valid", ("completion_duration_seconds",)),
+    ("message_missing_text_length", "message_id", "is_message_text_missing", ("message_length_chars",)),
+)
+
+
 def repaired_defects(inferences: DataFrame, completions: DataFrame, messages: DataFrame) -> DataFrame:
     """Rows where a known defect was silently filled in."""
-    return union_all([
-        labelled(inferences, "inference_missing_model", "inference_id",
-                 F.col("is_model_id_missing")
-                 & (F.col("model_id").isNotNull() | F.col("model_key").isNotNull())),
-        labelled(completions, "completion_invalid_duration", "completion_id",
-                 (F.col("is_timestamp_order_valid") == F.lit(False))
-                 & F.col("completion_duration_seconds").isNotNull()),
-        labelled(messages, "message_missing_text_length", "message_id",
-                 F.col("is_message_text_missing") & F.col("message_length_chars").isNotNull()),
-    ])
+    parts = []
+    for df, (name, row_id, flag, empty) in zip((inferences, completions, messages), KEPT_DEFECTS):
+        # A flag of validity marks the defect when it is false, one of a gap when it is true.
+        defect = F.col(flag) == F.lit(not flag.endswith("_valid"))
+        filled = F.coalesce(*[F.col(c).cast("string") for c in empty]).isNotNull()
+        parts.append(labelled(df, name, row_id, defect & filled))
+    return union_all(parts)
 
 
 def row_count_gaps(sources: Mapping[str, DataFrame], facts: Mapping[str, DataFrame]) -> DataFrame:

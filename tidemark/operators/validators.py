@@ -249,43 +249,45 @@ def error_orphans(errors: DataFrame, parents: Mapping[str, DataFrame]) -> DataFr
     })
 
 
-ERROR_LINEAGE_RULES = {
-    "message_lineage": "message_id is not null and (user_id <> m_user_id"
-                       " or conversation_id <> m_conversation_id)",
-    "completion_lineage": "completion_id is not null and (user_id <> c_user_id"
-                          " or (message_id is not null and message_id <> c_message_id)"
-                          " or (conversation_id is not null and conversation_id <> c_conversation_id))",
-    "inference_lineage": "inference_id is not null and (completion_id is null"
-                         " or completion_id <> i_completion_id or user_id is null"
-                         " or user_id <> i_user_id or model_id is null or model_id <> i_model_id)",
-}
+# Per parent of an error, its prefix, the columns in which both must agree, and
+# whether the error has to state them.
+LINEAGE = (
+    ("message", "m", ("user_id", "conversation_id"), False),
+    ("completion", "c", ("user_id", "message_id", "conversation_id"), False),
+    ("inference", "i", ("completion_id", "user_id", "model_id"), True),
+)
 
 
 def error_lineage(
     errors: DataFrame, messages: DataFrame, completions: DataFrame, inferences: DataFrame
 ) -> DataFrame:
     """Errors whose parents disagree with each other."""
-    joined = (
-        errors.join(parent(messages, "message_id", "m", "user_id", "conversation_id"),
-                    "message_id", "left")
-        .join(parent(completions, "completion_id", "c", "user_id", "message_id", "conversation_id"),
-              "completion_id", "left")
-        .join(parent(inferences, "inference_id", "i", "completion_id", "user_id", "model_id"),
-              "inference_id", "left")
-    )
-    return violations(joined, "error_id", ERROR_LINEAGE_RULES)
-
-
-ERROR_CONTEXT_RULES = {
-    "application_context": "error_source in ('APPLICATION', 'DATABASE') and (completion_id is not null"
-                           " or inference_id is not null or model_id is not null)",
-    "billing_context": "error_source = 'BILLING' and (conversation_id is not null"
-                       " or message_id is not null or completion_id is not null"
-                       " or inference_id is not null or model_id is not null)",
-    "model_context": "error_source = 'MODEL' and (model_id is null or (inference_id is null"
-                     " and (user_id is not null or conversation_id is not null"
-                     " or message_id is not null or completion_id is not null)))",
+    tables, joined, rules = {"m": messages, "c": completions, "i": inferences}, errors, {}
+    for name, prefix, columns, stated in LINEAGE:
+        joined = joined.join(parent(tables[prefix], f"{name}_id", prefix, *columns), f"{name}_id", "left")
+        apart = [F.col(c) != F.col(f"{prefix}_{c}") for c in columns]
+        if stated:
+            apart += [F.col(c).isNull() for c in columns]
+        rules[f"{name}_lineage"] = F.col(f"{name}_id").isNotNull() & any_true(apart)
+    return violations(joined, "error_id", rules)
+
+
+# References that an error of these sources must not hold.
+FOREIGN = {
+    "application_context": (("APPLICATION", "DATABASE"), ("completion", "inference", "model")),
+    "billing_context": (("BILLING",), ("conversation", "message", "completion", "inference", "model")),
 }
+# References of a model error that only make sense with an inference.
+REQUEST_CHAIN = ("user", "conversation", "message", "completion")
+
+
+def any_true(conditions: Sequence[Column]) -> Column:
+    """True if one of the conditions is; null counts as false."""
+    return F.exists(F.array(*conditions), lambda c: F.coalesce(c, F.lit(False)))
+
+
+def holds(names: Sequence[str]) -> Column:
+    return F.coalesce(*[F.col(f"{n}_id") for n in names]).isNotNull()
 
 
 def error_context(errors: DataFrame) -> DataFrame:
@@ -296,7 +298,10 @@ def error_context(errors: DataFrame) -> DataFrame:
         "error_source string, error_type string, expected_code string"))
     joined = errors.join(codes, ["error_source", "error_type"], "left")
     return violations(joined, "error_id", {
-        **ERROR_CONTEXT_RULES,
+        **{label: F.col("error_source").isin(*sources) & holds(names)
+           for label, (sources, names) in FOREIGN.items()},
+        "model_context": (F.col("error_source") == "MODEL") & ~(
+            holds(["model"]) & (holds(["inference"]) | ~holds(REQUEST_CHAIN))),
         "unknown_type": "expected_code is null",
         "wrong_code": "error_code <> expected_code",
     })
