@@ -8,7 +8,7 @@ from typing import TYPE_CHECKING
 if TYPE_CHECKING:
     from tidemark.catalog.registry import Query
 
-GROUPS = ("core", "watch", "rules", "validate", "profile", "state", "alerts", "streams")
+GROUPS = ("core", "watch", "rules", "validate", "profile", "state", "alerts", "streams", "declared")
 
 
 def load() -> dict[str, Query]:

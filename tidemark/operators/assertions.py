@@ -44,6 +44,36 @@ def not_accepted(df: DataFrame, column: str, values: Sequence[str]) -> DataFrame
     return df.filter(F.col(column).isNotNull() & ~F.col(column).isin(*values))
 
 
+def declared(
+    tables: Mapping[str, DataFrame],
+    keys: Mapping[str, tuple[str, Sequence[str], Sequence[str]]],
+    relationships: Sequence[tuple[str, str, str]],
+    accepted: Mapping[tuple[str, str], Sequence[str]],
+) -> DataFrame:
+    """(check_name, row_key) of every row that breaks a declared test.
+
+    ``keys``: row key, unique columns and not-null columns of each table. A repeated value is one
+    row. All not-null and vocabulary tests of a table share one scan.
+    """
+    parts = []
+    for name, (key, unique, present) in keys.items():
+        rows = tables[name]
+        labels = [F.when(F.col(c).isNull(), f"not_null.{name}.{c}") for c in present]
+        labels += [F.when(~F.col(c).isin(*values), f"accepted.{name}.{c}")
+                   for (table, c), values in accepted.items() if table == name]
+        parts.append(rows.select(
+            F.explode(F.array_compact(F.array(*labels))).alias("check_name"),
+            F.col(key).cast("string").alias("row_key")))
+        parts += [not_unique(rows, [c]).select(
+            F.lit(f"unique.{name}.{c}").alias("check_name"), F.col(c).cast("string").alias("row_key"))
+            for c in unique]
+    for name, column, parent in relationships:
+        parts.append(orphans(tables[name], column, tables[parent], column).select(
+            F.lit(f"relationships.{name}.{column}").alias("check_name"),
+            F.col(keys[name][0]).cast("string").alias("row_key")))
+    return union_all(parts)
+
+
 def calendar_gaps(dates: DataFrame) -> DataFrame:
     return dates.agg(
         F.min("full_date").alias("minimum_date"), F.max("full_date").alias("maximum_date"),

@@ -46,6 +46,7 @@ ENTITY_DDL = {
     " updated_at timestamp",
 }
 
+# Entities that hold one state each, without an ingestion time.
 REFERENCE_ENTITIES = ("models", "devices", "subscription_plans")
 
 # Identifier column per entity.
@@ -97,6 +98,8 @@ SUBSCRIPTION_STATUSES = ("ACTIVE", "CANCELLED", "EXPIRED")
 PURCHASE_TYPES = ("NEW_SUBSCRIPTION", "RENEWAL", "UPGRADE")
 PURCHASE_STATUSES = ("COMPLETED", "FAILED", "REFUNDED")
 PAYMENT_STATUSES = ("SUCCESS", "FAILED", "REFUNDED")
+PAYMENT_METHODS = ("CARD", "PAYPAL", "APPLE_PAY", "GOOGLE_PAY")
+SIGNUP_SOURCES = ("ORGANIC", "PAID_SEARCH", "REFERRAL", "SOCIAL", "OTHER")
 
 # Error code by (source, type).
 ERROR_CODES = {
