@@ -51,7 +51,7 @@ _LAKES: dict[tuple[str, str], Lake] = {}
 
 
 def lake_for(spark: SparkSession, sf_dir: str) -> Lake:
-    """One Lake per application and directory, so pinned dimensions are built once."""
+    """One Lake per application and directory, so stored tables are built once."""
     key = (spark.sparkContext.applicationId, str(sf_dir))
     if key not in _LAKES:
         _LAKES[key] = Lake(configure(spark), str(sf_dir))

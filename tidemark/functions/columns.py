@@ -62,16 +62,3 @@ def spread(df: DataFrame, at_most: int = 32) -> DataFrame:
     """
     wanted = min(at_most, df.sparkSession.sparkContext.defaultParallelism)
     return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
-
-
-def pin_small(df: DataFrame, max_rows: int = 20_000) -> DataFrame:
-    """Copy a table of at most ``max_rows`` rows into the plan, else return it unchanged.
-
-    Used for reference dimensions and calendars: the row limit bounds what reaches the
-    driver, and the planner then sees the true size and may broadcast it. A larger table
-    stays distributed and is joined by shuffle.
-    """
-    rows = df.limit(max_rows + 1).toArrow()
-    if rows.num_rows > max_rows:
-        return df
-    return df.sparkSession.createDataFrame(rows, df.schema)

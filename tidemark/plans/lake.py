@@ -3,7 +3,7 @@
 Each name is a DataFrame built on first use. Staging, history, facts and marts are written
 once as parquet tables under the shared checkpoint folder, so that later layers start from
 files: true sizes, pruned columns, short plans, and nothing recomputed when an executor is
-lost. Reference dimensions and the calendar are pinned after a check of their row count.
+lost. Reference dimensions and the calendar are stored too, so their sizes decide on broadcasts.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import schemas
-from tidemark.functions.columns import pin_small, spread
+from tidemark.functions.columns import spread
 from tidemark.functions.ordered import HOT_ROWS, lagged, position, running
 from tidemark.operators import defects, dimensions, facts, history, incidents, marts, monitoring, staging
 from tidemark.session import checkpoint_dir
@@ -259,26 +259,24 @@ class Lake:
 
     # dimensions ----------------------------------------------------------------------
 
-    @once
+    # Stored, so that the planner knows their sizes and broadcasts those within its limit.
+
+    @stored
     def dim_date(self) -> DataFrame:
-        return pin_small(
-            dimensions.dim_date(
-                self.stg_models, self.current_user_state, self.stg_subscriptions, self.user_snapshot
-            ),
-            max_rows=40_000,
-        )
+        return dimensions.dim_date(
+            self.stg_models, self.current_user_state, self.stg_subscriptions, self.user_snapshot)
 
-    @once
+    @stored
     def dim_device(self) -> DataFrame:
-        return pin_small(dimensions.dim_device(self.stg_devices))
+        return dimensions.dim_device(self.stg_devices)
 
-    @once
+    @stored
     def dim_model(self) -> DataFrame:
-        return pin_small(dimensions.dim_model(self.stg_models))
+        return dimensions.dim_model(self.stg_models)
 
-    @once
+    @stored
     def dim_plan(self) -> DataFrame:
-        return pin_small(dimensions.dim_subscription_plan(self.stg_plans))
+        return dimensions.dim_subscription_plan(self.stg_plans)
 
     # facts ---------------------------------------------------------------------------
 
