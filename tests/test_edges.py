@@ -119,20 +119,30 @@ def test_merges(make):
 
 
 def _observed(make, statuses):
-    return make([("f", f"2024-01-01 00:{i:02d}:00", f"o{i:02d}", s, s == "RESET") for i, s in enumerate(statuses)],
-                "fingerprint string, observed_at timestamp, observation_id string, status string, reset boolean")
+    """Observations of one fingerprint, and the outages of its source and of another one."""
+    rows = [("f", "s", f"2024-01-01 00:{i:02d}:00", f"o{i:02d}", s) for i, s in enumerate(statuses)]
+    seen = make([r for r in rows if "DOWN" not in r[4]],
+                "fingerprint string, source string, observed_at timestamp, observation_id string, status string")
+    down = make([("s" if r[4] == "DOWN" else "other", r[2]) for r in rows if "DOWN" in r[4]] or [("none", rows[0][2])],
+                "source string, at timestamp")
+    return seen, down
 
 
 @pytest.mark.parametrize("hot_rows", [2, 1000])
 @pytest.mark.parametrize("statuses,want", [
     ("WARN PASS PASS WARN", "NEW PENDING_RESOLUTION RESOLVED RECURRING"),
-    ("WARN PASS RESET PASS PASS", "NEW PENDING_RESOLUTION INSUFFICIENT_EVIDENCE PENDING_RESOLUTION RESOLVED"),
-    ("PASS FAIL UNKNOWN PASS FAIL PASS PASS PASS RESET PASS PASS WARN",
+    ("WARN PASS DOWN PASS PASS", "NEW PENDING_RESOLUTION PENDING_RESOLUTION RESOLVED"),
+    ("WARN PASS OTHER_DOWN PASS", "NEW PENDING_RESOLUTION RESOLVED"),
+    ("WARN PASS UNAVAILABLE PASS", "NEW PENDING_RESOLUTION INSUFFICIENT_EVIDENCE RESOLVED"),
+    ("DOWN WARN PASS DOWN UNKNOWN PASS DOWN DOWN WARN PASS PASS",
+     "NEW PENDING_RESOLUTION INSUFFICIENT_EVIDENCE PENDING_RESOLUTION ONGOING PENDING_RESOLUTION RESOLVED"),
+    ("PASS FAIL UNKNOWN PASS FAIL PASS PASS PASS DOWN PASS PASS WARN",
      "HEALTHY_NO_INCIDENT NEW INSUFFICIENT_EVIDENCE PENDING_RESOLUTION ONGOING PENDING_RESOLUTION RESOLVED"
-     " HEALTHY_NO_INCIDENT INSUFFICIENT_EVIDENCE HEALTHY_NO_INCIDENT HEALTHY_NO_INCIDENT RECURRING"),
+     " HEALTHY_NO_INCIDENT HEALTHY_NO_INCIDENT HEALTHY_NO_INCIDENT RECURRING"),
 ])
 def test_lifecycle(make, statuses, want, hot_rows):
-    got = incidents.decide(_observed(make, statuses.split()), hot_rows=hot_rows)
+    seen, down = _observed(make, statuses.split())
+    got = incidents.decide(seen, hot_rows=hot_rows, outages=down)
     by_id = dict(rows(got, "observation_id", "decision"))
     assert [by_id[k] for k in sorted(by_id)] == want.split()
 

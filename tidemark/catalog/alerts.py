@@ -27,7 +27,7 @@ def _obs(fp: str, token: str) -> str:
 
 
 view("observations", f"""
-    select *, {_obs("fingerprint", "raw_id")} as observation_id, status = 'UNAVAILABLE' as reset
+    select *, {_obs("fingerprint", "raw_id")} as observation_id
     from (select source, category, check_name, observation_id as raw_id,
                  {_fp("concat(source, ':', category, ':', lower(trim(check_name)))")} as fingerprint,
                  {_STATUS.format(c="raw_status")} as status, observed_at
@@ -83,10 +83,19 @@ query("evidence_association", "run_id:i status reason",
                       then 'timestamp_window_match_does_not_prove_execution_identity'
                   else 'monitoring_execution_timestamp_is_outside_pipeline_run_window' end as reason
       from raw_job_runs r left join run_snapshots s using (run_id)""")
+view("outages", """
+    select source, last_at as at from (
+        select source, max(observed_at) as last_at,
+               arg_max(status, row(observed_at, observation_id)) as last_status
+        from observations group by source, cast(observed_at as date)) d
+    where last_status = 'UNAVAILABLE'""")
+query("source_outages", "source down_at:t", lambda k: k.outages.withColumnRenamed("at", "down_at"),
+      "select source, outages.at as down_at from outages")
 view("decisions", """
     with a as (select *, status in ('WARN', 'FAIL') as act,
                       count(*) filter (where status in ('WARN', 'FAIL')) over w as n_active,
-                      count(*) filter (where reset) over w as seg
+                      (select count(*) from outages o where o.source = observations.source
+                       and o.at <= observations.observed_at) as seg
                from observations window w as (partition by fingerprint
                    order by observed_at, observation_id rows unbounded preceding)),
     p as (select *, count(*) filter (where status = 'PASS') over (
@@ -100,7 +109,7 @@ view("decisions", """
                       rows unbounded preceding) as mx from p),
     l as (select *, lag(coalesce(mx, 0) >= 2) over (partition by fingerprint
                       order by observed_at, observation_id) as prev_done from m)
-    select *, case when reset or status in ('UNKNOWN', 'UNAVAILABLE') then 'INSUFFICIENT_EVIDENCE'
+    select *, case when status in ('UNKNOWN', 'UNAVAILABLE') then 'INSUFFICIENT_EVIDENCE'
                    when act and n_active = 1 then 'NEW'
                    when act and coalesce(prev_done, false) then 'RECURRING'
                    when act then 'ONGOING'

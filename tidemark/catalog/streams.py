@@ -78,7 +78,7 @@ query("stream_upsert",
 
 def _incidents(k):
     out = _two_arrivals(k, k.observations, "observed_at",
-                        lambda s, o, c: twins.incident_decisions(s, o, c, k.hot_rows))
+                        lambda s, o, c: twins.incident_decisions(s, o, c, k.hot_rows, k.outages))
     return k.spark.read.parquet(f"{out}/decisions")
 
 

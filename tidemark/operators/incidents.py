@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.columns import first_row
 from tidemark.functions.ordered import (
     HOT_ROWS,
+    lagged,
     running,
     running_last,
     running_last_before,
@@ -100,40 +101,60 @@ def mark_duplicates(observations: DataFrame) -> DataFrame:
 
 def decide(
     observations: DataFrame, hot_rows: int = HOT_ROWS,
-    cut: Callable[[DataFrame], DataFrame] = lambda df: df,
+    cut: Callable[[DataFrame], DataFrame] = lambda df: df, outages: DataFrame | None = None,
 ) -> DataFrame:
     """Lifecycle decision of every observation.
 
-    Needs fingerprint, observed_at, observation_id, status and ``reset`` (true on rows that
-    only say the source was unavailable, which restarts the count of consecutive passes).
-    Two passes since the last active row or reset resolve an open incident. ``cut`` may
+    Needs fingerprint, source, observed_at, observation_id and status. ``outages`` (source, at)
+    tells when a whole source was unavailable: for all incidents of that source the count of
+    consecutive passes starts again. An UNAVAILABLE or UNKNOWN observation changes nothing.
+    Two passes since the last active row or outage resolve an open incident. ``cut`` may
     write the intermediate tables so that later scans start from files.
     """
+    columns = observations.columns
+    if outages is None:
+        observations = observations.withColumn("n_outages", F.lit(0))
+    else:
+        times = outages.groupBy("source").agg(F.collect_list("at").alias("down"))
+        observations = observations.join(times, "source", "left").withColumn(
+            "n_outages", F.coalesce(F.array_size(F.filter("down", lambda t: t <= F.col("observed_at"))), F.lit(0)),
+        ).drop("down")
     key, order = ["fingerprint"], ["observed_at", "observation_id"]
     status = F.col("status")
     active, passed = status.isin(*ACTIVE), status == "PASS"
     counted = cut(running(
         observations, key, order,
-        [running_sum("n_active", active.cast("bigint")), running_sum("n_pass", passed.cast("bigint"))],
+        [running_sum("n_active", active.cast("bigint")), running_sum("n_pass", passed.cast("bigint")),
+         lagged("outages_before", F.col("n_outages"))],
         hot_rows=hot_rows))
-    # Passes up to the newest active row or reset do not count.
+    # Passes up to the newest active row, or before the first row after an outage, do not count.
+    after_outage = F.col("n_outages") > F.col("outages_before")
     based = cut(running(
         counted, key, order,
-        [running_last("base", F.when(active | F.col("reset"), F.col("n_pass")))], hot_rows=hot_rows,
+        [running_last("base", F.when(active, F.col("n_pass")).when(
+            after_outage, F.col("n_pass") - passed.cast("bigint")))], hot_rows=hot_rows,
     ).withColumn("passes", F.col("n_pass") - F.coalesce("base", F.lit(0))))
     # An episode stays resolved from its second consecutive pass to the next active row.
     crossed = F.when(active, F.lit(False)).when(passed & (F.col("passes") >= 2), F.lit(True))
     before = running(based, key, order, [running_last_before("was_resolved", crossed)], hot_rows=hot_rows)
     was = F.coalesce("was_resolved", F.lit(False))
     decision = (
-        F.when(F.col("reset") | status.isin("UNKNOWN", "UNAVAILABLE"), "INSUFFICIENT_EVIDENCE")
+        F.when(status.isin("UNKNOWN", "UNAVAILABLE"), "INSUFFICIENT_EVIDENCE")
         .when(active & (F.col("n_active") == 1), "NEW")
         .when(active & was, "RECURRING")
         .when(active, "ONGOING")
         .when((F.col("n_active") == 0) | was, "HEALTHY_NO_INCIDENT")
         .when(F.col("passes") >= 2, "RESOLVED")
         .otherwise("PENDING_RESOLUTION"))
-    return before.select(*observations.columns, decision.alias("decision"))
+    return before.select(*columns, decision.alias("decision"))
+
+
+def source_outages(observations: DataFrame) -> DataFrame:
+    """Times at which a whole source was down: the last observation of its day was UNAVAILABLE."""
+    newest = F.max_by("status", F.struct("observed_at", "observation_id"))
+    return observations.groupBy("source", F.to_date("observed_at").alias("day")).agg(
+        F.max("observed_at").alias("at"), newest.alias("status")
+    ).filter(F.col("status") == "UNAVAILABLE").select("source", "at")
 
 
 def baseline(observations: DataFrame) -> DataFrame:

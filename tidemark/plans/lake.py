@@ -524,7 +524,6 @@ class Lake:
             "source", "category", "check_name", digest.alias("fingerprint"),
             status.alias("status"), "observed_at",
             incidents.observation_id(digest, F.col("observation_id")).alias("observation_id"),
-            (status == "UNAVAILABLE").alias("reset"),
         )
 
     def cut(self, df: DataFrame) -> DataFrame:
@@ -533,7 +532,11 @@ class Lake:
 
     @stored
     def decisions(self) -> DataFrame:
-        return incidents.decide(self.observations, self.hot_rows, self.cut)
+        return incidents.decide(self.observations, self.hot_rows, self.cut, self.outages)
+
+    @stored
+    def outages(self) -> DataFrame:
+        return incidents.source_outages(self.observations)
 
     @cached_property
     def repeated_observations(self) -> DataFrame:

@@ -62,15 +62,15 @@ STATE_HISTORY = {"OPEN": ("WARN",), "PENDING": ("WARN", "PASS"), "RESOLVED": ("W
 
 
 def state_rows(state: DataFrame) -> DataFrame:
-    """Observations that put a fingerprint into its stored state, dated before any real one."""
+    """Observations that put a fingerprint into its stored state, just before its last real one."""
     steps = F.lit(None)
     for name, seq in STATE_HISTORY.items():
         steps = F.when(F.col("state") == name, F.array(*[F.lit(s) for s in seq])).otherwise(steps)
-    return state.select("fingerprint", F.posexplode(steps).alias("i", "status")).select(
-        "fingerprint",
-        (F.lit("0001-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(secs=F.col("i"))).alias("observed_at"),
+    return state.select("fingerprint", "source", "at", F.posexplode(steps).alias("i", "status")).select(
+        "fingerprint", "source",
+        (F.col("at") - F.make_dt_interval(secs=(3 - F.col("i")).cast("decimal(18,6)") / 1_000_000)).alias("observed_at"),
         F.concat(F.lit("state-"), F.col("i").cast("string")).alias("observation_id"),
-        "status", F.lit(False).alias("reset"), F.lit(True).alias("from_state"))
+        "status", F.lit(True).alias("from_state"))
 
 
 def next_state(decisions: DataFrame) -> DataFrame:
@@ -79,20 +79,19 @@ def next_state(decisions: DataFrame) -> DataFrame:
     effective = F.col("decision") != "INSUFFICIENT_EVIDENCE"
     last = decisions.groupBy("fingerprint").agg(
         F.max_by("decision", F.when(effective, order)).alias("last"),
-        F.max(F.when(effective, order)).alias("at"),
-        F.max(F.when(F.col("reset"), order)).alias("reset_at"),
+        F.max("source").alias("source"), F.max(F.when(effective, F.col("observed_at"))).alias("at"),
         F.bool_or(F.col("decision").isin("NEW", "ONGOING", "RECURRING")).alias("was_active"))
     pending = F.col("last") == "PENDING_RESOLUTION"
     state = (
         F.when(F.col("last").isin("NEW", "ONGOING", "RECURRING"), "OPEN")
-        .when(pending & (F.col("reset_at") > F.col("at")), "OPEN")
         .when(pending, "PENDING")
         .when(F.col("was_active"), "RESOLVED"))
-    return last.select("fingerprint", state.alias("state")).filter(F.col("state").isNotNull())
+    return last.select("fingerprint", "source", "at", state.alias("state")).filter(F.col("state").isNotNull())
 
 
 def incident_decisions(
-    observations: DataFrame, path: str, checkpoint: str, hot_rows: int = HOT_ROWS
+    observations: DataFrame, path: str, checkpoint: str, hot_rows: int = HOT_ROWS,
+    outages: DataFrame | None = None,
 ) -> None:
     """Lifecycle decisions per micro-batch with the state of every fingerprint carried over.
 
@@ -104,7 +103,7 @@ def incident_decisions(
     work, states = f"{path}/work", f"{path}/state"
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        columns = ["fingerprint", "observed_at", "observation_id", "status", "reset"]
+        columns = ["fingerprint", "source", "observed_at", "observation_id", "status"]
         rows = batch.select(*columns, F.lit(False).alias("from_state"))
         known = read_batches(spark, states, before=batch_id)
         if known is not None:
@@ -112,7 +111,7 @@ def incident_decisions(
             current = newest_per_key(known, ["fingerprint"])
             rows = rows.unionByName(state_rows(current.join(touched, "fingerprint", "left_semi")))
         cut = cut_into(work, batch_id)
-        decided = cut(incidents.decide(rows, hot_rows, cut))
+        decided = cut(incidents.decide(rows, hot_rows, cut, outages))
         # The state goes last: it marks the batch as done for the next one.
         batch_writer(f"{path}/decisions")(
             decided.filter(~F.col("from_state")).drop("from_state"), batch_id)
