@@ -3,7 +3,7 @@
 P(word | word before) = P(class | class before) * P(unit | class) * P(word | unit).
 
 The units that are clustered are the ``frequent`` most frequent words, each on its own, and
-``endings`` groups of all other words, seen in training or not, by a hash of the last letters.
+``endings`` groups of all other words, seen in training or not, by a hash of the last bytes.
 So the units are bounded and may be broadcast, while every word has a class and its own count.
 Counts of words beyond the frequent ones stay in a table and meet the texts by a shuffle join.
 
@@ -14,7 +14,6 @@ counts of the round before; rounds read a table of unit bigrams, stored by unit,
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -27,18 +26,18 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import id_remainder, stored, table
 
-SPLIT = re.compile(r"[\x20\x09-\x0D]+")
-UPPER = {c: c + 32 for c in range(65, 91)}
 #: The end of a text; no word holds a line feed.
-END = "\n"
+END = b"\n"
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``frequent`` and ``endings`` bound the units; words of more than ``longest`` characters are
-    never among the frequent ones. ``discount`` smooths P(word | unit), ``strength`` the transitions."""
+    """``frequent`` and ``endings`` bound the units; words that occur fewer than ``least`` times have
+    too few neighbours for a class of their own and, like those of more than ``longest`` bytes,
+    are never among the frequent ones. ``discount`` smooths P(word | unit), ``strength`` the transitions."""
 
     frequent: int = 40_000
+    least: int = 5
     endings: int = 8_192
     letters: int = 4
     longest: int = 48
@@ -50,20 +49,14 @@ class Settings:
     held_remainder: int = 2
 
 
-def words(text: str | None) -> list[str]:
-    """Lower-case words (A-Z only) and the end."""
-    if not text:
-        return [END]
-    found = SPLIT.split(text.translate(UPPER) if not text.isascii() else text.lower())
-    if not found[0]:
-        found = found[1:]
-    if found and not found[-1]:
-        found.pop()
+def words(text: str | None) -> list[bytes]:
+    """UTF-8 words in lower case (A-Z only) and the end. Bytes split at the same white space."""
+    found = text.encode().lower().split() if text else []
     found.append(END)
     return found
 
 
-def word_counts(docs: DataFrame, flush: int = 500_000) -> DataFrame:
+def word_counts(docs: DataFrame, flush: int = 250_000) -> DataFrame:
     """word, c: counts over whole texts, combined in the task before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,28 +70,28 @@ def word_counts(docs: DataFrame, flush: int = 500_000) -> DataFrame:
         if seen:
             yield _counted(seen)
 
-    return docs.select("text").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("c"))
+    return docs.select("text").mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("c"))
 
 
 def _counted(seen: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(list(seen.keys()), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+        [pa.array(list(seen.keys()), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
 
 
 class Units:
     """Words to units; pickled to the workers with at most ``frequent`` words."""
 
-    def __init__(self, frequent: list[str], settings: Settings):
+    def __init__(self, frequent: list[bytes], settings: Settings):
         self.index = {w: i for i, w in enumerate(frequent)}
         self.n_frequent, self.endings, self.letters = len(frequent), settings.endings, settings.letters
 
     def __len__(self) -> int:
         return self.n_frequent + self.endings
 
-    def ending(self, word: str) -> int:
-        return self.n_frequent + zlib.crc32(word[-self.letters:].encode()) % self.endings
+    def ending(self, word: bytes) -> int:
+        return self.n_frequent + zlib.crc32(word[-self.letters:]) % self.endings
 
-    def of(self, found: list[str]) -> np.ndarray:
+    def of(self, found: list[bytes]) -> np.ndarray:
         units = np.fromiter(map(self.index.get, found, [-1] * len(found)), np.int32, len(found))
         rare = np.flatnonzero(units < 0)
         units[rare] = [self.ending(found[i]) for i in rare.tolist()]
@@ -120,7 +113,7 @@ def unit_bigrams(docs: DataFrame, units: Units, buckets: int) -> DataFrame:
                 u = of(words(text.as_py())).astype(np.int64)
                 held.append(np.concatenate([[end], u[:-1]]) * width + u)
                 size += len(u)
-                if size > 4_000_000:
+                if size > 2_000_000:
                     yield from packed(held)
                     held, size = [], 0
         if held:
@@ -140,19 +133,28 @@ def unit_bigrams(docs: DataFrame, units: Units, buckets: int) -> DataFrame:
                 yield _lists(b, side, key[at], n[at])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # What is held is summed up now and then, so it grows with distinct bigrams only.
         parts: dict[tuple[int, int], list] = {}
+        held = 0
         for batch in batches:
             for b, side, key, n in zip(*[c.to_pylist() if i < 2 else c for i, c in enumerate(batch.columns)]):
                 parts.setdefault((b, side), []).append((key.values.to_numpy(), n.values.to_numpy()))
+                held += len(key)
+                if held > 3_000_000:
+                    parts = {k: [_summed(found)] for k, found in parts.items()}
+                    held = 0
         for (b, side), found in sorted(parts.items()):
-            keys, inverse = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
-            n = np.bincount(inverse, np.concatenate([n for _, n in found])).astype(np.int64)
-            yield _lists(b, side, keys, n)
+            yield _lists(b, side, *_summed(found))
 
     schema = "bucket int, side int, keys array<bigint>, ns array<bigint>"
     return docs.select("text").mapInArrow(count, schema).repartition(buckets, "bucket").mapInArrow(merge, schema)
 
 
+def _summed(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, inverse = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+    return keys, np.bincount(inverse, np.concatenate([n for _, n in found])).astype(np.int64)
+
+
 def _lists(bucket: int, side: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     ends = pa.array([0, len(keys)], pa.int32())
     return pa.RecordBatch.from_arrays(
@@ -267,10 +269,18 @@ def score(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     counts = stored(word_counts(train), "words")
     n_all, v_all = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     # A bounded list: the most frequent words; all others take the other way below.
-    top = counts.filter((F.length("word") <= settings.longest) & (F.col("word") != END)).orderBy(
+    # Word numbers by powers of two of the count tell from which count on they must be among them.
+    power = F.floor(F.log2(F.col("c"))).alias("power")
+    least, found = settings.least, 0
+    for p, n in sorted(map(tuple, counts.groupBy(power).count().collect()), reverse=True):
+        found += n
+        if found > settings.frequent:
+            least = max(least, 1 << p)
+            break
+    top = counts.filter((F.col("c") >= least) & (F.length("word") <= settings.longest) & (F.col("word") != F.lit(END))).orderBy(
         F.desc("c"), "word").limit(settings.frequent).toArrow().to_pylist()
-    end_count = counts.filter(F.col("word") == END).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    units = Units([END, *[r["word"] for r in top]], settings)
+    end_count = counts.filter(F.col("word") == F.lit(END)).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    units = Units([END, *[bytes(r["word"]) for r in top]], settings)
     frequent_counts = np.array([end_count, *[r["c"] for r in top]], np.float64)
     shared = spark.sparkContext.broadcast(units)
 
@@ -293,7 +303,8 @@ def score(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
             F.sum("kinds").alias("kinds"), F.sum("tokens").alias("tokens")).toArrow().to_pylist():
         kinds[r["e"]], tokens[r["e"]] = r["kinds"], r["tokens"]
 
-    buckets = 48
+    # Buckets of the bigram table grow with the text, up to one for each unit.
+    buckets = max(48, min(len(units), n_all // 2_000_000))
     bigrams = stored(unit_bigrams(train, units, buckets), "bigrams", compression="zstd")
     classes, matrix = exchange(bigrams, len(units), buckets, settings)
     unit_counts = np.concatenate([frequent_counts, tokens])
@@ -339,13 +350,13 @@ def _apply(docs: DataFrame, counts: DataFrame, model: _Model, n_all: int, v_all:
                 out.append((len(found), int(m.known[frequent].sum()),
                             float(m.base[frequent].sum()) - len(found) * m.base_total, float(total), list(rare), list(rare.values())))
             cols = list(zip(*out)) or [[]] * 6
-            types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int64())]
+            types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), *[pa.array(c, t) for c, t in zip(cols, types)]], columns)
 
     parts = docs.select("doc_id", "text", "held_out").mapInArrow(
         partly, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, "
-                "rare array<string>, ns array<bigint>")
+                "rare array<binary>, ns array<bigint>")
     # Rows get a number of their own, as ids may repeat; once stored it stays the same.
     parts = stored(parts.withColumn("row", F.monotonically_increasing_id()), "parts", compression="zstd")
     rare = parts.select("row", F.explode(F.arrays_zip("rare", "ns")).alias("r")).select(

@@ -26,9 +26,14 @@ def scratch(spark: SparkSession, name: str) -> str:
 _SHIPPED: set[str] = set()
 
 
+#: Rows of one Arrow batch: with long texts, Spark's default of 10,000 holds too much at once.
+BATCH_ROWS = 1_000
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once for each application."""
+    """Send this package to the Python workers, once for each application, and bound batches."""
     context = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     if context.applicationId not in _SHIPPED:
         root = Path(__file__).parents[1]
         path = Path(tempfile.mkdtemp(prefix="spark-")) / f"{root.name}.zip"
@@ -55,6 +60,11 @@ def id_remainder(doc_id: Column, n: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(n))
 
 
+def unit(mark: Column) -> Column:
+    """A hash of 64 bits as a number from 0 to 1."""
+    return F.pmod(mark, F.lit(1 << 31)) / float(1 << 31)
+
+
 def by_bytes(texts: list[str], limit: int) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts of at most ``limit`` characters, or one longer text."""
     begin = size = 0

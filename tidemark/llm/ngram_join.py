@@ -52,10 +52,10 @@ def bands_for(threshold: float, recall: float, most_hashes: int) -> tuple[int, i
 class Grams:
     """Sets of n-grams as sorted 64-bit hashes; a bounded memo holds hashes of words."""
 
-    def __init__(self, n: int, memo: int = 400_000):
+    def __init__(self, n: int, memo: int = 200_000):
         self.n, self.memo, self.known = n, memo, {}
 
-    def of(self, found: list[str]) -> np.ndarray:
+    def of(self, found: list[bytes]) -> np.ndarray:
         if len(self.known) > self.memo:
             self.known.clear()
         known, new = self.known, xxhash.xxh64_intdigest
@@ -71,12 +71,12 @@ class Grams:
         return np.unique(g)
 
 
-def text_words(text: str | None) -> list[str]:
+def text_words(text: str | None) -> list[bytes]:
     return words(text)[:-1]
 
 
-def digest_of(found: list[str]) -> bytes:
-    return hashlib.blake2b("\n".join(found).encode(), digest_size=16).digest()
+def digest_of(found: list[bytes]) -> bytes:
+    return hashlib.blake2b(b"\n".join(found), digest_size=16).digest()
 
 
 class MinHash:
