@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import chain
 
 import numpy as np
@@ -20,6 +22,8 @@ CUT = re.compile(r" (?=\S)")
 FIRST = "\n"
 #: Pieces with white space inside, or that may be part of a special token, are encoded alone.
 OTHER = re.compile(r"[\s<]")
+#: Marks at the end of a piece that are encoded apart from the word.
+MARKS = ",.;:!?"
 #: Pieces in one run.
 RUN = 4_000
 
@@ -27,7 +31,7 @@ RUN = 4_000
 class PieceEncoder:
     """Encodes texts; ``memo`` bounds the number of pieces kept."""
 
-    def __init__(self, path: str, memo: int = 1_200_000):
+    def __init__(self, path: str, memo: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -39,9 +43,9 @@ class PieceEncoder:
         self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         # Fixed value: how byte-level vocabularies write the space.
         self.spaced[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
-        self._clear()
+        self.clear()
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
         self.known: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, np.int32)
         self.begin = np.zeros(1 << 14, np.int64)
@@ -49,8 +53,28 @@ class PieceEncoder:
         self.used = 0
 
     def _learn(self, pieces: list[str]) -> None:
-        """Encode new pieces: those without white space in long runs, told apart by the
-        space that begins each, all others one by one."""
+        """Add new pieces. A letter or number and a mark behind it never share a token, so a word
+        with marks behind it is put together from the two."""
+        single: dict[str, None] = {}
+        marked: list[str] = []
+        parts: list[str] = []
+        for p in pieces:
+            word = p.rstrip(MARKS)
+            if len(word) < len(p) and word[-1:].isalnum() and p[:1] != FIRST and not OTHER.search(p):
+                marked.append(p)
+                parts += (word, FIRST + p[len(word):])
+            else:
+                single[p] = None
+        single.update((p, None) for p in parts if p not in self.known)
+        if single:
+            self._encode(list(single))
+        if marked:
+            at = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
+            self._append(marked, self._gather(at), self.size[at].reshape(-1, 2).sum(axis=1))
+
+    def _encode(self, pieces: list[str]) -> None:
+        """Encode pieces: those without white space in long runs, told apart by the space that
+        begins each, all others one by one."""
         plain = [p for p in pieces if p[:1] != FIRST and p and not OTHER.search(p)]
         rest = [p for p in pieces if p[:1] == FIRST or not p or OTHER.search(p)]
         runs = ["".join([" " + p for p in plain[i:i + RUN]]) for i in range(0, len(plain), RUN)]
@@ -62,18 +86,27 @@ class PieceEncoder:
         joined = len(runs) - len(rest)
         cut = int(sizes[:joined].sum())
         begins = np.flatnonzero(self.spaced[flat[:cut]])
-        sizes = np.concatenate([np.diff(begins, append=cut), sizes[joined:]])
         if len(begins) != len(plain):
             raise ValueError("the vocabulary does not keep the space that begins a piece")
+        self._append(plain + rest, flat, np.concatenate([np.diff(begins, append=cut), sizes[joined:]]))
+
+    def _append(self, pieces: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
         n, m = len(self.known), len(self.known) + len(pieces)
         self.flat = _room(self.flat, self.used + len(flat))
         self.begin, self.size = _room(self.begin, m), _room(self.size, m)
         self.flat[self.used:self.used + len(flat)] = flat
         self.size[n:m] = sizes
         self.begin[n:m] = self.used + np.cumsum(sizes) - sizes
-        self.known.update(zip(plain + rest, range(n, m)))
+        self.known.update(zip(pieces, range(n, m)))
         self.used += len(flat)
 
+    def _gather(self, index: np.ndarray) -> np.ndarray:
+        """Ids of pieces, one after the other."""
+        sizes, begins = self.size[index], self.begin[index]
+        ends = np.cumsum(sizes)
+        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begins - ends + sizes, sizes)
+        return self.flat[at]
+
     def _lookup(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Index of every piece of the texts, and the number of pieces of each."""
         parts: list[str] = []
@@ -85,7 +118,7 @@ class PieceEncoder:
                 counts[i] = len(found)
                 parts += found
         if len(self.known) > self.memo:
-            self._clear()
+            self.clear()
         new = [p for p in set(parts) if p not in self.known]
         if new:
             self._learn(new)
@@ -99,10 +132,7 @@ class PieceEncoder:
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and the number of ids of each text."""
         index, counts = self._lookup(texts)
-        sizes, begins = self.size[index], self.begin[index]
-        ends = np.cumsum(sizes)
-        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begins - ends + sizes, sizes)
-        return self.flat[at], _sums(sizes, counts)
+        return self._gather(index), _sums(self.size[index], counts)
 
 
 def _room(array: np.ndarray, n: int) -> np.ndarray:
@@ -122,8 +152,13 @@ def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
 _ENCODERS: dict[str, PieceEncoder] = {}
 
 
-def encoder(path: str) -> PieceEncoder:
-    """One encoder for each worker process and vocabulary file."""
+@contextmanager
+def encoder(path: str) -> Iterator[PieceEncoder]:
+    """The worker process's encoder for a vocabulary file; its memo lasts for one task, so that
+    workers which wait for other work hold little."""
     if path not in _ENCODERS:
         _ENCODERS[path] = PieceEncoder(path)
-    return _ENCODERS[path]
+    try:
+        yield _ENCODERS[path]
+    finally:
+        _ENCODERS[path].clear()

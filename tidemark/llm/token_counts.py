@@ -27,16 +27,16 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, batch_chars:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths = encoder(tokenizer).lengths
-        for batch in batches:
-            ids, column = batch.column(0), batch.column(1)
-            texts = texts_of(column)
-            for begin, end in by_bytes(texts, batch_chars):
-                n = pa.array(lengths(texts[begin:end]), pa.int64())
-                size = pc.fill_null(pc.binary_length(column.slice(begin, end - begin)), 0).cast(pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(begin, end - begin), size, n, pc.greater(n, limit)],
-                    ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+        with encoder(tokenizer) as pieces:
+            for batch in batches:
+                ids, column = batch.column(0), batch.column(1)
+                texts = texts_of(column)
+                for begin, end in by_bytes(texts, batch_chars):
+                    n = pa.array(pieces.lengths(texts[begin:end]), pa.int64())
+                    size = pc.fill_null(pc.binary_length(column.slice(begin, end - begin)), 0).cast(pa.int64())
+                    yield pa.RecordBatch.from_arrays(
+                        [ids.slice(begin, end - begin), size, n, pc.greater(n, limit)],
+                        ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(count, SCHEMA)
 

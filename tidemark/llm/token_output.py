@@ -45,14 +45,14 @@ def write_tokens(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = _Blocks(TaskContext.get().partitionId(), block_ids)
-        ids_of = encoder(tokenizer).ids
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), texts_of(batch.column(1))
-            for begin, end in by_bytes(texts, batch_chars):
-                tokens, sizes = ids_of(texts[begin:end])
-                # The end id goes behind each document.
-                tokens = np.insert(tokens, np.cumsum(sizes), end_id)
-                yield from writer.add(ids[begin:end], tokens, sizes + 1)
+        with encoder(tokenizer) as pieces:
+            for batch in batches:
+                ids, texts = batch.column(0).to_pylist(), texts_of(batch.column(1))
+                for begin, end in by_bytes(texts, batch_chars):
+                    tokens, sizes = pieces.ids(texts[begin:end])
+                    # The end id goes behind each document.
+                    tokens = np.insert(tokens, np.cumsum(sizes), end_id)
+                    yield from writer.add(ids[begin:end], tokens, sizes + 1)
         yield from writer.close()
 
     (
