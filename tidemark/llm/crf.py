@@ -31,13 +31,14 @@ def features(word: str) -> list[int]:
 
 def word_scores(words: Sequence[str], weights: np.ndarray) -> np.ndarray:
     """Label scores of each word: mean feature weight times the root of their number."""
-    lists = [features(w) for w in words]
-    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    if not len(lists):
-        return np.zeros((0, weights.shape[1]))
-    flat = np.fromiter((f for l in lists for f in l), np.int64, int(sizes.sum()))
-    begins = np.cumsum(sizes) - sizes
-    return np.add.reduceat(weights[flat], begins, axis=0) / np.sqrt(sizes)[:, None]
+    out = np.zeros((len(words), weights.shape[1]))
+    for begin in range(0, len(words), 5_000):
+        lists = [features(w) for w in words[begin:begin + 5_000]]
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        flat = np.fromiter((f for l in lists for f in l), np.int64, int(sizes.sum()))
+        sums = np.add.reduceat(weights[flat], np.cumsum(sizes) - sizes, axis=0)
+        out[begin:begin + 5_000] = sums / np.sqrt(sizes)[:, None]
+    return out
 
 
 def _normal(x: np.ndarray) -> np.ndarray:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import crf
-from tidemark.llm.common import by_bytes, id_remainder, table, texts_of
+from tidemark.llm.common import by_bytes, id_remainder, table, texts_of, unit
 
 UNKNOWN = "und"
 
@@ -44,16 +44,21 @@ class Model:
 def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:
     """Train on documents with text and lang. Without any there are no languages to predict."""
     known = docs.filter("text is not null and lang is not null")
-    languages = sorted(r[0] for r in known.groupBy("lang").count().orderBy(
-        F.desc("count"), "lang").limit(settings.most_languages).collect())
+    counts = {r[0]: r[1] for r in known.groupBy("lang").count().orderBy(
+        F.desc("count"), "lang").limit(settings.most_languages).collect()}
+    languages = sorted(counts)
     if not languages:
         return Model([], np.zeros((1 << crf.BITS, 0)), np.zeros((0, 0)))
     quota = max(1, settings.sample // len(languages))
     mark = F.xxhash64(F.lit(settings.seed), F.col("doc_id"), F.crc32(F.col("text").cast("binary")))
     pick = Window.partitionBy("lang").orderBy("mark", "doc_id")
-    # Marks are ranked before a text is touched again; the rank limit acts before the shuffle.
+    # Marks low enough for about twice the quota are ranked, so what is ranked doesn't grow with
+    # the table.
+    low = F.lit(False)
+    for lang, n in counts.items():
+        low = low | ((F.col("lang") == lang) & (unit(F.col("mark")) < 2.0 * quota / n))
     place = F.pmod(F.col("mark"), F.greatest(F.length("text") - settings.stretch, F.lit(1))).cast("int") + 1
-    rows = known.filter(F.col("lang").isin(languages)).withColumn("mark", mark).select(
+    rows = known.withColumn("mark", mark).filter(low).select(
         "doc_id", "lang", "mark", F.col("text").substr(place, F.lit(settings.stretch)).alias("part")
     ).withColumn("r", F.row_number().over(pick)).filter(F.col("r") <= quota).orderBy("mark", "lang", "doc_id").toArrow().to_pylist()
     rng = np.random.default_rng(settings.seed)
@@ -71,7 +76,7 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:
 class Labeller:
     """Scores of words, kept in a bounded memo, and marginals of texts."""
 
-    def __init__(self, model: Model, memo: int = 400_000):
+    def __init__(self, model: Model, memo: int = 150_000):
         self.model, self.memo = model, memo
         self.known: dict[str, int] = {}
         self.scores = np.zeros((0, len(model.languages)))
@@ -114,7 +119,7 @@ def predict(
         labeller, languages = Labeller(shared.value), shared.value.languages
         for batch in batches:
             texts = texts_of(batch.column(width))
-            for begin, end in by_bytes(texts, 1 << 22):
+            for begin, end in by_bytes(texts, 1 << 20):
                 langs, scores, runs = [UNKNOWN] * (end - begin), np.zeros(end - begin), None
                 if languages:
                     p, counts = labeller.marginals(texts[begin:end])

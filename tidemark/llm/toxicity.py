@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import table, unit
 
 WORD = re.compile(r"[^\W\d_]+")
 BITS = 18
@@ -54,7 +54,7 @@ class Model:
 class Features:
     """Hashed distinct words of a text and their beginnings; a bounded memo keeps hashes."""
 
-    def __init__(self, memo: int = 400_000):
+    def __init__(self, memo: int = 200_000):
         self.memo, self.known = memo, {}
 
     def of(self, text: str) -> np.ndarray:
@@ -159,7 +159,10 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[tuple[str, Colu
     names = [n for n, _ in categories]
     mark = F.xxhash64(F.lit(settings.seed), F.col("doc_id"))
     chosen = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), *[c.cast("int").alias(n) for n, c in categories]).dropna()
-    chosen = chosen.groupBy("doc_id").agg(*[F.max(n).alias(n) for n in names]).orderBy(mark, "doc_id").limit(settings.sample)
+    chosen = chosen.groupBy("doc_id").agg(*[F.max(n).alias(n) for n in names])
+    # Marks low enough for about twice the sample are sorted, so what is sorted doesn't grow.
+    share = 2.0 * settings.sample / max(1, chosen.count())
+    chosen = chosen.filter(unit(mark) < share).orderBy(mark, "doc_id").limit(settings.sample)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
