@@ -76,7 +76,7 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:
 class Labeller:
     """Scores of words, kept in a bounded memo, and marginals of texts."""
 
-    def __init__(self, model: Model, memo: int = 150_000):
+    def __init__(self, model: Model, memo: int = 350_000):
         self.model, self.memo = model, memo
         self.known: dict[str, int] = {}
         self.scores = np.zeros((0, len(model.languages)))
@@ -119,7 +119,7 @@ def predict(
         labeller, languages = Labeller(shared.value), shared.value.languages
         for batch in batches:
             texts = texts_of(batch.column(width))
-            for begin, end in by_bytes(texts, 1 << 20):
+            for begin, end in by_bytes(texts, 1 << 21):
                 langs, scores, runs = [UNKNOWN] * (end - begin), np.zeros(end - begin), None
                 if languages:
                     p, counts = labeller.marginals(texts[begin:end])
