@@ -197,3 +197,26 @@ def test_decontamination_edges(spark):
     # Blocks of one item each give the same.
     small = decontamination.Settings(block_chars=1)
     assert rows(decontamination.matches(awkward(spark), bench, small).select("doc_id", "item_id")) == got
+
+
+def test_decontamination_finds_every_excerpt_and_short_item(spark):
+    settings = decontamination.Settings()
+    items = [(r.item_id, r.text) for r in read(spark, "benchmark").collect()]
+    index = decontamination.Index(items, settings)
+    m = settings.part + settings.stride - 1
+    for item, text in items[:8]:
+        folded = "".join(map(chr, decontamination.fold([text], 1)[0][:-1]))
+        excerpts = [f"0 zq {folded[b:b + m]} zq 0" for b in range(len(folded) - m + 1)]
+        assert excerpts and {(r[0], r[1]) for r in index.find(excerpts)} >= {(i, item) for i in range(len(excerpts))}
+    # What the long passages allow is still found: all edits in the middle, where every part meets them.
+    text = "".join(random.Random(4).choices("abcdefgh ijklmnop", k=100)).replace("  ", " x").strip()
+    doc = text[:len(text) // 2 - 4] + "99999999" + text[len(text) // 2 + 4:]
+    assert [r[1] for r in decontamination.Index([(1, text)], settings).find([doc])] == [1]
+    bench = spark.createDataFrame(
+        [(1, "Grand Prix 1950"), (2, " grand-prix, 1950!"), (3, "prix"), (4, "a"), (5, "\u65e5\u672c"), (6, "?!")], "item_id bigint, text string")
+    docs = spark.createDataFrame(
+        [(1, "The GRAND PRIX (1950)."), (2, "grand prix 19500"), (3, "a prixe"), (4, "\u65e5\u672c"), (5, "Prix. Prix"), (6, None)], "doc_id bigint, text string")
+    got = decontamination.matches(docs, bench).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 1), (1, 2), (1, 3), (2, 3), (3, 4), (4, 5), (5, 3)]
+    assert {(r.begin, r.end) for r in got if r.doc_id == 1 and r.item_id == 3} == {(10, 14)}
+    assert [r.doc_id for r in decontamination.clean(docs, bench).collect()] == [6]

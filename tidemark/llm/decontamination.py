@@ -1,11 +1,13 @@
 """Benchmark decontamination by the q-gram lemma.
 
-Benchmark items are cut into passages of at most ``longest`` characters. A text region within k
+Benchmark items are cut into passages of at most ``longest`` characters, and into parts so close
+that every run of ``part + stride - 1`` characters of an item holds a whole one. A text region within k
 edits of a passage of m characters shares at least m + 1 - q - k * q of its q-grams with it, on
 diagonals (text position less passage position) that differ by at most k. So hits are counted in
 bands of 2 * (k + 1) diagonals that overlap by half: one band holds all hits of a match. Bands that
 reach the bound are verified by banded alignment. Before hits are told apart by passage, stretches
-of text with too few hits of any passage are left out, by the same bound.
+of text with too few hits of any passage are left out, by the same bound. Items too short for
+edits are looked up where words begin.
 
 Texts and items are compared by lower-case letters and digits; all else is one space.
 """
@@ -32,12 +34,14 @@ MATCH_SCHEMA = "doc_id bigint, item_id bigint, begin bigint, end bigint, distanc
 
 @dataclass(frozen=True)
 class Settings:
-    """``rate``: edits allowed for each character of a passage. Items with fewer than ``shortest``
-    characters are too short to tell from chance and are not searched. ``block_chars`` bounds the
-    benchmark text that is held at once."""
+    """``rate``: edits allowed for each character of a passage. An exact excerpt of an item is found
+    from ``part + stride - 1`` characters on. Items with fewer than ``shortest`` characters match
+    exactly, between word borders. ``block_chars`` bounds the benchmark text that is held at once."""
 
     rate: float = 0.1
     longest: int = 128
+    part: int = 64
+    stride: int = 8
     shortest: int = 32
     block_chars: int = 2_000_000
 
@@ -85,22 +89,39 @@ def qgrams(x: np.ndarray) -> np.ndarray:
     return h * U64(FACTOR)
 
 
+def run_hashes(x: np.ndarray, begin: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the n characters from each begin on."""
+    h = np.zeros(len(begin), U64)
+    for i in range(n):
+        h = (h ^ x[begin + i]) * U64(FACTOR)
+    return h
+
+
 class Index:
     """Passages of a block of items."""
 
     def __init__(self, items: list[tuple[int, str]], settings: Settings):
         self.passages: list[np.ndarray] = []
         owner: list[int] = []
+        short: dict[int, dict[bytes, list[int]]] = {}
         for item_id, text in items:
             x, _, _ = fold([text or ""], 1)
             x = x[:-1]
             x = x[int(x[:1].sum() == 32):len(x) - int(len(x) > 1 and x[-1] == 32)]
             if len(x) < settings.shortest:
+                if len(x):
+                    short.setdefault(len(x), {}).setdefault(x.tobytes(), []).append(item_id)
                 continue
-            last = max(0, len(x) - settings.longest)
-            for begin in sorted({*range(0, last, settings.longest // 2), last}):
-                self.passages.append(x[begin:begin + settings.longest])
+            cuts = set()
+            for size, stride in ((settings.longest, settings.longest // 2), (settings.part, settings.stride)):
+                last = max(0, len(x) - size)
+                cuts |= {(begin, min(begin + size, len(x))) for begin in (*range(0, last, stride), last)}
+            for begin, end in sorted(cuts):
+                self.passages.append(x[begin:end])
                 owner.append(item_id)
+        # By size: hashes of the texts, and the items that have each text.
+        self.short = {n: (np.array([run_hashes(np.frombuffer(t, np.uint32), np.zeros(1, np.int64), n)[0] for t in texts], U64), texts)
+                      for n, texts in short.items()}
         self.owner = np.array(owner, np.int64)
         self.size = np.array([len(p) for p in self.passages], np.int64)
         # No more edits than leave one q-gram to be found.
@@ -119,9 +140,31 @@ class Index:
 
     def find(self, texts: list[str]) -> list[tuple[int, int, int, int, int, int]]:
         """(text, item, begin, end, distance, budget): the best region of each text and item."""
+        x, position, begins = fold(texts, self.gap)
+        best: dict[tuple[int, int], tuple] = {}
+        for b, e, item, d, k in (*self._words(x), *self._near(x, begins)):
+            key = (int(np.searchsorted(begins, e - 1, "right")) - 1, item)
+            found = (d, int(position[b]), int(position[e - 1]) + 1, k)
+            best[key] = min(best.get(key, found), found)
+        return [(t, i, b, e, d, k) for (t, i), (d, b, e, k) in sorted(best.items())]
+
+    def _words(self, x: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+        """Short items between word borders: begin and end among the folded, item, distance, budget."""
+        if not self.short:
+            return
+        letter = (x != 32) & (x != BREAK)
+        starts = np.flatnonzero(letter & ~np.concatenate([[False], letter[:-1]]))
+        for n, (hashes, items) in self.short.items():
+            at = starts[starts + n < len(x)]
+            at = at[~letter[at + n]]
+            for b in at[np.isin(run_hashes(x, at, n), hashes)].tolist():
+                for item in items.get(x[b:b + n].tobytes(), ()):
+                    yield b, b + n, item, 0, 0
+
+    def _near(self, x: np.ndarray, begins: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """Regions within the budget of a passage, in the same form."""
         if not len(self.owner):
             return []
-        x, position, begins = fold(texts, self.gap)
         h = qgrams(x)
         hit = self.seen.take((h >> U64(42)).view(np.int64))
         at = np.flatnonzero(self._dense(hit))
@@ -147,16 +190,14 @@ class Index:
             return []
         low = band * (self.budget[passage] + 1) - self.size[passage]
         end, distance = self._align(x, passage, low)
-        best: dict[tuple[int, int], tuple] = {}
+        found = []
         for p, e, d in zip(passage.tolist(), end.tolist(), distance.tolist()):
             if d <= self.budget[p]:
-                e = min(max(e, 1), len(x)) - 1
-                text = int(np.searchsorted(begins, e, "right")) - 1
-                b = max(e + 1 - int(self.size[p]) - d, int(begins[text]))
-                found = (d, int(position[b]), int(position[e]) + 1, int(self.budget[p]))
-                key = (text, int(self.owner[p]))
-                best[key] = min(best.get(key, found), found)
-        return [(t, i, b, e, d, k) for (t, i), (d, b, e, k) in sorted(best.items())]
+                e = min(max(e, 1), len(x))
+                text = int(np.searchsorted(begins, e - 1, "right")) - 1
+                b = max(e - int(self.size[p]) - d, int(begins[text]))
+                found.append((b, e, int(self.owner[p]), d, int(self.budget[p])))
+        return found
 
     def _dense(self, hit: np.ndarray) -> np.ndarray:
         """Hits in stretches that hold the least number any passage needs."""
@@ -215,8 +256,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings
     """One row for each document row and item that it holds, in part or whole: doc_id, item_id,
     begin and end in characters of a region that holds the match, distance and budget.
 
-    Null and empty texts, items without an id or text, and items with fewer than
-    ``settings.shortest`` characters match nothing. Repeated rows match as often as they
+    Null and empty texts and items without an id, text or word match nothing. Repeated rows match as often as they
     occur; an empty table on either side gives no rows. Each block of items is one pass.
     """
     spark, out = docs.sparkSession, None
