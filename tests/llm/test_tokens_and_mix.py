@@ -157,6 +157,28 @@ def test_mix_sources_near_their_targets(spark):
     assert all(abs(sum(t) - target) <= 6 * mixing.BLOCK_WORDS for (_, target), t in by.items())
 
 
+def test_mixed_documents_of_small_sources_near_their_targets(spark):
+    sizes = {f"s{i:02}": n for i, n in enumerate([100, 257, 600, 1, 300] * 8 + [200_000])} | {None: 120}
+    docs = spark.createDataFrame(
+        [(i * 1000 + k, "w " * min(700, n - k * 700), "en", s, 0) for i, (s, n) in enumerate(sizes.items()) for k in range(-(-n // 700))],
+        "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    goals = {r.source: r.target for r in mixing.mix(docs).sources.collect()}
+    got = dict.fromkeys(sizes, 0)
+    for r in mixing.mixed_documents(docs).collect():
+        got[r.source] += len(words(r.text))
+    for s, n in sizes.items():
+        block = n / -(-n // mixing.BLOCK_WORDS)
+        assert 0 < got[s] <= 2 * n and abs(got[s] - goals[s]) <= block, (s, n, got[s], goals[s])
+    m = mixing.mix(docs, own_blocks=True)
+    assert sum(r.to_word - r.from_word for r in m.pieces.collect()) == sum(sizes.values())
+    # Any first part of the schedule has each source's share, to less than one slot.
+    at = sorted((r.at, r.source or "") for r in m.schedule.collect())
+    for part in (0.25, 0.5, 0.9):
+        for s in {s for _, s in at}:
+            n = sum(x == s for _, x in at)
+            assert abs(sum(x == s for t, x in at if t < part) - part * n) < 1
+
+
 def test_url_edges(spark):
     pages = spark.createDataFrame([
         (1, None), (2, ""), (3, "no scheme"), (4, "http://"), (5, "HTTP://Example.ORG"), (6, "x://a.example.org/es/1?q#f"),

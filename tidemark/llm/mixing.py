@@ -6,6 +6,10 @@ the source whose stretch of the cumulative weights holds the point gets the slot
 slot takes its block r, starting again behind the last. Points of low discrepancy keep every
 stretch of the schedule close to the weights, so any prefix of the mix is mixed well.
 
+With ``own_blocks`` a source of S words has ceil(S / block_words) blocks of nearly equal size and gets
+the number of slots, one at least, whose words come nearest its target. They lie evenly over the
+schedule, so small sources meet their targets too. The registered query keeps the rule of its SQL.
+
 All running sums go in two steps, within chunks and over chunks, so no source meets in one task.
 """
 
@@ -34,7 +38,7 @@ SLOT_CHUNK = 1 << 16
 @dataclass(frozen=True)
 class Mix:
     """``docs``: every row with its source's target and its words' place in the source's order.
-    ``schedule``: slot, source, rank, turn, block. ``pieces``: the words of documents in blocks.
+    ``schedule``: slot (with own blocks ``at``, its place in the unit interval), source, rank, turn, block. ``pieces``: the words of documents in blocks.
     ``sources``: source, source_size, target, blocks. ``docs`` rows are told apart by ``place``."""
 
     docs: DataFrame
@@ -77,7 +81,7 @@ def targets(sources: DataFrame, weights: Sequence[float] = WEIGHTS, share: float
 
 def mix(
     docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE,
-    block_words: int = BLOCK_WORDS, seed: int = SEED,
+    block_words: int = BLOCK_WORDS, seed: int = SEED, own_blocks: bool = False,
 ) -> Mix:
     """Schedule a mix of ``docs`` (doc_id, text, source and other columns).
 
@@ -109,6 +113,8 @@ def mix(
     ).withColumn("mix_begin", F.col("mix_base") + F.col("mix_before")).drop(
         "mix_key", "mix_text", "mix_c", "mix_chunk", "mix_base", "mix_before", "mix_source")
 
+    if own_blocks:
+        return Mix(placed, sources, _even_schedule(sources), _even_pieces(placed, block_words))
     schedule = _schedule(docs.sparkSession, sources, block_words)
     first, last = F.expr(f"mix_begin div {block_words}"), F.expr(f"(mix_begin + mix_size - 1) div {block_words}")
     pieces = placed.filter("mix_size > 0").select(
@@ -160,6 +166,37 @@ def _schedule(spark: SparkSession, sources: DataFrame, block_words: int) -> Data
     ).filter(F.col("turn") < MOST_PASSES)
 
 
+def _even_schedule(sources: DataFrame) -> DataFrame:
+    """at, source, rank, turn, block: as many slots of nearly equal blocks as come nearest the target."""
+    position = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) * PHI
+    slots = sources.filter("source_size > 0").select(
+        "source", "blocks", (position - F.floor(position)).alias("offset"),
+        F.least(F.greatest(F.round(F.col("target") * F.col("blocks") / F.col("source_size")), F.lit(1)), F.col("blocks") * MOST_PASSES)
+        .cast("bigint").alias("slots"))
+    chunks = slots.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(slots - 1) div {SLOT_CHUNK}"))))
+    ranked = chunks.repartition("source", "chunk").withColumn("rank", F.explode(F.sequence(
+        F.col("chunk") * SLOT_CHUNK, F.least((F.col("chunk") + 1) * SLOT_CHUNK, F.col("slots")) - 1)))
+    return ranked.select(
+        ((F.col("rank") + F.col("offset")) / F.col("slots")).alias("at"), "source", "rank",
+        F.expr("rank div blocks").alias("turn"), F.expr("rank % blocks").alias("block"))
+
+
+def _even_pieces(placed: DataFrame, block_words: int) -> DataFrame:
+    """The words of documents in blocks; block b of B begins with word b * S div B of S."""
+    rows = placed.filter("mix_size > 0").select(
+        "source", "mix_begin", "mix_size", F.col("mix_source_size").cast("decimal(18,0)").alias("s"),
+        F.ceil(F.col("mix_source_size") / block_words).cast("decimal(18,0)").alias("b"))
+
+    def block_of(word: str) -> Column:
+        return F.expr(f"(cast({word} + 1 as decimal(18,0)) * b - 1) div s")
+
+    rows = rows.withColumn("block", F.explode(F.sequence(block_of("mix_begin"), block_of("mix_begin + mix_size - 1"))))
+    return rows.select(
+        "source", "mix_begin", "mix_size", "block",
+        F.greatest(F.expr("cast(block as decimal(18,0)) * s div b"), F.col("mix_begin")).alias("from_word"),
+        F.least(F.expr("cast(block + 1 as decimal(18,0)) * s div b"), F.col("mix_begin") + F.col("mix_size")).alias("to_word"))
+
+
 def taken(m: Mix) -> DataFrame:
     """Words that each turn takes of each document: source, mix_begin, mix_size, turn, from_word, to_word.
 
@@ -192,7 +229,7 @@ def mixed_documents(docs: DataFrame, **options: object) -> DataFrame:
 
     A stretch that is not the whole text keeps its words, joined by single spaces.
     """
-    m = mix(docs, **options)
+    m = mix(docs, own_blocks=True, **options)
     rows = taken(m).select(
         F.col("source").alias("mix_s"), F.col("mix_begin").alias("mix_b"), F.col("mix_size").alias("mix_z"),
         (F.col("from_word") - F.col("mix_begin")).alias("mix_from"), F.col("n").alias("mix_n"))
