@@ -27,7 +27,7 @@ def _two_arrivals(k, rows, at: str, run) -> str:
 def _dedup(k):
     rows = staging.typed(k.bronze("messages"), "messages")
     out = _two_arrivals(k, rows, "ingested_at", lambda s, o, c: twins.dedup(s, "message_id", o, c))
-    return k.spark.read.parquet(out)
+    return twins.first_per_key(read_batches(k.spark, out), "message_id")
 
 
 query("stream_dedup", "message_id conversation_id user_id device_id sequence_number:i message_text"
@@ -37,7 +37,7 @@ query("stream_dedup", "message_id conversation_id user_id device_id sequence_num
 def _daily(k):
     out = _two_arrivals(k, k.bronze("messages").select("message_id", "ingested_at"), "ingested_at",
                         lambda s, o, c: twins.daily_counts(s, o, c))
-    return newest_per_key(read_batches(k.spark, out), ["activity_date"])
+    return twins.summed_days(read_batches(k.spark, out))
 
 
 query("stream_daily_counts", "activity_date:t row_count:i", _daily,

@@ -6,28 +6,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.ordered import HOT_ROWS
-from tidemark.operators import incidents, upserts
+from tidemark.operators import incidents, staging, upserts
 from tidemark.streaming.tables import batch_writer, cut_into, drain, newest_per_key, read_batches
 
 
-def dedup(rows: DataFrame, key: str, path: str, checkpoint: str, delay: str = "14 days") -> None:
-    """Drop replays that arrive within ``delay`` of the first copy.
+def dedup(
+    rows: DataFrame, key: str, path: str, checkpoint: str, partition: str = "physical_partition_date"
+) -> None:
+    """Keep the earliest copy of each row, however late it or its replays come.
 
-    The watermark follows ingestion time, so rows with a faulty event time are kept.
-    Copies differ in ingestion time only; which of them stays depends on arrival.
+    Each batch writes the earliest of its own copies; ``first_per_key`` merges on read. There
+    is no watermark, so no row is dropped and no state is held.
     """
-    kept = rows.withWatermark("ingested_at", delay).dropDuplicatesWithinWatermark([key])
-    drain(kept, checkpoint, "append", path=path)
 
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        batch_writer(path)(staging.dedup_replay(batch, key, partition=partition), batch_id)
 
-def daily_counts(rows: DataFrame, path: str, checkpoint: str, delay: str = "3 days") -> None:
-    """Rows per ingestion day; changed days are written again with their batch."""
-    counts = (
-        rows.withWatermark("ingested_at", delay)
-        .groupBy(F.window("ingested_at", "1 day")).agg(F.count(F.lit(1)).alias("row_count"))
-        .select(F.to_date("window.start").alias("activity_date"), "row_count")
-    )
-    drain(counts, checkpoint, "update", sink=batch_writer(path))
+    drain(rows, checkpoint, "append", sink=apply)
+
+
+def first_per_key(rows: DataFrame, key: str, partition: str = "physical_partition_date") -> DataFrame:
+    """The earliest copy over all batch folders of ``dedup``."""
+    return staging.dedup_replay(rows.drop("batch_id"), key, partition=partition)
+
+
+def daily_counts(rows: DataFrame, path: str, checkpoint: str) -> None:
+    """Rows per ingestion day. Each batch writes the counts of its own rows, of whatever day;
+    ``summed_days`` adds them on read."""
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        days = batch.groupBy(F.to_date("ingested_at").alias("activity_date"))
+        batch_writer(path)(days.agg(F.count(F.lit(1)).alias("row_count")), batch_id)
+
+    drain(rows, checkpoint, "append", sink=apply)
+
+
+def summed_days(rows: DataFrame) -> DataFrame:
+    """Counts per day over all batch folders of ``daily_counts``."""
+    return rows.groupBy("activity_date").agg(F.sum("row_count").alias("row_count"))
 
 
 def late_arrivals(rows: DataFrame, event_at: str, path: str, checkpoint: str) -> None:
