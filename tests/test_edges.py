@@ -147,18 +147,33 @@ def test_lifecycle(make, statuses, want, hot_rows):
     assert [by_id[k] for k in sorted(by_id)] == want.split()
 
 
-def test_duplicates_and_baseline(make):
-    seen = make([("x", "2024-01-01 00:00:00", 0), ("x", "2024-01-01 00:00:00", 1), ("y", "2024-01-01 00:00:00", 0)],
-                "observation_id string, observed_at timestamp, arrival int")
-    assert rows(incidents.mark_duplicates(seen), "observation_id", "arrival", "is_duplicate") == [
-        ("x", 0, False), ("x", 1, True), ("y", 0, False)]
-    first = make([("jobs", "execution", "FAIL", "f", "2024-01-01 00:00:00", "1"),
-                  ("jobs", "execution", "FAIL", "f", "2024-01-01 00:01:00", "2"),
-                  ("observability", "volume", "FAIL", "g", "2024-01-01 00:00:00", "3")],
-                 "source string, category string, status string, fingerprint string, observed_at timestamp,"
-                 " observation_id string")
-    assert rows(incidents.baseline(first), "observation_id", "decision") == [
-        ("1", "NEW"), ("2", "ONGOING"), ("3", "BASELINED")]
+OBSERVED = ("source string, category string, status string, fingerprint string, observed_at timestamp,"
+            " observation_id string, arrival int, baseline boolean")
+
+
+def test_duplicates_change_nothing(make):
+    seen = make([("o", "q", "WARN", "f", "2024-01-01 00:00:00", "1", 0, False), ("o", "q", "PASS", "f", "2024-01-02 00:00:00", "2", 0, False)]
+                + [("o", "q", "PASS", "f", "2024-01-02 00:00:00", "2", n, False) for n in (1, 2, 2, 2)]
+                + [("o", "q", "PASS", "f", "2024-01-01 12:00:00", "2", 3, False), ("o", "q", "FAIL", "f", "2024-01-03 00:00:00", "3", 0, False)], OBSERVED)
+    assert rows(incidents.decide(seen), "observation_id", "arrival", "decision") == sorted(
+        [("1", 0, "NEW"), ("2", 0, "PENDING_RESOLUTION"), ("3", 0, "ONGOING"), *[("2", n, "DUPLICATE") for n in (1, 2, 2, 2, 3)]], key=repr)
+
+
+def test_baseline_hands_its_incidents_over(make):
+    first = make([("jobs", "execution", "FAIL", "f", "2024-01-01 00:00:00", "1", 0, True),
+                  ("jobs", "execution", "FAIL", "f", "2024-01-01 00:01:00", "2", 0, True),
+                  ("o", "volume", "FAIL", "g", "2024-01-01 00:00:00", "3", 0, True),
+                  ("o", "volume", "PASS", "g", "2024-01-01 00:01:00", "4", 0, True),
+                  ("o", "volume", "PASS", "g", "2024-01-02 00:00:00", "5", 0, False),
+                  ("o", "volume", "WARN", "g", "2024-01-02 00:01:00", "6", 0, False),
+                  ("o", "volume", "PASS", "h", "2024-01-01 00:00:00", "7", 0, True),
+                  ("o", "volume", "WARN", "h", "2024-01-02 00:00:00", "8", 0, False)], OBSERVED)
+    got = incidents.decide(first)
+    assert rows(got, "observation_id", "decision", "opens") == [
+        ("1", "NEW", True), ("2", "ONGOING", False), ("3", "BASELINED", True), ("4", "BASELINED", False),
+        ("5", "PENDING_RESOLUTION", False), ("6", "ONGOING", False), ("7", "BASELINED", False), ("8", "NEW", True)]
+    assert rows(incidents.episodes(got), "fingerprint", "episode_number", "observation_count") == [("f", 1, 2), ("g", 1, 3), ("h", 1, 1)]
+    assert rows(incidents.notifications(got), "fingerprint", "event_type") == [("f", "NEW"), ("h", "NEW")]
 
 
 def test_status_names(make):

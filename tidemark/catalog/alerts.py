@@ -9,7 +9,7 @@ from tidemark.catalog.registry import query
 from tidemark.operators import incidents as N
 from tidemark.operators import monitoring
 from tidemark.plans.lake import at
-from tidemark.sources.damage import CHECKPOINTS, OUTBOX, REPEATED, SNAPSHOTS
+from tidemark.sources.damage import BASELINE, CHECKPOINTS, OUTBOX, REPEATED, SNAPSHOTS
 
 _STATUS = """case upper(coalesce({c}, '')) when 'PASS' then 'PASS' when 'SUCCESS' then 'PASS'
     when 'WARN' then 'WARN' when 'WARNING' then 'WARN' when 'FAIL' then 'FAIL' when 'FAILED' then 'FAIL'
@@ -122,33 +122,52 @@ query("incident_unavailable", "fingerprint decision n:i",
       lambda k: k.decisions.groupBy("fingerprint", "decision").agg(F.count(F.lit(1)).alias("n")),
       "select fingerprint, decision, count(*) as n from decisions group by 1, 2")
 view("repeated_observations", REPEATED.format(observations="observations"))
-query("incident_duplicates", "observation_id arrival:i is_duplicate:b",
-      lambda k: N.mark_duplicates(k.repeated_observations), """
-      select observation_id, arrival, row_number() over (partition by observation_id
-                 order by observed_at, arrival) > 1 as is_duplicate from repeated_observations""")
-view("baseline_input", """
-    select case when category = 'volume' then 'jobs' else source end as source,
-           case when category = 'volume' then 'execution' else category end as category,
-           case when category = 'volume' and status = 'WARN' then 'FAIL' else status end as status,
-           fingerprint, observed_at, observation_id from observations""")
-
-
-def _baseline(k):
-    volume = F.col("category") == "volume"
-    return N.baseline(k.observations.select(
-        F.when(volume, "jobs").otherwise(F.col("source")).alias("source"),
-        F.when(volume, "execution").otherwise(F.col("category")).alias("category"),
-        F.when(volume & (F.col("status") == "WARN"), "FAIL").otherwise(F.col("status")).alias("status"),
-        "fingerprint", "observed_at", "observation_id"))
-
-
-query("incident_baseline", _DECISION, _baseline, """
-      select *, case when source <> 'jobs' or category <> 'execution' or status <> 'FAIL'
-                     then 'BASELINED'
-                     when row_number() over (partition by fingerprint, status in ('WARN', 'FAIL')
-                          order by observed_at, observation_id) = 1 then 'NEW'
-                     else 'ONGOING' end as decision
-      from baseline_input""")
+query("incident_duplicates", "observation_id arrival:i decision",
+      lambda k: k.repeated_decisions, """
+      select observation_id, arrival, case when row_number() over (partition by observation_id
+                 order by arrival, observed_at) = 1 then decision else 'DUPLICATE' end as decision
+      from repeated_observations join (select observation_id, decision from decisions) d
+           using (observation_id)""")
+view("baseline_observations", BASELINE.format(repeated="repeated_observations"))
+# The lifecycle as a literal fold: one row of each fingerprint after the other.
+view("folded_decisions", """
+    with recursive sightings as (
+        select *, row_number() over (partition by observation_id order by arrival, observed_at) as sighting
+        from baseline_observations),
+    firsts as (
+        select *, row_number() over (partition by fingerprint order by observed_at, observation_id) as turn,
+               (select max(o.at) from outages o where o.source = s.source and o.at <= s.observed_at) as outage,
+               status in ('WARN', 'FAIL') as active,
+               baseline and not (source = 'jobs' and category = 'execution' and status = 'FAIL') as quiet
+        from sightings s where sighting = 1),
+    fold as (
+        select distinct fingerprint, 0::bigint as turn, '' as observation_id, timestamp '1970-01-01' as observed_at,
+               '' as status, false as is_open, 0 as episode, 0 as passes, null::timestamp as outage,
+               '' as decision, false as opens
+        from firsts
+        union all
+        select fingerprint, turn, observation_id, observed_at, status,
+               case when opens then true when decision = 'RESOLVED' then false else was_open end,
+               episode + opens::int,
+               case when opens or (active and not quiet) then 0
+                    when decision in ('PENDING_RESOLUTION', 'RESOLVED') then so_far + 1 else so_far end,
+               outage, decision, opens
+        from (select *, active and (case when quiet then episode = 0 else not was_open end) as opens,
+                     case when quiet then 'BASELINED'
+                          when active and was_open then 'ONGOING'
+                          when active and episode = 0 then 'NEW'
+                          when active then 'RECURRING'
+                          when status <> 'PASS' then 'INSUFFICIENT_EVIDENCE'
+                          when not was_open then 'HEALTHY_NO_INCIDENT'
+                          when so_far = 1 then 'RESOLVED' else 'PENDING_RESOLUTION' end as decision
+              from (select n.*, f.is_open as was_open, f.episode,
+                           case when n.outage is distinct from f.outage then 0 else f.passes end as so_far
+                    from fold f join firsts n on n.fingerprint = f.fingerprint and n.turn = f.turn + 1) a) b)
+    select fingerprint, observation_id, observed_at, status, decision, opens from fold where turn > 0
+    union all
+    select fingerprint, observation_id, observed_at, status, 'DUPLICATE', false
+    from sightings where sighting > 1""")
+query("incident_baseline", _DECISION + " opens:b", lambda k: k.baseline_decisions, "select * from folded_decisions")
 view("numbered_decisions", """
     select *, count(*) filter (where decision in ('NEW', 'RECURRING')) over (partition by fingerprint
                order by observed_at, observation_id rows unbounded preceding) as episode_number

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog.registry import query
 from tidemark.operators import staging
-from tidemark.streaming import twins
+from tidemark.streaming import incident_state, twins
 from tidemark.streaming.tables import newest_per_key, read_batches, read_files
 
 _MIDDLE = "2024-01-16 00:00:00"
@@ -77,10 +77,14 @@ query("stream_upsert",
 
 
 def _incidents(k):
-    out = _two_arrivals(k, k.observations, "observed_at",
-                        lambda s, o, c: twins.incident_decisions(s, o, c, k.hot_rows, k.outages))
-    return k.spark.read.parquet(f"{out}/decisions")
+    """Observations, repeats ten days after their first delivery, and outages, as one stream."""
+    columns = [*incident_state.EVENT, "delivered_at"]
+    delivered = F.col("observed_at") + F.make_dt_interval(days=10 * F.col("arrival"))
+    down = incident_state.outage_events(k.outages).withColumn("delivered_at", F.col("observed_at"))
+    events = k.baseline_observations.withColumn("delivered_at", delivered).select(*columns).unionByName(down)
+    out = _two_arrivals(k, events, "delivered_at", lambda s, o, c: incident_state.incident_decisions(s, o, c, lanes=8))
+    return k.spark.read.parquet(out)
 
 
-query("stream_incidents", "observation_id fingerprint observed_at:t status decision", _incidents,
-      "select * from decisions")
+query("stream_incidents", "observation_id fingerprint observed_at:t status decision opens:b", _incidents,
+      "select * from folded_decisions")

@@ -7,10 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import first_row
 from tidemark.functions.ordered import (
     HOT_ROWS,
-    lagged,
     running,
     running_last,
     running_last_before,
@@ -87,66 +85,85 @@ def evidence_association(runs: DataFrame, snapshots: DataFrame) -> DataFrame:
     return joined.select("run_id", F.lit("UNCERTAIN").alias("status"), reason.alias("reason"))
 
 
-def mark_duplicates(observations: DataFrame) -> DataFrame:
-    """First sighting of each observation id against its repeats.
+def first_sightings(observations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Observations by their first sighting, and all repeats of an observation id.
 
-    The first sighting is found by an aggregate with map-side combine, so a heavily
-    repeated id is never sorted in one task.
+    The first is the earliest by delivery (``arrival``, where there is one), then time. Equal rows are
+    counted, and the first is found by an aggregate, so a heavily repeated id is never sorted in one task.
     """
-    first = observations.groupBy("observation_id").agg(
-        F.min(F.struct("observed_at", "arrival")).alias("first"))
-    return observations.join(first, "observation_id").withColumn(
-        "is_duplicate", F.struct("observed_at", "arrival") != F.col("first")).drop("first")
+    columns = observations.columns
+    order = [c for c in ("arrival", "observed_at") if c in columns]
+    whole = F.struct(*order, *[c for c in columns if c not in order])
+    counted = observations.groupBy(*columns).agg(F.count(F.lit(1)).alias("copies"))
+    first = counted.groupBy(F.col("observation_id").alias("seen_id")).agg(F.min(whole).alias("first"))
+    marked = counted.join(first, F.col("observation_id").eqNullSafe(F.col("seen_id"))).withColumn("is_first", whole.eqNullSafe(F.col("first")))
+    repeats = F.col("copies") - F.col("is_first").cast("bigint")
+    return (
+        marked.filter("is_first").select(*columns),
+        marked.filter(repeats > 0).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), repeats))).select(*columns))
+
+
+def with_outage(observations: DataFrame, outages: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Add ``outage_at``, the latest outage of the source up to each observation: outages run with the
+    observations through one ordered pass, so their number costs no more than as many rows."""
+    down = outages.select("source", F.col("at").alias("observed_at"), F.lit("").alias("observation_id"), F.lit(True).alias("is_outage"))
+    rows = observations.withColumn("is_outage", F.lit(False)).unionByName(down, allowMissingColumns=True)
+    # An outage comes before an observation of the same time: its id is empty.
+    swept = running(
+        rows, ["source"], ["observed_at", "observation_id"],
+        [running_last("outage_at", F.when(F.col("is_outage"), F.col("observed_at")))], hot_rows=hot_rows)
+    return swept.filter(~F.col("is_outage")).drop("is_outage")
+
+
+def is_critical() -> Column:
+    """A failed execution, which is reported even in the first batch."""
+    return (F.col("source") == "jobs") & (F.col("category") == "execution") & (F.col("status") == "FAIL")
 
 
 def decide(
     observations: DataFrame, hot_rows: int = HOT_ROWS,
     cut: Callable[[DataFrame], DataFrame] = lambda df: df, outages: DataFrame | None = None,
 ) -> DataFrame:
-    """Lifecycle decision of every observation.
+    """Lifecycle decision of every observation, and whether it ``opens`` an episode.
 
-    Needs fingerprint, source, observed_at, observation_id and status. ``outages`` (source, at)
+    Needs fingerprint, source, observed_at, observation_id and status. An id that was seen before is a
+    DUPLICATE and changes nothing; ``arrival``, where there is one, orders deliveries. ``outages`` (source, at)
     tells when a whole source was unavailable: for all incidents of that source the count of
     consecutive passes starts again. An UNAVAILABLE or UNKNOWN observation changes nothing.
-    Two passes since the last active row or outage resolve an open incident. ``cut`` may
-    write the intermediate tables so that later scans start from files.
+    Two passes since the last active row or outage resolve an open incident. Where a boolean ``baseline``
+    is true (``category`` is needed then), rows other than failed executions are BASELINED: active ones open
+    an incident without notification, passes do not count. ``cut`` may write an intermediate table.
     """
     columns = observations.columns
-    if outages is None:
-        observations = observations.withColumn("n_outages", F.lit(0))
-    else:
-        times = outages.groupBy("source").agg(F.collect_list("at").alias("down"))
-        observations = observations.join(times, "source", "left").withColumn(
-            "n_outages", F.coalesce(F.array_size(F.filter("down", lambda t: t <= F.col("observed_at"))), F.lit(0)),
-        ).drop("down")
+    rows, repeats = first_sightings(observations)
+    rows = rows.withColumn("outage_at", F.lit(None).cast("timestamp")) if outages is None else with_outage(rows, outages, hot_rows)
     key, order = ["fingerprint"], ["observed_at", "observation_id"]
     status = F.col("status")
-    active, passed = status.isin(*ACTIVE), status == "PASS"
+    quiet = F.col("baseline") & ~is_critical() if "baseline" in columns else F.lit(False)
+    active = status.isin(*ACTIVE)
+    passed = (status == "PASS") & ~quiet
     counted = cut(running(
-        observations, key, order,
-        [running_sum("n_active", active.cast("bigint")), running_sum("n_pass", passed.cast("bigint")),
-         lagged("outages_before", F.col("n_outages"))],
+        rows, key, order,
+        [running_sum("n_active", active.cast("bigint")),
+         running_last_before("effective", F.when(active | passed, F.struct(passed.alias("passed"), "outage_at")))],
         hot_rows=hot_rows))
-    # Passes up to the newest active row, or before the first row after an outage, do not count.
-    after_outage = F.col("n_outages") > F.col("outages_before")
-    based = cut(running(
-        counted, key, order,
-        [running_last("base", F.when(active, F.col("n_pass")).when(
-            after_outage, F.col("n_pass") - passed.cast("bigint")))], hot_rows=hot_rows,
-    ).withColumn("passes", F.col("n_pass") - F.coalesce("base", F.lit(0))))
+    # The second pass in a row, with no outage between the two.
+    again = passed & F.coalesce(F.col("effective.passed") & F.col("effective.outage_at").eqNullSafe(F.col("outage_at")), F.lit(False))
     # An episode stays resolved from its second consecutive pass to the next active row.
-    crossed = F.when(active, F.lit(False)).when(passed & (F.col("passes") >= 2), F.lit(True))
-    before = running(based, key, order, [running_last_before("was_resolved", crossed)], hot_rows=hot_rows)
+    crossed = F.when(active, F.lit(False)).when(again & (F.col("n_active") > 0), F.lit(True))
+    before = running(counted, key, order, [running_last_before("was_resolved", crossed)], hot_rows=hot_rows)
     was = F.coalesce("was_resolved", F.lit(False))
     decision = (
-        F.when(status.isin("UNKNOWN", "UNAVAILABLE"), "INSUFFICIENT_EVIDENCE")
+        F.when(quiet, "BASELINED")
+        .when(status.isin("UNKNOWN", "UNAVAILABLE"), "INSUFFICIENT_EVIDENCE")
         .when(active & (F.col("n_active") == 1), "NEW")
         .when(active & was, "RECURRING")
         .when(active, "ONGOING")
         .when((F.col("n_active") == 0) | was, "HEALTHY_NO_INCIDENT")
-        .when(F.col("passes") >= 2, "RESOLVED")
+        .when(again, "RESOLVED")
         .otherwise("PENDING_RESOLUTION"))
-    return before.select(*columns, decision.alias("decision"))
+    decided = before.select(*columns, decision.alias("decision"), (active & ((F.col("n_active") == 1) | (was & ~quiet))).alias("opens"))
+    return decided.unionByName(repeats.withColumns({"decision": F.lit("DUPLICATE"), "opens": F.lit(False)}))
 
 
 def source_outages(observations: DataFrame) -> DataFrame:
@@ -157,27 +174,16 @@ def source_outages(observations: DataFrame) -> DataFrame:
     ).filter(F.col("status") == "UNAVAILABLE").select("source", "at")
 
 
-def baseline(observations: DataFrame) -> DataFrame:
-    """First batch: recorded without notification, except failed executions."""
-    critical = (F.col("source") == "jobs") & (F.col("category") == "execution") & (F.col("status") == "FAIL")
-    first = observations.filter(critical).groupBy("fingerprint").agg(
-        F.min(F.struct("observed_at", "observation_id")).alias("first_fail"))
-    seen = observations.filter(F.col("status").isin(*ACTIVE)).groupBy("fingerprint").agg(
-        F.min(F.struct("observed_at", "observation_id")).alias("first_active"))
-    here = F.struct("observed_at", "observation_id")
-    return observations.join(first, "fingerprint", "left").join(seen, "fingerprint", "left").select(
-        *observations.columns,
-        F.when(~critical, "BASELINED")
-        .when(here == F.col("first_active"), "NEW").otherwise("ONGOING").alias("decision"))
+def numbered_episodes(decisions: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    return running(
+        decisions.filter(F.col("decision") != "DUPLICATE"), ["fingerprint"], ["observed_at", "observation_id"],
+        [running_sum("episode_number", F.col("opens").cast("bigint"))], hot_rows=hot_rows)
 
 
 def episodes(decisions: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row per incident episode with counts and times."""
-    starts = F.col("decision").isin("NEW", "RECURRING")
-    numbered = running(
-        decisions, ["fingerprint"], ["observed_at", "observation_id"],
-        [running_sum("episode_number", starts.cast("bigint"))], hot_rows=hot_rows)
-    counts = F.col("decision").isin("NEW", "RECURRING", "ONGOING", "PENDING_RESOLUTION", "RESOLVED")
+    numbered = numbered_episodes(decisions, hot_rows)
+    counts = F.col("opens") | F.col("decision").isin("ONGOING", "PENDING_RESOLUTION", "RESOLVED")
     newest = F.struct("observed_at", "observation_id")
     return (
         numbered.filter((F.col("episode_number") > 0) & counts)
@@ -199,10 +205,7 @@ def episode_id(digest: Column, number: Column) -> Column:
 
 def notifications(decisions: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Outbox rows for new, recurring and resolved episodes; one per episode and event."""
-    starts = F.col("decision").isin("NEW", "RECURRING")
-    numbered = running(
-        decisions, ["fingerprint"], ["observed_at", "observation_id"],
-        [running_sum("episode_number", starts.cast("bigint"))], hot_rows=hot_rows)
+    numbered = numbered_episodes(decisions, hot_rows)
     eid = episode_id(F.col("fingerprint"), F.col("episode_number"))
     return numbered.filter(F.col("decision").isin(*NOTIFIED)).select(
         F.sha2(F.concat_ws(":", eid, "decision"), 256).alias("notification_id"),
@@ -285,6 +288,3 @@ def issue_actions(issues: DataFrame) -> DataFrame:
         "category", "check_name", "reference_date", "status", "occurrence", F.explode(rows).alias("r")
     ).select("category", "check_name", "reference_date", "status", "occurrence", "r.*")
 
-
-def deduplicated(observations: DataFrame) -> DataFrame:
-    return first_row(observations, ["observation_id"], [F.col("observed_at"), F.col("arrival")])

@@ -23,6 +23,7 @@ from tidemark.functions.ordered import HOT_ROWS, lagged, position, running
 from tidemark.operators import defects, dimensions, facts, history, incidents, marts, monitoring, staging
 from tidemark.session import checkpoint_dir
 from tidemark.sources.damage import (
+    BASELINE,
     CHECKPOINTS,
     DAMAGED,
     DAMAGED_DIRTY,
@@ -543,6 +544,19 @@ class Lake:
         """Observations with some delivered twice; ``arrival`` numbers the deliveries."""
         return self.spark.sql(REPEATED, observations=self.observations)
 
+    @cached_property
+    def repeated_decisions(self) -> DataFrame:
+        return incidents.decide(self.repeated_observations, self.hot_rows, self.cut, self.outages)
+
+    @cached_property
+    def baseline_observations(self) -> DataFrame:
+        return self.spark.sql(BASELINE, repeated=self.repeated_observations)
+
+    @cached_property
+    def baseline_decisions(self) -> DataFrame:
+        """A quiet first batch hands its open incidents over to the rows after it."""
+        return incidents.decide(self.baseline_observations, self.hot_rows, self.cut, self.outages)
+
     @stored
     def outbox(self) -> DataFrame:
         return self.spark.sql(

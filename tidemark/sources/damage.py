@@ -164,6 +164,15 @@ REPEATED = """
     union all
     select *, 1 as arrival from {observations} where substring(observation_id, 1, 1) in ('0', '7')"""
 
+#: Observations whose first week is a baseline; those of volume stand for runs of jobs.
+BASELINE = """
+    select case when category = 'volume' then 'jobs' else source end as source,
+           case when category = 'volume' then 'execution' else category end as category,
+           case when category = 'volume' and status = 'WARN' then 'FAIL' else status end as status,
+           fingerprint, observed_at, observation_id, arrival,
+           observed_at < timestamp '2024-01-08 00:00:00' as baseline
+    from {repeated}"""
+
 #: Outbox rows in every delivery state.
 OUTBOX = """
     select *, available_at as created_at,

@@ -6,7 +6,6 @@ folder, so nothing is counted twice.
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,18 +42,6 @@ def batch_writer(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def cut_into(path: str, batch_id: int) -> Callable[[DataFrame], DataFrame]:
-    """Write intermediate tables of a batch and continue from their files."""
-    steps = itertools.count()
-
-    def cut(df: DataFrame) -> DataFrame:
-        folder = f"{path}/step{next(steps)}/batch_id={batch_id}"
-        df.write.mode("overwrite").parquet(folder)
-        return df.sparkSession.read.schema(df.schema).parquet(folder)
-
-    return cut
-
-
 def read_batches(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
     """Rows of the batch folders, of those before a batch if given, with ``batch_id``.
 

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.ordered import HOT_ROWS
-from tidemark.operators import incidents, staging, upserts
-from tidemark.streaming.tables import batch_writer, cut_into, drain, newest_per_key, read_batches
+from tidemark.operators import staging, upserts
+from tidemark.streaming.tables import batch_writer, drain
 
 
 def dedup(
@@ -71,66 +70,3 @@ def upsert(rows: DataFrame, key: str, path: str, checkpoint: str) -> None:
         batch_writer(path)(upserts.latest_per_key(batch, key), batch_id)
 
     drain(rows, checkpoint, "append", sink=apply)
-
-
-# Shortest observation sequence that leads to each lifecycle state.
-STATE_HISTORY = {"OPEN": ("WARN",), "PENDING": ("WARN", "PASS"), "RESOLVED": ("WARN", "PASS", "PASS")}
-
-
-def state_rows(state: DataFrame) -> DataFrame:
-    """Observations that put a fingerprint into its stored state, just before its last real one."""
-    steps = F.lit(None)
-    for name, seq in STATE_HISTORY.items():
-        steps = F.when(F.col("state") == name, F.array(*[F.lit(s) for s in seq])).otherwise(steps)
-    return state.select("fingerprint", "source", "at", F.posexplode(steps).alias("i", "status")).select(
-        "fingerprint", "source",
-        (F.col("at") - F.make_dt_interval(secs=(3 - F.col("i")).cast("decimal(18,6)") / 1_000_000)).alias("observed_at"),
-        F.concat(F.lit("state-"), F.col("i").cast("string")).alias("observation_id"),
-        "status", F.lit(True).alias("from_state"))
-
-
-def next_state(decisions: DataFrame) -> DataFrame:
-    """Lifecycle state per fingerprint after its last decision."""
-    order = F.struct("observed_at", "observation_id")
-    effective = F.col("decision") != "INSUFFICIENT_EVIDENCE"
-    last = decisions.groupBy("fingerprint").agg(
-        F.max_by("decision", F.when(effective, order)).alias("last"),
-        F.max("source").alias("source"), F.max(F.when(effective, F.col("observed_at"))).alias("at"),
-        F.bool_or(F.col("decision").isin("NEW", "ONGOING", "RECURRING")).alias("was_active"))
-    pending = F.col("last") == "PENDING_RESOLUTION"
-    state = (
-        F.when(F.col("last").isin("NEW", "ONGOING", "RECURRING"), "OPEN")
-        .when(pending, "PENDING")
-        .when(F.col("was_active"), "RESOLVED"))
-    return last.select("fingerprint", "source", "at", state.alias("state")).filter(F.col("state").isNotNull())
-
-
-def incident_decisions(
-    observations: DataFrame, path: str, checkpoint: str, hot_rows: int = HOT_ROWS,
-    outages: DataFrame | None = None,
-) -> None:
-    """Lifecycle decisions per micro-batch with the state of every fingerprint carried over.
-
-    The state is replayed as at most three rows in front of a fingerprint's new rows, so
-    the batch operator decides and a busy fingerprint is split like in batch. Batches must
-    arrive in time order per fingerprint.
-    """
-    spark = observations.sparkSession
-    work, states = f"{path}/work", f"{path}/state"
-
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        columns = ["fingerprint", "source", "observed_at", "observation_id", "status"]
-        rows = batch.select(*columns, F.lit(False).alias("from_state"))
-        known = read_batches(spark, states, before=batch_id)
-        if known is not None:
-            touched = rows.select("fingerprint").distinct()
-            current = newest_per_key(known, ["fingerprint"])
-            rows = rows.unionByName(state_rows(current.join(touched, "fingerprint", "left_semi")))
-        cut = cut_into(work, batch_id)
-        decided = cut(incidents.decide(rows, hot_rows, cut, outages))
-        # The state goes last: it marks the batch as done for the next one.
-        batch_writer(f"{path}/decisions")(
-            decided.filter(~F.col("from_state")).drop("from_state"), batch_id)
-        batch_writer(states)(next_state(decided), batch_id)
-
-    drain(observations, checkpoint, "append", sink=apply)
