@@ -160,7 +160,8 @@ def test_decontamination_finds_what_edit_distance_allows(spark):
             at, kind = rng.randrange(len(s)), rng.randrange(3)
             s[at:at + (kind != 1)] = [] if kind == 2 else [rng.choice("abcdez")]
         doc = f"{rng.choice(filler)} {''.join(s)} {rng.choice(filler)}"
-        got = {r[1]: r for r in index.find(["x", doc, "", doc[:40]]) if r[0] == 1}
+        regions = [r for r in index.find(["x", doc, "", doc[:40]]) if r[0] == 1]
+        got = {r[1]: r for r in sorted(regions, key=lambda r: -r[4])}
         folded = decontamination.fold([doc], 1)[0][:-1]
         best = [(distance(index.passages[p], folded), index.budget[p]) for p in np.flatnonzero(index.owner == item)]
         allowed = [d for d, k in best if d <= k]
@@ -168,6 +169,8 @@ def test_decontamination_finds_what_edit_distance_allows(spark):
         if allowed:
             found += 1
             assert got[item][4] == min(allowed)
+            own = sorted(r[2:4] for r in regions if r[1] == item)
+            assert all(a[1] <= b[0] for a, b in zip(own, own[1:]))
             assert 0 <= got[item][2] < got[item][3] <= len(doc)
     assert 20 < found < 80
 
@@ -217,6 +220,16 @@ def test_decontamination_finds_every_excerpt_and_short_item(spark):
     docs = spark.createDataFrame(
         [(1, "The GRAND PRIX (1950)."), (2, "grand prix 19500"), (3, "a prixe"), (4, "\u65e5\u672c"), (5, "Prix. Prix"), (6, None)], "doc_id bigint, text string")
     got = decontamination.matches(docs, bench).collect()
-    assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 1), (1, 2), (1, 3), (2, 3), (3, 4), (4, 5), (5, 3)]
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 1), (1, 2), (1, 3), (2, 3), (3, 4), (4, 5), (5, 3), (5, 3)]
     assert {(r.begin, r.end) for r in got if r.doc_id == 1 and r.item_id == 3} == {(10, 14)}
     assert [r.doc_id for r in decontamination.clean(docs, bench).collect()] == [6]
+
+
+def test_decontamination_reports_every_region(spark):
+    items = [(r.item_id, r.text) for r in read(spark, "benchmark").limit(3).collect()]
+    index = decontamination.Index(items, decontamination.Settings())
+    text = items[1][1]
+    doc = f"{text} Something else stands between the two of them here. {text}"
+    found = [r for r in index.find([doc]) if r[1] == items[1][0]]
+    assert len(found) == 2 and {r[4] for r in found} == {0}
+    assert found[0][2] < len(text) < found[1][2]

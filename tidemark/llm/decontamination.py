@@ -5,8 +5,7 @@ that every run of ``part + stride - 1`` characters of an item holds a whole one.
 edits of a passage of m characters shares at least m + 1 - q - k * q of its q-grams with it, on
 diagonals (text position less passage position) that differ by at most k. So hits are counted in
 bands of 2 * (k + 1) diagonals that overlap by half: one band holds all hits of a match. Bands that
-reach the bound are verified by banded alignment. Before hits are told apart by passage, stretches
-of text with too few hits of any passage are left out, by the same bound. Items too short for
+reach the bound are verified by banded alignment. Items too short for
 edits are looked up where words begin.
 
 Texts and items are compared by lower-case letters and digits; all else is one space.
@@ -27,6 +26,8 @@ from tidemark.llm.common import by_bytes, table, texts_of
 Q = 8
 U64 = np.uint64
 FACTOR = 0x9E3779B97F4A7C15
+#: Counters of diagonals.
+CELLS = 1 << 22
 #: A separator of texts, no letter.
 BREAK = 1
 MATCH_SCHEMA = "doc_id bigint, item_id bigint, begin bigint, end bigint, distance int, budget int"
@@ -97,12 +98,33 @@ def run_hashes(x: np.ndarray, begin: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
+def _occurrences(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct q-grams in order; for each, where its occurrences begin and how many they are; text and place of each."""
+    grams = [qgrams(t) for t in texts]
+    if not grams:
+        return np.zeros(0, U64), *[np.zeros(0, np.int64)] * 4
+    every = np.concatenate(grams)
+    order = np.argsort(every, kind="stable")
+    distinct, first, count = np.unique(every[order], return_index=True, return_counts=True)
+    return (distinct, first, count, np.repeat(np.arange(len(grams)), [len(g) for g in grams])[order],
+            np.concatenate([np.arange(len(g)) for g in grams])[order])
+
+
+def _expanded(rows: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row as often as it has occurrences, and which one it is."""
+    n = count[rows]
+    ends = np.cumsum(n)
+    return np.repeat(np.arange(len(rows)), n), np.arange(ends[-1]) - np.repeat(ends - n, n) + np.repeat(first[rows], n)
+
+
 class Index:
     """Passages of a block of items."""
 
     def __init__(self, items: list[tuple[int, str]], settings: Settings):
         self.passages: list[np.ndarray] = []
         owner: list[int] = []
+        self.part_of: list[int] = []
+        whole: list[np.ndarray] = []
         short: dict[int, dict[bytes, list[int]]] = {}
         for item_id, text in items:
             x, _, _ = fold([text or ""], 1)
@@ -112,6 +134,7 @@ class Index:
                 if len(x):
                     short.setdefault(len(x), {}).setdefault(x.tobytes(), []).append(item_id)
                 continue
+            whole.append(x)
             cuts = set()
             for size, stride in ((settings.longest, settings.longest // 2), (settings.part, settings.stride)):
                 last = max(0, len(x) - size)
@@ -119,6 +142,7 @@ class Index:
             for begin, end in sorted(cuts):
                 self.passages.append(x[begin:end])
                 owner.append(item_id)
+                self.part_of.append(len(whole) - 1)
         # By size: hashes of the texts, and the items that have each text.
         self.short = {n: (np.array([run_hashes(np.frombuffer(t, np.uint32), np.zeros(1, np.int64), n)[0] for t in texts], U64), texts)
                       for n, texts in short.items()}
@@ -128,25 +152,32 @@ class Index:
         self.budget = np.minimum((self.size * settings.rate).astype(np.int64), np.maximum(self.size - Q, 0) // Q)
         self.need = np.maximum(self.size + 1 - Q - self.budget * Q, 1)
         self.gap = int(self.budget.max(initial=0)) + 1
-        grams = [qgrams(p) for p in self.passages]
-        every = np.concatenate(grams) if grams else np.zeros(0, U64)
-        order = np.argsort(every, kind="stable")
-        self.grams, first, count = np.unique(every[order], return_index=True, return_counts=True)
-        self.first, self.count = first, count
-        self.passage = np.repeat(np.arange(len(grams)), [len(g) for g in grams])[order]
-        self.place = (np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, np.int64))[order]
+        self.grams, self.first, self.count, self.passage, self.place = _occurrences(self.passages)
+        _, self.item_first, self.item_count, self.item, self.item_place = _occurrences(whole)
+        self.item_need = np.full(len(whole), 1 << 30, np.int64)
+        np.minimum.at(self.item_need, np.array(self.part_of, np.int64), self.need)
         self.seen = np.zeros(1 << 22, bool)
         self.seen[(self.grams >> U64(42)).astype(np.int64)] = True
 
     def find(self, texts: list[str]) -> list[tuple[int, int, int, int, int, int]]:
-        """(text, item, begin, end, distance, budget): the best region of each text and item."""
+        """(text, item, begin, end, distance, budget): all regions of each text and item. Those that
+        overlap are one, with the distance and budget of the best of them."""
         x, position, begins = fold(texts, self.gap)
-        best: dict[tuple[int, int], tuple] = {}
+        parts: dict[tuple[int, int], list[tuple[int, int, int, int]]] = {}
         for b, e, item, d, k in (*self._words(x), *self._near(x, begins)):
-            key = (int(np.searchsorted(begins, e - 1, "right")) - 1, item)
-            found = (d, int(position[b]), int(position[e - 1]) + 1, k)
-            best[key] = min(best.get(key, found), found)
-        return [(t, i, b, e, d, k) for (t, i), (d, b, e, k) in sorted(best.items())]
+            text = int(np.searchsorted(begins, e - 1, "right")) - 1
+            parts.setdefault((text, item), []).append((int(position[b]), int(position[e - 1]) + 1, d, k))
+        found = []
+        for (text, item), regions in sorted(parts.items()):
+            merged: list[tuple[int, int, int, int]] = []
+            for b, e, d, k in sorted(regions):
+                if merged and b < merged[-1][1]:
+                    last = merged.pop()
+                    b, e = last[0], max(e, last[1])
+                    d, k = min((d, k), last[2:])
+                merged.append((b, e, d, k))
+            found += [(text, item, *region) for region in merged]
+        return found
 
     def _words(self, x: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
         """Short items between word borders: begin and end among the folded, item, distance, budget."""
@@ -167,19 +198,20 @@ class Index:
             return []
         h = qgrams(x)
         hit = self.seen.take((h >> U64(42)).view(np.int64))
-        at = np.flatnonzero(self._dense(hit))
+        at = np.flatnonzero(hit)
         gram = np.searchsorted(self.grams, h[at])
         gram[gram == len(self.grams)] = 0
         true = self.grams[gram] == h[at]
         at, gram = at[true], gram[true]
-        count = self.count[gram]
+        if len(at):
+            rich = self._rich(at, gram)
+            at, gram = at[rich], gram[rich]
         if not len(at):
             return []
         # Every hit once for each place of its q-gram in a passage.
-        ends = np.cumsum(count)
-        which = np.arange(ends[-1]) - np.repeat(ends - count, count) + np.repeat(self.first[gram], count)
+        row, which = _expanded(gram, self.first, self.count)
         passage = self.passage[which]
-        diagonal = np.repeat(at, count) - self.place[which]
+        diagonal = at[row] - self.place[which]
         band = (diagonal + self.size[passage]) // (self.budget[passage] + 1)
         key = passage << 40 | band
         key, n = np.unique(np.concatenate([key, key - 1]), return_counts=True)
@@ -199,17 +231,21 @@ class Index:
                 found.append((b, e, int(self.owner[p]), d, int(self.budget[p])))
         return found
 
-    def _dense(self, hit: np.ndarray) -> np.ndarray:
-        """Hits in stretches that hold the least number any passage needs."""
-        span = int((self.size + self.budget).max())
-        sums = np.concatenate([[0], np.cumsum(hit, dtype=np.int32)])
-        if len(hit) <= span:
-            return hit if sums[-1] >= self.need.min() else np.zeros_like(hit)
-        rich = np.flatnonzero(sums[span:] - sums[:-span] >= self.need.min())
-        edge = np.zeros(len(hit) + 1, np.int32)
-        edge[rich] += 1
-        edge[rich + span] -= 1
-        return hit & (np.cumsum(edge[:-1]) > 0)
+    def _rich(self, at: np.ndarray, gram: np.ndarray) -> np.ndarray:
+        """Hits on diagonals of an item that hold the least number any of its passages needs.
+
+        All hits of a match lie in two neighbouring cells of diagonals. Cells share counters by a
+        hash, which may only raise a count.
+        """
+        row, which = _expanded(gram, self.item_first, self.item_count)
+        item = self.item[which]
+        cell = (at[row] - self.item_place[which]) // self.gap + item * 1_000_003
+        counts = np.bincount(cell & (CELLS - 1), minlength=CELLS)
+        own = counts[cell & (CELLS - 1)]
+        most = own + np.maximum(counts[(cell - 1) & (CELLS - 1)], counts[(cell + 1) & (CELLS - 1)])
+        rich = np.zeros(len(at), bool)
+        rich[row[most >= self.item_need[item]]] = True
+        return rich
 
     def _align(self, x: np.ndarray, passage: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Least edits of whole passages against text in bands that begin at diagonals ``low``,
@@ -253,8 +289,8 @@ def blocks(benchmark: DataFrame, settings: Settings) -> Iterator[Index]:
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """One row for each document row and item that it holds, in part or whole: doc_id, item_id,
-    begin and end in characters of a region that holds the match, distance and budget.
+    """One row for each document row, item that it holds, in part or whole, and region: doc_id, item_id,
+    begin and end in characters of a region that holds matches, distance and budget of the best one.
 
     Null and empty texts and items without an id, text or word match nothing. Repeated rows match as often as they
     occur; an empty table on either side gives no rows. Each block of items is one pass.
