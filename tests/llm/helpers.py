@@ -7,7 +7,9 @@ import re
 SF_DIR = "/root/testdata/sf0.001"
 LOWER = {c: c + 32 for c in range(65, 91)}
 #: Columns that operators use inside, as extra columns of the input.
-CLASHES = ("size", "score", "digest", "keys", "lang_pred", "row", "n", "mix_size", "mix_begin", "key", "chunk", "held_out", "text_key")
+CLASHES = ("size", "score", "keys", "lang_pred", "row", "n", "mix_size", "mix_begin", "mix_key", "mix_text", "mix_chunk", "mix_source",
+           "mix_base", "mix_before", "keep_id", "keep_key", "keep_text", "keep_words", "llm_lang", "llm_score", "llm_text", "at", "part", "key", "chunk",
+           "held_out", "text_key", "root", "digest", "f", "z")
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 LONG = " ".join(f"word{i % 977} und{i % 31}," for i in range(20_000))
 AWKWARD = [
