@@ -173,3 +173,17 @@ def test_toxicity_chain(spark):
 def test_toxicity_query_covers_all_documents(spark, key):
     got = QUERIES[key](spark, "/root/testdata/sf0.001")
     assert rows(got.select("doc_id")) == rows(read(spark, "documents").select("doc_id"))
+
+
+def test_numbers_are_no_letters(spark):
+    model = language_id.fit(read(spark, "documents"))
+    docs = spark.createDataFrame([(1, "\u00bd \u00b2 \u2460 12 !_"), (2, "\u4e8c"), (3, "a\u00bdb")], "doc_id bigint, text string")
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(docs, model, ["doc_id"]).collect()}
+    assert got[1] == "und" and got[2] != "und" and got[3] != "und"
+    assert crf.WORD.findall("a\u00bdb \u4e8c3") == ["a", "b", "\u4e8c"]
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, f"wort{i} sprache{i} " * 20, f"l{i:03}") for i in range(230)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert len(model.languages) == 230

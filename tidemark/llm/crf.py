@@ -9,12 +9,16 @@ forward-backward in probabilities.
 from __future__ import annotations
 
 import re
+import sys
 import zlib
 from collections.abc import Sequence
 
 import numpy as np
 
-WORD = re.compile(r"[^\W\d_]+")
+#: Numbers that are neither letters nor digits, such as fractions and circled numbers.
+NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+#: A word is a run of letters.
+WORD = re.compile(rf"[^\W\d_{NUMBERS}]+")
 BITS = 17
 
 

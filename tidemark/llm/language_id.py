@@ -15,22 +15,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm import crf
 from tidemark.llm.common import by_bytes, id_remainder, table, texts_of, unit
 
 UNKNOWN = "und"
+#: Weights of a model stay below 2 GB.
+MOST_LABELS = 4_000
 
 
 @dataclass(frozen=True)
 class Settings:
-    """The sample: at most ``sample`` documents in all, evenly over the languages and chosen by a
-    hash of the id, and of each a stretch of ``stretch`` characters from a hashed place."""
+    """The sample: at most ``sample`` documents in all (one for each language at least), evenly over the
+    languages and chosen by a hash of the id, and of each a stretch of ``stretch`` characters from a hashed place."""
 
     sample: int = 1600
     stretch: int = 1600
     run: int = 24
-    most_languages: int = 200
     seed: int = 3
 
 
@@ -42,11 +44,13 @@ class Model:
 
 
 def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:
-    """Train on documents with text and lang. Without any there are no languages to predict."""
+    """Train on documents with text and lang. Without any there are no languages to predict; with more
+    labels than the weights of a model can hold it is an error."""
     known = docs.filter("text is not null and lang is not null")
-    counts = {r[0]: r[1] for r in known.groupBy("lang").count().orderBy(
-        F.desc("count"), "lang").limit(settings.most_languages).collect()}
-    languages = sorted(counts)
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    languages = sorted(r["lang"] for r in counts.limit(MOST_LABELS + 1).collect())
+    if len(languages) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} languages")
     if not languages:
         return Model([], np.zeros((1 << crf.BITS, 0)), np.zeros((0, 0)))
     quota = max(1, settings.sample // len(languages))
@@ -54,11 +58,9 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:
     pick = Window.partitionBy("lang").orderBy("mark", "doc_id")
     # Marks low enough for about twice the quota are ranked, so what is ranked doesn't grow with
     # the table.
-    low = F.lit(False)
-    for lang, n in counts.items():
-        low = low | ((F.col("lang") == lang) & (unit(F.col("mark")) < 2.0 * quota / n))
+    low = unit(F.col("mark")) < 2.0 * quota / F.col("n")
     place = F.pmod(F.col("mark"), F.greatest(F.length("text") - settings.stretch, F.lit(1))).cast("int") + 1
-    rows = known.withColumn("mark", mark).filter(low).select(
+    rows = known.select("doc_id", "text", "lang", mark.alias("mark")).join(counts, "lang").filter(low).select(
         "doc_id", "lang", "mark", F.col("text").substr(place, F.lit(settings.stretch)).alias("part")
     ).withColumn("r", F.row_number().over(pick)).filter(F.col("r") <= quota).orderBy("mark", "lang", "doc_id").toArrow().to_pylist()
     rng = np.random.default_rng(settings.seed)
@@ -140,9 +142,8 @@ def predict(
                 yield pa.RecordBatch.from_arrays(columns, [*keep, *names][:len(columns)])
 
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("llm_text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:width]]
-    schema = ", ".join([*fields, f"{names[0]} string", f"{names[1]} double", *([f"{names[2]} {SPANS}"] if spans else [])])
-    return rows.mapInArrow(label, schema)
+    added = f"{names[0]} string, {names[1]} double" + (f", {names[2]} {SPANS}" if spans else "")
+    return rows.mapInArrow(label, T.StructType([*rows.schema.fields[:width], *T.StructType.fromDDL(added).fields]))
 
 
 def _runs(p: np.ndarray, counts: np.ndarray, names: list[str]) -> list[list[dict]]:
@@ -167,9 +168,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def accepted(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The documents, with all columns, whose language is known with a score of ``least`` or more."""
+    """The documents, with all columns whatever their names, whose language is known with a score of ``least`` or more."""
     model = fit(docs.filter(~held_out(F.col("doc_id"))))
-    columns = docs.columns
-    names = ("llm_lang", "llm_score", "llm_spans")
-    return predict(docs, model, columns, names=names).filter(
-        (F.col("llm_lang") != UNKNOWN) & (F.col("llm_score") >= least)).select(*columns)
+    rows = predict(docs.select(F.struct("*").alias("row"), "text"), model, ["row"])
+    return rows.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")

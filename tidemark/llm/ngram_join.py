@@ -257,12 +257,16 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def one_of_each(docs: DataFrame, **options: object) -> DataFrame:
     """One document of each group of linked texts, the one of the least id (null last); all
-    documents without words. Of repeated rows with that id and text, one stays."""
+    documents without words. Of repeated rows with that id and text, the one whose other columns come
+    first as JSON stays. Columns of any name are left alone: rows are carried whole."""
     j = join(docs, **options)
     first = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_key")
     best = j.members.filter("digest is not null").join(j.classes.select("digest", "root"), "digest").groupBy("root").agg(
         F.min(first).alias("f")).select(F.col("f.doc_id").alias("keep_id"), F.col("f.text_key").alias("keep_key"))
-    keyed = docs.withColumns({"keep_text": F.md5(F.coalesce("text", F.lit(""))), "keep_words": F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))})
-    met = keyed.filter("keep_words").join(
-        best, (F.col("keep_text") == F.col("keep_key")) & docs["doc_id"].eqNullSafe(F.col("keep_id"))).dropDuplicates(["keep_id", "keep_key"])
-    return met.select(*docs.columns).unionByName(keyed.filter("not keep_words").select(*docs.columns))
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    keyed = docs.select(
+        F.struct("*").alias("row"), F.col("doc_id").alias("own_id"), F.md5(F.coalesce("text", F.lit(""))).alias("own_key"),
+        F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("has_words"), F.to_json(F.struct(*others)).alias("rest"))
+    met = keyed.filter("has_words").join(best, (F.col("own_key") == F.col("keep_key")) & F.col("own_id").eqNullSafe(F.col("keep_id")))
+    kept = met.groupBy("keep_id", "keep_key").agg(F.min_by("row", "rest").alias("row"))
+    return kept.select("row").unionByName(keyed.filter("not has_words").select("row")).select("row.*")
