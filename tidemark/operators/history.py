@@ -291,10 +291,16 @@ def apply_patch(state: DataFrame, patch: DataFrame) -> DataFrame:
 
 
 def unknown_references(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
-    """Distinct keys of ``rows`` that are absent from ``known``."""
+    """Distinct keys of ``rows`` that are absent from ``known``; a null key is."""
     return rows.select(key).distinct().join(known.select(key), key, "left_anti")
 
 
+def unsupported_fields(updates: DataFrame) -> DataFrame:
+    """Updates of fields that are no part of a user's state."""
+    field = F.col("field_name")
+    return updates.filter(field.isNull() | ~field.isin(*schemas.UPDATE_FIELDS))
+
+
 def state_by_pivot(users: DataFrame, updates: DataFrame) -> DataFrame:
     """Current state where a null newest value falls back to the signup value."""
     latest = latest_updates(updates)

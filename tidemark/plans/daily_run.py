@@ -1,4 +1,4 @@
-"""One day's load and the transformation layers in order.
+"""One day's load, checked before and after; ``incremental`` brings the facts up to date from it.
 
 Everything is checked before anything is written, data goes before its marker, and a
 repeated day changes nothing: the daily counts are the marker and are written last.
@@ -12,12 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import schemas
-from tidemark.operators import upserts
+from tidemark.operators import history, upserts
 from tidemark.operators.monitoring import union_all
-from tidemark.plans.lake import Lake
 from tidemark.sources import partitions
 
 
+class UpdateError(ValueError):
+    """A user update names an unsupported field or an unknown user."""
+
+
+class MarkerError(RuntimeError):
+    """The day's marker does not hold what was loaded."""
+
+
 class DateSequenceError(ValueError):
     """The run date does not follow the completed days."""
 
@@ -54,6 +61,30 @@ def validate_batch(entity: str, batch: DataFrame, day: date) -> DataFrame:
     return fitted
 
 
+def guard_updates(spark: SparkSession, root: str, fitted: dict[str, DataFrame]) -> None:
+    """Fail before any write if an update can't be applied: users may come with the same batch."""
+    updates = fitted.get("user_updates")
+    if updates is None:
+        return
+    odd = history.unsupported_fields(updates).select("field_name").limit(1).collect()
+    if odd:
+        raise UpdateError(f"unsupported field_name: {odd[0]['field_name']!r}")
+    known = [fitted["users"].select("user_id")] if "users" in fitted else []
+    if partitions.table_exists(spark, f"{root}/bronze/users"):
+        known.append(spark.read.parquet(f"{root}/bronze/users").select("user_id"))
+    users = union_all(known) if known else updates.select("user_id").limit(0)
+    unknown = history.unknown_references(updates, users, "user_id").limit(1).collect()
+    if unknown:
+        raise UpdateError(f"unknown user_id: {unknown[0]['user_id']!r}")
+
+
+def check_marker(spark: SparkSession, root: str, day: date, loaded: dict[str, int]) -> None:
+    """Read the marker again: one row of the day for each entity, with the rows that were loaded."""
+    rows = spark.read.parquet(_counts_path(root)).filter(F.col("activity_date") == F.lit(day)).collect()
+    if sorted((r["entity"], r["row_count"]) for r in rows) != sorted(loaded.items()):
+        raise MarkerError(f"{day}: marker differs from what was loaded")
+
+
 def run_day(
     spark: SparkSession, root: str, day: date, batches: dict[str, DataFrame]
 ) -> dict[str, object]:
@@ -63,6 +94,7 @@ def run_day(
     if mode == "retry":
         return {"status": "ALREADY_COMPLETED", "day": day}
     fitted = {e: validate_batch(e, batches[e], day) for e in entities}
+    guard_updates(spark, root, fitted)
     loaded = partitions.append_entities(fitted, f"{root}/bronze")
     marker = union_all([
         spark.range(1).select(F.lit(e).alias("entity"), F.lit(day).alias("activity_date"),
@@ -70,29 +102,5 @@ def run_day(
         for e in entities])
     marker.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
         "activity_date").parquet(_counts_path(root))
+    check_marker(spark, root, day, {e: loaded.get(e, 0) for e in entities})
     return {"status": "COMPLETED", "day": day, "mode": mode, "rows": loaded}
-
-
-#: Layers in the order they are built; each starts from the stored tables of the one before.
-LAYERS = {
-    "staging": ("stg_users", "stg_user_updates", "stg_conversations", "stg_messages",
-                "stg_completions", "stg_inferences", "stg_feedback", "stg_errors",
-                "stg_subscriptions", "stg_purchases", "stg_payments"),
-    "history": ("current_user_state", "user_state_history", "user_snapshot"),
-    "dimensions": ("dim_user", "dim_user_sensitive", "dim_date", "dim_device", "dim_model", "dim_plan"),
-    "facts": ("fact_conversation", "fact_message", "fact_completion", "fact_inference",
-              "fact_feedback", "fact_error", "fact_subscription", "fact_purchase", "fact_payment"),
-    "marts": ("gold_product", "gold_user_activity", "gold_ml", "gold_finance"),
-    "monitoring": ("dq_freshness", "dq_volume", "dq_quality", "dq_reconciliation"),
-    "incidents": ("observations", "decisions", "outbox"),
-}
-
-
-def build_layers(lake: Lake, until: str = "incidents") -> dict[str, DataFrame]:
-    """Build every table up to a layer and return them by name."""
-    tables = {}
-    for layer, names in LAYERS.items():
-        tables |= {n: getattr(lake, n) for n in names}
-        if layer == until:
-            break
-    return tables

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
@@ -53,16 +53,6 @@ def parse_lenient(df: DataFrame, column: str, schema: T.StructType) -> DataFrame
     return df.select(F.from_json(column, wide, options).alias("r")).select("r.*")
 
 
-def event_time(entity: str) -> Column:
-    """First non-null event-time column of an entity."""
-    return F.coalesce(*[F.col(c) for c in schemas.EVENT_TIMES[entity]])
-
-
-def with_partition(df: DataFrame) -> DataFrame:
-    """Partition by the UTC day of ingestion."""
-    return df.withColumn("dt", F.to_date("ingested_at"))
-
-
 def partition_mismatch(df: DataFrame) -> DataFrame:
     """Rows whose partition is not their ingestion day."""
     return df.filter(~F.col("dt").eqNullSafe(F.to_date("ingested_at")))
@@ -176,11 +166,33 @@ def append_entities(batches: dict[str, DataFrame], root: str) -> dict[str, int]:
         if batch is None or batch.isEmpty():
             continue
         target = schemas.entity_schema(entity)
-        append_partitions(conform(batch, target), f"{root}/{entity}")
-        loaded[entity] = verified_count(batch, f"{root}/{entity}")
+        loaded[entity] = observed_append(conform(batch, target), f"{root}/{entity}")
     return loaded
 
 
+def observed_append(df: DataFrame, path: str) -> int:
+    """Load partitions and return their rows, counted while they were written and read again after.
+
+    The batch is evaluated once: its count and days come with the write itself.
+    """
+    written = Observation()
+    days = F.collect_set("dt")
+    append_partitions(df.observe(written, F.count(F.lit(1)).alias("rows"), days.alias("days")), path)
+    counted = written.get
+    found = df.sparkSession.read.parquet(path).filter(F.col("dt").isin(list(counted["days"]))).count()
+    if found != counted["rows"]:
+        raise SchemaMismatch(f"{path}: {counted['rows']} rows written, {found} read")
+    return found
+
+
+def drop_partitions(spark: SparkSession, path: str, column: str, days: Sequence[date | None]) -> None:
+    """Remove partitions whose rows have all gone; plain files have no statement for it."""
+    for day in days:
+        value = "__HIVE_DEFAULT_PARTITION__" if day is None else day.isoformat()
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{column}={value}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def verified_count(batch: DataFrame, path: str) -> int:
     """Rows of the batch's partitions, checked to be equal before and after the write."""
     spark = batch.sparkSession
