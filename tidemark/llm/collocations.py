@@ -1,9 +1,9 @@
 """Collocations: phrases of two to five words that occur together more often than their parts explain.
 
-Phrases are counted level by level. A phrase can only be frequent if its shorter parts are, so each
-level counts only where the one before leaves a chance. What a level found goes to the tasks as a bitmap of
-fixed size over hashes, which lets everything frequent pass; exact counts decide afterwards. Every
-task counts in a trie (``hat_trie``) and lets subtrees go as sorted runs, which are merged per prefix.
+A phrase can only be frequent if its words and pairs of words are. So words are counted first, then hashes
+of the pairs of frequent words; both go to the tasks as bitmaps of fixed size, which let everything frequent
+pass. Phrases whose pairs all pass are counted exactly: every task counts in a trie (``hat_trie``) and lets
+subtrees go as sorted runs, which are merged per prefix. What shares a hash is told apart there.
 """
 
 from __future__ import annotations
@@ -26,8 +26,10 @@ from tidemark.llm.hat_trie import HatTrie
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 #: Lower case for A-Z, one sign for all ends of pieces, a space for a tab.
 PLAIN = bytes(10 if c in PIECE_ENDS else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
-#: Factor of the rolling hash over the words of a phrase; products stay below 2**53.
-FACTOR, MODULUS = 1_000_003, 1 << 32
+#: Factors of the hash of a pair, of which the upper 44 bits are kept: 12 tell the part, 32 the place in it.
+U64 = np.uint64
+FACTORS = (U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0xD6E8FEB86659FD93))
+PAIR_BITS, PART_BITS = 44, 12
 BLOCK_BITS = 1 << 16
 
 RUN_SCHEMA = "prefix bigint, lang string, phrase string, n bigint"
@@ -36,24 +38,24 @@ RUN_SCHEMA = "prefix bigint, lang string, phrase string, n bigint"
 @dataclass(frozen=True)
 class Settings:
     """``least``: occurrences of a candidate; ``share``: per cent of its count a longer candidate needs to
-    replace it; ``top`` rows a language; ``levels``: the lengths counted in one pass over the texts.
-    ``bits`` is the size of the bitmap of a level, ``burst`` and ``keys`` bound the trie of a task."""
+    replace it; ``top`` rows a language; ``longest`` phrase in words.
+    ``bits`` is the size of a bitmap, ``burst`` and ``keys`` bound the trie of a task."""
 
     least: int = 100
     share: int = 100
     top: int = 2_000
-    levels: tuple[tuple[int, ...], ...] = ((2,), (3,), (4, 5))
+    longest: int = 5
     bits: int = 1 << 26
     burst: int = 4_096
-    keys: int = 300_000
+    keys: int = 200_000
 
 
-def pieces(text: bytes) -> list[list[bytes]]:
-    """Words of each piece, in lower case."""
-    return [piece.split() for piece in text.translate(PLAIN).split(b"\n")]
+def tokens(text: bytes) -> list[bytes]:
+    """Words in lower case, a line feed at each end of a piece, and empty ones where spaces meet."""
+    return text.translate(PLAIN).replace(b"\n", b" \n ").split(b" ")
 
 
-def word_counts(docs: DataFrame, flush: int = 250_000) -> DataFrame:
+def word_counts(docs: DataFrame, flush: int = 150_000) -> DataFrame:
     """lang, phrase, n of all words, combined in the task before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,15 +77,8 @@ def _words(lang: str, seen: Counter) -> pa.RecordBatch:
         [pa.array([lang] * len(seen), pa.string()), pa.array(list(seen.keys()), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["lang", "phrase", "n"])
 
 
-def _hash(lang: Column, words: Column) -> Column:
-    """The rolling hash of a phrase, as ``Words`` has it."""
-    one = lambda w: F.crc32(F.concat(lang, F.lit("\0"), w).cast("binary"))
-    return F.aggregate(words, F.lit(0).cast("bigint"), lambda h, w: F.pmod(h * F.lit(FACTOR).cast("bigint") + one(w), F.lit(MODULUS).cast("bigint")))
-
-
-def bitmap(phrases: DataFrame, bits: int) -> np.ndarray:
-    """One bit for each hash of a phrase, put together in blocks; ``bits`` / 8 bytes whatever the input."""
-    slot = F.pmod(_hash(F.col("lang"), F.split("phrase", " ")), F.lit(bits))
+def bitmap(slots: DataFrame, bits: int) -> np.ndarray:
+    """One bit for each ``slot``, put together in blocks; ``bits`` / 8 bytes whatever the input."""
     width = min(BLOCK_BITS, bits)
 
     def block(found: pd.DataFrame) -> pd.DataFrame:
@@ -91,13 +86,17 @@ def bitmap(phrases: DataFrame, bits: int) -> np.ndarray:
         marks[found["slot"].to_numpy() % width] = True
         return pd.DataFrame({"block": [found["block"].iloc[0]], "marks": [np.packbits(marks).tobytes()]})
 
-    slots = phrases.select(slot.alias("slot")).distinct().withColumn("block", F.expr(f"slot div {width}"))
+    blocks = slots.distinct().withColumn("block", F.expr(f"slot div {width}"))
     out = np.zeros((bits // width, width // 8), np.uint8)
-    for row in slots.groupBy("block").applyInPandas(block, "block bigint, marks binary").toLocalIterator():
+    for row in blocks.groupBy("block").applyInPandas(block, "block bigint, marks binary").toLocalIterator():
         out[row["block"]] = np.frombuffer(row["marks"], np.uint8)
     return out.reshape(-1)
 
 
+def word_slots(words: DataFrame, bits: int) -> DataFrame:
+    return words.select(F.pmod(F.crc32(F.concat("lang", F.lit("\0"), "phrase").cast("binary")), F.lit(bits)).alias("slot"))
+
+
 def _set(marks: np.ndarray, slots: np.ndarray) -> np.ndarray:
     return (marks[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8) & 1).astype(bool)
 
@@ -105,8 +104,8 @@ def _set(marks: np.ndarray, slots: np.ndarray) -> np.ndarray:
 class Words:
     """Ids of the words of a task that may be frequent; -1 for all others."""
 
-    def __init__(self, marks: np.ndarray, forget: int = 500_000):
-        self.marks, self.forget = marks, forget
+    def __init__(self, marks: np.ndarray, forget: int = 150_000):
+        self.marks, self.bits, self.forget = memoryview(marks), len(marks) * 8, forget
         self.names: list[bytes] = []
         self.langs: list[str] = []
         self.hashes: list[int] = []
@@ -119,7 +118,8 @@ class Words:
 
     def new(self, lang: str, word: bytes) -> int:
         h = zlib.crc32(lang.encode() + b"\0" + word)
-        if not _set(self.marks, np.array([h % (len(self.marks) * 8)]))[0]:
+        slot = h % self.bits
+        if not self.marks[slot >> 3] >> (7 - (slot & 7)) & 1:
             return -1
         self.names.append(word)
         self.langs.append(lang)
@@ -128,15 +128,15 @@ class Words:
 
     def trim(self) -> None:
         """Forget rare words now and then; ids stay."""
-        for lang, known in self.known.items():
-            if len(known) > self.forget:
-                kept = _Known(self, lang)
+        if sum(map(len, self.known.values())) > self.forget:
+            for lang, known in self.known.items():
+                kept = self.known[lang] = _Known(self, lang)
                 kept.update((w, i) for w, i in known.items() if i >= 0)
-                self.known[lang] = kept
 
 
 class _Known(dict):
     def __init__(self, words: Words, lang: str):
+        super().__init__({b"\n": -1, b"": -2})
         self.words, self.lang = words, lang
 
     def __missing__(self, word: bytes) -> int:
@@ -144,36 +144,87 @@ class _Known(dict):
         return found
 
 
-def _stream(texts: Iterator[tuple[str, bytes]], words: Words) -> np.ndarray:
-    """Word ids of the texts, -1 after each piece."""
-    flat: list[int] = []
-    for lang, text in texts:
-        get = words.of(lang).__getitem__
-        for found in pieces(text):
-            if len(found) > 1:
-                flat.extend(map(get, found))
-                flat.append(-1)
-    return np.array(flat, np.int64)
-
-
-def _begins(ids: np.ndarray, hashes: np.ndarray, marks: np.ndarray | None, known: int, k: int) -> np.ndarray:
-    """Positions at which ``k`` words begin whose parts of ``known`` words may all be frequent."""
-    if len(ids) < k:
-        return np.zeros(0, np.int64)
-    word = ids >= 0
-    ok = word
-    if marks is not None:
-        h = np.where(word, hashes[np.maximum(ids, 0)], 0)
-        rolled, ok = h, word
-        for j in range(1, known):
-            rolled = (rolled[:-1] * FACTOR + h[j:]) % MODULUS
-            ok = ok[:-1] & word[j:]
-        ok = ok.copy()
-        at = np.flatnonzero(ok)
-        ok[at] = _set(marks, rolled[at] % (len(marks) * 8))
-    span = k - known + 1 if marks is not None else k
-    whole = ok[:len(ids) - k + 1].copy()
-    for j in range(1, span):
+def _streams(batches: Iterator[pa.RecordBatch], words: Words, chars: int) -> Iterator[np.ndarray]:
+    """Word ids of some texts at a time, -1 between pieces; no list of ids is larger than a text or ``chars``."""
+    held: list[np.ndarray] = []
+    size = 0
+    for batch in batches:
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            found = tokens(text.as_py())
+            ids = np.fromiter(map(words.of(lang).__getitem__, found), np.int64, len(found))
+            held += [ids[ids != -2], END]
+            size += len(ids)
+            if size > chars // 6:
+                yield np.concatenate(held)
+                words.trim()
+                held, size = [], 0
+    if held:
+        yield np.concatenate(held)
+
+
+END = np.array([-1], np.int64)
+
+
+def _pairs(ids: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where two words follow each other, and the hashes of these pairs."""
+    at = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
+    h = hashes[ids[at]] * FACTORS[0] + hashes[ids[at + 1]] * FACTORS[1]
+    h = (h ^ (h >> U64(29))) * FACTORS[2]
+    return at, h >> U64(64 - PAIR_BITS)
+
+
+def pair_slots(docs: DataFrame, words: Broadcast, settings: Settings, chars: int = 1 << 22) -> DataFrame:
+    """slot of each hash of two neighbouring words that occurs ``least`` times or more.
+
+    Hashes travel packed by part; a part meets in one task and holds one hash in 2**12.
+    """
+    low_bits = U64((1 << (PAIR_BITS - PART_BITS)) - 1)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = Words(words.value)
+        for stream in _streams(batches, ids, chars):
+            _, h = _pairs(stream, np.array(ids.hashes or [0], U64))
+            if len(h):
+                h, n = np.unique(h, return_counts=True)
+                part = (h >> U64(PAIR_BITS - PART_BITS)).astype(np.int64)
+                filled, first = np.unique(part, return_index=True)
+                low, ends = (h & low_bits).astype(np.uint32), [*first[1:].tolist(), len(h)]
+                cuts = list(zip(first.tolist(), ends))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(filled, pa.int64()), pa.array([low[b:e].tobytes() for b, e in cuts], pa.binary()),
+                     pa.array([n[b:e].astype(np.uint32).tobytes() for b, e in cuts], pa.binary())], ["part", "low", "n"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, held = None, []
+        for batch in batches:
+            for part, low, n in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                if part != own:
+                    yield from frequent_of(own, held)
+                    own, held = part, []
+                held.append((np.frombuffer(low.as_buffer(), np.uint32), np.frombuffer(n.as_buffer(), np.uint32)))
+                if len(held) > 200:
+                    held = [_summed(held)]
+        yield from frequent_of(own, held)
+
+    def frequent_of(part: int | None, held: list) -> Iterator[pa.RecordBatch]:
+        if held:
+            low, n = _summed(held)
+            slots = ((part << (PAIR_BITS - PART_BITS)) + low[n >= settings.least].astype(np.int64)) % settings.bits
+            yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64())], ["slot"])
+
+    packed = docs.mapInArrow(count, "part bigint, low binary, n binary")
+    return packed.repartition("part").sortWithinPartitions("part").mapInArrow(merge, "slot bigint")
+
+
+def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    low, inverse = np.unique(np.concatenate([l for l, _ in held]), return_inverse=True)
+    return low, np.bincount(inverse, np.concatenate([n for _, n in held]), len(low)).astype(np.int64)
+
+
+def _begins(ids: np.ndarray, ok: np.ndarray, k: int) -> np.ndarray:
+    """Positions at which ``k`` words begin whose pairs are all ``ok``."""
+    whole = ok[:max(len(ids) - k + 1, 0)].copy()
+    for j in range(1, k - 1):
         whole &= ok[j:j + len(whole)]
     return np.flatnonzero(whole)
 
@@ -186,47 +237,35 @@ def _distinct(ids: np.ndarray, begins: np.ndarray, k: int) -> tuple[np.ndarray,
     return ids[begins[first][:, None] + np.arange(k)], np.bincount(rank)
 
 
-def count_phrases(
-    docs: DataFrame, lengths: tuple[int, ...], words: Broadcast, parts: Broadcast | None, known: int, settings: Settings, chars: int = 1 << 22,
-) -> DataFrame:
-    """lang, phrase, n of the phrases of these lengths that occur ``least`` times or more.
+def count_phrases(docs: DataFrame, words: Broadcast, pairs: Broadcast, settings: Settings, chars: int = 1 << 22) -> DataFrame:
+    """lang, phrase, n of the phrases of two words or more that occur ``least`` times or more.
 
-    ``words`` is the bitmap of frequent words, ``parts`` that of frequent phrases of ``known`` words.
+    ``words`` and ``pairs`` are the bitmaps of frequent words and pairs.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, trie = Words(words.value), HatTrie(settings.burst, settings.keys)
-        held: list[tuple[str, bytes]] = []
-        size = 0
-        for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                held.append((lang, text.as_py()))
-                size += len(held[-1][1])
-                if size > chars:
-                    yield from add(held, ids, trie)
-                    held, size = [], 0
-        yield from add(held, ids, trie)
-        yield from _runs(trie, ids)
-
-    def add(held: list[tuple[str, bytes]], ids: Words, trie: HatTrie) -> Iterator[pa.RecordBatch]:
-        stream = _stream(iter(held), ids)
-        hashes = np.array(ids.hashes or [0], np.int64)
-        for k in lengths:
-            begins = _begins(stream, hashes, parts.value if parts else None, known, k)
-            if len(begins):
+        for stream in _streams(batches, ids, chars):
+            at, h = _pairs(stream, np.array(ids.hashes or [0], U64))
+            ok = np.zeros(len(stream) - 1, bool)
+            ok[at] = _set(pairs.value, (h % U64(settings.bits)).astype(np.int64))
+            for k in range(2, settings.longest + 1):
+                begins = _begins(stream, ok, k)
+                if not len(begins):
+                    break
                 phrases, n = _distinct(stream, begins, k)
                 for phrase, times in zip(map(tuple, phrases.tolist()), n.tolist()):
                     trie.add(phrase, times)
                     if trie.full():
                         yield from _runs(trie, ids)
-        ids.trim()
+        yield from _runs(trie, ids)
 
     runs = docs.mapInArrow(count, RUN_SCHEMA)
     merged = runs.repartition("prefix").sortWithinPartitions("prefix", "lang", "phrase").select("lang", "phrase", "n")
     return merged.mapInArrow(_merge, "lang string, phrase string, n bigint").where(F.col("n") >= settings.least)
 
 
-def _runs(trie: HatTrie, ids: Words, size: int = 50_000) -> Iterator[pa.RecordBatch]:
+def _runs(trie: HatTrie, ids: Words, size: int = 20_000) -> Iterator[pa.RecordBatch]:
     """Subtrees of the trie as sorted runs, each row with the hash of its first two words."""
     rows: list[tuple] = []
     for first, found in trie.spill():
@@ -279,14 +318,9 @@ def frequent(docs: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     counts = stored(word_counts(docs), "words")
     found = counts.where(F.col("n") >= settings.least)
-    words = context.broadcast(bitmap(found, settings.bits))
-    parts, known = None, 1
-    for lengths in settings.levels:
-        level = stored(count_phrases(docs, lengths, words, parts, known, settings), "phrases")
-        found = found.unionByName(level)
-        if lengths != settings.levels[-1]:
-            known = max(lengths)
-            parts = context.broadcast(bitmap(level.where(F.size(F.split("phrase", " ")) == known), settings.bits))
+    words = context.broadcast(bitmap(word_slots(found, settings.bits), settings.bits))
+    pairs = context.broadcast(bitmap(pair_slots(docs, words, settings), settings.bits))
+    found = found.unionByName(stored(count_phrases(docs, words, pairs, settings), "phrases"))
     return found, counts.groupBy("lang").agg(F.sum("n").alias("total"))
 
 
