@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.catalog.registry import query
 from tidemark.operators import staging
 from tidemark.streaming import incident_state, twins
-from tidemark.streaming.tables import newest_per_key, read_batches, read_files
+from tidemark.streaming.tables import KeyedTable, newest_per_key, read_batches, read_files
 
 _MIDDLE = "2024-01-16 00:00:00"
 
@@ -26,8 +26,8 @@ def _two_arrivals(k, rows, at: str, run) -> str:
 
 def _dedup(k):
     rows = staging.typed(k.bronze("messages"), "messages")
-    out = _two_arrivals(k, rows, "ingested_at", lambda s, o, c: twins.dedup(s, "message_id", o, c))
-    return twins.first_per_key(read_batches(k.spark, out), "message_id")
+    out = _two_arrivals(k, rows, "ingested_at", lambda s, o, c: twins.dedup(s, "message_id", o, c, buckets=16))
+    return KeyedTable(k.spark, out, ["message_id"], 16).read()
 
 
 query("stream_dedup", "message_id conversation_id user_id device_id sequence_number:i message_text"
@@ -64,8 +64,8 @@ query("stream_late_arrivals", "total:i same_minute:i same_day:i next_day:i over_
 def _upsert(k):
     rows = k.bronze("subscriptions").drop("dt", "actual_monthly_price")
     out = _two_arrivals(k, rows, "ingested_at",
-                        lambda s, o, c: twins.upsert(s, "subscription_id", o, c))
-    return newest_per_key(read_batches(k.spark, out), ["subscription_id"], "updated_at")
+                        lambda s, o, c: twins.upsert(s, "subscription_id", o, c, buckets=16))
+    return KeyedTable(k.spark, out, ["subscription_id"], 16).read()
 
 
 query("stream_upsert",

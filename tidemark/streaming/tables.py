@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import first_row
+from tidemark.sources.partitions import table_exists
 
 
 def read_files(spark: SparkSession, path: str, schema, max_files: int | None = None) -> DataFrame:
@@ -67,6 +68,74 @@ def newest_per_key(
     return first_row(rows, keys, order).drop("batch_id")
 
 
-def compact(rows: DataFrame, path: str) -> None:
-    """Write the current values as one folder, to be read in place of the batches so far."""
-    rows.write.mode("errorifexists").parquet(path)
+class KeyedTable:
+    """Current rows per key under a folder, kept up to date batch by batch.
+
+    Rows lie in ``buckets`` by a hash of the key. A batch reads and writes only the buckets its keys
+    fall into, and of these only the newest version: every version of a bucket is a whole one, the merge of
+    the version before with the batch. A version becomes readable by its entry in the manifest of the batch,
+    which is written last; a batch that runs again finds the state before it and writes the same rows. Versions
+    that no manifest within ``keep`` batches names are removed, so the folder holds a few copies of the table.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], buckets: int = 256, keep: int = 3):
+        self.spark, self.path, self.keys, self.buckets, self.keep = spark, path, list(keys), buckets, keep
+
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in self.keys]), F.lit(self.buckets)).cast("int")
+
+    def versions(self, before: int | None = None) -> dict[int, int]:
+        """Bucket -> batch that wrote its newest version, among batches below ``before``."""
+        if not table_exists(self.spark, f"{self.path}/manifest"):
+            return {}
+        rows = self.spark.read.parquet(f"{self.path}/manifest")
+        if before is not None:
+            rows = rows.filter(F.col("batch_id") < before)
+        # At most one row a bucket and batch; old manifests are folded into the newest.
+        return {r["bucket"]: r["batch_id"] for r in rows.groupBy("bucket").agg(F.max("batch_id").alias("batch_id")).collect()}
+
+    def read(self, versions: dict[int, int] | None = None) -> DataFrame | None:
+        """Rows of the newest versions; only their folders are listed and read."""
+        versions = self.versions() if versions is None else versions
+        if not versions:
+            return None
+        folders = [f"{self.path}/rows/batch_id={b}/bucket={k}" for k, b in sorted(versions.items())]
+        return self.spark.read.option("basePath", f"{self.path}/rows").parquet(*folders).drop("batch_id", "bucket")
+
+    def merge(self, batch: DataFrame, batch_id: int, pick: Callable[[DataFrame], DataFrame]) -> None:
+        """Merge a batch; ``pick`` leaves one row of each key among old and new ones."""
+        if batch.isEmpty():
+            return
+        bucketed = batch.withColumn("bucket", self.bucket())
+        touched = [r[0] for r in bucketed.select("bucket").distinct().collect()]
+        known = self.versions(before=batch_id)
+        old = self.read({k: known[k] for k in touched if k in known})
+        rows = batch if old is None else old.select(*batch.columns).unionByName(batch)
+        merged = pick(rows).withColumn("bucket", self.bucket())
+        merged.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/rows/batch_id={batch_id}")
+        entries = self.spark.createDataFrame([(k,) for k in touched], "bucket int").coalesce(1)
+        entries.write.mode("overwrite").parquet(f"{self.path}/manifest/batch_id={batch_id}")
+        self._clean(batch_id)
+
+    def _clean(self, batch_id: int) -> None:
+        """Remove bucket versions older than the one current ``keep`` batches ago."""
+        settled = self.versions(before=batch_id - self.keep + 1)
+        if not settled:
+            return
+        rows = self.spark.read.parquet(f"{self.path}/manifest")
+        old = [(r["batch_id"], r["bucket"]) for r in rows.filter(F.col("batch_id") <= batch_id - self.keep).collect() if settled[r["bucket"]] > r["batch_id"]]
+        for batch, bucket in old:
+            remove(self.spark, f"{self.path}/rows/batch_id={batch}/bucket={bucket}")
+        if len(old) >= self.buckets:
+            # Fold what is settled into one manifest per writing batch.
+            by_batch: dict[int, list[int]] = {}
+            for bucket, batch in settled.items():
+                by_batch.setdefault(batch, []).append(bucket)
+            done = {r["batch_id"] for r in rows.filter(F.col("batch_id") <= batch_id - self.keep).select("batch_id").distinct().collect()}
+            for batch in done - by_batch.keys():
+                remove(self.spark, f"{self.path}/manifest/batch_id={batch}")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -6,27 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import staging, upserts
-from tidemark.streaming.tables import batch_writer, drain
+from tidemark.streaming.tables import KeyedTable, batch_writer, drain
 
 
 def dedup(
-    rows: DataFrame, key: str, path: str, checkpoint: str, partition: str = "physical_partition_date"
+    rows: DataFrame, key: str, path: str, checkpoint: str, partition: str = "physical_partition_date", buckets: int = 256
 ) -> None:
     """Keep the earliest copy of each row, however late it or its replays come.
 
-    Each batch writes the earliest of its own copies; ``first_per_key`` merges on read. There
-    is no watermark, so no row is dropped and no state is held.
+    A batch is merged into the buckets of a keyed table its keys fall into. There is no watermark, so no
+    row is dropped, and a batch reads a part of the table only.
     """
-
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        batch_writer(path)(staging.dedup_replay(batch, key, partition=partition), batch_id)
-
-    drain(rows, checkpoint, "append", sink=apply)
-
-
-def first_per_key(rows: DataFrame, key: str, partition: str = "physical_partition_date") -> DataFrame:
-    """The earliest copy over all batch folders of ``dedup``."""
-    return staging.dedup_replay(rows.drop("batch_id"), key, partition=partition)
+    table = KeyedTable(rows.sparkSession, path, [key], buckets)
+    drain(rows, checkpoint, "append", sink=lambda batch, batch_id: table.merge(
+        batch, batch_id, lambda both: staging.dedup_replay(both, key, partition=partition)))
 
 
 def daily_counts(rows: DataFrame, path: str, checkpoint: str) -> None:
@@ -59,14 +52,14 @@ def late_arrivals(rows: DataFrame, event_at: str, path: str, checkpoint: str) ->
     drain(totals, checkpoint, "update", sink=batch_writer(path))
 
 
-def upsert(rows: DataFrame, key: str, path: str, checkpoint: str) -> None:
-    """Keep the newest version per key of a change stream.
+def upsert(
+    rows: DataFrame, key: str, path: str, checkpoint: str, version: str = "updated_at",
+    landed: str = "ingested_at", buckets: int = 256,
+) -> None:
+    """Keep the newest version per key of a change stream, in a keyed table.
 
-    Each batch writes its own newest rows only, so a batch costs what it brings and not
-    the size of the table; ``newest_per_key`` merges on read.
+    The version decides whichever batch brings it; of equal ones the one that landed last.
     """
-
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        batch_writer(path)(upserts.latest_per_key(batch, key), batch_id)
-
-    drain(rows, checkpoint, "append", sink=apply)
+    table = KeyedTable(rows.sparkSession, path, [key], buckets)
+    drain(rows, checkpoint, "append", sink=lambda batch, batch_id: table.merge(
+        batch, batch_id, lambda both: upserts.latest_per_key(both, key, (version, landed))))
