@@ -35,26 +35,23 @@ query("dedup_replay", _fields("messages"),
 query("dedup_latest", _fields("models"),
       lambda k: staging.dedup_latest(staging.typed(k.bronze("models"), "models"), "model_id"),
       "select * from d_models")
+# Flagged staging tables and the flag of each.
+_FLAGS = {
+    "users": ("stg_users", "is_email_missing"), "messages": ("stg_messages", "is_message_text_missing"),
+    "completions": ("stg_completions", "is_user_id_missing"), "model_inferences": ("stg_inferences", "is_model_id_missing"),
+    "feedback": ("stg_feedback", "is_feedback_type_missing"), "purchases": ("stg_purchases", "is_purchase_type_missing"),
+    "payments": ("stg_payments", "is_payment_method_missing"),
+}
 query("stg_flags", "entity_name missing_rows:i total_rows:i",
-      lambda k: _flag_counts(k), """
-      select 'users' as entity_name, count(*) filter (where is_email_missing) as missing_rows,
-             count(*) as total_rows from stg_users
-      union all select 'messages', count(*) filter (where is_message_text_missing), count(*)
-      from stg_messages
-      union all select 'feedback', count(*) filter (where is_feedback_type_missing), count(*)
-      from stg_feedback
-      union all select 'purchases', count(*) filter (where is_purchase_type_missing), count(*)
-      from stg_purchases""")
+      lambda k: _flag_counts(k), " union all ".join(
+          f"select '{e}' as entity_name, count(*) filter (where {flag}) as missing_rows, count(*) as total_rows from {t}"
+          for e, (t, flag) in _FLAGS.items()))
 
 
 def _flag_counts(k):
     out = None
-    for entity, df, flag in (
-        ("users", k.stg_users, "is_email_missing"),
-        ("messages", k.stg_messages, "is_message_text_missing"),
-        ("feedback", k.stg_feedback, "is_feedback_type_missing"),
-        ("purchases", k.stg_purchases, "is_purchase_type_missing"),
-    ):
+    for entity, (table, flag) in _FLAGS.items():
+        df = getattr(k, table)
         row = df.agg(F.count_if(flag).alias("missing_rows"), F.count(F.lit(1)).alias("total_rows"))
         row = row.select(F.lit(entity).alias("entity_name"), "*")
         out = row if out is None else out.unionByName(row)

@@ -86,7 +86,7 @@ ACCEPTED = {
 }
 
 
-def _declared(k):
+def violations(k):
     tables = {name: getattr(k, name) for name in KEYS}
     return A.declared(tables, KEYS, RELATIONSHIPS, ACCEPTED)
 
@@ -106,4 +106,5 @@ def _sql() -> str:
     return " union all ".join(parts)
 
 
-query("declared_tests", "check_name row_key", _declared, _sql())
+SQL = _sql()
+query("declared_tests", "check_name row_key", violations, SQL)

@@ -44,7 +44,7 @@ query("correlation", "pair correlation:f",
       select 'latency_output' as pair, coalesce(corr(latency_ms, output_tokens), 0) as correlation from s
       union all select 'input_output', coalesce(corr(input_tokens, output_tokens), 0) from s
       union all select 'constant', 0.0""")
-_ARRIVING = ("messages", "completions", "model_inferences", "feedback", "errors", "payments")
+_ARRIVING = tuple(schemas.EVENT_TIMES)
 query("late_arrivals",
       "entity_name total:i same_minute:i same_day:i next_day:i over_one_day:i partitions:i"
       " earliest:t latest:t",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark import schemas
+from tidemark.catalog import declared
 from tidemark.catalog.oracle import VIEWS, view
 from tidemark.catalog.registry import query
 from tidemark.operators import assertions as A
@@ -128,15 +129,20 @@ query("chk_quality_kept", "validation_name fact_id",
       lambda k: A.repaired_defects(k.damaged("damaged_inferences"),
                                    k.damaged("damaged_completions"),
                                    k.damaged("damaged_messages")), """
-      select validation_name, fact_id from (
-          select 'message_missing_text_length' as validation_name, message_id as fact_id,
-                 is_message_text_missing as flagged, message_length_chars is not null as filled
-          from damaged_messages
-          union all select 'completion_invalid_duration', completion_id, not is_timestamp_order_valid,
-                 completion_duration_seconds is not null from damaged_completions
-          union all select 'inference_missing_model', inference_id, is_model_id_missing,
-                 coalesce(model_key, model_id) is not null from damaged_inferences) lanes
-      where flagged and filled""")
+      with measures as (
+          select 'inference_missing_model' as validation_name, inference_id as fact_id,
+                 is_model_id_missing as defect, name, value
+          from (select inference_id, is_model_id_missing, cast(model_id as varchar) as model_id, cast(model_key as varchar) as model_key
+                from damaged_inferences) i unpivot (value for name in (model_id, model_key))
+          union all
+          select 'completion_invalid_duration', completion_id, is_timestamp_order_valid = false, name, value
+          from (select completion_id, is_timestamp_order_valid, cast(completion_duration_seconds as varchar) as duration
+                from damaged_completions) c unpivot (value for name in (duration))
+          union all
+          select 'message_missing_text_length', message_id, is_message_text_missing, name, value
+          from (select message_id, is_message_text_missing, cast(message_length_chars as varchar) as length
+                from damaged_messages) m unpivot (value for name in (length)))
+      select distinct validation_name, fact_id from measures where defect""")
 _STG = {
     "conversation": "stg_conversations", "message": "stg_messages", "completion": "stg_completions",
     "model_inference": "stg_inferences", "feedback": "stg_feedback", "error": "stg_errors",
@@ -202,23 +208,33 @@ query("chk_gold_silver", "metric_name gold_value:i silver_value:i",
 query("chk_dq_ranges", "model_name grain_key",
       lambda k: A.check_range_violations(k.damaged("damaged_volume"), k.dq_quality,
                                          k.dq_freshness), """
-      select 'freshness' as model_name, entity_name as grain_key from dq_freshness f
-      where freshness_delay_hours < 0 or freshness_status not in ('PASS', 'WARN', 'FAIL')
-         or 1 < (select count(*) from dq_freshness o where o.entity_name = f.entity_name)
-      union all
-      select 'row_count', concat(entity_name, '|', activity_date) from damaged_volume v
-      where least(row_count, coalesce(rolling_7_day_average, 0)) < 0
-         or volume_status not in ('PASS', 'WARN')
-         or (entity_name, activity_date) in (select (entity_name, activity_date) from damaged_volume
-                                             group by entity_name, activity_date having count(*) > 1)
-      union all
-      select 'quality_metrics', concat(entity_name, '|', metric_name, '|', metric_date)
-      from dq_quality
-      where least(numerator, denominator, denominator - numerator) < 0
-         or metric_rate < 0 or metric_rate > 1 or quality_status not in ('PASS', 'WARN')
-         or (entity_name, metric_name, metric_date) in (
-             select (entity_name, metric_name, metric_date) from dq_quality
-             group by entity_name, metric_name, metric_date having count(*) > 1)""")
+      with rows as (
+          select 'row_count' as model_name, concat(entity_name, '|', activity_date) as grain_key, volume_status as status,
+                 [{'m': 'row_count', 'v': row_count::double}, {'m': 'rolling', 'v': rolling_7_day_average::double}] as measures
+          from damaged_volume
+          union all
+          select 'quality_metrics' as model_name, concat(entity_name, '|', metric_name, '|', metric_date) as grain_key,
+                 quality_status as status,
+                 [{'m': 'numerator', 'v': numerator::double}, {'m': 'denominator', 'v': denominator::double},
+                  {'m': 'over', 'v': (denominator - numerator)::double}, {'m': 'rate', 'v': metric_rate::double}] as measures
+          from dq_quality
+          union all
+          select 'freshness' as model_name, entity_name as grain_key, freshness_status as status,
+                 [{'m': 'delay', 'v': freshness_delay_hours::double}] as measures
+          from dq_freshness),
+      numbered as (select *, row_number() over () as id, count(*) over (partition by model_name, grain_key) as copies from rows),
+      measured as (select id, x.m as measure, x.v as value from (select id, unnest(measures) as x from numbered) y),
+      bounds(measure, least, most) as (values
+          ('row_count', 0, null), ('rolling', 0, null), ('numerator', 0, null), ('denominator', 0, null),
+          ('over', 0, null), ('rate', 0, 1), ('delay', 0, null)),
+      states(model_name, status) as (values
+          ('row_count', 'PASS'), ('row_count', 'WARN'), ('quality_metrics', 'PASS'), ('quality_metrics', 'WARN'),
+          ('freshness', 'PASS'), ('freshness', 'WARN'), ('freshness', 'FAIL'))
+      select model_name, grain_key from numbered n
+      where copies > 1
+         or (status is not null and not exists (select 1 from states s where s.model_name = n.model_name and s.status = n.status))
+         or exists (select 1 from measured m join bounds b using (measure)
+                    where m.id = n.id and (m.value < b.least or m.value > b.most))""")
 query("chk_recon_pass", "reconciliation_name source_count:i target_count:i difference:i status",
       lambda k: A.failed_reconciliations(k.damaged("damaged_recon")),
       "select * from damaged_recon where difference <> 0 or status <> 'PASS'")
@@ -293,46 +309,10 @@ query("chk_relationships", "message_id device_id",
       "select m.message_id, m.device_id from stg_messages m left join stg_devices d"
       " on m.device_id = d.device_id where m.device_id is not null and d.device_id is null")
 query("chk_accepted", "payment_id payment_method",
-      lambda k: A.not_accepted(k.stg_payments, "payment_method", ("CARD",)),
-      "select payment_id, payment_method from stg_payments where payment_method not in ('CARD')")
-
-
-def _violations_all(k):
-    parts = [
-        ("accepted.country_code", A.not_accepted(k.stg_users, "country_code", ("US", "BR", "DE")), "user_id"),
-        ("accepted.completion_status",
-         A.not_accepted(k.stg_completions, "completion_status", schemas.COMPLETION_STATUSES[:2]),
-         "completion_id"),
-        ("not_null.email", A.is_null(k.stg_users, "email"), "user_id"),
-        ("not_null.model_id", A.is_null(k.stg_inferences, "model_id"), "inference_id"),
-        ("relationships.model_id",
-         A.orphans(k.stg_inferences, "model_id", k.stg_models, "model_id"), "inference_id"),
-        ("relationships.plan_id",
-         A.orphans(k.stg_purchases, "plan_id", k.stg_plans, "plan_id"), "purchase_id"),
-        ("unique.payment_id", A.not_unique(k.bronze("payments"), ["payment_id"]), "payment_id"),
-    ]
-    return A.union_all([
-        df.select(F.lit(n).alias("check_name"), F.col(c).cast("string").alias("row_key"))
-        for n, df, c in parts
-    ]).groupBy("check_name").agg(F.count(F.lit(1)).alias("violations"),
-                                 F.min("row_key").alias("first_row_key"))
-
-
-query("violations_all", "check_name violations:i first_row_key", _violations_all, """
-      select check_name, count(*) as violations, min(row_key) as first_row_key from (
-          select 'accepted.country_code' as check_name, user_id as row_key from stg_users
-          where country_code not in ('US', 'BR', 'DE')
-          union all select 'accepted.completion_status', completion_id from stg_completions
-          where completion_status not in ('SUCCESS', 'FAILED')
-          union all select 'not_null.email', user_id from stg_users where email is null
-          union all select 'not_null.model_id', inference_id from stg_inferences
-          where model_id is null
-          union all select 'relationships.model_id', i.inference_id from stg_inferences i
-          left join stg_models m on m.model_id = i.model_id
-          where i.model_id is not null and m.model_id is null
-          union all select 'relationships.plan_id', p.purchase_id from stg_purchases p
-          left join stg_plans q on q.plan_id = p.plan_id
-          where p.plan_id is not null and q.plan_id is null
-          union all select 'unique.payment_id', payment_id from b_payments group by payment_id
-          having count(*) > 1) v
-      group by 1""")
+      lambda k: A.not_accepted(k.stg_payments, "payment_method", declared.ACCEPTED["stg_payments", "payment_method"]),
+      "select payment_id, payment_method from stg_payments where payment_method not in ({})".format(
+          ", ".join(f"'{v}'" for v in schemas.PAYMENT_METHODS)))
+query("violations_all", "check_name violations:i first_row_key",
+      lambda k: declared.violations(k).groupBy("check_name").agg(
+          F.count(F.lit(1)).alias("violations"), F.min("row_key").alias("first_row_key")),
+      f"select check_name, count(*) as violations, min(row_key) as first_row_key from ({declared.SQL}) v group by 1")

@@ -11,7 +11,9 @@ from tidemark.catalog.oracle import view
 from tidemark.catalog.registry import query
 from tidemark.functions.text import redact
 from tidemark.operators import facts, upserts as U
+from tidemark.operators.defects import PLANS
 from tidemark.sources import partitions as S
+from tidemark.sources.tables import TABLE_DDL
 
 RUN = "2024-01-25"
 
@@ -210,30 +212,66 @@ query("incremental_partitions", "mode dt:t", _selected, f"""
       where dt >= greatest(mark, (select max(dt) from d)) - 3
       union all select 'range', dt from d where dt between date '2024-01-10' and date '2024-01-12'
       union all select 'first_load', dt from d""")
-_RECONCILED = ("payment_method", "refunded_at")
-query("load_reconciliation", "dt:t measure source:i loaded:i matches:b",
-      lambda k: S.load_reconciliation(
-          k.bronze("payments"),
-          k.stg_payments.withColumnRenamed("physical_partition_date", "dt"), _RECONCILED), f"""
-      with s as (select dt, unnest(['rows', {", ".join(f"'null.{c}'" for c in _RECONCILED)}]) as measure,
-                        unnest([count(*), {", ".join(f"count(*) filter (where {c} is null)" for c in _RECONCILED)}])
-                            as source from b_payments group by dt),
-      l as (select physical_partition_date as dt,
-                   unnest(['rows', {", ".join(f"'null.{c}'" for c in _RECONCILED)}]) as measure,
-                   unnest([count(*), {", ".join(f"count(*) filter (where {c} is null)" for c in _RECONCILED)}])
-                       as loaded from stg_payments group by physical_partition_date)
-      select coalesce(s.dt, l.dt) as dt, coalesce(s.measure, l.measure) as measure, source, loaded,
-             source is not distinct from loaded as matches
-      from s full outer join l on s.dt = l.dt and s.measure = l.measure""")
-query("table_diff", "payment_id payment_status ingested_at:t surplus:i side",
-      lambda k: S.table_diff(
-          k.bronze("payments").select("payment_id", "payment_status", "ingested_at"),
-          k.dirty("payments").select("payment_id", "payment_status", "ingested_at")), """
-      select *, case when surplus > 0 then 'left' else 'right' end as side from (
-          select payment_id, payment_status, ingested_at, sum(s) as surplus from (
-              select payment_id, payment_status, ingested_at, 1 as s from b_payments
-              union all select payment_id, payment_status, ingested_at, -1 from dirty_payments) u
-          group by 1, 2, 3) g where surplus <> 0""")
+_STAGED = {e: "stg_" + {"subscription_plans": "plans", "model_inferences": "inferences"}.get(e, e) for e in schemas.ENTITY_ID}
+
+
+def _measures(entity: str) -> str:
+    columns = _source_columns(entity)
+    names = ", ".join(f"'{n}'" for n in ["rows", *[f"null.{c}" for c in columns]])
+    values = ", ".join(["count(*)", *[f"count(*) filter (where {c} is null)" for c in columns]])
+    return f"unnest([{names}]) as measure, unnest([{values}]) as n"
+
+
+def _source_columns(entity: str) -> list[str]:
+    return schemas.entity_columns(entity) + ([] if entity in schemas.REFERENCE_ENTITIES else ["ingested_at"])
+
+
+def _reconciled(k):
+    return U.union_all([
+        S.load_reconciliation(
+            k.bronze(e), getattr(k, t).withColumnRenamed("physical_partition_date", "dt"), _source_columns(e)
+        ).select(F.lit(e).alias("entity_name"), "*")
+        for e, t in _STAGED.items()])
+
+
+query("load_reconciliation", "entity_name dt:t measure source:i loaded:i matches:b", _reconciled,
+      " union all ".join(f"""
+      select '{e}' as entity_name, coalesce(s.dt, l.dt) as dt, coalesce(s.measure, l.measure) as measure,
+             s.n as source, l.n as loaded, s.n is not distinct from l.n as matches
+      from (select dt, {_measures(e)} from b_{e} group by dt) s
+      full outer join (select physical_partition_date as dt, {_measures(e)} from {t}
+                       group by physical_partition_date) l
+           on s.dt = l.dt and s.measure = l.measure""" for e, t in _STAGED.items()))
+
+
+def _differences(k):
+    columns = {e: schemas.entity_schema(e).fieldNames() for e in PLANS}
+    return U.union_all([
+        S.fidelity_diff(k.bronze(e).select(*columns[e]), k.dirty(e).select(*columns[e]), schemas.ENTITY_ID[e])
+        .select(F.lit(e).alias("entity_name"), "*")
+        for e in PLANS])
+
+
+def _difference_sql(entity: str) -> str:
+    columns, key = schemas.entity_schema(entity).fieldNames(), schemas.ENTITY_ID[entity]
+    every = ", ".join(columns)
+    tests = ", ".join(
+        f"case when min({c}) filter (where n > 0) is distinct from min({c}) filter (where n < 0)"
+        f" or max({c}) filter (where n > 0) is distinct from max({c}) filter (where n < 0) then '{c}' end"
+        for c in columns if c != key)
+    return f"""
+      select '{entity}' as entity_name, {key} as row_id, coalesce(sum(n) filter (where n > 0), 0) as only_left,
+             coalesce(-sum(n) filter (where n < 0), 0) as only_right,
+             case when bool_or(n > 0) and bool_or(n < 0)
+                  then array_to_string(list_filter([{tests}], lambda c: c is not null), ',') else '' end as changed_columns
+      from (select {every}, sum(s) as n from (
+                select {every}, 1 as s from b_{entity} union all select {every}, -1 from dirty_{entity}) u
+            group by all having sum(s) <> 0) d
+      group by {key}"""
+
+
+query("table_diff", "entity_name row_id only_left:i only_right:i changed_columns", _differences,
+      " union all ".join(_difference_sql(e) for e in PLANS))
 query("partition_mismatch", "message_id ingested_at:t dt:t",
       lambda k: S.partition_mismatch(k.bronze("messages").withColumn("dt", F.to_date("created_at"))),
       "select message_id, ingested_at, cast(created_at as date) as dt from b_messages"
@@ -248,13 +286,42 @@ query("id_collisions", "subscription_id",
       select distinct subscription_id from b_subscriptions where dt > date '2024-01-05'
       and subscription_id in (select subscription_id from b_subscriptions
                               where dt <= date '2024-01-05')""")
-query("table_digest", "rows:i digest",
-      lambda k: S.table_digest(k.table("customer").select(
-          "c_custkey", "c_name", "c_nationkey", "c_mktsegment")), """
-      select count(*) as rows, cast(sum(cast(cast(concat('0x', substr(md5(concat_ws('|',
-          coalesce(cast(c_custkey as varchar), '~'), coalesce(c_name, '~'),
-          coalesce(cast(c_nationkey as varchar), '~'), coalesce(c_mktsegment, '~'))), 1, 15))
-          as ubigint) as hugeint)) as varchar) as digest from customer""")
+
+
+def _digest_sql(name: str, table: str, fields: dict[str, str], part: str) -> str:
+    text = ", ".join(
+        f"coalesce(cast({'epoch_us(' + c + ')' if kind == 'timestamp' else c} as varchar), '~')" for c, kind in fields.items())
+    return (f"select '{name}' as table_name, {part} as part, count(*) as n,"
+            f" sum(cast(cast(concat('0x', substr(md5(concat_ws('|', {text})), 1, 15)) as ubigint) as hugeint)) as d"
+            f" from {table} group by 2")
+
+
+def _digest_tables(k):
+    given = {n: k.table(n) for n in TABLE_DDL}
+    return {**{e: k.bronze(e) for e in schemas.ENTITY_ID}, **given}
+
+
+def _digests() -> str:
+    parts = []
+    for e in schemas.ENTITY_ID:
+        fields = {f.name: f.dataType.simpleString() for f in schemas.entity_schema(e).fields}
+        parts.append(_digest_sql(e, f"b_{e}", fields, "coalesce(cast(dt as varchar), 'none')"))
+    parts += [_digest_sql(n, n, _given_fields(n), "'all'") for n in TABLE_DDL]
+    return f"""
+      select grouping(table_name, part) as level, coalesce(table_name, '*') as table_name,
+             coalesce(part, '*') as part, sum(n) as rows, cast(sum(d) as varchar) as digest
+      from ({" union all ".join(parts)}) leaves group by rollup (table_name, part)"""
+
+
+def _given_fields(name: str) -> dict[str, str]:
+    """Columns of a given table and their types; floats as the digest writes them."""
+    fields = [f.strip().split(" ", 1) for f in TABLE_DDL[name].split(",")]
+    return {f"cast({c} as decimal(38,6))" if kind == "double" else c: kind for c, kind in fields}
+
+
+query("table_digest", "level:i table_name part rows:i digest", lambda k: S.digest_tree(_digest_tables(k)), _digests())
+query("file_accounting", "table_name file_name rows:i bytes:i",
+      lambda k: S.file_accounting({n: k.spark.read.parquet(f"{k.sf_dir}/{n}.parquet") for n in TABLE_DDL}))
 
 
 def _incremental(k):

@@ -34,19 +34,27 @@ def found(table: str, key: str, prefix: str, *columns: str) -> str:
 
 _VIOLATION = "violation row_id"
 
-query("val_ingestion", _VIOLATION,
-      lambda k: V.ingestion(k.bronze("completions"), "completions", HORIZON),
-      labelled("select *, coalesce(completed_at, requested_at) as event_at from b_completions",
-               "completion_id", {
-                   "ingested_before_event": "ingested_at < event_at",
-                   "beyond_horizon": f"ingested_at > timestamp '{HORIZON}'",
-                   "partition_mismatch": "dt <> cast(ingested_at as date)",
-                   "missing_time": "ingested_at is null or event_at is null",
-               }, """select 'duplicate_id', completion_id from b_completions group by 2
-                     having count(*) > 1
-                     union all select 'single_date', 'completions' from
-                     (select count(distinct cast(ingested_at as date)) as n from b_completions) s
-                     where n < 2"""))
+def _ingestion_sql(entity: str) -> str:
+    key, times = schemas.ENTITY_ID[entity], ", ".join(schemas.EVENT_TIMES[entity])
+    rules = {
+        "ingested_before_event": "ingested_at < event_at",
+        "beyond_horizon": f"ingested_at > timestamp '{HORIZON}'",
+        "partition_mismatch": "dt <> cast(ingested_at as date)",
+        "missing_time": "ingested_at is null or event_at is null",
+    }
+    parts = [f"select '{label}' as violation, {key} as row_id from x where {test}" for label, test in rules.items()]
+    return f"""
+        select '{entity}' as entity_name, * from (
+            with x as (select *, coalesce({times}, null) as event_at from b_{entity})
+            {" union all ".join(parts)}
+            union all select 'duplicate_id', {key} from x group by 2 having count(*) > 1
+            union all select 'single_date', '{entity}' from (
+                select count(distinct cast(ingested_at as date)) as n from x) s where n < 2) e"""
+
+
+query("val_ingestion", "entity_name " + _VIOLATION,
+      lambda k: V.union_all([V.ingestion(k.bronze(e), e, HORIZON).select(F.lit(e).alias("entity_name"), "*") for e in schemas.EVENT_TIMES]),
+      " union all ".join(_ingestion_sql(e) for e in schemas.EVENT_TIMES))
 query("val_messages", _VIOLATION,
       lambda k: V.message_integrity(k.stg_messages, k.stg_conversations, k.stg_devices, k.closed),
       labelled(f"""select m.*, c_user_id, c_created_at, c_found, d_found, u_closed_at
@@ -184,35 +192,48 @@ query("val_error_fk", _VIOLATION,
           f"select 'unknown_{n}' as violation, e.error_id as row_id from stg_errors e"
           f" left join {t} p on p.{n}_id = e.{n}_id where e.{n}_id is not null and p.{n}_id is null"
           for n, t in _PARENTS.items()))
+# Which columns of an error have to agree with a parent it names.
+_AGREE = ", ".join(f"('{p}', '{c}')" for p, columns in (
+    ("message", ("user", "conversation")), ("completion", ("user", "message", "conversation")),
+    ("inference", ("completion", "user", "model"))) for c in columns)
+view("error_references", "select error_id, error_source, error_type, replace(name, '_id', '') as ref, value from stg_errors unpivot include nulls ("
+     " value for name in (user_id, conversation_id, message_id, completion_id, inference_id, model_id))")
+view("parent_references", " union all ".join(
+    f"select '{p}' as parent, {p}_id as parent_id, replace(name, '_id', '') as ref, value from {t} unpivot include nulls (value for name in ({columns}))"
+    for p, t, columns in (
+        ("message", "stg_messages", "user_id, conversation_id"),
+        ("completion", "stg_completions", "user_id, message_id, conversation_id"),
+        ("inference", "stg_inferences", "completion_id, user_id, model_id"))))
 query("val_error_lineage", _VIOLATION,
-      lambda k: V.error_lineage(k.stg_errors, k.stg_messages, k.stg_completions, k.stg_inferences),
-      """select 'message_lineage' as violation, e.error_id as row_id
-         from stg_errors e join stg_messages m on m.message_id = e.message_id
-         where not (coalesce(e.user_id = m.user_id, true) and coalesce(e.conversation_id = m.conversation_id, true))
-         union all select 'completion_lineage', e.error_id
-         from stg_errors e join stg_completions c on c.completion_id = e.completion_id
-         where e.user_id <> c.user_id or e.message_id <> c.message_id
-            or e.conversation_id <> c.conversation_id
-         union all select 'inference_lineage', e.error_id
-         from stg_errors e left join stg_inferences i on i.inference_id = e.inference_id
-         where e.inference_id is not null and not (
-             e.completion_id is not null and e.user_id is not null and e.model_id is not null
-             and coalesce(e.completion_id = i.completion_id, true)
-             and coalesce(e.user_id = i.user_id, true) and coalesce(e.model_id = i.model_id, true))""")
+      lambda k: V.error_lineage(k.stg_errors, k.stg_messages, k.stg_completions, k.stg_inferences), f"""
+      select distinct a.parent || '_lineage' as violation, e.error_id as row_id
+      from (values {_AGREE}) a(parent, ref)
+      join error_references named on named.ref = a.parent and named.value is not null
+      join error_references e on e.error_id = named.error_id and e.ref = a.ref
+      left join parent_references p on p.parent = a.parent and p.parent_id = named.value and p.ref = a.ref
+      where e.value <> p.value or (a.parent = 'inference' and e.value is null)""")
+# What errors of a source must not hold.
+_BARRED = ", ".join(f"('{label}', '{source}', '{ref}')" for label, sources, refs in (
+    ("application_context", ("APPLICATION", "DATABASE"), ("completion", "inference", "model")),
+    ("billing_context", ("BILLING",), ("conversation", "message", "completion", "inference", "model")))
+    for source in sources for ref in refs)
 _CODES = ", ".join(f"('{s}', '{t}', '{c}')" for (s, t), c in schemas.ERROR_CODES.items())
-query("val_error_context", _VIOLATION, lambda k: V.error_context(k.stg_errors),
-      labelled(f"""select e.*, c.expected_code from stg_errors e left join
-          (values {_CODES}) c(error_source, error_type, expected_code)
-          on c.error_source = e.error_source and c.error_type = e.error_type""", "error_id", {
-          "application_context": "error_source[1:1] in ('A', 'D')"
-                                 " and coalesce(completion_id, inference_id, model_id) <> ''",
-          "billing_context": "error_source = 'BILLING' and length(concat(conversation_id, message_id,"
-                             " completion_id, inference_id, model_id)) > 0",
-          "model_context": "error_source = 'MODEL' and case when model_id is null then true"
-                           " when inference_id is not null then false"
-                           " else length(concat(user_id, conversation_id, message_id, completion_id)) > 0 end",
-          "unknown_type": "expected_code is null",
-          "wrong_code": "error_code <> expected_code"}))
+query("val_error_context", _VIOLATION, lambda k: V.error_context(k.stg_errors), f"""
+      with held as (
+          select error_id, error_source, bool_or(ref = 'model') as model, bool_or(ref = 'inference') as inference,
+                 bool_or(ref in ('user', 'conversation', 'message', 'completion')) as request
+          from error_references where value is not null group by 1, 2),
+      codes(error_source, error_type, code) as (values {_CODES})
+      select distinct label as violation, error_id as row_id
+      from error_references e join (values {_BARRED}) b(label, error_source, ref) using (error_source, ref)
+      where value is not null
+      union all
+      select 'model_context', error_id from stg_errors left join held using (error_id, error_source)
+      where error_source = 'MODEL' and (not coalesce(model, false) or (request and not inference))
+      union all
+      select 'unknown_type', error_id from stg_errors anti join codes using (error_source, error_type)
+      union all
+      select 'wrong_code', error_id from stg_errors join codes using (error_source, error_type) where error_code <> code""")
 _BASE = "case x.field_name " + " ".join(
     f"when '{f}' then u.{f}" for f in schemas.UPDATE_FIELDS) + " end"
 query("val_update_chain", _VIOLATION,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -113,15 +113,78 @@ def table_diff(left: DataFrame, right: DataFrame) -> DataFrame:
     ).withColumn("side", F.when(F.col("surplus") > 0, "left").otherwise("right"))
 
 
+def fidelity_diff(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Keys whose whole rows differ between two copies: row_id, copies only one side holds, and the columns in which they differ.
+
+    Whole rows are compared as a multiset. A column counts as changed when the least or the greatest value
+    of the rows only one side holds differs, which is exact for one row against another; where one side
+    has none, nothing is compared.
+    """
+    columns = [c for c in left.columns if c != key]
+    surplus = F.col("surplus")
+    sides = {"left": surplus > 0, "right": surplus < 0}
+    ends = {f"__{end}{i}_{side}": f(F.when(where, F.col(c)))
+            for i, c in enumerate(columns) for side, where in sides.items() for end, f in (("min", F.min), ("max", F.max))}
+    per_key = table_diff(left, right).groupBy(key).agg(
+        F.coalesce(F.sum(F.when(surplus > 0, surplus)), F.lit(0)).alias("only_left"),
+        F.coalesce(F.sum(F.when(surplus < 0, -surplus)), F.lit(0)).alias("only_right"),
+        *[v.alias(n) for n, v in ends.items()])
+    both = (F.col("only_left") > 0) & (F.col("only_right") > 0)
+    changed = F.array_compact(F.array(*[
+        F.when(~F.col(f"__min{i}_left").eqNullSafe(F.col(f"__min{i}_right")) | ~F.col(f"__max{i}_left").eqNullSafe(F.col(f"__max{i}_right")), F.lit(c))
+        for i, c in enumerate(columns)]))
+    return per_key.select(
+        F.col(key).cast("string").alias("row_id"), "only_left", "only_right",
+        F.when(both, F.array_join(changed, ",")).otherwise("").alias("changed_columns"))
+
+
+def canonical(df: DataFrame, column: str) -> Column:
+    """A value as text that any engine writes alike: times as microseconds, floats with six places."""
+    kind, c = df.schema[column].dataType, F.col(f"`{column}`")
+    if isinstance(kind, T.TimestampType):
+        c = F.unix_micros(c)
+    elif isinstance(kind, (T.DoubleType, T.FloatType)):
+        c = c.cast("decimal(38,6)")
+    return F.coalesce(c.cast("string"), F.lit("~"))
+
+
 def row_text(df: DataFrame) -> Column:
     """The row as one text; nulls are marked."""
-    return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in df.columns])
+    return F.concat_ws("|", *[canonical(df, c) for c in df.columns])
+
 
+def digest_tree(tables: Mapping[str, DataFrame], partition: str = "dt") -> DataFrame:
+    """Rows and order-free content digest of each partition, each table and all tables together.
 
-def table_digest(df: DataFrame) -> DataFrame:
-    """Order-free content digest: row count and sum of row hashes."""
-    word = F.conv(F.substring(F.md5(row_text(df)), 1, 15), 16, 10).cast("decimal(38,0)")
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.sum(word).cast("string").alias("digest"))
+    A digest is the sum of row hashes, so those of partitions add up to that of their table, and two
+    trees that differ show where. All columns count; tables without the partition column have one leaf.
+    """
+    leaves = []
+    for name, df in tables.items():
+        word = F.conv(F.substring(F.md5(row_text(df)), 1, 15), 16, 10).cast("decimal(38,0)")
+        part = F.col(partition).cast("string") if partition in df.columns else F.lit("all")
+        leaves.append(df.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("rows"), F.sum(word).alias("digest"))
+                      .select(F.lit(name).alias("table_name"), F.coalesce("part", F.lit("none")).alias("part"), "rows", "digest"))
+    return union_all(leaves).rollup("table_name", "part").agg(
+        F.grouping_id().alias("level"), F.sum("rows").alias("rows"), F.sum("digest").cast("string").alias("digest")
+    ).select("level", F.coalesce("table_name", F.lit("*")).alias("table_name"), F.coalesce("part", F.lit("*")).alias("part"), "rows", "digest")
+
+
+def file_accounting(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """Rows and bytes of every file read, by table, from the metadata columns of the scan."""
+    return union_all([
+        df.select("_metadata.file_name", "_metadata.file_size").groupBy("file_name").agg(
+            F.count(F.lit(1)).alias("rows"), F.max("file_size").alias("bytes"))
+        .select(F.lit(name).alias("table_name"), "file_name", "rows", "bytes")
+        for name, df in tables.items()])
+
+
+def file_reconciliation(source: DataFrame, loaded: DataFrame) -> DataFrame:
+    """Files whose rows differ between two accounts, or that only one has (table_name, file_name, rows)."""
+    key = ["table_name", "file_name"]
+    return source.select(*key, F.col("rows").alias("source_rows")).join(
+        loaded.select(*key, F.col("rows").alias("loaded_rows")), key, "full"
+    ).filter(~F.col("source_rows").eqNullSafe(F.col("loaded_rows")))
 
 
 def id_collisions(batch: DataFrame, history: DataFrame, key: str) -> DataFrame:
