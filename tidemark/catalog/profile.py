@@ -9,8 +9,9 @@ from tidemark.catalog.oracle import view
 from tidemark.catalog.registry import query
 from tidemark.operators import defects as D
 from tidemark.operators import profiling as P
+from tidemark.operators.monitoring import union_all
 from tidemark.plans.lake import DEFECT_HORIZON, SEED
-from tidemark.sources.damage import DAMAGED_DIRTY, JSON_LINES
+from tidemark.sources.damage import JSON_LINES, damaged_dirty
 
 HORIZON = "2024-02-01 00:00:00"
 
@@ -258,45 +259,54 @@ query("defect_manifest",
       "injection_id entity_name source_record_id issue_type field_name original_value"
       " injected_value original_ingested_at dirty_ingested_at violation_type",
       lambda k: k.defect_log, "select * from defect_log")
-view("damaged_dirty", DAMAGED_DIRTY.format(dirty="dirty_payments"))
-_PAY = [c for c in schemas.entity_columns("payments") if c != "payment_id"]
+for _e in D.PLANS:
+    view(f"damaged_dirty_{_e}", damaged_dirty(_e, schemas.entity_columns(_e), schemas.ENTITY_ID[_e], f"dirty_{_e}"))
+
+
+def _reconcile_sql(entity: str) -> str:
+    plan, key = D.PLANS[entity], schemas.ENTITY_ID[entity]
+    columns = [c for c in schemas.entity_columns(entity) if c != key]
 
+    def same(*skip: str) -> str:
+        return " and ".join(f"d.{c} is not distinct from c.{c}" for c in columns if c not in skip)
 
-def _same(*skip: str) -> str:
-    return " and ".join(f"d.{c} is not distinct from c.{c}" for c in _PAY if c not in skip)
+    gap, at = plan.missing_field, plan.timestamp_field
+    temporal = f"{_iso(f'd.{at}')} = g.injected_value and {same(at)} and d.ingested_at = c.ingested_at" if at else "false"
+    expected = f"case when issue_type = '{D.DUPLICATE}' then 2 else 1 end"
+    return f"""
+      select '{entity}' as entity_name, id as record_id, issue_type, copies, unnest(list_filter([
+             case when not in_clean and in_log then 'MANIFEST_WITHOUT_CLEAN' end,
+             case when not in_clean and not in_log then 'DIRTY_WITHOUT_CLEAN' end,
+             case when in_clean and copies <> {expected} then 'COPY_COUNT' end,
+             case when in_clean and wrong > 0 then 'CONTENT' end,
+             case when in_clean and issue_type = '{D.DUPLICATE}' and times <> 2 then 'REPLAY_TIME' end],
+             lambda f: f is not null)) as failure
+      from (
+          select id, max(issue_type) as issue_type, bool_or(in_clean) as in_clean, bool_or(in_log) as in_log,
+                 count(dirty_id) as copies, count(*) filter (where dirty_id is not null and not coalesce(good, false)) as wrong,
+                 count(distinct ingested_at) as times
+          from (
+              select coalesce(c.{key}, g.source_record_id, d.{key}) as id, g.issue_type,
+                     c.{key} is not null as in_clean, g.source_record_id is not null as in_log,
+                     d.{key} as dirty_id, d.ingested_at,
+                     case g.issue_type
+                         when '{D.MISSING}' then d.{gap} is null and c.{gap} is not null
+                             and {same(gap)} and d.ingested_at = c.ingested_at
+                         when '{D.DUPLICATE}' then {same()} and (d.ingested_at = c.ingested_at
+                             or {_iso('d.ingested_at')} = g.dirty_ingested_at)
+                         when '{D.TEMPORAL}' then {temporal}
+                         else {same()} and d.ingested_at is not distinct from c.ingested_at end as good
+              from clean_{entity} c
+              full outer join log_{entity} g on g.source_record_id = c.{key}
+              full outer join damaged_dirty_{entity} d on d.{key} = coalesce(c.{key}, g.source_record_id)) j
+          group by id) p"""
 
 
-query("manifest_reconcile", "record_id issue_type copies:i failure",
-      lambda k: D.reconcile(k.before_defects("payments"), k.damaged_dirty, k.log("payments"), "payments"), f"""
-      with j as (
-          select coalesce(c.payment_id, g.source_record_id, d.payment_id) as id, g.issue_type,
-                 c.payment_id is not null as in_clean, g.source_record_id is not null as in_log,
-                 d.payment_id as dirty_id, d.ingested_at,
-                 case g.issue_type
-                     when '{D.MISSING}' then d.payment_method is null and c.payment_method is not null
-                         and {_same('payment_method')} and d.ingested_at = c.ingested_at
-                     when '{D.DUPLICATE}' then {_same()} and (d.ingested_at = c.ingested_at
-                         or {_iso('d.ingested_at')} = g.dirty_ingested_at)
-                     when '{D.TEMPORAL}' then {_iso('d.processed_at')} = g.injected_value
-                         and {_same('processed_at')} and d.ingested_at = c.ingested_at
-                     else {_same()} and d.ingested_at is not distinct from c.ingested_at end as good
-          from clean_payments c
-          full outer join log_payments g on g.source_record_id = c.payment_id
-          full outer join damaged_dirty d
-            on d.payment_id = coalesce(c.payment_id, g.source_record_id)),
-      p as (select id, max(issue_type) as issue_type, bool_or(in_clean) as in_clean,
-                   bool_or(in_log) as in_log, count(dirty_id) as copies,
-                   count(*) filter (where dirty_id is not null and not good) as wrong,
-                   count(distinct ingested_at) as times from j group by id)
-      select id as record_id, issue_type, copies, 'MANIFEST_WITHOUT_CLEAN' as failure from p
-      where not in_clean and in_log
-      union all select id, issue_type, copies, 'DIRTY_WITHOUT_CLEAN' from p
-      where not in_clean and not in_log
-      union all select id, issue_type, copies, 'COPY_COUNT' from p
-      where in_clean and copies <> case when issue_type = '{D.DUPLICATE}' then 2 else 1 end
-      union all select id, issue_type, copies, 'CONTENT' from p where in_clean and wrong > 0
-      union all select id, issue_type, copies, 'REPLAY_TIME' from p
-      where in_clean and issue_type = '{D.DUPLICATE}' and times <> 2""")
+query("manifest_reconcile", "entity_name record_id issue_type copies:i failure",
+      lambda k: union_all([
+          D.reconcile(k.before_defects(e), k.damaged_dirty(e), k.log(e), e).select(F.lit(e).alias("entity_name"), "*")
+          for e in D.PLANS]),
+      " union all ".join(_reconcile_sql(e) for e in D.PLANS))
 query("manifest_summary",
       "level:i entity_name issue_type field_name violation_type issue_count:i affected_records:i"
       " affected_pct:f",

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import schemas
@@ -170,50 +169,58 @@ def reconcile(
 ) -> DataFrame:
     """Failures of the manifest against clean and dirty data, labelled per record.
 
-    Every dirty row is judged beside its clean row and its manifest row, then the
-    verdicts are counted per id: no row pairs are formed.
+    Clean, manifest and dirty rows run as narrow lanes of one table: of a row only digests of its columns go
+    on, whole and without the column a defect may touch. Equal lanes are counted before anything is
+    grouped by record, so a record with very many copies is a few rows; nothing is joined.
     """
     plan, key = plans[entity], schemas.ENTITY_ID[entity]
     columns = [c for c in schemas.entity_columns(entity) if c != key]
-    before = clean.select(
-        F.col(key).alias("__id"), F.struct(*columns, "ingested_at").alias("c"))
+    empty = F.lit(None).cast("string")
+
+    def digest(*without: str) -> Column:
+        return F.md5(F.concat_ws("\x1f", *[
+            F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns if c not in without]))
+
+    def lane(df: DataFrame, name: str) -> DataFrame:
+        stamp = iso(F.col(plan.timestamp_field)) if plan.timestamp_field else empty
+        rest = digest(plan.timestamp_field) if plan.timestamp_field else empty
+        return df.select(
+            F.col(key).cast("string").alias("id"), F.lit(name).alias("lane"), digest().alias("whole"),
+            digest(plan.missing_field).alias("but_missing"), rest.alias("but_time"),
+            F.col(plan.missing_field).isNull().alias("gap"), stamp.alias("stamp"),
+            F.col("ingested_at").cast("string").alias("landed"), iso(F.col("ingested_at")).alias("landed_iso"),
+            empty.alias("issue_type"), empty.alias("injected_value"), empty.alias("dirty_ingested_at"))
+
     notes = log.select(
-        F.col("source_record_id").alias("__log_id"), "issue_type", "injected_value",
-        "dirty_ingested_at")
-    after = dirty.select(F.col(key).alias("__dirty_id"), F.struct(*columns, "ingested_at").alias("d"))
-    paired = (
-        before.join(notes, F.col("__id") == F.col("__log_id"), "full")
-        .withColumn("id", F.coalesce("__id", "__log_id"))
-        .join(after, F.col("id") == F.col("__dirty_id"), "full")
-        .withColumn("id", F.coalesce("id", "__dirty_id"))
-    )
+        F.col("source_record_id").cast("string").alias("id"), F.lit("log").alias("lane"), "issue_type", "injected_value", "dirty_ingested_at")
+    lanes = lane(clean, "clean").unionByName(lane(dirty, "dirty")).unionByName(notes, allowMissingColumns=True)
+    lanes = lanes.groupBy(*lanes.columns).agg(F.count(F.lit(1)).alias("n"))
+    record = Window.partitionBy("id")
+
+    def of(name: str, column: str) -> Column:
+        return F.max(F.when(F.col("lane") == name, F.col(column))).over(record)
 
-    def same(*excluded: str) -> Column:
-        return reduce(
-            Column.__and__,
-            [F.col(f"d.{c}").eqNullSafe(F.col(f"c.{c}")) for c in columns if c not in excluded])
+    beside = lanes.withColumns({
+        **{f"clean_{c}": of("clean", c) for c in ("whole", "but_missing", "but_time", "gap", "landed")},
+        **{f"log_{c}": of("log", c) for c in ("issue_type", "injected_value", "dirty_ingested_at")}})
+    issue = F.col("log_issue_type")
+
+    def same(c: str) -> Column:
+        return F.col(c).eqNullSafe(F.col(f"clean_{c}"))
 
-    at_same = F.col("d.ingested_at").eqNullSafe(F.col("c.ingested_at"))
-    issue = F.col("issue_type")
     good = (
-        F.when(issue == MISSING, F.col(f"d.{plan.missing_field}").isNull()
-               & F.col(f"c.{plan.missing_field}").isNotNull() & same(plan.missing_field) & at_same)
-        .when(issue == DUPLICATE,
-              same() & (at_same | iso(F.col("d.ingested_at")).eqNullSafe(F.col("dirty_ingested_at"))))
-    )
-    if plan.timestamp_field:
-        good = good.when(
-            issue == TEMPORAL,
-            iso(F.col(f"d.{plan.timestamp_field}")).eqNullSafe(F.col("injected_value"))
-            & same(plan.timestamp_field) & at_same)
-    good = good.otherwise(same() & at_same)
-    per = paired.groupBy("id").agg(
-        F.max("issue_type").alias("issue_type"),
-        F.max(F.col("__id").isNotNull()).alias("in_clean"),
-        F.max(F.col("__log_id").isNotNull()).alias("in_log"),
-        F.count("__dirty_id").alias("copies"),
-        F.count_if(F.col("__dirty_id").isNotNull() & ~good).alias("wrong"),
-        F.count_distinct("d.ingested_at").alias("times"),
+        F.when(issue == MISSING, F.col("gap") & ~F.col("clean_gap") & same("but_missing") & same("landed"))
+        .when(issue == DUPLICATE, same("whole") & (same("landed") | F.col("landed_iso").eqNullSafe(F.col("log_dirty_ingested_at"))))
+        .when(issue == TEMPORAL, F.col("stamp").eqNullSafe(F.col("log_injected_value")) & same("but_time") & same("landed"))
+        .otherwise(same("whole") & same("landed")))
+    is_dirty = F.col("lane") == "dirty"
+    per = beside.groupBy("id").agg(
+        F.max("log_issue_type").alias("issue_type"),
+        F.max(F.col("lane") == "clean").alias("in_clean"),
+        F.max(F.col("lane") == "log").alias("in_log"),
+        F.coalesce(F.sum(F.when(is_dirty, F.col("n"))), F.lit(0)).alias("copies"),
+        F.count_if(is_dirty & ~F.coalesce(good, F.lit(False))).alias("wrong"),
+        F.count_distinct(F.when(is_dirty, F.col("landed"))).alias("times"),
     )
     expected = F.when(F.col("issue_type") == DUPLICATE, 2).otherwise(1)
     failures = F.array_compact(F.array(

@@ -26,13 +26,13 @@ from tidemark.sources.damage import (
     BASELINE,
     CHECKPOINTS,
     DAMAGED,
-    DAMAGED_DIRTY,
     JSON_LINES,
     MODEL_CATALOGUE,
     OUTBOX,
     REPEATED,
     SHARED_EMAIL,
     SNAPSHOTS,
+    damaged_dirty,
 )
 from tidemark.sources.feed import CHANGES, FEEDS
 from tidemark.sources.tables import TABLE_DDL, read_table
@@ -505,9 +505,9 @@ class Lake:
     def defect_log(self) -> DataFrame:
         return monitoring.union_all([self.log(e) for e in defects.PLANS])
 
-    @cached_property
-    def damaged_dirty(self) -> DataFrame:
-        return self.spark.sql(DAMAGED_DIRTY, dirty=self.dirty("payments"))
+    def damaged_dirty(self, entity: str) -> DataFrame:
+        text = damaged_dirty(entity, schemas.entity_columns(entity), schemas.ENTITY_ID[entity], "{dirty}")
+        return self.spark.sql(text, dirty=self.dirty(entity))
 
     @cached_property
     def json_lines(self) -> DataFrame:

@@ -144,19 +144,24 @@ JSON_LINES = """
                             ', "props": ', props, '}}') end as line
     from {events}"""
 
-#: Dirty payments with lost, changed and foreign rows, input of the manifest reconciliation.
-DAMAGED_DIRTY = """
-    select case when substring(payment_id, 1, 3) = '00a' then concat('lost-', payment_id)
-                else payment_id end as payment_id,
-           purchase_id, user_id, payment_status,
-           case when substring(payment_id, 1, 2) = '1f' and payment_method is null then 'CARD'
-                else payment_method end as payment_method,
-           case when substring(payment_id, 1, 3) = '77b' then payment_amount + 1
-                else payment_amount end as payment_amount,
-           refund_amount, processed_at, refunded_at, updated_at,
-           case when substring(payment_id, 1, 3) = 'c0c' then ingested_at + interval '1' hour
-                else ingested_at end as ingested_at
-    from {dirty} where substring(payment_id, 1, 3) <> 'abc'"""
+#: What damages dirty rows before the manifest is reconciled: columns by entity and new values.
+CHANGED = {
+    "payments": {
+        "payment_method": "case when substring(payment_id, 1, 2) = '1f' and payment_method is null then 'CARD' else payment_method end",
+        "payment_amount": "case when substring(payment_id, 1, 3) = '77b' then payment_amount + 1 else payment_amount end"},
+    "messages": {"message_text": "case when substring(message_id, 1, 3) = '77b' then concat(coalesce(message_text, ''), '!') else message_text end"},
+    "users": {"email": "case when substring(user_id, 1, 2) = '1f' then 'x@example.org' else email end"},
+}
+
+
+def damaged_dirty(entity: str, columns: list[str], key: str, dirty: str) -> str:
+    """Dirty rows of an entity with lost, changed, late and foreign ones among them."""
+    changed = CHANGED.get(entity, {}) | {
+        key: f"case when substring({key}, 1, 3) = '00a' then concat('lost-', {key}) else {key} end",
+        "ingested_at": f"case when substring({key}, 1, 3) = 'c0c' then ingested_at + interval '1' hour else ingested_at end"}
+    values = ", ".join(f"{changed[c]} as {c}" if c in changed else c for c in [*columns, "ingested_at"])
+    return f"select {values} from {dirty} where substring({key}, 1, 3) <> 'abc'"
+
 
 #: Some observations delivered twice.
 REPEATED = """
