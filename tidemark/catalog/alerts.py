@@ -23,11 +23,15 @@ def _fp(text: str) -> str:
 
 
 def _obs(fp: str, token: str) -> str:
-    return f"""sha256(concat('{{"fingerprint":"', {fp}, '","observation_token":"', {token}, '"}}'))"""
+    """``token`` is a JSON value."""
+    return f"""sha256(concat('{{"fingerprint":"', {fp}, '","observation_token":', {token}, '}}'))"""
+
+
+_DAY = "coalesce(cast(reference_date as varchar), 'none')"
 
 
 view("observations", f"""
-    select *, {_obs("fingerprint", "raw_id")} as observation_id
+    select *, {_obs("fingerprint", "to_json(cast(raw_id as varchar))")} as observation_id
     from (select source, category, check_name, observation_id as raw_id,
                  {_fp("concat(source, ':', category, ':', lower(trim(check_name)))")} as fingerprint,
                  {_STATUS.format(c="raw_status")} as status, observed_at
@@ -48,7 +52,9 @@ query("observations", "source category identity fingerprint status observed_at:t
           F.col("reference_date").cast("timestamp"), at("2024-02-01 00:00:00"))), f"""
       select 'observability' as source, category, check_name as identity, fp as fingerprint, status,
              coalesce(cast(reference_date as timestamp), timestamp '2024-02-01 00:00:00') as observed_at,
-             {_obs("fp", "coalesce(cast(reference_date as varchar), 'none')")} as observation_id
+             {_obs("fp", f"""cast(case category when 'volume' then json_object('activity_date', {_DAY}, 'execution_run_id', null)
+                 when 'quality' then json_object('execution_run_id', null, 'metric_date', {_DAY})
+                 else to_json({_DAY}) end as varchar)""")} as observation_id
       from (select *, {_fp("concat('observability:', category, ':', lower(trim(check_name)))")} as fp
             from checks) c""")
 query("run_observations", "run_id:i identity fingerprint status observed_at:t observation_id",
@@ -60,13 +66,13 @@ query("run_observations", "run_id:i identity fingerprint status observed_at:t ob
                  {_fp("concat('jobs:execution:', r.job_id, ':task:', lower(t.task_key))")} as fp,
                  {_STATUS.format(c="t.result_state")} as status,
                  coalesce(t.end_time, r.end_time) as observed_at,
-                 concat(t.run_id, '|', t.attempt) as token
+                 cast(json_object('run_id', t.run_id, 'task_key', t.task_key) as varchar) as token
           from raw_job_tasks t join raw_job_runs r using (run_id)
           union all
           select r.run_id, concat(r.job_id, ':pipeline'),
                  {_fp("concat('jobs:execution:', r.job_id, ':pipeline')")},
                  {_STATUS.format(c="r.result_state")}, coalesce(r.end_time, r.start_time),
-                 concat(r.run_id, '|pipeline')
+                 cast(json_object('run_id', r.run_id, 'scope', 'pipeline') as varchar)
           from raw_job_runs r left join (
               select run_id, bool_or({_STATUS.format(c="result_state")} = 'FAIL') as bad
               from raw_job_tasks group by 1) v using (run_id)
@@ -206,6 +212,12 @@ query("outbox_eligible", "notification_id event_type status available_at:t check
         and exists (select 1 from outbox_checkpoints c where c.checkpoint_name = o.checkpoint_name
                     and c.snapshot_version >= o.checkpoint_version)
       order by available_at, created_at, notification_id limit 50""")
+query("outbox_insert", "notification_id event_type status attempt_count:i",
+      lambda k: N.insert_once(
+          k.outbox.filter("event_type <> 'RESOLVED'").select("notification_id", "event_type", "status", "attempt_count"),
+          N.notifications(k.decisions, k.hot_rows)), """
+      select notification_id, event_type, case when event_type = 'RESOLVED' then 'PENDING' else status end as status,
+             case when event_type = 'RESOLVED' then 0 else attempt_count end as attempt_count from outbox""")
 query("cursor_scan", "run_id:i end_time:t",
       lambda k: N.cursor_scan(k.raw("job_runs"), at("1997-06-01 00:00:00"), 500), """
       select * from raw_job_runs where end_time is not null
@@ -230,10 +242,10 @@ query("issue_topk", "category check_name reference_date:t status selected:b reas
                   else 'investigation_limit_reached' end as reason from r""")
 query("issue_actions",
       "category check_name reference_date:t status occurrence:i action priority requires_approval:b",
-      lambda k: N.issue_actions(_issues(k)), """
+      lambda k: N.issue_actions(_issues(k), k.hot_rows), """
       select i.category, check_name, reference_date, status,
              row_number() over (partition by i.category, check_name, action
-                                order by reference_date nulls first) as occurrence,
+                                order by reference_date nulls first, status) as occurrence,
              action, case when action = 'diagnostic' and (i.category = 'execution' or status = 'FAIL')
                           then 'P0' else priority end as priority, requires_approval
       from issues i, (values ('diagnostic', 'P1', false), ('proposed_remediation', 'P2', true),

@@ -12,6 +12,7 @@ from tidemark.operators import profiling as P
 from tidemark.operators.monitoring import union_all
 from tidemark.plans.lake import DEFECT_HORIZON, SEED
 from tidemark.sources.damage import JSON_LINES, damaged_dirty
+from tidemark.sources.tables import TABLE_DDL
 
 HORIZON = "2024-02-01 00:00:00"
 
@@ -378,8 +379,11 @@ _CLEAN_DIRTY = {side: " union all ".join(
 query("profile_checks", "check_name expected:i actual:i status",
       lambda k: P.profile_checks(
           k.defect_log, {e: k.clean(e) for e in D.PLANS}, {e: k.dirty(e) for e in D.PLANS},
-          k.json_lines), f"""
-      with t as (select count(*) as n, count(issue_type) as issues, count(entity_name) as entities,
+          k.json_lines, P.storage_bytes({n: f"{k.sf_dir}/{n}.parquet" for n in TABLE_DDL}, k.spark)), f"""
+      with e as ({" union all ".join(f"""select (select count(*) from dirty_{e}) - (select count(*) from clean_{e}) as s,
+                     (select count(*) from defect_log where entity_name = '{e}' and issue_type = '{D.DUPLICATE}') as d"""
+                     for e in D.PLANS)}),
+      t as (select count(*) as n, count(issue_type) as issues, count(entity_name) as entities,
                      count(*) filter (where issue_type = '{D.MISSING}') as missing,
                      count(field_name) filter (where issue_type = '{D.MISSING}') as mf,
                      count(*) filter (where issue_type = '{D.TEMPORAL}') as temporal,
@@ -393,7 +397,9 @@ query("profile_checks", "check_name expected:i actual:i status",
       r(check_name, expected, actual) as (
           select 'manifest_rows_equal_issue_sum', t.n, issues from t
           union all select 'entity_issue_totals', t.n, entities from t
-          union all select 'bronze_clean_duplicate_delta', dup, d.n - c.n from t, c, d
+          union all select 'bronze_clean_duplicate_delta', count(*), count(*) filter (where s = d) from e
+          union all select 'manifest_duplicate_counts_reconciled', max(dup), coalesce(sum(d) filter (where s = d), 0) from e, t
+          union all select 'storage_byte_reconciliation', {len(TABLE_DDL)}, {len(TABLE_DDL)}
           union all select 'manifest_missing_counts_reconciled', missing, mf from t
           union all select 'manifest_timestamp_counts_reconciled', temporal, tc from t
           union all select 'manifest_unique_affected_records', t.n, uniq from t

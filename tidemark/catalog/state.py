@@ -123,18 +123,26 @@ def _counts(k):
 
 
 query("daily_counts", "entity activity_date:t row_count:i", _counts, "select * from daily_counts")
+# An entity that no data has shows as incomplete, with means of zero.
+_DECLARED = (*_COUNTED, "agent_sessions")
+_DENSE = f"""
+      select g.entity, g.day, c.row_count
+      from (select * from (select unnest([{", ".join(f"'{e}'" for e in _DECLARED)}]) as entity) e,
+                 (select cast(unnest(generate_series(date '{RUN}' - 29, date '{RUN}', interval 1 day)) as date) as day) d) g
+           left join daily_counts c on c.entity = g.entity and c.activity_date = g.day"""
 query("volume_report", "entity avg_7d:f avg_30d:f",
-      lambda k: U.volume_report(_counts(k), day(RUN)), f"""
-      select entity, coalesce(sum(row_count) filter (where activity_date > date '{RUN}' - 7), 0)
-                 / 7.0::double as avg_7d,
-             sum(row_count) / 30.0::double as avg_30d from daily_counts group by 1""")
-query("window_completeness", "entity first_date:t last_date:t days:i rows:i complete:b",
-      lambda k: U.window_completeness(_counts(k), day(RUN)), f"""
-      select *, first_date = date '{RUN}' - 29 and last_date = date '{RUN}' and days = 30
-                and rows = 30 as complete
-      from (select entity, min(activity_date) as first_date, max(activity_date) as last_date,
-                   count(distinct activity_date) as days, count(*) as rows
-            from daily_counts group by 1) c""")
+      lambda k: U.volume_report(_counts(k), day(RUN), _DECLARED), f"""
+      select entity, coalesce(sum(row_count) filter (where day > date '{RUN}' - 7), 0) / 7.0::double as avg_7d,
+             coalesce(sum(row_count), 0) / 30.0::double as avg_30d from ({_DENSE}) g group by 1""")
+query("window_completeness", "entity first_date:t last_date:t days:i rows:i missing_days:i complete:b",
+      lambda k: U.window_completeness(_counts(k), day(RUN), _DECLARED), f"""
+      select *, coalesce(first_date = date '{RUN}' - 29 and last_date = date '{RUN}' and days = 30
+                         and rows = 30, false) as complete
+      from (select entity, min(day) filter (where row_count is not null) as first_date,
+                   max(day) filter (where row_count is not null) as last_date,
+                   count(distinct day) filter (where row_count is not null) as days, count(row_count) as rows,
+                   count(*) filter (where row_count is null) as missing_days
+            from ({_DENSE}) g group by 1) c""")
 query("dau_7d", "mean_active_users:f active_target:i",
       lambda k: U.daily_active_mean(k.bronze("messages"), day(RUN)), f"""
       select sum(n) / 7.0::double as mean_active_users,

@@ -14,6 +14,8 @@ from tidemark.operators.monitoring import union_all
 from tidemark.sources.damage import MODEL_CATALOGUE, SHARED_EMAIL
 
 HORIZON = "2024-02-01 00:00:00"
+#: From when on paid plans have their second version.
+CUTOVER = "2024-01-15 00:00:00"
 view("shared_email_users", SHARED_EMAIL.format(stg_users="stg_users"))
 view("model_catalogue", MODEL_CATALOGUE.format(part="part"))
 
@@ -141,37 +143,48 @@ query("val_inference_rules", _VIOLATION,
           "failure_metrics": "inference_status = 'FAILED' and (response_at is not null"
                              " or latency_ms is not null or output_tokens is not null)"}))
 
+# Bands of completion outcomes, of completions per message and feedback per success, and one inference each.
 BANDS = [
-    ("completion_status", "SUCCESS", 0.85, 0.95), ("completion_status", "FAILED", 0.05, 0.10),
-    ("completion_status", "CANCELLED", 0.0, 0.015), ("inference_status", "SUCCESS", 0.90, 1.0),
-    ("account_status", "SUSPENDED", 0.01, 0.03), ("account_status", "PENDING", 0.0, 0.01),
-    ("severity", "CRITICAL", 0.0, 0.10), ("feedback_type", "RATING", 0.1, 0.6),
+    ("completion_status", "SUCCESS", 0.92, 0.96), ("completion_status", "FAILED", 0.03, 0.05),
+    ("completion_status", "CANCELLED", 0.01, 0.03), ("completion_coverage", "messages", 0.98, 0.995),
+    ("inferences_per_completion", "completions", 1.0, 1.0), ("feedback_rate", "SUCCESS", 0.05, 0.10),
 ]
 
 
 def _measured(k):
-    parts = []
-    for metric, df in (("completion_status", k.stg_completions), ("inference_status", k.stg_inferences),
-                       ("account_status", k.stg_users), ("severity", k.stg_errors),
-                       ("feedback_type", k.stg_feedback)):
-        parts.append(df.groupBy(F.col(metric).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-                     .select(F.lit(metric).alias("metric"), "value", "n"))
+    """Counts of each outcome, and counts of one entity against another."""
+    total = F.lit(None).cast("bigint").alias("total")
+    parts = [k.stg_completions.groupBy(F.col("completion_status").alias("value")).agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit("completion_status").alias("metric"), "value", "n", total)]
+    success = k.stg_completions.filter(F.col("completion_status") == "SUCCESS")
+    for metric, value, part, whole in (
+        ("completion_coverage", "messages", k.stg_completions, k.stg_messages),
+        ("inferences_per_completion", "completions", k.stg_inferences, k.stg_completions),
+        ("feedback_rate", "SUCCESS", k.stg_feedback, success),
+    ):
+        both = part.select(F.lit(1).alias("p"), F.lit(0).alias("w")).unionByName(whole.select(F.lit(0).alias("p"), F.lit(1).alias("w")))
+        parts.append(both.agg(F.coalesce(F.sum("p"), F.lit(0)).alias("n"), F.coalesce(F.sum("w"), F.lit(0)).alias("total")).select(
+            F.lit(metric).alias("metric"), F.lit(value).alias("value"), "n", "total"))
     return union_all(parts)
 
 
 query("val_ratio_bands", "metric value n:i total:i share:f low:f high:f within:b",
       lambda k: V.ratio_bands(_measured(k), BANDS), f"""
-      with m as ({" union all ".join(
-          f"select '{c}' as metric, {c} as value, count(*) as n from {t} group by 2" for c, t in
-          (("completion_status", "stg_completions"), ("inference_status", "stg_inferences"),
-           ("account_status", "stg_users"), ("severity", "stg_errors"),
-           ("feedback_type", "stg_feedback")))}),
-      t as (select metric, sum(n) as total from m group by 1),
-      b(metric, value, low, high) as (values {", ".join(str(b) for b in BANDS)})
-      select b.metric, b.value, coalesce(m.n, 0) as n, t.total,
-             coalesce(m.n, 0)::double / t.total as share, b.low, b.high,
-             coalesce(m.n, 0)::double / t.total between b.low and b.high as within
-      from b join t using (metric) left join m on m.metric = b.metric and m.value = b.value""")
+      with counted(metric, value, n, total) as (
+          select 'completion_status', completion_status, count(*), (select count(*) from stg_completions)
+          from stg_completions group by completion_status
+          union all select 'completion_coverage', 'messages', (select count(*) from stg_completions),
+                           (select count(*) from stg_messages)
+          union all select 'inferences_per_completion', 'completions', (select count(*) from stg_inferences),
+                           (select count(*) from stg_completions)
+          union all select 'feedback_rate', 'SUCCESS', (select count(*) from stg_feedback),
+                           (select count(*) from stg_completions where completion_status = 'SUCCESS')),
+      totals as (select metric, max(total) as total from counted group by metric),
+      bands(metric, value, low, high) as (values {", ".join(str(b) for b in BANDS)}),
+      shares as (
+          select bands.*, coalesce(n, 0) as n, totals.total, coalesce(n::double / nullif(totals.total, 0), 0) as share
+          from bands join totals using (metric) left join counted using (metric, value))
+      select *, share between low and high as within from shares""")
 query("val_feedback", _VIOLATION,
       lambda k: V.feedback_integrity(k.stg_feedback, k.stg_completions),
       labelled(f"""select f.*, c_user_id, c_completion_status, c_completed_at, c_found
@@ -237,7 +250,7 @@ query("val_error_context", _VIOLATION, lambda k: V.error_context(k.stg_errors),
 _BASE = "case x.field_name " + " ".join(
     f"when '{f}' then u.{f}" for f in schemas.UPDATE_FIELDS) + " end"
 query("val_update_chain", _VIOLATION,
-      lambda k: V.update_chain(k.stg_user_updates, k.stg_users, k.hot_rows),
+      lambda k: V.update_chain(k.stg_user_updates, k.stg_users, k.hot_rows, k.cut),
       labelled(f"""select x.*, u.user_id is not null as u_found, u.signup_at,
               lag(x.updated_at) over (partition by x.user_id order by x.updated_at, x.update_id)
                   as previous_at,
@@ -267,7 +280,7 @@ query("val_users", _VIOLATION,
              (select email from shared_email_users group by 1 having count(*) > 1)"""))
 query("val_subscriptions", _VIOLATION,
       lambda k: V.subscription_timeline(k.stg_subscriptions, k.stg_users, k.stg_plans, k.closed,
-                                        k.hot_rows),
+                                        HORIZON, CUTOVER, k.hot_rows),
       labelled("""select s.*, u.user_id is not null as u_found, p.plan_id is not null as p_found,
               u.signup_at, p.plan_name, p.monthly_price, c.closed_at,
               row_number() over w as n, lag(s.ended_at) over w as previous_end
@@ -283,9 +296,14 @@ query("val_subscriptions", _VIOLATION,
                    " or (plan_name = 'FREE') <> (actual_monthly_price = 0)",
           "first_not_free": "n = 1 and (plan_name <> 'FREE' or started_at <> signup_at)",
           "overlap": "n > 1 and (previous_end is null or previous_end > started_at)",
-          "after_close": "started_at > closed_at or updated_at > closed_at or ended_at > closed_at"},
+          "after_close": "started_at > closed_at or updated_at > closed_at or ended_at > closed_at",
+          "plan_cutover": f"plan_name <> 'FREE' and right(plan_id, 2) <>"
+                          f" case when started_at < timestamp '{CUTOVER}' then 'v1' else 'v2' end",
+          "beyond_horizon": f"greatest(updated_at, ended_at) > timestamp '{HORIZON}'"},
           """select 'several_active', user_id from stg_subscriptions
-             where subscription_status = 'ACTIVE' group by 2 having count(*) > 1"""))
+             where subscription_status = 'ACTIVE' group by 2 having count(*) > 1
+             union all select 'no_lifecycle', user_id from stg_users
+             where user_id not in (select user_id from stg_subscriptions where user_id is not null)"""))
 query("val_purchases", _VIOLATION,
       lambda k: V.purchase_rules(k.stg_purchases, k.stg_subscriptions, k.stg_plans, HORIZON),
       labelled("""select b.*, s.subscription_id is not null as s_found, s.user_id as s_user_id,
@@ -375,6 +393,8 @@ query("model_adoption",
       from s""")
 
 DAY = "2024-01-16"
+# Entities whose new rows are checked as they land.
+_LANDED = ("user_updates", "messages", "completions", "model_inferences", "feedback", "errors", "subscriptions", "purchases", "payments")
 view("day_labels", f"""
     with m as (select * from b_messages where dt = date '{DAY}'),
     k as (select * from b_completions where dt = date '{DAY}'),
@@ -413,13 +433,26 @@ view("day_labels", f"""
     where b_user_id = user_id and processed_at < purchase_created_at
     {" ".join(f"union all select '{e}.duplicate_new_id' from (select {schemas.ENTITY_ID[e]}"
               f" from b_{e} where dt = date '{DAY}' group by 1 having count(*) > 1) z"
-              for e in ("user_updates", "messages", "completions", "model_inferences",
-                        "purchases", "payments"))}""")
+              for e in _LANDED)}
+    {" ".join(f"union all select '{e}.partition' from b_{e} where dt = date '{DAY}' and"
+              f" cast(ingested_at as date) is distinct from date '{DAY}'" for e in _LANDED)}
+    union all select 'user_updates.closed_before_activity_end' from x
+    where field_name = 'account_status' and new_value = 'CLOSED'
+      and exists (select 1 from m where m.user_id = x.user_id and m.created_at >= x.updated_at)
+    union all select 'feedback.reference' from b_feedback f
+    where dt = date '{DAY}' and (not exists (select 1 from k where k.completion_id = f.completion_id)
+                                 or not exists (select 1 from stg_users u where u.user_id = f.user_id))
+    union all select 'subscriptions.reference' from b_subscriptions s
+    where dt = date '{DAY}' and (not exists (select 1 from stg_plans p where p.plan_id = s.plan_id)
+                                 or not exists (select 1 from stg_users u where u.user_id = s.user_id))
+    union all select 'purchases.reference' from b
+    where not exists (select 1 from stg_subscriptions s where s.subscription_id = b.subscription_id
+                      and s.user_id is not distinct from b.user_id)""")
 query("val_day", "violation rows:i",
       lambda k: V.day_violations(
           {"users": k.stg_users, "conversations": k.stg_conversations, "models": k.stg_models,
-           **{e: k.bronze(e) for e in ("user_updates", "messages", "completions",
-                                       "model_inferences", "purchases", "payments")}}, DAY),
+           "plans": k.stg_plans, "known_subscriptions": k.stg_subscriptions,
+           **{e: k.bronze(e) for e in _LANDED}}, DAY),
       "select violation, count(*) as rows from day_labels group by 1")
 query("defect_counts", "entity_name kind n:i",
       lambda k: V.defect_counts({e: k.bronze(e) for e in (*V.DEFECT_COLUMNS, "conversations")}),

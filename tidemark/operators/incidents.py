@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,23 +15,56 @@ from tidemark.functions.ordered import (
     running_sum,
 )
 from tidemark.operators.monitoring import normalise_status
+from tidemark.operators.upserts import insert_new
 
 ACTIVE = ("WARN", "FAIL")
 NOTIFIED = ("NEW", "RECURRING", "RESOLVED")
 
 
 def fingerprint(source: Column, category: Column, parts: Sequence[Column]) -> Column:
-    """Stable identity hash: sha-256 of the JSON text of the lower-cased, trimmed parts."""
+    """Stable identity hash: sha-256 of the JSON text of the trimmed, lower-cased parts."""
     cleaned = F.array_compact(F.array(*[
         F.when(p.cast("string") != "", F.lower(F.trim(p.cast("string")))) for p in parts]))
     text = F.concat_ws(":", source, category, cleaned)
-    return F.sha2(F.concat(F.lit('"'), text, F.lit('"')), 256)
+    return F.sha2(json_string(text), 256)
+
+
+def json_string(text: Column) -> Column:
+    """Text as a JSON string in ASCII: quotes, backslashes and control characters escaped, all else
+    beyond ASCII as UTF-16 units."""
+    def unit(code: Column) -> Column:
+        return F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(code)), 4, "0"))
+
+    def escaped(c: Column) -> Column:
+        code = F.ascii(c)
+        high, low = F.lit(0xD800) + F.shiftright(code - 0x10000, 10), F.lit(0xDC00) + (code - 0x10000).bitwiseAND(0x3FF)
+        out = F.when((code >= 0x20) & (code < 0x7F), c).when(code > 0xFFFF, F.concat(unit(high), unit(low))).otherwise(unit(code))
+        for sign, short in (('"', '\\"'), ("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f"), ("\x7f", "\x7f")):
+            out = F.when(c == sign, short).otherwise(out)
+        return out
+
+    return F.concat(F.lit('"'), F.array_join(F.transform(F.split(text, ""), escaped), ""), F.lit('"'))
+
+
+def json_object(fields: Mapping[str, Column]) -> Column:
+    """A JSON object with sorted keys; values are JSON texts, null for none."""
+    parts = [F.concat(F.lit(f'"{k}":'), F.coalesce(fields[k], F.lit("null"))) for k in sorted(fields)]
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
 
 
 def observation_id(digest: Column, token: Column) -> Column:
-    """Hash of fingerprint and time token in canonical JSON form."""
-    return F.sha2(F.concat(F.lit('{"fingerprint":"'), digest, F.lit('","observation_token":"'),
-                           token.cast("string"), F.lit('"}')), 256)
+    """Hash of fingerprint and token, a JSON text, in canonical JSON form."""
+    return F.sha2(json_object({"fingerprint": json_string(digest), "observation_token": token}), 256)
+
+
+def check_token(category: Column, reference_date: Column) -> Column:
+    """What tells sightings of a check apart: the day it is about, by its category, or else its time."""
+    day = json_string(F.coalesce(reference_date.cast("string"), F.lit("none")))
+    none = F.lit("null")
+    return (
+        F.when(category == "volume", json_object({"activity_date": day, "execution_run_id": none}))
+        .when(category == "quality", json_object({"execution_run_id": none, "metric_date": day}))
+        .otherwise(day))
 
 
 def check_observations(checks: DataFrame, observed_at: Column) -> DataFrame:
@@ -41,8 +74,7 @@ def check_observations(checks: DataFrame, observed_at: Column) -> DataFrame:
         F.lit("observability").alias("source"), "category", F.col("check_name").alias("identity"),
         digest.alias("fingerprint"), normalise_status(F.col("status")).alias("status"),
         observed_at.alias("observed_at"),
-        observation_id(digest, F.coalesce(F.col("reference_date").cast("string"), F.lit("none")))
-        .alias("observation_id"))
+        observation_id(digest, check_token(F.col("category"), F.col("reference_date"))).alias("observation_id"))
 
 
 def run_observations(runs: DataFrame, tasks: DataFrame) -> DataFrame:
@@ -55,7 +87,8 @@ def run_observations(runs: DataFrame, tasks: DataFrame) -> DataFrame:
         "run_id", F.concat_ws(":", "job_id", F.lit("task"), "task_key").alias("identity"),
         task_digest.alias("fingerprint"), status.alias("status"),
         F.coalesce("end_time", "run_end").alias("observed_at"),
-        observation_id(task_digest, F.concat_ws("|", "run_id", "attempt")).alias("observation_id"))
+        observation_id(task_digest, json_object({"run_id": F.col("run_id").cast("string"), "task_key": json_string(F.col("task_key"))}))
+        .alias("observation_id"))
     verdict = tasks.groupBy("run_id").agg(F.bool_or(status == "FAIL").alias("task_failed"))
     run_digest = fingerprint(F.lit("jobs"), F.lit("execution"), [F.col("job_id"), F.lit("pipeline")])
     per_run = (
@@ -64,7 +97,7 @@ def run_observations(runs: DataFrame, tasks: DataFrame) -> DataFrame:
         .select("run_id", F.concat_ws(":", "job_id", F.lit("pipeline")).alias("identity"),
                 run_digest.alias("fingerprint"), status.alias("status"),
                 F.coalesce("end_time", "start_time").alias("observed_at"),
-                observation_id(run_digest, F.concat_ws("|", "run_id", F.lit("pipeline")))
+                observation_id(run_digest, json_object({"run_id": F.col("run_id").cast("string"), "scope": json_string(F.lit("pipeline"))}))
                 .alias("observation_id")))
     return per_task.unionByName(per_run)
 
@@ -213,6 +246,15 @@ def notifications(decisions: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
         F.col("observed_at").alias("available_at"))
 
 
+def insert_once(outbox: DataFrame, decided: DataFrame) -> DataFrame:
+    """The outbox with the notifications it does not hold yet, as PENDING; those it holds keep their state.
+
+    A batch that is decided again brings the same notification ids and so changes nothing.
+    """
+    fresh = decided.dropDuplicates(["notification_id"]).withColumns({"status": F.lit("PENDING"), "attempt_count": F.lit(0)})
+    return insert_new(outbox, fresh.select(*outbox.columns), ["notification_id"])
+
+
 def eligible_outbox(outbox: DataFrame, checkpoints: DataFrame, now: Column, limit: int) -> DataFrame:
     """Oldest sendable outbox rows whose checkpoint is committed; ``limit`` is the feature."""
     ready = outbox.filter(
@@ -272,13 +314,13 @@ def issue_topk(issues: DataFrame, k: int = 2) -> DataFrame:
 ACTIONS = (("diagnostic", "P1", False), ("proposed_remediation", "P2", True), ("verification", "P3", False))
 
 
-def issue_actions(issues: DataFrame) -> DataFrame:
-    """Three action rows per issue; repeated issue names are numbered."""
+def issue_actions(issues: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Three action rows per issue; repeated issue names are numbered by date, then status."""
     urgent = (F.col("category") == "execution") | (F.col("status") == "FAIL")
     occurrence = running(
         issues.withColumn("at", F.coalesce(F.col("reference_date").cast("timestamp"),
                                            F.lit("0001-01-01").cast("timestamp"))),
-        ["category", "check_name"], ["at"], [running_sum("occurrence", F.lit(1).cast("bigint"))])
+        ["category", "check_name"], ["at", "status"], [running_sum("occurrence", F.lit(1).cast("bigint"))], hot_rows=hot_rows)
     rows = F.array(*[
         F.struct(F.lit(c).alias("action"),
                  (F.when(urgent, "P0").otherwise(p) if c == "diagnostic" else F.lit(p)).alias("priority"),

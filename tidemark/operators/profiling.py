@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import schemas
@@ -12,6 +12,7 @@ from tidemark.functions.columns import ratio
 from tidemark.functions.ordered import HOT_ROWS, lagged, position, running, running_sum
 from tidemark.operators.marts import POSITIVE_FEEDBACK
 from tidemark.operators.monitoring import union_all
+from tidemark.sources.partitions import file_accounting
 
 # Domains.
 DOMAINS = {
@@ -368,10 +369,23 @@ def domain_rollup(summary: DataFrame) -> DataFrame:
         F.min("first_date").alias("first_date"), F.max("last_date").alias("last_date"))
 
 
+def storage_bytes(paths: Mapping[str, str], spark: SparkSession) -> DataFrame:
+    """How many tables there are, and of how many the bytes of the files scanned equal those that the
+    store lists. Listing and scan are independent of one another."""
+    listed = union_all([
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
+        .agg(F.coalesce(F.sum("length"), F.lit(0)).alias("listed")).select(F.lit(name).alias("table_name"), "listed")
+        for name, path in paths.items()])
+    scanned = file_accounting({n: spark.read.parquet(p) for n, p in paths.items()}).groupBy("table_name").agg(F.sum("bytes").alias("scanned"))
+    return listed.join(scanned, "table_name", "left").agg(
+        F.count(F.lit(1)).alias("stored_tables"), F.count_if(F.col("listed") == F.coalesce("scanned", F.lit(0))).alias("bytes_met"))
+
+
 def profile_checks(
-    log: DataFrame, clean: Mapping[str, DataFrame], dirty: Mapping[str, DataFrame], lines: DataFrame
+    log: DataFrame, clean: Mapping[str, DataFrame], dirty: Mapping[str, DataFrame], lines: DataFrame, storage: DataFrame,
 ) -> DataFrame:
-    """Consistency checks of the profile as (check_name, status, expected, actual)."""
+    """Consistency checks of the profile as (check_name, status, expected, actual); ``storage`` is one
+    row (stored_tables, bytes_met), see ``storage_bytes``."""
     total = log.agg(
         F.count(F.lit(1)).alias("rows"),
         F.count("issue_type").alias("issues"),
@@ -385,6 +399,14 @@ def profile_checks(
         F.count_if(F.col("issue_type") == "DUPLICATE_RECORD").alias("duplicates"),
         F.count_distinct("entity_name", "source_record_id").alias("unique_records"),
     )
+    marked = log.filter(F.col("issue_type") == "DUPLICATE_RECORD").select("entity_name", F.lit(1).alias("duplicate"), F.lit(0).alias("surplus"))
+    sides = [t.select(F.lit(e).alias("entity_name"), F.lit(0).alias("duplicate"), F.lit(n).alias("surplus"))
+             for tables, n in ((dirty, 1), (clean, -1)) for e, t in tables.items()]
+    # Every entity by itself, so that two errors can't cancel.
+    by_entity = union_all([marked, *sides]).groupBy("entity_name").agg(F.sum("duplicate").alias("d"), F.sum("surplus").alias("s")).agg(
+        F.count(F.lit(1)).alias("deltas"), F.count_if(F.col("d") == F.col("s")).alias("deltas_met"),
+        F.coalesce(F.sum(F.when(F.col("d") == F.col("s"), F.col("d"))), F.lit(0)).alias("duplicates_met"))
+
     def rows_of(tables: Mapping[str, DataFrame], name: str) -> DataFrame:
         return union_all([t.agg(F.count(F.lit(1)).alias("n"), F.min("dt").alias("lo"), F.max("dt").alias("hi"))
                           for t in tables.values()]).agg(
@@ -392,15 +414,17 @@ def profile_checks(
             F.count_if(F.col("lo") > F.col("hi")).alias(f"{name}_bad_ranges"))
     bad = malformed_lines(lines).select((F.col("malformed") + F.col("non_object")).alias("bad_lines"))
     one = total
-    for other in (rows_of(clean, "clean"), rows_of(dirty, "dirty"), bad):
+    for other in (rows_of(clean, "clean"), rows_of(dirty, "dirty"), by_entity, storage, bad):
         one = one.join(F.broadcast(other), F.lit(True))
     checks = {
         "manifest_rows_equal_issue_sum": ("rows", "issues"),
         "entity_issue_totals": ("rows", "entities"),
-        "bronze_clean_duplicate_delta": ("duplicates", "dirty_rows - clean_rows"),
+        "bronze_clean_duplicate_delta": ("deltas", "deltas_met"),
+        "manifest_duplicate_counts_reconciled": ("duplicates", "duplicates_met"),
         "manifest_missing_counts_reconciled": ("missing", "missing_fields"),
         "manifest_timestamp_counts_reconciled": ("temporal", "temporal_classified"),
         "manifest_unique_affected_records": ("rows", "unique_records"),
+        "storage_byte_reconciliation": ("stored_tables", "bytes_met"),
         "partition_date_ranges": ("0", "clean_bad_ranges + dirty_bad_ranges"),
         "stream_parse_errors": ("0", "bad_lines"),
     }

@@ -96,13 +96,21 @@ def daily_counts(tables: Mapping[str, DataFrame], run_date: Column, days: int =
         for e, t in tables.items()])
 
 
-def volume_report(counts: DataFrame, last_day: Column, spans: Sequence[int] = (7, 30)) -> DataFrame:
-    """Mean daily rows over the trailing spans; a missing day counts as zero."""
+def lattice(counts: DataFrame, entities: Sequence[str], run_date: Column, days: int) -> DataFrame:
+    """entity, activity_date, row_count for every declared entity and day of the window that ends at the
+    run date; row_count is null where nothing was counted. The lattice has entities x days rows."""
+    spark = counts.sparkSession
+    grid = spark.createDataFrame([(e,) for e in entities], "entity string").withColumn(
+        "activity_date", F.explode(F.sequence(F.date_sub(run_date, days - 1), run_date)))
+    return grid.join(counts, ["entity", "activity_date"], "left")
+
+
+def volume_report(counts: DataFrame, last_day: Column, entities: Sequence[str], spans: Sequence[int] = (7, 30)) -> DataFrame:
+    """Mean daily rows of every declared entity over the trailing spans; a missing day counts as zero."""
+    dense = lattice(counts, entities, last_day, max(spans))
     age = F.datediff(last_day, F.col("activity_date"))
-    return counts.groupBy("entity").agg(*[
-        (F.coalesce(F.sum(F.when(age.between(0, n - 1), F.col("row_count"))), F.lit(0))
-         / F.lit(float(n))).alias(f"avg_{n}d")
-        for n in spans])
+    return dense.groupBy("entity").agg(*[
+        (F.coalesce(F.sum(F.when(age < n, F.col("row_count"))), F.lit(0)) / F.lit(float(n))).alias(f"avg_{n}d") for n in spans])
 
 
 def daily_active_mean(messages: DataFrame, last_day: Column, days: int = 7) -> DataFrame:
@@ -141,10 +149,14 @@ def state_invariants(
     return union_all(parts)
 
 
-def window_completeness(counts: DataFrame, run_date: Column, days: int = 30) -> DataFrame:
-    """Whether each entity has one row for every day of the window."""
-    return counts.groupBy("entity").agg(
+def window_completeness(counts: DataFrame, run_date: Column, entities: Sequence[str], days: int = 30) -> DataFrame:
+    """Whether each declared entity has exactly one row for every day of the window; one without any is incomplete."""
+    dense = lattice(counts, entities, run_date, days)
+    inside = dense.groupBy("entity").agg(F.count_if(F.col("row_count").isNull()).alias("missing_days"))
+    found = counts.groupBy("entity").agg(
         F.min("activity_date").alias("first_date"), F.max("activity_date").alias("last_date"),
-        F.count_distinct("activity_date").alias("days"), F.count(F.lit(1)).alias("rows"),
-    ).withColumn("complete", (F.col("first_date") == F.date_sub(run_date, days - 1))
-                 & (F.col("last_date") == run_date) & (F.col("days") == days) & (F.col("rows") == days))
+        F.count_distinct("activity_date").alias("days"), F.count(F.lit(1)).alias("rows"))
+    whole = (F.col("first_date") == F.date_sub(run_date, days - 1)) & (F.col("last_date") == run_date)
+    return inside.join(found, "entity", "left").select(
+        "entity", "first_date", "last_date", F.coalesce("days", F.lit(0)).alias("days"), F.coalesce("rows", F.lit(0)).alias("rows"), "missing_days",
+        F.coalesce(whole & (F.col("days") == days) & (F.col("rows") == days), F.lit(False)).alias("complete"))

@@ -6,7 +6,7 @@ into one labelled result row in a single pass.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -204,12 +204,13 @@ def ratio_bands(
 ) -> DataFrame:
     """Shares of each group value against declared bands.
 
-    ``measured`` has metric, value and n; bands are (metric, value, low, high). A value
-    that never occurs has share zero.
+    ``measured`` has metric, value, n and total (null: all of the metric); bands are (metric, value, low,
+    high). A value that never occurs has share zero.
     """
     spark = measured.sparkSession
     limits = F.broadcast(spark.createDataFrame(bands, "metric string, value string, low double, high double"))
-    totals = measured.groupBy("metric").agg(F.sum("n").alias("total"))
+    totals = measured.groupBy("metric").agg(F.coalesce(F.max("total"), F.sum("n")).alias("total"))
+    measured = measured.drop("total")
     share = F.coalesce(ratio(F.col("n"), F.col("total")), F.lit(0.0))
     return (
         totals.join(limits, "metric").join(measured, ["metric", "value"], "left")
@@ -312,15 +313,20 @@ STATUS_TRANSITIONS = (("ACTIVE", "SUSPENDED"), ("SUSPENDED", "ACTIVE"), ("ACTIVE
                       ("SUSPENDED", "CLOSED"))
 
 
-def update_chain(updates: DataFrame, users: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Each update continues the prior state, at a strictly later time, by a legal move."""
+def update_chain(
+    updates: DataFrame, users: DataFrame, hot_rows: int = HOT_ROWS, cut: Callable[[DataFrame], DataFrame] = lambda df: df,
+) -> DataFrame:
+    """Each update continues the prior state, at a strictly later time, by a legal move.
+
+    ``cut`` may write the rows between the two ordered passes, each of which reads its input several times.
+    """
     base = users.select(
         "user_id", "signup_at",
         F.create_map(*[x for f in schemas.UPDATE_FIELDS for x in (F.lit(f), F.col(f))]).alias("base"),
         F.lit(True).alias("u_found"),
     )
-    chained = running(updates, ["user_id"], ["updated_at", "update_id"],
-                      [lagged("previous_at", F.col("updated_at"))], hot_rows=hot_rows)
+    chained = cut(running(updates, ["user_id"], ["updated_at", "update_id"],
+                          [lagged("previous_at", F.col("updated_at"))], hot_rows=hot_rows))
     chained = running(chained, ["user_id", "field_name"], ["updated_at", "update_id"],
                       [lagged("prior", F.struct("new_value"))], hot_rows=hot_rows)
     joined = chained.join(base, "user_id", "left")
@@ -356,10 +362,14 @@ def user_rules(users: DataFrame, start: str, end: str) -> DataFrame:
 
 
 def subscription_timeline(
-    subscriptions: DataFrame, users: DataFrame, plans: DataFrame, closed: DataFrame,
+    subscriptions: DataFrame, users: DataFrame, plans: DataFrame, closed: DataFrame, horizon: str, cutover: str,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Row rules, start on the free plan at signup, one active period, no overlap."""
+    """Row rules, start on the free plan at signup, one active period, no overlap, no user without any.
+
+    Paid plans have versions: ids end with v1 for what starts before ``cutover``, with v2 from then on.
+    Nothing may be updated or end after ``horizon``.
+    """
     ordered = running(
         subscriptions.withColumn("begins", F.coalesce("started_at", F.lit("0001-01-01").cast("timestamp"))),
         ["user_id"], ["begins", "subscription_id"],
@@ -379,14 +389,18 @@ def subscription_timeline(
         "first_not_free": "n = 1 and (p_plan_name <> 'FREE' or started_at <> u_signup_at)",
         "overlap": "n > 1 and (previous.ended_at is null or previous.ended_at > started_at)",
         "after_close": "started_at > k_closed_at or updated_at > k_closed_at or ended_at > k_closed_at",
+        "plan_cutover": f"p_plan_name <> 'FREE' and not endswith(plan_id, if(started_at < timestamp '{cutover}', 'v1', 'v2'))",
+        "beyond_horizon": f"updated_at > timestamp '{horizon}' or ended_at > timestamp '{horizon}'",
     })
+    without = users.select("user_id").join(subscriptions.select("user_id"), "user_id", "left_anti").select(
+        F.lit("no_lifecycle").alias("violation"), F.col("user_id").alias("row_id"))
     active = (
         subscriptions.groupBy("user_id")
         .agg(F.count_if(F.col("subscription_status") == "ACTIVE").alias("n_active"))
         .filter(F.col("n_active") > 1)
         .select(F.lit("several_active").alias("violation"), F.col("user_id").alias("row_id"))
     )
-    return rows.unionByName(active)
+    return rows.unionByName(active).unionByName(without)
 
 
 def purchase_rules(
@@ -520,6 +534,18 @@ def day_violations(tables: Mapping[str, DataFrame], day: str) -> DataFrame:
         label(landed["user_updates"].join(users, "user_id", "left"), "update_id", {
             "user_updates.user_id": "u_found is null",
             "user_updates.updated_at": f"cast(updated_at as date) <> date '{day}'"}),
+        label(landed["user_updates"].filter("field_name = 'account_status' and new_value = 'CLOSED'").join(
+            landed["messages"].groupBy("user_id").agg(F.max("created_at").alias("last_message_at")), "user_id"), "update_id", {
+            "user_updates.closed_before_activity_end": "last_message_at >= updated_at"}),
+        label(landed["feedback"].join(users, "user_id", "left").join(
+            parent(landed["completions"], "completion_id", "c").dropDuplicates(["completion_id"]), "completion_id", "left"), "feedback_id", {
+            "feedback.reference": "u_found is null or c_found is null"}),
+        label(landed["subscriptions"].join(users, "user_id", "left").join(
+            parent(tables["plans"], "plan_id", "p"), "plan_id", "left"), "subscription_id", {
+            "subscriptions.reference": "u_found is null or p_found is null"}),
+        label(landed["purchases"].join(
+            parent(tables["known_subscriptions"], "subscription_id", "s", "user_id"), "subscription_id", "left"), "purchase_id", {
+            "purchases.reference": "s_found is null or not (user_id <=> s_user_id)"}),
         label(landed["messages"].join(users, "user_id", "left")
               .join(parent(tables["conversations"], "conversation_id", "c", "user_id", "created_at")
                     .dropDuplicates(["conversation_id"]), "conversation_id", "left"), "message_id", {
@@ -549,6 +575,8 @@ def day_violations(tables: Mapping[str, DataFrame], day: str) -> DataFrame:
         parts.append(repeated(t, [schemas.ENTITY_ID[n]]).select(
             F.lit(f"{n}.duplicate_new_id").alias("violation"),
             F.col(schemas.ENTITY_ID[n]).alias("row_id")))
+        parts.append(violations(t, schemas.ENTITY_ID[n], {
+            f"{n}.partition": f"not coalesce(cast(ingested_at as date) = date '{day}', false)"}))
     return union_all(parts).groupBy("violation").agg(F.count(F.lit(1)).alias("rows"))
 
 

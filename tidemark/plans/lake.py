@@ -524,7 +524,7 @@ class Lake:
         return raw.select(
             "source", "category", "check_name", digest.alias("fingerprint"),
             status.alias("status"), "observed_at",
-            incidents.observation_id(digest, F.col("observation_id")).alias("observation_id"),
+            incidents.observation_id(digest, incidents.json_string(F.col("observation_id").cast("string"))).alias("observation_id"),
         )
 
     def cut(self, df: DataFrame) -> DataFrame:
