@@ -17,8 +17,16 @@ import numpy as np
 
 #: Numbers that are neither letters nor digits, such as fractions and circled numbers.
 NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
-#: A word is a run of letters.
-WORD = re.compile(rf"[^\W\d_{NUMBERS}]+")
+RUN = re.compile(r"[^\W\d_]+")
+LETTERS = re.compile(rf"[^{re.escape(NUMBERS)}]+")
+
+
+def words_of(text: str) -> list[str]:
+    """Runs of letters. Only the rare runs that hold such numbers are cut again."""
+    found = RUN.findall(text)
+    if not all(map(str.isalpha, found)):
+        found = [w for run in found for w in ([run] if run.isalpha() else LETTERS.findall(run))]
+    return found
 BITS = 17
 
 

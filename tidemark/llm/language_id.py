@@ -66,7 +66,7 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:
     rng = np.random.default_rng(settings.seed)
     runs: list[tuple[int, list[str]]] = []
     for row in rows:
-        words = crf.WORD.findall(row["part"].lower())
+        words = crf.words_of(row["part"].lower())
         label = languages.index(row["lang"])
         runs += [(label, words[i:i + settings.run]) for i in range(0, len(words), settings.run)]
     stream = [runs[i] for i in rng.permutation(len(runs)).tolist()]
@@ -85,7 +85,7 @@ class Labeller:
 
     def marginals(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Marginals of all words, and the number of words of each text."""
-        lists = [crf.WORD.findall(t.lower()) for t in texts]
+        lists = [crf.words_of(t.lower()) for t in texts]
         counts = np.fromiter(map(len, lists), np.int64, len(lists))
         words = [w for l in lists for w in l]
         if len(self.known) > self.memo:

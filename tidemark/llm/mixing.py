@@ -210,11 +210,12 @@ def scheduled_documents(docs: DataFrame, **options: object) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, **options: object) -> DataFrame:
-    """The mix as documents, in the order of the schedule, with the columns of ``docs`` whatever their names.
+    """The mix as documents, with the columns of ``docs`` whatever their names; ``scheduled_documents`` has their
+    place in the schedule.
 
     Rows without words are in no mix. Repeated rows are taken as rows of their own; an empty table stays empty.
     """
-    rows = scheduled_documents(docs, **options).repartitionByRange("at").sortWithinPartitions("at")
+    rows = scheduled_documents(docs, **options)
     return rows.select(*[F.col("part").alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
