@@ -10,7 +10,7 @@ from tidemark import schemas
 from tidemark.catalog.oracle import view
 from tidemark.catalog.registry import query
 from tidemark.functions.text import redact
-from tidemark.operators import facts, upserts as U
+from tidemark.operators import facts, profiling, upserts as U
 from tidemark.operators.defects import PLANS
 from tidemark.sources import partitions as S
 from tidemark.sources.tables import TABLE_DDL
@@ -328,8 +328,10 @@ def _given_fields(name: str) -> dict[str, str]:
 
 
 query("table_digest", "level:i table_name part rows:i digest", lambda k: S.digest_tree(_digest_tables(k)), _digests())
-query("file_accounting", "table_name file_name rows:i bytes:i",
-      lambda k: S.file_accounting({n: k.spark.read.parquet(f"{k.sf_dir}/{n}.parquet") for n in TABLE_DDL}))
+query("file_accounting", "table_name rows:i bytes_met:b",
+      lambda k: profiling.stored_files({n: f"{k.sf_dir}/{n}.parquet" for n in TABLE_DDL}, k.spark).withColumn(
+          "bytes_met", F.col("listed") == F.col("scanned")),
+      " union all ".join(f"select '{n}' as table_name, count(*) as rows, true as bytes_met from {n}" for n in TABLE_DDL))
 
 
 def _incremental(k):

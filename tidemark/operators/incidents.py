@@ -39,11 +39,11 @@ def json_string(text: Column) -> Column:
         code = F.ascii(c)
         high, low = F.lit(0xD800) + F.shiftright(code - 0x10000, 10), F.lit(0xDC00) + (code - 0x10000).bitwiseAND(0x3FF)
         out = F.when((code >= 0x20) & (code < 0x7F), c).when(code > 0xFFFF, F.concat(unit(high), unit(low))).otherwise(unit(code))
-        for sign, short in (('"', '\\"'), ("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f"), ("\x7f", "\x7f")):
+        for sign, short in (('"', '\\"'), ("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")):
             out = F.when(c == sign, short).otherwise(out)
         return out
 
-    return F.concat(F.lit('"'), F.array_join(F.transform(F.split(text, ""), escaped), ""), F.lit('"'))
+    return F.concat(F.lit('"'), F.array_join(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), escaped), ""), F.lit('"'))
 
 
 def json_object(fields: Mapping[str, Column]) -> Column:

@@ -369,16 +369,23 @@ def domain_rollup(summary: DataFrame) -> DataFrame:
         F.min("first_date").alias("first_date"), F.max("last_date").alias("last_date"))
 
 
-def storage_bytes(paths: Mapping[str, str], spark: SparkSession) -> DataFrame:
-    """How many tables there are, and of how many the bytes of the files scanned equal those that the
-    store lists. Listing and scan are independent of one another."""
+def stored_files(paths: Mapping[str, str], spark: SparkSession) -> DataFrame:
+    """Rows and bytes of each table's files as scanned, beside the bytes that the store lists. Listing and
+    scan are independent of one another."""
     listed = union_all([
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
         .agg(F.coalesce(F.sum("length"), F.lit(0)).alias("listed")).select(F.lit(name).alias("table_name"), "listed")
         for name, path in paths.items()])
-    scanned = file_accounting({n: spark.read.parquet(p) for n, p in paths.items()}).groupBy("table_name").agg(F.sum("bytes").alias("scanned"))
-    return listed.join(scanned, "table_name", "left").agg(
-        F.count(F.lit(1)).alias("stored_tables"), F.count_if(F.col("listed") == F.coalesce("scanned", F.lit(0))).alias("bytes_met"))
+    scanned = file_accounting({n: spark.read.parquet(p) for n, p in paths.items()}).groupBy("table_name").agg(
+        F.sum("rows").alias("rows"), F.sum("bytes").alias("scanned"))
+    return listed.join(scanned, "table_name", "left").select(
+        "table_name", F.coalesce("rows", F.lit(0)).alias("rows"), "listed", F.coalesce("scanned", F.lit(0)).alias("scanned"))
+
+
+def storage_bytes(paths: Mapping[str, str], spark: SparkSession) -> DataFrame:
+    """How many tables there are, and of how many the bytes of the files scanned equal those listed."""
+    return stored_files(paths, spark).agg(
+        F.count(F.lit(1)).alias("stored_tables"), F.count_if(F.col("listed") == F.col("scanned")).alias("bytes_met"))
 
 
 def profile_checks(
