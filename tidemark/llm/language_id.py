@@ -47,8 +47,8 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:
     """Train on documents with text and lang. Without any there are no languages to predict; with more
     labels than the weights of a model can hold it is an error."""
     known = docs.filter("text is not null and lang is not null")
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    languages = sorted(r["lang"] for r in counts.limit(MOST_LABELS + 1).collect())
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LABELS + 1).collect()
+    languages = sorted(r["lang"] for r in counts)
     if len(languages) > MOST_LABELS:
         raise ValueError(f"more than {MOST_LABELS} languages")
     if not languages:
@@ -60,7 +60,9 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:
     # the table.
     low = unit(F.col("mark")) < 2.0 * quota / F.col("n")
     place = F.pmod(F.col("mark"), F.greatest(F.length("text") - settings.stretch, F.lit(1))).cast("int") + 1
-    rows = known.select("doc_id", "text", "lang", mark.alias("mark")).join(counts, "lang").filter(low).select(
+    # One row a label, at most MOST_LABELS, meets the documents without moving them.
+    shares = F.broadcast(docs.sparkSession.createDataFrame(counts, "lang string, n bigint"))
+    rows = known.select("doc_id", "text", "lang", mark.alias("mark")).join(shares, "lang").filter(low).select(
         "doc_id", "lang", "mark", F.col("text").substr(place, F.lit(settings.stretch)).alias("part")
     ).withColumn("r", F.row_number().over(pick)).filter(F.col("r") <= quota).orderBy("mark", "lang", "doc_id").toArrow().to_pylist()
     rng = np.random.default_rng(settings.seed)
