@@ -86,7 +86,7 @@ def test_bad_updates_stop_the_load(spark, make, tmp_path, user, field):
     at = "2024-01-01 00:00:01"
     batch = {
         "users": make([("u", at)], "user_id string, ingested_at timestamp"),
-        "user_updates": make([(f"x{user}", user, field, "v", at, at)], UPDATES.replace("update_id", "event_id") if False else UPDATES),
+        "user_updates": make([(f"x{user}", user, field, "v", at, at)], UPDATES),
     }
     with pytest.raises(UpdateError):
         run_day(spark, str(tmp_path), dt.date(2024, 1, 1), batch)

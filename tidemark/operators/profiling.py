@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark import schemas
 from tidemark.functions.columns import ratio
-from tidemark.functions.ordered import HOT_ROWS, lagged, position, running, running_sum
+from tidemark.functions.ordered import HOT_ROWS, lagged, running, running_sum
 from tidemark.operators.marts import POSITIVE_FEEDBACK
 from tidemark.operators.monitoring import union_all
 from tidemark.sources.partitions import file_accounting
