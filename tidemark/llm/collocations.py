@@ -1,9 +1,10 @@
 """Collocations: phrases of two to five words that occur together more often than their parts explain.
 
-A phrase can only be frequent if its words and pairs of words are. So words are counted first, then hashes
-of the pairs of frequent words; both go to the tasks as bitmaps of fixed size, which let everything frequent
-pass. Phrases whose pairs all pass are counted exactly: every task counts in a trie (``hat_trie``) and lets
-subtrees go as sorted runs, which are merged per prefix. What shares a hash is told apart there.
+A phrase can only be frequent if its words, pairs and triples of words are. So words are counted first, then
+hashes of the pairs of frequent words, then of the triples of frequent pairs; each level goes to the tasks as a
+bitmap of fixed size, which lets everything frequent pass. Phrases whose parts all pass are counted exactly: every
+task counts in a trie (``hat_trie``) and lets subtrees go as sorted runs, which are merged per prefix. What shares a
+hash is told apart there.
 """
 
 from __future__ import annotations
@@ -26,10 +27,13 @@ from tidemark.llm.hat_trie import HatTrie
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 #: Lower case for A-Z, one sign for all ends of pieces, a space for a tab.
 PLAIN = bytes(10 if c in PIECE_ENDS else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
-#: Factors of the hash of a pair, of which the upper 44 bits are kept: 12 tell the part, 32 the place in it.
+#: Factors of the hash of words in a row, of which the upper 44 bits are kept: 12 tell the part, 32 the place in it.
 U64 = np.uint64
-FACTORS = (U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0xD6E8FEB86659FD93))
-PAIR_BITS, PART_BITS = 44, 12
+FACTORS = (U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9))
+MIX = U64(0xD6E8FEB86659FD93)
+GRAM_BITS, PART_BITS = 44, 12
+#: Pairs and triples are hashed before phrases are counted.
+HASHED = 3
 BLOCK_BITS = 1 << 16
 
 RUN_SCHEMA = "prefix bigint, lang string, phrase string, n bigint"
@@ -165,28 +169,45 @@ def _streams(batches: Iterator[pa.RecordBatch], words: Words, chars: int) -> Ite
 END = np.array([-1], np.int64)
 
 
-def _pairs(ids: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where two words follow each other, and the hashes of these pairs."""
-    at = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
-    h = hashes[ids[at]] * FACTORS[0] + hashes[ids[at + 1]] * FACTORS[1]
-    h = (h ^ (h >> U64(29))) * FACTORS[2]
-    return at, h >> U64(64 - PAIR_BITS)
+def _narrowed(ok: np.ndarray) -> np.ndarray:
+    """Where a part and the one after it are ok: the parts of a phrase longer by one word."""
+    return ok[:-1] & ok[1:]
 
 
-def pair_slots(docs: DataFrame, words: Broadcast, settings: Settings, chars: int = 1 << 22) -> DataFrame:
-    """slot of each hash of two neighbouring words that occurs ``least`` times or more.
+def _hashed(ids: np.ndarray, hashes: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the ``k`` words from each position on."""
+    h = np.zeros(len(at), U64)
+    for j in range(k):
+        h += hashes[ids[at + j]] * FACTORS[j]
+    return ((h ^ (h >> U64(29))) * MIX) >> U64(64 - GRAM_BITS)
+
+
+def _survivors(ids: np.ndarray, hashes: np.ndarray, bitmaps: list[Broadcast]) -> list[np.ndarray]:
+    """By position, whether one word, two words, ... from there may be frequent, as far as there are bitmaps."""
+    oks = [ids >= 0]
+    for k, marks in enumerate(bitmaps, 2):
+        ok = _narrowed(oks[-1])
+        at = np.flatnonzero(ok)
+        ok[at] = _set(marks.value, (_hashed(ids, hashes, at, k) % U64(len(marks.value) * 8)).astype(np.int64))
+        oks.append(ok)
+    return oks
+
+
+def gram_slots(docs: DataFrame, words: Broadcast, bitmaps: list[Broadcast], settings: Settings, chars: int = 1 << 22) -> DataFrame:
+    """slot of each hash of neighbouring words, one more than ``bitmaps`` tell of, that occurs ``least`` times or more.
 
     Hashes travel packed by part; a part meets in one task and holds one hash in 2**12.
     """
-    low_bits = U64((1 << (PAIR_BITS - PART_BITS)) - 1)
+    low_bits, k = U64((1 << (GRAM_BITS - PART_BITS)) - 1), len(bitmaps) + 2
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = Words(words.value)
         for stream in _streams(batches, ids, chars):
-            _, h = _pairs(stream, np.array(ids.hashes or [0], U64))
+            hashes = np.array(ids.hashes or [0], U64)
+            h = _hashed(stream, hashes, np.flatnonzero(_narrowed(_survivors(stream, hashes, bitmaps)[-1])), k)
             if len(h):
                 h, n = np.unique(h, return_counts=True)
-                part = (h >> U64(PAIR_BITS - PART_BITS)).astype(np.int64)
+                part = (h >> U64(GRAM_BITS - PART_BITS)).astype(np.int64)
                 filled, first = np.unique(part, return_index=True)
                 low, ends = (h & low_bits).astype(np.uint32), [*first[1:].tolist(), len(h)]
                 cuts = list(zip(first.tolist(), ends))
@@ -209,7 +230,7 @@ def pair_slots(docs: DataFrame, words: Broadcast, settings: Settings, chars: int
     def frequent_of(part: int | None, held: list) -> Iterator[pa.RecordBatch]:
         if held:
             low, n = _summed(held)
-            slots = ((part << (PAIR_BITS - PART_BITS)) + low[n >= settings.least].astype(np.int64)) % settings.bits
+            slots = ((part << (GRAM_BITS - PART_BITS)) + low[n >= settings.least].astype(np.int64)) % settings.bits
             yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64())], ["slot"])
 
     packed = docs.mapInArrow(count, "part bigint, low binary, n binary")
@@ -221,14 +242,6 @@ def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return low, np.bincount(inverse, np.concatenate([n for _, n in held]), len(low)).astype(np.int64)
 
 
-def _begins(ids: np.ndarray, ok: np.ndarray, k: int) -> np.ndarray:
-    """Positions at which ``k`` words begin whose pairs are all ``ok``."""
-    whole = ok[:max(len(ids) - k + 1, 0)].copy()
-    for j in range(1, k - 1):
-        whole &= ok[j:j + len(whole)]
-    return np.flatnonzero(whole)
-
-
 def _distinct(ids: np.ndarray, begins: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct phrases of ``k`` ids at the positions, and their counts."""
     rank, width = ids[begins], int(ids.max(initial=0)) + 1
@@ -237,20 +250,20 @@ def _distinct(ids: np.ndarray, begins: np.ndarray, k: int) -> tuple[np.ndarray,
     return ids[begins[first][:, None] + np.arange(k)], np.bincount(rank)
 
 
-def count_phrases(docs: DataFrame, words: Broadcast, pairs: Broadcast, settings: Settings, chars: int = 1 << 22) -> DataFrame:
+def count_phrases(docs: DataFrame, words: Broadcast, bitmaps: list[Broadcast], settings: Settings, chars: int = 1 << 22) -> DataFrame:
     """lang, phrase, n of the phrases of two words or more that occur ``least`` times or more.
 
-    ``words`` and ``pairs`` are the bitmaps of frequent words and pairs.
+    ``words`` and ``bitmaps`` tell of frequent words, pairs, ...
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, trie = Words(words.value), HatTrie(settings.burst, settings.keys)
         for stream in _streams(batches, ids, chars):
-            at, h = _pairs(stream, np.array(ids.hashes or [0], U64))
-            ok = np.zeros(len(stream) - 1, bool)
-            ok[at] = _set(pairs.value, (h % U64(settings.bits)).astype(np.int64))
+            oks = _survivors(stream, np.array(ids.hashes or [0], U64), bitmaps)
             for k in range(2, settings.longest + 1):
-                begins = _begins(stream, ok, k)
+                if k > len(oks):
+                    oks.append(_narrowed(oks[-1]))
+                begins = np.flatnonzero(oks[k - 1])
                 if not len(begins):
                     break
                 phrases, n = _distinct(stream, begins, k)
@@ -319,8 +332,10 @@ def frequent(docs: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]
     counts = stored(word_counts(docs), "words")
     found = counts.where(F.col("n") >= settings.least)
     words = context.broadcast(bitmap(word_slots(found, settings.bits), settings.bits))
-    pairs = context.broadcast(bitmap(pair_slots(docs, words, settings), settings.bits))
-    found = found.unionByName(stored(count_phrases(docs, words, pairs, settings), "phrases"))
+    bitmaps: list[Broadcast] = []
+    for _ in range(2, min(HASHED, settings.longest) + 1):
+        bitmaps.append(context.broadcast(bitmap(gram_slots(docs, words, bitmaps, settings), settings.bits)))
+    found = found.unionByName(stored(count_phrases(docs, words, bitmaps, settings), "phrases"))
     return found, counts.groupBy("lang").agg(F.sum("n").alias("total"))
 
 
