@@ -3,8 +3,8 @@
 A phrase can only be frequent if its words, pairs and triples of words are. So words are counted first, then
 hashes of the pairs of frequent words, then of the triples of frequent pairs; each level goes to the tasks as a
 bitmap of fixed size, which lets everything frequent pass. Phrases whose parts all pass are counted exactly: every
-task counts in a trie (``hat_trie``) and lets subtrees go as sorted runs, which are merged per prefix. What shares a
-hash is told apart there.
+task counts in a trie (``hat_trie``) and lets subtrees go as sorted runs, one row for each part of the prefixes;
+the runs of a part are merged. What shares a hash is told apart there.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, groupby
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -36,14 +38,18 @@ GRAM_BITS, PART_BITS = 44, 12
 HASHED = 3
 BLOCK_BITS = 1 << 16
 
-RUN_SCHEMA = "prefix bigint, lang string, phrase string, n bigint"
+#: Phrases of a run end in line feeds, which no word holds; counts are 64 bits each.
+RUN_SCHEMA = "part bigint, lang string, phrases binary, n binary"
+#: Runs of one Arrow batch.
+RUN_ROWS = 2_000
 
 
 @dataclass(frozen=True)
 class Settings:
     """``least``: occurrences of a candidate; ``share``: per cent of its count a longer candidate needs to
     replace it; ``top`` rows a language; ``longest`` phrase in words.
-    ``bits`` is the size of a bitmap, ``burst`` and ``keys`` bound the trie of a task."""
+    ``bits`` is the size of a bitmap, ``burst`` and ``keys`` bound the trie of a task, ``part_pairs`` the pairs
+    that begin the phrases of one part of the merge."""
 
     least: int = 100
     share: int = 100
@@ -52,6 +58,7 @@ class Settings:
     bits: int = 1 << 26
     burst: int = 4_096
     keys: int = 200_000
+    part_pairs: int = 2_048
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -255,6 +262,7 @@ def count_phrases(docs: DataFrame, words: Broadcast, bitmaps: list[Broadcast], s
 
     ``words`` and ``bitmaps`` tell of frequent words, pairs, ...
     """
+    parts = _parts((bitmaps or [words])[0].value, settings.part_pairs)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, trie = Words(words.value), HatTrie(settings.burst, settings.keys)
@@ -270,58 +278,76 @@ def count_phrases(docs: DataFrame, words: Broadcast, bitmaps: list[Broadcast], s
                 for phrase, times in zip(map(tuple, phrases.tolist()), n.tolist()):
                     trie.add(phrase, times)
                     if trie.full():
-                        yield from _runs(trie, ids)
-        yield from _runs(trie, ids)
+                        yield from _runs(trie, ids, parts)
+        yield from _runs(trie, ids, parts)
 
     runs = docs.mapInArrow(count, RUN_SCHEMA)
-    merged = runs.repartition("prefix").sortWithinPartitions("prefix", "lang", "phrase").select("lang", "phrase", "n")
-    return merged.mapInArrow(_merge, "lang string, phrase string, n bigint").where(F.col("n") >= settings.least)
+    merged = runs.repartition("part", "lang").sortWithinPartitions("part", "lang")
+    return merged.mapInArrow(_merger(settings.least), "lang string, phrase string, n bigint")
 
 
-def _runs(trie: HatTrie, ids: Words, size: int = 20_000) -> Iterator[pa.RecordBatch]:
-    """Subtrees of the trie as sorted runs, each row with the hash of its first two words."""
-    rows: list[tuple] = []
-    for first, found in trie.spill():
-        lang, names = ids.langs[first], ids.names
-        rows += sorted((zlib.crc32(names[first] + b" " + names[p[1]]) % 65_521, lang, b" ".join([names[i] for i in p]), n) for p, n in found)
-        if len(rows) > size:
-            yield _run(rows)
-            rows = []
-    if rows:
-        yield _run(rows)
-
+def _parts(pairs: np.ndarray, part_pairs: int) -> int:
+    """Number of prefix parts: a power of two, 1,024 at least, with about ``part_pairs`` of the pairs in each."""
+    found = int(np.bitwise_count(pairs).sum())
+    return 1 << max(10, (found // part_pairs).bit_length())
 
-def _run(rows: list[tuple]) -> pa.RecordBatch:
-    prefix, lang, phrase, n = zip(*rows)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(prefix, pa.int64()), pa.array(lang, pa.string()), pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())],
-        ["prefix", "lang", "phrase", "n"])
 
+def _runs(trie: HatTrie, ids: Words, parts: int) -> Iterator[pa.RecordBatch]:
+    """All subtrees of the trie as sorted runs, one for each part (a hash of the first two words) and language."""
+    runs: dict[tuple[int, str], list[tuple[bytes, int]]] = {}
+    names = ids.names
+    for first, found in trie.spill():
+        lang, word = ids.langs[first], names[first] + b" "
+        for phrase, n in found:
+            part = zlib.crc32(word + names[phrase[1]]) % parts
+            runs.setdefault((part, lang), []).append((b" ".join([names[i] for i in phrase]), n))
+    while runs:
+        keys, phrases, counts = [], [], []
+        while runs and len(keys) < RUN_ROWS:
+            key, run = runs.popitem()
+            run.sort()
+            names_of, n = zip(*run)
+            keys.append(key)
+            phrases.append(b"\n".join(names_of))
+            counts.append(np.array(n, np.int64).tobytes())
+        part, lang = zip(*keys)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(part, pa.int64()), pa.array(lang, pa.string()), pa.array(phrases, pa.binary()), pa.array(counts, pa.binary())],
+            ["part", "lang", "phrases", "n"])
+
+
+def _merger(least: int, most_runs: int = 200):
+    """Merges the sorted runs of each part and language; the phrases of one part are held at a time."""
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of equal neighbours; the last phrase of a batch waits for the next one."""
-    held: tuple[str, str, int] | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        langs, phrases, n = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-        new = np.flatnonzero(np.concatenate([[True], (phrases[1:] != phrases[:-1]) | (langs[1:] != langs[:-1])]))
-        sums = np.add.reduceat(n, new)
-        langs, phrases = langs[new], phrases[new]
-        if held is not None:
-            if (langs[0], phrases[0]) == held[:2]:
-                sums[0] += held[2]
-            else:
-                yield _merged([held[0]], [held[1]], [held[2]])
-        held = (langs[-1], phrases[-1], int(sums[-1]))
-        if len(new) > 1:
-            yield _merged(langs[:-1], phrases[:-1], sums[:-1])
-    if held is not None:
-        yield _merged([held[0]], [held[1]], [held[2]])
-
-
-def _merged(langs: list, phrases: list, n: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(phrases, pa.string()), pa.array(n, pa.int64())], ["lang", "phrase", "n"])
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, held = None, []
+        for batch in batches:
+            for part, lang, phrases, n in zip(*[c.to_pylist() for c in batch.columns]):
+                if (part, lang) != own:
+                    yield from ended(own, held)
+                    own, held = (part, lang), []
+                held.append(list(zip(phrases.split(b"\n"), np.frombuffer(n, np.int64).tolist())))
+                if len(held) > most_runs:
+                    held = [_merged(held)]
+        yield from ended(own, held)
+
+    def ended(own: tuple[int, str] | None, held: list) -> Iterator[pa.RecordBatch]:
+        found = [(p, n) for p, n in _merged(held) if n >= least]
+        if found:
+            phrases, n = zip(*found)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([own[1]] * len(n), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())],
+                ["lang", "phrase", "n"])
+
+    return merge
+
+
+def _merged(runs: list[list[tuple[bytes, int]]]) -> list[tuple[bytes, int]]:
+    """One sorted run of all; Python's sort merges runs that are sorted already."""
+    out: list[tuple[bytes, int]] = []
+    for phrase, equal in groupby(sorted(chain.from_iterable(runs)), itemgetter(0)):
+        out.append((phrase, sum(n for _, n in equal)))
+    return out
 
 
 def frequent(docs: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
