@@ -1,10 +1,11 @@
 """Work that must grow no faster than the input."""
 
 from conftest import SF_DIR
+from conftest import rows as rows_of
 from pyspark.sql import functions as F
 
-from tidemark.operators import incidents
-from tidemark.plans.lake import Lake
+from tidemark.operators import defects, incidents
+from tidemark.plans.lake import DEFECT_HORIZON, SEED, Lake
 
 
 def test_observations_use_all_cores_on_one_split(spark):
@@ -19,3 +20,21 @@ def test_plain_texts_are_not_taken_apart(make):
     assert [r[0] for r in got.collect()] == [
         '"plain"', '"end\\n"', '"a\\"b"', '"back\\\\"', '"\\u00e9"', '"\\u007f"', '""', None]
     assert "RLIKE" in got._jdf.queryExecution().analyzed().toString()
+
+
+def test_labels_shuffle_only_rows_to_shift(spark):
+    lake = Lake(spark, SF_DIR)
+    rows, parent = lake.clean("payments"), lake.clean("purchases")
+    every = defects.label(defects.with_parent_time(rows, parent, "purchase_id", "purchase_created_at"),
+                          "payments", SEED, DEFECT_HORIZON)
+    keep = ["payment_id", "issue", F.when(F.col("issue") == defects.TEMPORAL, F.col("shifted_at")).alias("s")]
+    assert rows_of(lake.labelled("payments").select(*keep)) == rows_of(every.select(*keep))
+    plan = lake.labelled("payments")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Union") == 1
+
+
+def test_repeated_parents_still_multiply(spark):
+    lake = Lake(spark, SF_DIR)
+    lake._memo["clean.purchases"] = Lake(spark, SF_DIR).clean("purchases").withColumn(
+        "x", F.explode(F.array(F.lit(1), F.lit(2)))).drop("x")
+    assert lake.labelled("payments").count() == 2 * lake.clean("payments").count()
