@@ -4,6 +4,7 @@ from conftest import SF_DIR
 from conftest import rows as rows_of
 from pyspark.sql import functions as F
 
+from tidemark.functions.columns import may_be_in
 from tidemark.operators import defects, incidents
 from tidemark.plans.lake import DEFECT_HORIZON, SEED, Lake
 
@@ -38,3 +39,31 @@ def test_repeated_parents_still_multiply(spark):
     lake._memo["clean.purchases"] = Lake(spark, SF_DIR).clean("purchases").withColumn(
         "x", F.explode(F.array(F.lit(1), F.lit(2)))).drop("x")
     assert lake.labelled("payments").count() == 2 * lake.clean("payments").count()
+
+
+def test_records_without_entry_are_settled_by_digest(lake, make):
+    ddl = ("payment_id string, purchase_id string, payment_method string, processed_at timestamp,"
+           " ingested_at timestamp")
+    blank = lake.before_defects("payments").limit(0)
+
+    def table(ids):
+        rows = make([(i, "b", m, "2024-01-01", at) for i, m, at in ids], ddl)
+        return blank.unionByName(rows, allowMissingColumns=True)
+
+    day, later = "2024-01-01", "2024-01-02"
+    clean = table([("same", "A", day), ("lost", "A", day), ("other", "A", day), ("twice", "A", day),
+                   ("late", "A", day), ("two", "A", day), ("two", "B", day)])
+    dirty = table([("same", "A", day), ("other", "B", day), ("twice", "A", day), ("twice", "A", day),
+                   ("late", "A", later), ("two", "A", day), ("new", "A", day), (None, "A", day)])
+    log = lake.log("payments").limit(0)
+    got = defects.reconcile_settled(clean, dirty, log, "payments")
+    want = defects.reconcile(clean, dirty, log, "payments")
+    assert rows_of(got) == rows_of(want)
+    assert {r.record_id for r in got.collect()} >= {"lost", "other", "twice", "late", "new", None}
+
+
+def test_bitmap_loses_no_id(spark):
+    df = spark.range(20_000).selectExpr("concat('x', id) as id")
+    ids = df.filter("id like '%7'")
+    got = may_be_in(df, ids)
+    assert got.join(ids, "id", "left_semi").count() == 2_000 and got.count() < 2_100

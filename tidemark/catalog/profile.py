@@ -305,7 +305,7 @@ def _reconcile_sql(entity: str) -> str:
 
 query("manifest_reconcile", "entity_name record_id issue_type copies:i failure",
       lambda k: union_all([
-          D.reconcile(k.before_defects(e), k.damaged_dirty(e), k.log(e), e).select(F.lit(e).alias("entity_name"), "*")
+          D.reconcile_settled(k.before_defects(e), k.damaged_dirty(e), k.log(e), e, cut=k.cut).select(F.lit(e).alias("entity_name"), "*")
           for e in D.PLANS]),
       " union all ".join(_reconcile_sql(e) for e in D.PLANS))
 query("manifest_summary",
