@@ -57,6 +57,7 @@ def test_missing_keys_and_repeats_by_hash(make):
     "chk_pit_unique",
     "dq_freshness",
     "dq_issues",
+    "chk_dq_ranges",
 ])
 def test_no_whole_fact_is_built(spark, key):
     lake = Lake(spark, SF_DIR)
