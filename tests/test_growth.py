@@ -1,5 +1,7 @@
 """Work that must grow no faster than the input."""
 
+import json
+
 from conftest import SF_DIR
 from conftest import rows as rows_of
 from pyspark.sql import functions as F
@@ -67,3 +69,25 @@ def test_bitmap_loses_no_id(spark):
     ids = df.filter("id like '%7'")
     got = may_be_in(df, ids)
     assert got.join(ids, "id", "left_semi").count() == 2_000 and got.count() < 2_100
+
+
+def test_digests_are_computed_once_and_without_lambdas(make):
+    runs = make([(1, 9, "FAILED", "2024-01-01 00:00:00", "2024-01-01 01:00:00")], "run_id bigint, job_id bigint, result_state string, start_time timestamp, end_time timestamp")
+    tasks = make([(1, "load", "FAILED", "2024-01-01 00:30:00")], "run_id bigint, task_key string, result_state string, end_time timestamp")
+    got = incidents.run_observations(runs, tasks)
+    # One digest and one id for tasks, and for runs.
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("sha2(") == 4
+    plain = make([("a", "b", " C ", "", None)], "s string, c string, x string, y string, z string")
+    digest = incidents.fingerprint(F.col("s"), F.col("c"), [F.col("x"), F.col("y"), F.col("z")])
+    got = plain.select(digest.alias("d"), F.sha2(F.lit('"a:b:c"'), 256).alias("want"))
+    assert got.first().d == got.first().want
+    # The one filter is that of texts which are taken apart.
+    assert "isnotnull(lambda" not in got._jdf.queryExecution().analyzed().toString()
+
+
+def test_every_character_is_kept_or_escaped(make):
+    texts = [chr(c) for c in range(1, 0x180)]
+    got = make([(t,) for t in texts], "t string").select("t", incidents.json_string(F.col("t")).alias("j"))
+    assert all(json.loads(r.j) == r.t and json.dumps(r.t) == r.j for r in got.collect())
+    escaped = {r.t for r in got.filter(F.col("t").rlike(incidents.NOT_PLAIN)).collect()}
+    assert escaped == {t for t in texts if json.dumps(t) != f'"{t}"'} | {"\x7f"}
