@@ -91,3 +91,33 @@ def test_every_character_is_kept_or_escaped(make):
     assert all(json.loads(r.j) == r.t and json.dumps(r.t) == r.j for r in got.collect())
     escaped = {r.t for r in got.filter(F.col("t").rlike(incidents.NOT_PLAIN)).collect()}
     assert escaped == {t for t in texts if json.dumps(t) != f'"{t}"'} | {"\x7f"}
+
+
+def test_a_source_is_never_gathered_for_its_outages(make):
+    seen = make([(s, at) for s in ("a", "b", None) for at in (
+        "2024-01-01 05:00:00", "2024-01-02 04:59:00", "2024-01-02 05:00:00", "2024-01-02 06:30:00", "2024-01-03 00:00:00",
+        "2024-01-05 09:00:00", "2024-01-05 23:00:00", None)], "source string, observed_at timestamp").withColumn(
+        "observation_id", F.concat_ws("-", "source", "observed_at"))
+    single = [("a", "2024-01-02 05:00:00"), ("a", "2024-01-05 10:00:00"), ("b", "2023-12-30 10:00:00"), (None, "2024-01-01 00:00:00")]
+    crowded = [("a", "2024-01-02 06:00:00"), ("a", "2024-01-02 04:00:00"), ("a", "2024-01-02 04:00:00"), ("b", "2024-01-05 08:00:00"), ("b", "2024-01-05 09:00:00")]
+    for times in (single, single + crowded, []):
+        down = make(times, "source string, at timestamp")
+        got = incidents.with_outage(seen, down)
+        want = seen.alias("s").join(down.alias("d"), F.expr("d.source = s.source and d.at <= s.observed_at"), "left").groupBy(
+            *[F.col(f"s.{c}") for c in seen.columns]).agg(F.max("at").alias("outage_at"))
+        assert rows_of(got, *want.columns) == rows_of(want)
+        windows = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in x]
+        assert times == single + crowded or not any("observed_at" in x for x in windows)
+
+
+def test_ids_that_do_not_repeat_are_not_shuffled(make):
+    columns = ["observation_id", "observed_at", "arrival"]
+    seen = make([("x", "2024-01-01", 1), ("x", "2024-01-02", 0), ("x", "2024-01-02", 0), ("y", "2024-01-01", 0), (None, "2024-01-01", 0), (None, "2024-01-03", 0)],
+                "observation_id string, observed_at timestamp, arrival int")
+    first, repeats = incidents.first_sightings(seen)
+    assert rows_of(first.selectExpr("observation_id", "string(date(observed_at))", "arrival")) == sorted(
+        [("x", "2024-01-02", 0), ("y", "2024-01-01", 0), (None, "2024-01-01", 0)], key=repr)
+    assert rows_of(repeats.selectExpr("observation_id", "string(date(observed_at))", "arrival")) == sorted(
+        [("x", "2024-01-01", 1), ("x", "2024-01-02", 0), (None, "2024-01-03", 0)], key=repr)
+    assert first.columns == repeats.columns == columns
+    assert "Union" in first._jdf.queryExecution().optimizedPlan().toString()
