@@ -121,3 +121,10 @@ def test_ids_that_do_not_repeat_are_not_shuffled(make):
         [("x", "2024-01-01", 1), ("x", "2024-01-02", 0), (None, "2024-01-03", 0)], key=repr)
     assert first.columns == repeats.columns == columns
     assert "Union" in first._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_outbox_meets_checkpoints_without_a_shuffle_by_name(lake):
+    got = incidents.eligible_outbox(lake.outbox, lake.outbox_checkpoints, F.lit("2024-01-28").cast("timestamp"), 50)
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
