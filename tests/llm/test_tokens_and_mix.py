@@ -42,6 +42,31 @@ def test_pieces_equal_the_library(library):
     assert got == want
 
 
+def test_words_reach_the_library_once(library):
+    class Recorder:
+        def __init__(self, inner):
+            self.inner, self.chars = inner, 0
+
+        def encode_batch_fast(self, runs, **options):
+            self.chars += sum(map(len, runs))
+            return self.inner.encode_batch_fast(runs, **options)
+
+    known = [f"w{i:x}".translate(str.maketrans("0123456789", "ghijklmnop")) for i in range(500)]
+    texts = [gap.join(w + mark for w in known) for mark in ("", "&&&", ",", ").", "'") for gap in (" ", "\n")]
+    e = PieceEncoder(BPE)
+    e.tokenizer = Recorder(e.tokenizer)
+    got = [x.tolist() for t in texts for x in [e.ids([t])[0]]]
+    assert got == library(texts)
+    # Once behind a space, once behind a line feed, whatever marks follow.
+    assert e.tokenizer.chars < 2.2 * len(texts[0])
+
+
+def test_cuts_keep_white_space_before_special_tokens(library):
+    texts = ["a\n\n<|endoftext|>", "\n\n<|endoftext|>\n<|endoftext|>\n\nb", "a  <|endoftext|> <|endoftext|>", "\r\n\r", "a\n \nb\n"]
+    e = PieceEncoder(BPE, memo=3)
+    assert [e.ids([t])[0].tolist() for t in texts] == library(texts)
+
+
 def test_token_counts(spark, library):
     df = token_counts.token_counts(awkward(spark), BPE, limit=5, batch_chars=100)
     want = [(i, len((t or "").encode()), len(ids), len(ids) > 5) for (i, t, *_), ids in zip(AWKWARD, library([r[1] or "" for r in AWKWARD]))]

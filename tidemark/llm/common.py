@@ -77,6 +77,20 @@ def by_bytes(texts: list[str], limit: int) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
+def joined(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they hold ``limit`` bytes."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= limit:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """Python strings of an Arrow column; null becomes the empty text."""
     return [t or "" for t in column.to_pylist()]

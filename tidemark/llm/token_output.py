@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from tidemark.llm import rangecoder
-from tidemark.llm.common import by_bytes, scratch, stored, table, texts_of
+from tidemark.llm.common import by_bytes, joined, scratch, stored, table, texts_of
 from tidemark.llm.pieces import encoder
 
 BLOCK_SCHEMA = (
@@ -34,7 +34,7 @@ PART_SCHEMA = (
 
 def write_tokens(
     docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, block_ids: int = 1 << 20,
-    batch_chars: int = 1 << 20,
+    batch_chars: int = 1 << 23,
 ) -> None:
     """Encode every whole text, append ``end_id``, and write the ids in ascending doc_id order.
 
@@ -45,14 +45,14 @@ def write_tokens(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = _Blocks(TaskContext.get().partitionId(), block_ids)
-        with encoder(tokenizer) as pieces:
-            for batch in batches:
-                ids, texts = batch.column(0).to_pylist(), texts_of(batch.column(1))
-                for begin, end in by_bytes(texts, batch_chars):
-                    tokens, sizes = pieces.ids(texts[begin:end])
-                    # The end id goes behind each document.
-                    tokens = np.insert(tokens, np.cumsum(sizes), end_id)
-                    yield from writer.add(ids[begin:end], tokens, sizes + 1)
+        pieces = encoder(tokenizer)
+        for batch in joined(batches, batch_chars // 2):
+            ids, texts = batch.column(0).to_pylist(), texts_of(batch.column(1))
+            for begin, end in by_bytes(texts, batch_chars):
+                tokens, sizes = pieces.ids(texts[begin:end])
+                # The end id goes behind each document.
+                tokens = np.insert(tokens, np.cumsum(sizes), end_id)
+                yield from writer.add(ids[begin:end], tokens, sizes + 1)
         yield from writer.close()
 
     (
