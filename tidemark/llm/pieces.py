@@ -45,7 +45,7 @@ STEP = 1 << 18
 class PieceEncoder:
     """Encodes texts; ``memo`` bounds the number of words kept from one call to the next."""
 
-    def __init__(self, path: str, memo: int = 400_000):
+    def __init__(self, path: str, memo: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 

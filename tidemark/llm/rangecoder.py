@@ -30,6 +30,8 @@ MOST = 1 << 26
 ID_LIMIT = 1 << 19
 LANES = 4096
 SLOT_BITS = 20
+#: Change of a confidence from 0 to 15 after a miss, then after a hit.
+STEPS = np.array([-((c + 1) >> 1) for c in range(16)] + [1] * 15 + [0], np.int32)
 _U64 = np.uint64
 _WORD = _U64(32)
 _LOW = _U64(0xFFFFFFFF)
@@ -90,13 +92,18 @@ class _Model:
         self.w1, self.w2 = w & 0x7FFFFFF, w >> 27
 
     def update(self, ids: np.ndarray, hit1: np.ndarray, hit2: np.ndarray) -> None:
-        self.outcomes.append(self.cell * 3 + np.where(hit2, 2, hit1.view(np.uint8)))
+        outcome = self.cell * 3
+        outcome += np.maximum(hit1.view(np.uint8), hit2.view(np.uint8) << 1)
+        self.outcomes.append(outcome)
         fresh = ids << 4
         for table, at, e, c, hit in (
             (self.table1, self.at1, self.e1, self.c1, hit1), (self.table2, self.at2, self.e2, self.c2, hit2),
         ):
-            missed = np.where(c == 0, fresh, e - ((c + 1) >> 1))
-            table[at] = np.where(hit, e + (c < 15), missed)
+            case = c | hit.view(np.uint8) << 4
+            e = e + STEPS.take(case)
+            new = np.flatnonzero(case == 0)
+            e[new] = fresh[new]
+            table[at] = e
         self.pending.append(ids)
         self.steps += 1
 
@@ -186,30 +193,33 @@ def decode(block: bytes) -> np.ndarray:
         model.refresh(True)
         model.predict(one, two)
         p1, p2, w1, w2 = model.p1, model.p2, model.w1, model.w2
-        total = UNIT + w1 + w2
+        total = w1 + w2
+        total += UNIT
         part = width // total.view(_U64)
-        v = np.minimum((code // part).view(np.int64), total - 1)
-        # Take out the lower point of weight, then the upper one.
-        swap = p1 < p2
-        lo, hi = np.minimum(p1, p2), np.maximum(p1, p2)
-        wlo = np.where(swap, w1, w2)
-        whi = w1 + w2 - wlo
-        begin, size = model.span(lo)
-        end = begin + size + wlo
-        in_lo = (v >= begin) & (v < end)
-        v1 = v - wlo * (v >= end)
-        begin, size = model.span(hi)
-        end = begin + size + whi
-        in_hi = (v1 >= begin) & (v1 < end)
-        v1 -= whi * (v1 >= end)
-        np.clip(v1, 0, UNIT - 1, out=v1)
-        x = np.where(in_lo, lo, np.where(in_hi, hi, model.lookup.take(v1)))
-        hit1, hit2 = p1 == x, p2 == x
-        begin, size = model.span(x)
-        size += w1 * hit1
-        size += w2 * hit2
-        begin += w1 * (p1 < x)
-        begin += w2 * (p2 < x)
+        v = (code // part).view(np.int64)
+        total -= 1
+        np.minimum(v, total, out=v)
+        # Where both predicted ids lie, and how far the point is behind their begins. Equal
+        # predictions: the first has no weight, the second holds.
+        begin1, size1 = model.span(p1)
+        begin2, size2 = model.span(p2)
+        begin1 += w2 * (p2 < p1)
+        begin2 += w1 * (p1 < p2)
+        size1 += w1
+        size2 += w2
+        v1, v2 = v - begin1, v - begin2
+        # A point before the begin is a large number without sign.
+        in1, hit2 = v1.view(_U64) < size1.view(_U64), v2.view(_U64) < size2.view(_U64)
+        begin, size, x = np.where(hit2, begin2, begin1), np.where(hit2, size2, size1), np.where(hit2, p2, p1)
+        # Neither: take out the weights that end before the point.
+        miss = np.flatnonzero(~(in1 | hit2))
+        past = w1[miss] * (v1[miss] >= size1[miss])
+        past += w2[miss] * (v2[miss] >= size2[miss])
+        other = model.lookup.take(v[miss] - past)
+        x[miss] = other
+        begin[miss], size[miss] = model.span(other)
+        begin[miss] += past
+        hit1 = p1 == x
         code = code - part * begin.view(_U64)
         width = part * size.view(_U64)
         out = np.flatnonzero(width < _SMALL)
