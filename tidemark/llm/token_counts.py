@@ -1,6 +1,6 @@
 """Token counts: batch encoding in Arrow functions that return lengths only.
 
-Every Arrow batch is cut into batches of about ``batch_chars`` characters; texts are split at
+Arrow batches are joined or cut to about ``batch_chars`` characters; texts are split at
 safe boundaries (see ``pieces``), so a long text costs its distinct pieces and no more.
 """
 
