@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.catalog import load
 from tidemark.functions.columns import first_of_repeated, first_row
 from tidemark.operators import assertions as A
-from tidemark.plans.lake import Lake
+from tidemark.plans.lake import Lake, monitored_columns
 
 
 def test_rows_of_their_own_key_stay_where_they_are(spark):
@@ -33,6 +33,14 @@ def test_narrow_facts_equal_whole_ones(spark):
         narrow.fact_payment.select("payment_amount").collect()
 
 
+def test_narrow_lakes_keep_their_tables_apart(spark):
+    lake = Lake(spark, SF_DIR)
+    first = lake.monitored.dq_freshness
+    others = [lake.narrowed(monitored_columns(rates=False, totals=False)).dq_freshness, lake.dq_freshness]
+    assert len({f for df in [first, *others] for f in df.inputFiles()}) == sum(len(df.inputFiles()) for df in [first, *others])
+    assert rows_of(first) == rows_of(others[0]) == rows_of(others[1])
+
+
 def test_parents_are_not_looked_up_for_an_unused_flag(spark):
     narrow = Lake(spark, SF_DIR).narrowed({})
 
