@@ -4,7 +4,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from tidemark.operators import defects, history, incidents, monitoring, staging, upserts
+from tidemark.operators import defects, history, incidents, marts, monitoring, profiling, staging, upserts
 from tidemark.plans.lake import at
 
 UPD = ("update_id string, user_id string, field_name string, old_value string, new_value string,"
@@ -204,3 +204,11 @@ def test_inapplicable_defects_are_skipped(make):
     labelled = defects.label(late, "messages", 1, "2024-02-01 00:00:00", plan)
     assert rows(labelled, "issue") == [(None,)]
     assert defects.dirty_rows(labelled, "messages", plan).count() == 1
+
+
+def test_a_constant_has_no_correlation(spark):
+    # The mean of 49 ones, merged into an empty buffer, is not one.
+    df = spark.range(0, 98, 1, 2).select(F.col("id").alias("x"), (3 * F.col("id")).alias("y"))
+    got = profiling.correlation(df, {"constant": (F.col("x"), F.lit(1)), "line": (F.col("x"), F.col("y"))})
+    assert rows(got.selectExpr("pair", "round(correlation, 9)")) == [("constant", 0.0), ("line", 1.0)]
+    assert rows(profiling.correlation(df.limit(0), {"none": (F.col("x"), F.col("y"))})) == [("none", 0.0)]

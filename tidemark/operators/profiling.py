@@ -80,8 +80,11 @@ def correlation(df: DataFrame, pairs: Mapping[str, tuple[Column, Column]]) -> Da
     def pearson(x: Column, y: Column) -> Column:
         x, y = x.cast("double"), y.cast("double")
         both = x.isNotNull() & y.isNotNull()
-        spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
-        return F.coalesce(F.try_divide(F.covar_pop(x, y), spread), F.lit(0.0))
+        xs, ys = F.when(both, x), F.when(both, y)
+        # Merging partial means leaves a constant a spread of rounding errors.
+        varies = (F.min(xs) < F.max(xs)) & (F.min(ys) < F.max(ys))
+        spread = F.stddev_pop(xs) * F.stddev_pop(ys)
+        return F.coalesce(F.when(varies, F.try_divide(F.covar_pop(x, y), spread)), F.lit(0.0))
 
     row = df.agg(*[pearson(x, y).alias(n) for n, (x, y) in pairs.items()])
     return row.unpivot([], list(pairs), "pair", "correlation")
