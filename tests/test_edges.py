@@ -212,3 +212,16 @@ def test_a_constant_has_no_correlation(spark):
     got = profiling.correlation(df, {"constant": (F.col("x"), F.lit(1)), "line": (F.col("x"), F.col("y"))})
     assert rows(got.selectExpr("pair", "round(correlation, 9)")) == [("constant", 0.0), ("line", 1.0)]
     assert rows(profiling.correlation(df.limit(0), {"none": (F.col("x"), F.col("y"))})) == [("none", 0.0)]
+
+
+def test_a_day_with_messages_only_has_zeros(make):
+    # As in the reference mart: counts are zero, rates without a denominator are null.
+    messages = make([(1, "u"), (3, "u"), (3, None)], "date_key int, user_id string")
+    conversations = make([(3,)], "date_key int")
+    completions = make([(3, "SUCCESS"), (3, None)], "date_key int, completion_status string")
+    feedback = make([(3, "RATING", 5)], "date_key int, feedback_type string, feedback_score int")
+    dates = make([(d, f"2024-01-0{d}") for d in range(1, 5)], "date_key int, full_date date")
+    got = marts.product_daily(messages, conversations, completions, feedback, dates).drop("full_date")
+    assert rows(got) == [(1, 1, 0, 1, 0, 0, 0, 0, None, 0, 0, 0, None, None),
+                         (2, 0, 0, 0, 0, 0, 0, 0, None, 0, 0, 0, None, None),
+                         (3, 1, 1, 2, 2, 1, 0, 0, 0.5, 1, 1, 0, 0.5, 1.0)]
